@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import fingerprint, langid, minhash, packing
 from .common import read
 
 
@@ -14,6 +15,25 @@ def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op4_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"))
+    model = langid.learn(docs, train=~held)
+    tagged = langid.tag(docs.select("doc_id", "text"), model)
+    return tagged.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_bits").alias("bits_per_byte"))
+
+
+def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op10_scaled_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.digest(fingerprint.fingerprints(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
+    "op4_ppm_language_id": op4_ppm_language_id,
+    "op5_circulant_minhash": op5_circulant_minhash,
+    "op10_scaled_fingerprint": op10_scaled_fingerprint,
 }
