@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, linededup, minhash, packing
+from . import fingerprint, langid, linededup, minhash, packing, pii
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), key="a key for these tables")
+
+
 def op9_winnowed_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines", "removed_words")
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op4_ppm_language_id": op4_ppm_language_id,
     "op5_circulant_minhash": op5_circulant_minhash,
+    "op6_feistel_pseudonyms": op6_feistel_pseudonyms,
     "op9_winnowed_line_dedup": op9_winnowed_line_dedup,
     "op10_scaled_fingerprint": op10_scaled_fingerprint,
 }
