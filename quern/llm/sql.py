@@ -32,3 +32,28 @@ SELECT doc_id, coalesce(string_agg(line, '' ORDER BY pos) FILTER (WHERE NOT gone
        CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS BIGINT) AS removed_words
 FROM marked GROUP BY doc_id
 """
+
+ORACLE["op1_temporal_url_filter"] = r"""
+WITH captures AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST((page_id * 7919) % 366 AS INTEGER) AS d,
+         regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1) AS host,
+         regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+(/[^?#]*)', 1) AS path
+  FROM pages
+), hosts AS (
+  SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 7) AS INTEGER) AS x FROM captures WHERE host <> ''
+), changes AS (
+  SELECT host AS key, 'add' AS action, DATE '2024-01-01' + x % 200 AS d FROM hosts WHERE x % 3 = 0
+  UNION ALL SELECT host, 'remove', DATE '2024-01-01' + x % 200 + 60 FROM hosts WHERE x % 3 = 0 AND x % 2 = 0
+  UNION ALL SELECT host, 'add', DATE '2024-01-01' + x % 200 + 120 FROM hosts WHERE x % 3 = 0 AND x % 5 = 0
+  UNION ALL SELECT host || '/en', 'add', DATE '2024-01-01' + x % 200 FROM hosts WHERE x % 7 = 0
+), held AS (
+  SELECT key, d AS since, until FROM (SELECT *, lead(d) OVER (PARTITION BY key ORDER BY d, CASE action WHEN 'remove' THEN 0 ELSE 1 END) AS until FROM changes)
+  WHERE action = 'add' AND (until IS NULL OR until > d)
+), met AS (
+  SELECT c.page_id, c.url, c.d, h.key, h.since, row_number() OVER (PARTITION BY c.page_id ORDER BY length(h.key) DESC, h.since DESC) AS k
+  FROM captures c JOIN held h ON (c.host = h.key OR c.host LIKE '%.' || h.key OR (h.key = c.host || '/en' AND (c.path = '/en' OR c.path LIKE '/en/%')))
+   AND c.d >= h.since AND (h.until IS NULL OR c.d < h.until)
+)
+SELECT c.page_id, c.url, strftime(c.d, '%Y-%m-%d') AS fetched_on, m.key IS NOT NULL AS blocked, m.key AS matched_key, strftime(m.since, '%Y-%m-%d') AS listed_on
+FROM captures c LEFT JOIN met m ON c.page_id = m.page_id AND m.k = 1
+"""
