@@ -108,14 +108,17 @@ def fingerprints(docs: DataFrame, *, width: int = 5, scale: int = 16, floor: int
     give a row each. A single document follows itself. An empty table gives no rows. Other columns
     are ignored.
     """
-    docs = docs.select(docs[id_column].cast("long").alias("doc_id"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
+    # no cast or alias where none is needed: they would keep Spark from seeing that two exchanges are the same
+    name = docs[id_column] if (id_column, dict(docs.dtypes)[id_column]) == ("doc_id", "bigint") else docs[id_column].cast("long").alias("doc_id")
+    docs = docs.select(name, F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
     options = {"width": width, "scale": scale, "floor": floor}
     near = neighbours(docs)
-    made = docs.withColumn("own", sketch(F.col("text"), **options))
-    placed = made.join(near, "doc_id", "left")
-    first = F.struct(F.xxhash64("text").alias("h"), F.expr("substring(text, 1, cast(need as int))").alias("front"), F.col("own").alias("next"))
-    fronts = placed.filter("prev_id is not null").groupBy(F.col("prev_id").alias("doc_id")).agg(F.min(first).alias("f"))
-    both = placed.select("doc_id", "text", "own").join(fronts.select("doc_id", "f.front", "f.next"), "doc_id", "left")
+    # both joins read one exchange of the texts by id, so a text is shuffled once; what is sketched afterwards isn't part of it
+    known = docs.filter("doc_id is not null")
+    first = F.struct(F.xxhash64("text").alias("h"), F.expr("substring(text, 1, cast(need as int))").alias("front"), sketch(F.col("text"), **options).alias("next"))
+    fronts = known.join(near, "doc_id").groupBy(F.col("prev_id").alias("doc_id")).agg(F.min(first).alias("f"))
+    both = known.join(fronts.select("doc_id", "f.front", "f.next"), "doc_id", "left")
+    both = both.unionByName(docs.filter("doc_id is null"), allowMissingColumns=True).withColumn("own", sketch(F.col("text"), **options))
     edited = F.expr("concat(substring(text, 1, length(text) - cast(floor(length(text) / 4) as int)), substring(coalesce(front, ''), 1, cast(floor(length(text) / 4) as int)))")
     both = both.select("doc_id", "text", "own", "next", edited.alias("edited_text")).withColumn("edited", sketch(F.col("edited_text"), **options))
     return both.select(
