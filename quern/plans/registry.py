@@ -5,6 +5,471 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from quern.functions import chat, text
+from quern.operators import finetune, profile, sampling, semantic, steps
+from quern.plans import runner
+from quern.plans.oracle import ORACLE
+from quern.sources import catalog, markup
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+
+
+def _sha(c: str = "text") -> F.Column:
+    return F.sha2(F.col(c), 256).alias("text_sha256")
+
+
+# --- statistics -------------------------------------------------------------------------
+
+
+def _stats(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    rounded = [F.round(c, 4).alias(c) for c in ("min", "max", "mean", "std")]
+    return profile.column_stats(_table(spark, sf_dir, name)).select("column", "null_count", "null_percentage", "unique_count", *rounded)
+
+
+@query
+def column_stats_documents(spark, sf_dir):
+    return _stats(spark, sf_dir, "documents")
+
+
+@query
+def column_stats_lineitem(spark, sf_dir):
+    return _stats(spark, sf_dir, "lineitem")
+
+
+@query
+def token_estimate_fallback(spark, sf_dir):
+    return profile.token_total(_table(spark, sf_dir, "documents").select("text"))
+
+
+@query
+def preview_documents(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").orderBy("doc_id").limit(50)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", "n_chars")
+
+
+# --- de-duplication ---------------------------------------------------------------------
+
+
+def _dedup(spark, sf_dir, **conf) -> DataFrame:
+    return steps.deduplicate(_docs(spark, sf_dir), {"order_by": "doc_id", **conf}).df
+
+
+@query
+def dedup_exact_first(spark, sf_dir):
+    return _dedup(spark, sf_dir, columns=["text"]).select("doc_id", "lang", "source")
+
+
+@query
+def dedup_exact_last(spark, sf_dir):
+    return _dedup(spark, sf_dir, columns=["text"], keep="last").select("doc_id", "lang", "source")
+
+
+@query
+def dedup_exact_subset(spark, sf_dir):
+    return _dedup(spark, sf_dir, columns=["text", "lang", "source"], compat=True).select("doc_id", "lang", "source")
+
+
+@query
+def dedup_metrics(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    kept = steps.deduplicate(docs, {"columns": ["text"], "order_by": "doc_id"}).df
+    return docs.agg(F.count("*").alias("rows_before")).crossJoin(kept.agg(F.count("*").alias("rows_after"))).withColumn("exact_removed", F.col("rows_before") - F.col("rows_after"))
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    """Embeddings, and a near copy of every fifth; the table has none."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    moved = F.transform("embedding", lambda x, i: x + F.when(i % 2 == 0, 0.01).otherwise(-0.01))
+    return rows.withColumn("vec_id", F.col("vec_id") * 10).unionByName(rows.filter("vec_id % 5 = 0").select((F.col("vec_id") * 10 + 1).alias("vec_id"), moved.alias("embedding"), "label"))
+
+
+@query
+def dedup_semantic_edges(spark, sf_dir):
+    found = semantic.edges(_vectors(spark, sf_dir), id_column="vec_id", vector_column="embedding", threshold=0.95)
+    return found.select("a", "b", F.round("similarity", 4).alias("similarity"))
+
+
+@query
+def dedup_semantic(spark, sf_dir):
+    conf = {"method": "semantic", "vector_column": "embedding", "order_by": "vec_id"}
+    return steps.deduplicate(_vectors(spark, sf_dir), conf).df.select("vec_id", "label")
+
+
+# --- noise ------------------------------------------------------------------------------
+
+
+def _noisy(spark, sf_dir) -> DataFrame:
+    """Documents with noise of several kinds added, by id; the tables have none."""
+    k = F.col("doc_id")
+    add = F.when(k % 5 == 0, F.lit(" \t  see https://example.org/a?b=1 now \n\n\n\n")).when(k % 5 == 1, F.lit("\u0001x\u0007 ​zero­ ")).when(k % 5 == 2, F.lit(" www.example.org/x \t[ref]")).otherwise(F.lit(""))
+    return _docs(spark, sf_dir).withColumn("text", F.concat(F.lit("  "), F.substring("text", 1, 1 << 30), add))
+
+
+def _noise(spark, sf_dir, off: bool = True, **conf) -> DataFrame:
+    base = dict.fromkeys(("fix_encoding", "strip_html", "normalize_unicode", "remove_control_chars", "normalize_whitespace"), False)
+    return steps.remove_noise(_noisy(spark, sf_dir).select("doc_id", "text"), {**base, "columns": ["text"], **conf}).df.select("doc_id", F.length("text").cast("long").alias("n_chars"), _sha())
+
+
+@query
+def noise_whitespace(spark, sf_dir):
+    return _noise(spark, sf_dir, normalize_whitespace=True)
+
+
+@query
+def noise_control(spark, sf_dir):
+    return _noise(spark, sf_dir, remove_control_chars=True)
+
+
+@query
+def noise_zero_width(spark, sf_dir):
+    return _noisy(spark, sf_dir).select("doc_id", F.sha2(text.without_zero_width(F.col("text")), 256).alias("text_sha256"))
+
+
+@query
+def noise_urls(spark, sf_dir):
+    return _noise(spark, sf_dir, strip_urls=True)
+
+
+@query
+def noise_custom(spark, sf_dir):
+    return _noise(spark, sf_dir, custom_patterns=[r"\[ref\]", r"[0-9]+"])
+
+
+@query
+def noise_full(spark, sf_dir):
+    conf = {"columns": ["text"], "fix_encoding": False, "strip_html": False, "strip_urls": True}
+    return steps.remove_noise(_noisy(spark, sf_dir).select("doc_id", "text"), conf).df.select("doc_id", F.length("text").cast("long").alias("n_chars"), _sha())
+
+
+@query
+def length_filter(spark, sf_dir):
+    return _noise(spark, sf_dir, min_text_length=500, max_text_length=3000)
+
+
+@query
+def noise_metrics(spark, sf_dir):
+    conf = {"columns": ["text"], "fix_encoding": False, "strip_html": True, "normalize_unicode": False, "min_text_length": 500}
+    return steps.remove_noise(_noisy(spark, sf_dir).select("doc_id", "text"), conf).metrics.drop("encoding_fixes")
+
+
+@query
+def noise_strip_html(spark, sf_dir):
+    """By the parser, as the step does it for parity."""
+    return _table(spark, sf_dir, "pages").select("page_id", text.normal_spaces(text.without_tags(F.col("html"))).alias("text"))
+
+
+@query
+def noise_strip_html_jvm(spark, sf_dir):
+    """By patterns, without Python."""
+    return _table(spark, sf_dir, "pages").select("page_id", text.normal_spaces(text.without_tags_jvm(F.col("html"))).alias("text"))
+
+
+@query
+def noise_unicode_nfc(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(text.nfc(F.col("text")), 256).alias("text_sha256"))
+
+
+@query
+def html_blocks(spark, sf_dir):
+    return markup.html_blocks(_table(spark, sf_dir, "pages"), "html", "page_id")
+
+
+@query
+def scrape_main_content(spark, sf_dir):
+    return markup.scrape(_table(spark, sf_dir, "pages"), "html", "url", F.lit("2024-01-01").cast("timestamp"))
+
+
+@query
+def direct_file_url(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", "url", markup.is_direct_file(F.col("url")).alias("is_file"))
+
+
+# --- personal data ----------------------------------------------------------------------
+
+
+def _personal(spark, sf_dir) -> DataFrame:
+    """Documents, to some of which kinds that the tables lack are added."""
+    k = F.col("doc_id")
+    add = F.when(k % 10 == 0, F.lit(" 123-45-6789 ")).when(k % 10 == 1, F.lit(" see http://example.org/p?q=1 ")).when(k % 10 == 2, F.lit(" 4111 1111 1111 1111 a.b@example.com ")).otherwise(F.lit(""))
+    return _docs(spark, sf_dir).select("doc_id", F.concat("text", add).alias("text"))
+
+
+def _scrub(spark, sf_dir, **conf) -> steps.StepOutput:
+    return steps.scrub_pii(_personal(spark, sf_dir), {"columns": ["text"], **conf})
+
+
+@query
+def pii_redact(spark, sf_dir):
+    return _scrub(spark, sf_dir).df.select("doc_id", _sha())
+
+
+@query
+def pii_redact_by_type(spark, sf_dir):
+    return _scrub(spark, sf_dir, redact_with="<ENTITY_TYPE>", entities=["URL", "EMAIL", "CREDIT_CARD"]).df.select("doc_id", _sha())
+
+
+@query
+def pii_flag(spark, sf_dir):
+    return _scrub(spark, sf_dir, action="flag").df.select("doc_id", "pii_detected", "pii_entities")
+
+
+@query
+def pii_remove_row(spark, sf_dir):
+    return _scrub(spark, sf_dir, action="remove_row").df.select("doc_id")
+
+
+@query
+def pii_entity_counts(spark, sf_dir):
+    return _scrub(spark, sf_dir).metrics
+
+
+# --- language ---------------------------------------------------------------------------
+
+
+def _language(spark, sf_dir, **conf) -> steps.StepOutput:
+    return steps.filter_language(_docs(spark, sf_dir), {"text_column": "text", **conf})
+
+
+@query
+def lang_tag(spark, sf_dir):
+    return _language(spark, sf_dir).df.select("doc_id", "language", F.round("language_confidence", 4).alias("language_confidence"))
+
+
+@query
+def lang_distribution(spark, sf_dir):
+    return _language(spark, sf_dir).metrics
+
+
+@query
+def lang_keep_en(spark, sf_dir):
+    return _language(spark, sf_dir, action="filter_keep", languages=["en"]).df.select("doc_id")
+
+
+@query
+def lang_remove_en(spark, sf_dir):
+    return _language(spark, sf_dir, action="filter_remove", languages=["en"]).df.select("doc_id")
+
+
+# --- quality ----------------------------------------------------------------------------
+
+
+def _quality(spark, sf_dir, **conf) -> steps.StepOutput:
+    return steps.score_quality(_docs(spark, sf_dir), {"text_columns": ["text"], **conf})
+
+
+@query
+def quality_score(spark, sf_dir):
+    return _quality(spark, sf_dir).df.select("doc_id", "quality_score", "quality_reason")
+
+
+@query
+def quality_filter(spark, sf_dir):
+    return _quality(spark, sf_dir, action="filter", threshold=9.0).df.select("doc_id", "quality_score")
+
+
+@query
+def quality_flag(spark, sf_dir):
+    return _quality(spark, sf_dir, action="flag", threshold=9.0).df.select("doc_id", "quality_flag")
+
+
+@query
+def quality_distribution(spark, sf_dir):
+    return _quality(spark, sf_dir).metrics.select("bin_0_2", "bin_2_4", "bin_4_6", "bin_6_8", "bin_8_10")
+
+
+@query
+def quality_summary(spark, sf_dir):
+    return _quality(spark, sf_dir).metrics.select("mean_quality_score", "median_quality_score")
+
+
+# --- instruction tuning -----------------------------------------------------------------
+
+
+def _dialogues(spark, sf_dir) -> DataFrame:
+    """A row for each conversation, with its turns in order; conversations are short by nature."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"))
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    normal, _, _ = chat.normalise(_dialogues(spark, sf_dir))
+    return normal.select("conv_id", *chat.NORMAL)
+
+
+@query
+def ft_normalize_sharegpt(spark, sf_dir):
+    return _pairs(spark, sf_dir).toDF("conv_id", "instruction", "input", "output")
+
+
+def _renamed(spark, sf_dir, first: str, second: str) -> DataFrame:
+    pairs = _pairs(spark, sf_dir).select(F.col(chat.NORMAL[0]).alias(first), F.col(chat.NORMAL[2]).alias(second), "conv_id")
+    normal, name, _ = chat.normalise(pairs)
+    return normal.select("conv_id", *(F.col(c).alias(c[6:]) for c in chat.NORMAL), F.lit(name).alias("input_format"))
+
+
+@query
+def ft_normalize_qa(spark, sf_dir):
+    return _renamed(spark, sf_dir, "question", "answer")
+
+
+@query
+def ft_normalize_raw(spark, sf_dir):
+    return _renamed(spark, sf_dir, "prompt", "completion")
+
+
+@query
+def ft_normalize_alpaca(spark, sf_dir):
+    return _renamed(spark, sf_dir, "instruction", "output")
+
+
+def _format(target: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """One template or structure, with a system prompt."""
+        example = chat.formatted(target, *map(F.col, chat.NORMAL), "Be brief.")
+        return _pairs(spark, sf_dir).select("conv_id", example.alias("formatted_text"))
+
+    run.__name__ = f"ft_format_{target}"
+    return run
+
+
+for _target in chat.FORMATS:
+    query(_format(_target))
+
+
+def _formatted(spark, sf_dir, most: int) -> steps.StepOutput:
+    return finetune.format_examples(_dialogues(spark, sf_dir), {"output_format": "llama3", "max_tokens_per_example": most})
+
+
+@query
+def ft_token_filter(spark, sf_dir):
+    return _formatted(spark, sf_dir, 300).df.select("conv_id", "token_count")
+
+
+@query
+def ft_token_distribution(spark, sf_dir):
+    return _formatted(spark, sf_dir, 4096).metrics.withColumn("avg_token_count", F.round("avg_token_count", 4))
+
+
+@query
+def response_quality_score(spark, sf_dir):
+    out = finetune.response_quality(_pairs(spark, sf_dir), {"action": "score"}).df
+    return out.select("conv_id", F.col("_response_quality_score").alias("score"), F.col("_response_quality_reasons").alias("reasons"))
+
+
+@query
+def response_quality_filter(spark, sf_dir):
+    return finetune.response_quality(_pairs(spark, sf_dir), {}).df.select("conv_id")
+
+
+# --- balance and split ------------------------------------------------------------------
+
+
+def _balance(spark, sf_dir, **conf) -> DataFrame:
+    return sampling.balance(_docs(spark, sf_dir), {"target_column": "lang", "id_column": "doc_id", **conf}).df.select("doc_id", "lang")
+
+
+@query
+def balance_under(spark, sf_dir):
+    return _balance(spark, sf_dir)
+
+
+@query
+def balance_ratio(spark, sf_dir):
+    return _balance(spark, sf_dir, balance_ratio=0.5)
+
+
+@query
+def balance_over(spark, sf_dir):
+    return _balance(spark, sf_dir, method="oversample")
+
+
+@query
+def train_val_split(spark, sf_dir):
+    return sampling.split(_docs(spark, sf_dir).select("doc_id"), id_column="doc_id")
+
+
+@query
+def stratified_split(spark, sf_dir):
+    return sampling.split(_docs(spark, sf_dir).select("doc_id", "lang"), id_column="doc_id", stratify="lang").groupBy("lang", "split").agg(F.count("*").alias("rows"))
+
+
+@query
+def training_config(spark, sf_dir):
+    one = _formatted(spark, sf_dir, 4096).df.agg(F.count("*").alias("total"), F.avg("token_count").alias("tokens"))
+    epochs = F.when(F.col("total") > 5000, 3).when(F.col("total") > 1000, 5).otherwise(10).cast("long")
+    hours = F.col("total") * F.col("tokens") * 3 / 5000 / 3600
+    return one.select("total", F.round("tokens", 4).alias("avg_tokens"), epochs.alias("epochs"), F.round(hours, 6).alias("hours"), F.lit("meta-llama/Meta-Llama-3-8B").alias("base_model"))
+
+
+# --- analysis, catalog, whole pipelines -------------------------------------------------
+
+
+@query
+def analyze_issues(spark, sf_dir):
+    docs = _personal(spark, sf_dir).select("text")
+    return profile.issues(profile.ratios(docs, ["text"]), ["text"]).select("severity", "type", "affected_rows")
+
+
+@query
+def heuristic_plan(spark, sf_dir):
+    docs = _personal(spark, sf_dir).select("text")
+    found = profile.analyze(docs)
+    made = profile.plan(found.recommendations, found.row_count)
+    rows = [(k, s["step"], s["required"], made["estimated_duration"], made["estimated_rows_after"]) for k, s in enumerate(made["steps"], 1)]
+    return spark.createDataFrame(rows, "place long, step string, required boolean, estimated_duration long, estimated_rows_after long")
+
+
+@query
+def insight_report(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    kept = steps.deduplicate(docs, {"columns": ["text"], "order_by": "doc_id"}).df
+    both = docs.agg(F.count("*").alias("before")).crossJoin(kept.agg(F.count("*").alias("after")))
+    return both.select("before", "after", *profile.insight(F.col("before"), F.col("after")))
+
+
+@query
+def catalog_page(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders")
+    return catalog.page(orders, owner=("o_custkey", 7), order_by="o_orderkey", skip=2, limit=5).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query
+def catalog_counts(spark, sf_dir):
+    return catalog.counts(_table(spark, sf_dir, "orders"), "o_custkey")
+
+
+@query
+def jobs_recent(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("started_at"))
+    return catalog.page(orders, order_by="started_at", descending=True, limit=50).select("o_orderkey", F.date_format("started_at", "yyyy-MM-dd").alias("started_on"))
+
+
+@query
+def pipeline_common_e2e(spark, sf_dir):
+    listed = [{"step": "deduplication", "config": {"columns": ["text"], "order_by": "doc_id"}}, {"step": "no_such_step"}, {"step": "noise_removal", "config": {"columns": ["text"], "fix_encoding": False, "strip_html": False}}, {"step": "pii_scrubbing", "config": {"columns": ["text"]}}, {"step": "quality_scorer", "config": {"text_columns": ["text"], "action": "filter", "threshold": 8.0}}]
+    return runner.run(_personal(spark, sf_dir), listed).df.select("doc_id", _sha(), "quality_score")
+
+
+@query
+def pipeline_finetune_e2e(spark, sf_dir):
+    config = runner.FinetuneConfig(id_column="conv_id", output_format="llama3", run_deduplication=False, run_noise_removal=False, run_pii_scrubbing=False, run_quality_scoring=False)
+    return runner.run_finetune(_dialogues(spark, sf_dir), config).rows.select("conv_id", "formatted_text", "token_count", "split")
+
+
+__all__ = ["ORACLE", "QUERIES"]
