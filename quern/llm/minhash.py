@@ -21,7 +21,7 @@ from .common import blocks, cut, mix64, shingle_hashes, text_buffers, word_hashe
 #: Rows that go through one vectorised step of the signatures.
 _STEP = 1 << 16
 #: Classes of a band that one task compares with as many others.
-_GROUP = 4096
+_GROUP = 2048
 #: Residues of ids that a broadcast may hold.
 _RESIDUES = 1 << 18
 
@@ -117,13 +117,18 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have den * intersection >= num * union. Only texts that a pair names are shuffled: those of other ids are dropped before, by a broadcast of at most _RESIDUES residues."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of some ids. Only these texts are shuffled: those of other ids are dropped before, by a broadcast of at most _RESIDUES residues."""
     residue = lambda c: F.pmod(F.xxhash64(c), F.lit(_RESIDUES))
     some = ids.select(residue(F.col("doc_id")).alias("_r")).distinct()
     texts = docs.withColumn("_r", residue(F.col("doc_id"))).join(F.broadcast(some), "_r", "left_semi").join(ids, "doc_id", "left_semi")
-    texts = cut(texts.select("doc_id", "text"), "texts").dropDuplicates(["doc_id"])
+    return cut(texts.select("doc_id", "text"), "texts").dropDuplicates(["doc_id"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have den * intersection >= num * union."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = _texts(ids, docs)
     rows = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
 
     def run(batches):
@@ -142,32 +147,54 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _rest(members: DataFrame, comp: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs not compared yet: of one band, of different components, neither the band's smallest, with a share of equal signature bytes of at least ``least``."""
+def _rest(members: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame, least: float, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) not found yet: in bands that hold several components, classes of different ones whose signature bytes agree in a share of at least ``least`` are compared by their full sets. A pair is looked at in the first band that it shares, and no more once a task has found its components linked; so only links come out, not pairs."""
     now = members.join(comp, members.rep == comp.node, "left").select("key", "rep", "lead", F.coalesce("root", "rep").alias("root"))
     mixed = now.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n")).filter("r <> s and n > 2")
     many = F.ceil(F.col("n") / _GROUP).cast("int")
     own = F.pmod(F.xxhash64("rep"), many).cast("int")
-    dealt = now.filter("rep <> lead").join(mixed.select("key", "n"), "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "root").join(classes.select("rep", "low"), "rep")
+    # the band's smallest class has been compared with all others
+    dealt = cut(now.filter("rep <> lead").join(mixed.select("key", "n"), "key").withColumn("own", own), "mixed")
+    texts = _texts(dealt.select(F.col("rep").alias("doc_id")).distinct(), docs)
+    dealt = dealt.join(classes.select("rep", "low", "bands"), "rep").join(texts.toDF("rep", "text"), "rep")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "root", "low", "bands", "text")
 
     def run(table: pa.Table) -> pa.Table:
         rep, root, own = (table.column(c).to_numpy() for c in ("rep", "root", "own"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        i, j, key = (table.column(c)[0].as_py() for c in ("i", "j", "key"))
         low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(rep), -1)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+        band = int(np.flatnonzero(bands[0] == key)[0])
+        data, offsets = text_buffers(table.column("text"))
+        sets: dict[int, np.ndarray] = {}
+
+        def words_of(x: int) -> np.ndarray:
+            if x not in sets:
+                sets[x] = next(v for _, v in shingle_sets(data[offsets[x] : offsets[x + 1]], offsets[x : x + 2], width))
+            return sets[x]
+
+        root, links = root.copy(), []
         roots, counts = np.unique(root, return_counts=True)
-        most, pairs = roots[np.argmax(counts)], set()
+        most = roots[np.argmax(counts)]
         for x in np.flatnonzero(root != most):
             other = root != root[x]
             if i != j:
                 other &= own != own[x]
             at = np.flatnonzero(other)
             at = at[(low[at] == low[x]).mean(1) >= least]
-            pairs.update((min(rep[x], y), max(rep[x], y)) for y in rep[at])
-        a, b = zip(*sorted(pairs), strict=True) if pairs else ((), ())
+            at = at[(bands[at] == bands[x]).argmax(1) == band]
+            for y in at:
+                if root[x] != root[y]:
+                    a, b = words_of(x), words_of(y)
+                    shared = len(np.intersect1d(a, b, assume_unique=True))
+                    if den * shared >= num * (len(a) + len(b) - shared):
+                        links.append((rep[x], rep[y]))
+                        root[root == root[x]] = root[y]
+        a, b = zip(*links, strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 75, den: int = 100, bands: int = 32, rows: int = 4, least: float = 0.58, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -193,11 +220,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 75, den: int
     first = members.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     links = cut(_verified(cut(first, "pairs"), docs, width, num, den), "links")
     comp = components(links)
-    rest = cut(_rest(members, comp, classes, least), "pairs")
-    if not rest.isEmpty():
-        more = cut(_verified(rest, docs, width, num, den), "links")
-        if not more.isEmpty():
-            comp = components(links.union(more))
+    more = cut(_rest(members, comp, classes, docs, least, width, num, den), "links")
+    if not more.isEmpty():
+        comp = components(links.union(more))
     named = classes.join(comp, classes.rep == comp.node, "left").select(*digest, F.coalesce("root", "rep").alias("component_id"))
     named = named.groupBy(*digest).agg(F.min("component_id").alias("component_id"))
     out = sketches.select("doc_id", *digest).join(named, digest, "left")
