@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -10,7 +11,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
@@ -41,6 +42,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs whose frames are gone; it does so when the driver's garbage is collected, which a driver with much memory seldom does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def learn_mod(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
@@ -159,12 +166,8 @@ def shingle_hashes(words: np.ndarray, starts: np.ndarray, width: int) -> tuple[n
 
 def prefix_sums(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` in all rows with a smaller ``key`` (unique). Range partitions are summed one by one; only one row a partition goes through the small window over partitions."""
-    spark = df.sparkSession
     part = cut(df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()), "ranges")
-    from pyspark.sql import Window
-
     totals = part.groupBy("_part").agg(F.sum(value).alias("_sum"))
     before = totals.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
     inside = F.sum(value).over(Window.partitionBy("_part").orderBy(key)) - F.col(value)
-    del spark
     return part.withColumn("_inside", inside).join(F.broadcast(before), "_part").withColumn(out, F.col("_inside") + F.col("_before")).drop("_part", "_inside", "_before")

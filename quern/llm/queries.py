@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, langid, linededup, minhash, packing, pii, shards, urlfilter
+from . import decontam, fingerprint, katz, langid, linededup, minhash, packing, pii, shards, urlfilter
 from .common import read
 
 
@@ -66,6 +66,12 @@ def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.materialise(read(spark, sf_dir, "documents"), key=20240101)
 
 
+def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = katz.score(docs, train=~katz.held_out(F.col("doc_id")))
+    return scored.select("doc_id", katz.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_winnowed_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines", "removed_words")
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_circulant_minhash": op5_circulant_minhash,
     "op6_feistel_pseudonyms": op6_feistel_pseudonyms,
     "op7_training_order": op7_training_order,
+    "op8_katz_backoff": op8_katz_backoff,
     "op9_winnowed_line_dedup": op9_winnowed_line_dedup,
     "op10_scaled_fingerprint": op10_scaled_fingerprint,
 }
