@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -230,8 +231,6 @@ def score_quality(df: DataFrame, conf: dict) -> StepOutput:
 
 
 def _with_scorer(df: DataFrame, joined: Column, score: str, why: str, scorer, method: str) -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf("struct<s:double,r:string>")
     def asked(texts: pd.Series) -> pd.DataFrame:
         out = []

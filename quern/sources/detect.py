@@ -60,10 +60,8 @@ def encoding(head: bytes) -> str:
     for mark, name in ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE")):
         if head.startswith(mark):
             return name
-    for cut in range(4):
-        try:
-            head[: len(head) - cut].decode("utf-8")
-            return "UTF-8"
-        except UnicodeDecodeError:
-            continue
-    return "ISO-8859-1"
+    try:
+        head.decode("utf-8")
+    except UnicodeDecodeError as e:
+        return "UTF-8" if e.reason == "unexpected end of data" else "ISO-8859-1"
+    return "UTF-8"

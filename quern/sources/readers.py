@@ -50,14 +50,14 @@ def preview(df: DataFrame, n: int = 50, order_by: str | None = None) -> DataFram
 
 def validate(spark: SparkSession, path: str) -> dict:
     """Format, and whether the file is there, not empty and of a known format."""
-    try:
-        row = spark.read.format("binaryFile").load(path).select("length", F.substring("content", 1, 1024).alias("head")).first()
-    except Exception:  # noqa: BLE001
-        row = None
-    if row is None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
         return {"format": None, "is_valid": False, "error_message": "file not found"}
-    fmt = detect.detect(path, bytes(row["head"]))
-    problem = "file is empty" if not row["length"] else None if fmt in READERS else f"format {fmt} isn't supported"
+    size = store.getFileStatus(where).getLen()
+    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1024).alias("head")).first() if size else None
+    fmt = detect.detect(path, bytes(row["head"]) if row else b"")
+    problem = "file is empty" if not size else None if fmt in READERS else f"format {fmt} isn't supported"
     return {"format": fmt, "is_valid": problem is None, "error_message": problem}
 
 
