@@ -13,7 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
@@ -74,16 +74,16 @@ def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4
     parts = min(n_shards, most_partitions)
     kind = f"<u{width}"
 
-    # rows that share an id follow each other
-    many = coded.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    order = F.row_number().over(_by_id()) if not many.isEmpty() else None
-    if order is not None:
-        again = coded.join(many, "doc_id", "left_semi").withColumn("_before", F.sum("n").over(_by_id().rowsBetween(-(1 << 62), -1)))
-        again = again.select("doc_id", "n", "ids", F.coalesce("_before", F.lit(0)).alias("_before"))
-        coded = coded.join(many, "doc_id", "left_anti").withColumn("_before", F.lit(0).cast("long")).unionByName(again)
+    # rows that share an id follow each other; there are none in a sound table, so they are looked for before anything is sorted
+    many = cut(coded.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "repeated")
+    before = F.lit(0).cast("long").alias("before")
+    if many.isEmpty():
+        coded = coded.select("doc_id", "n", "ids", before)
     else:
-        coded = coded.withColumn("_before", F.lit(0).cast("long"))
-    placed = coded.join(starts, "doc_id").select((F.col("at") + F.col("_before")).alias("at"), "n", "ids")
+        inside = Window.partitionBy("doc_id").orderBy("ids").rowsBetween(Window.unboundedPreceding, -1)
+        again = coded.join(many, "doc_id", "left_semi").select("doc_id", "n", "ids", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("before"))
+        coded = coded.join(many, "doc_id", "left_anti").select("doc_id", "n", "ids", before).unionByName(again)
+    placed = coded.join(starts, "doc_id").select((F.col("at") + F.col("before")).alias("at"), "n", "ids")
 
     def pieces(batches):
         for batch in batches:
@@ -131,12 +131,6 @@ def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4
     return dealt.mapInArrow(records, ", ".join(f"{c} long" for c in names[:6]) + ", record binary")
 
 
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id").orderBy("ids")
-
-
 #: One byte stands behind each record, as Spark's writer needs a separator.
 MARK = "\n"
 
