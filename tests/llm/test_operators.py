@@ -86,10 +86,10 @@ def test_packing_covers_every_id_once(spark, block):
 
 def test_sum_of_squares_choice():
     p = packing.SumOfSquares(10)
-    for size in (4, 4, 3):
-        assert p.place(size, size) is None
-    # levels 4, 4, 3: closing a window of 4 is best for a piece of 6
-    assert p.place(6, 6) == [4, 6]
+    assert p.place(4, "a") is None
+    assert p.place(4, "b") is None
+    # the second went on the first, as two windows of 4 would make 4 and one of 8 makes 1
+    assert p.level[8] == 1 and p.place(2, "c") == ["a", "b", "c"]
     for _ in range(200):
         n = p.level.copy()
         size = random.Random(int(n.sum())).randrange(1, 10)
