@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,20 +57,26 @@ def edges(df: DataFrame, *, id_column: str, vector_column: str, threshold: float
     return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def removed(links: DataFrame, keep: str = "first", most_rounds: int = 100) -> DataFrame:
+def _cut(df: DataFrame) -> DataFrame:
+    """Written to the session's checkpoint folder; a temporary one only where none is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+    return df.checkpoint()
+
+
+def removed(links: DataFrame, keep: str = "first") -> DataFrame:
     """(id) of rows that the greedy pass in ascending order removes. ``first``: a row goes if an earlier kept row is linked with it; decided in rounds, each of which settles all rows whose earlier neighbours are settled. ``last``: a row goes if a later row is linked with it."""
     if keep == "last":
         return links.select(F.col("a").alias("id")).distinct()
-    links = links.select("a", "b").checkpoint()
+    links = _cut(links.select("a", "b"))
     gone = links.filter("false").select(F.col("b").alias("id"))
-    for _ in range(most_rounds):
-        if links.isEmpty():
-            break
+    while not links.isEmpty():
         # kept: ids that no open link leads to
         kept = links.select(F.col("a").alias("id")).distinct().join(links.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
-        out = links.join(kept, links.a == kept.id, "left_semi").select(F.col("b").alias("id")).distinct().checkpoint()
+        out = _cut(links.join(kept, links.a == kept.id, "left_semi").select(F.col("b").alias("id")).distinct())
         gone = gone.unionByName(out)
-        links = links.join(kept, links.a == kept.id, "left_anti").join(out, F.col("b") == out.id, "left_anti").join(out, F.col("a") == out.id, "left_anti").checkpoint()
+        links = _cut(links.join(kept, links.a == kept.id, "left_anti").join(out, F.col("b") == out.id, "left_anti").join(out, F.col("a") == out.id, "left_anti"))
     return gone.distinct()
 
 

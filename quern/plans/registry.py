@@ -89,7 +89,7 @@ def dedup_exact_subset(spark, sf_dir):
 def dedup_metrics(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     kept = steps.deduplicate(docs, {"columns": ["text"], "order_by": "doc_id"}).df
-    return docs.agg(F.count("*").alias("rows_before")).crossJoin(kept.agg(F.count("*").alias("rows_after"))).withColumn("exact_removed", F.col("rows_before") - F.col("rows_after"))
+    return docs.agg(F.count("*").alias("rows_before")).withColumn("rows_after", kept.agg(F.count("*")).scalar()).withColumn("exact_removed", F.col("rows_before") - F.col("rows_after"))
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
@@ -439,7 +439,7 @@ def heuristic_plan(spark, sf_dir):
 def insight_report(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     kept = steps.deduplicate(docs, {"columns": ["text"], "order_by": "doc_id"}).df
-    both = docs.agg(F.count("*").alias("before")).crossJoin(kept.agg(F.count("*").alias("after")))
+    both = docs.agg(F.count("*").alias("before")).withColumn("after", kept.agg(F.count("*")).scalar())
     return both.select("before", "after", *profile.insight(F.col("before"), F.col("after")))
 
 
