@@ -55,9 +55,10 @@ def as_of(captures: DataFrame, entries: DataFrame, *, url_column: str = "url", t
     asked = asked.select(F.col(url_column).alias("_u"), F.col(time_column).cast("timestamp").alias("_t"), row.alias("_row"))
     part = lambda c: F.floor(F.unix_timestamp(c) / SLICE)
     each = asked.select("_row", "_t", part("_t").alias("_p"), F.explode(keys_of(F.col("_u"))).alias("k")).select("_row", "_t", "_p", "k.key", "k.rank")
-    span = asked.agg(F.min("_t").alias("a"), F.max("_t").alias("b"))
-    held = intervals(entries).crossJoin(F.broadcast(span)).filter("since <= b and (until is null or until > a)")  # one row on the right
-    held = held.withColumn("_p", F.explode(F.sequence(part(F.greatest("since", "a")), part(F.least(F.coalesce("until", "b"), "b"))))).drop("a", "b")
+    span = asked.agg(F.min("_t").alias("a"), F.max("_t").alias("b")).first()
+    a, b = (F.lit(span[k]).cast("timestamp") for k in ("a", "b"))
+    held = intervals(entries).filter((F.col("since") <= b) & (F.col("until").isNull() | (F.col("until") > a)))
+    held = held.withColumn("_p", F.explode(F.sequence(part(F.greatest("since", a)), part(F.least(F.coalesce("until", b), b)))))
     met = each.join(held, ["key", "_p"]).filter("_t >= since and (until is null or _t < until)")
     best = met.groupBy("_row").agg(F.max(F.struct("rank", "since", F.struct((-F.hash("list")).alias("h")), "list", "key")).alias("m"))
     best = best.select("_row", F.col("m.key").alias(own[1]), F.col("m.list").alias(own[2]), F.col("m.since").alias(own[3]))
