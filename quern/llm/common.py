@@ -11,7 +11,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
@@ -42,6 +42,28 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Residues of ids that a broadcast may hold.
+RESIDUES = 1 << 20
+
+
+def residues_of(ids: DataFrame, column: str) -> DataFrame:
+    """(_r) of the ids, at most RESIDUES rows of 8 bytes, whatever the table's size: a proven bound for a broadcast."""
+    return F.broadcast(ids.select(residue(F.col(column)).alias("_r")).distinct())
+
+
+def residue(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(RESIDUES))
+
+
+def drop_ids(docs: DataFrame, id_column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id isn't in the one column of ``ids``; null ids stay. Only rows that share a residue with one are shuffled."""
+    gone = cut(ids.toDF("_gone").filter("_gone is not null").distinct(), "gone")
+    some, keyed = residues_of(gone, "_gone"), docs.withColumn("_r", residue(F.col(id_column)))
+    rest = keyed.join(some, "_r", "left_anti").select(*docs.columns)
+    near = keyed.join(some, "_r", "left_semi").join(gone, F.col(id_column) == F.col("_gone"), "left_anti").select(*docs.columns)
+    return rest.unionByName(near)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of jobs whose frames are gone; it does so when the driver's garbage is collected, which a driver with much memory seldom does."""
     gc.collect()
@@ -163,11 +185,3 @@ def shingle_hashes(words: np.ndarray, starts: np.ndarray, width: int) -> tuple[n
             out[short] = sum((words[at[short] + j] * _SHINGLE[j] for j in range(k)), _SHINGLE[width + k : width + k + 1])
     return mix64(out), docs
 
-
-def prefix_sums(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` in all rows with a smaller ``key`` (unique). Range partitions are summed one by one; only one row a partition goes through the small window over partitions."""
-    part = cut(df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()), "ranges")
-    totals = part.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    before = totals.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
-    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(key)) - F.col(value)
-    return part.withColumn("_inside", inside).join(F.broadcast(before), "_part").withColumn(out, F.col("_inside") + F.col("_before")).drop("_part", "_inside", "_before")
