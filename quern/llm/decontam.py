@@ -14,14 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SHINGLE, blocks, cut, mix64, text_buffers, word_hashes
+from .common import _SHINGLE, blocks, cut, drop_ids, mix64, residue, residues_of, text_buffers, word_hashes
 
 #: Fixed masks: one without gaps, and three whose gaps differ.
 MASKS = ("11111111", "110110110101", "1011010111001", "111001101011")
 #: Bits of the Bloom filter: 128 for each seed, between these bounds. 2^27 bits are 16 MB.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
-#: Residues of ids that a broadcast may hold.
-_RESIDUES = 1 << 18
 
 
 def seeds(words: np.ndarray, mask: str, k: int) -> np.ndarray:
@@ -102,8 +100,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, *, min_tokens: int = 13, min_sha
     found = hits.join(known, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     found = cut(found, "diagonals")
 
-    residue = lambda c: F.pmod(F.xxhash64(c), F.lit(_RESIDUES))
-    some = F.broadcast(found.select(residue(F.col("doc_id")).alias("_r")).distinct())
+    some = residues_of(found, "doc_id")
     texts = docs.withColumn("_r", residue(F.col("doc_id"))).join(some, "_r", "left_semi").select("doc_id", "text")
     rows = found.join(tests, "item_id").join(texts, "doc_id").select("doc_id", "item_id", "diagonal", "item", "text")
 
@@ -136,5 +133,4 @@ def overlaps(docs: DataFrame, tests: DataFrame, *, min_tokens: int = 13, min_sha
 
 def drop_contaminated(docs: DataFrame, tests: DataFrame, **options) -> DataFrame:
     """The rows, with their columns, of documents that share no stretch with a test item."""
-    bad = overlaps(docs, tests, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[options.get("id_column", "doc_id")] == F.col("_bad"), "left_anti")
+    return drop_ids(docs, options.get("id_column", "doc_id"), overlaps(docs, tests, **options).select("doc_id"))

@@ -16,14 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, mix64, shingle_hashes, text_buffers, word_hashes
+from .common import blocks, cut, drop_ids, mix64, residue, residues_of, shingle_hashes, text_buffers, word_hashes
 
 #: Rows that go through one vectorised step of the signatures.
 _STEP = 1 << 16
 #: Classes of a band that one task compares with as many others.
 _GROUP = 2048
-#: Residues of ids that a broadcast may hold.
-_RESIDUES = 1 << 18
 
 
 def _permute(x: np.ndarray, seed: int) -> np.ndarray:
@@ -118,10 +116,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of some ids. Only these texts are shuffled: those of other ids are dropped before, by a broadcast of at most _RESIDUES residues."""
-    residue = lambda c: F.pmod(F.xxhash64(c), F.lit(_RESIDUES))
-    some = ids.select(residue(F.col("doc_id")).alias("_r")).distinct()
-    texts = docs.withColumn("_r", residue(F.col("doc_id"))).join(F.broadcast(some), "_r", "left_semi").join(ids, "doc_id", "left_semi")
+    """(doc_id, text) of some ids. Only these texts are shuffled: those of other ids are dropped before, by a broadcast of their residues."""
+    texts = docs.withColumn("_r", residue(F.col("doc_id"))).join(residues_of(ids, "doc_id"), "_r", "left_semi").join(ids, "doc_id", "left_semi")
     return cut(texts.select("doc_id", "text"), "texts").dropDuplicates(["doc_id"])
 
 
@@ -211,11 +207,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 75, den: int
     sketches = cut(sketch(docs, width=width, bands=bands, rows=rows), "sketches")
     known = sketches.filter("n_shingles > 0 and doc_id is not null")
     digest = ["n_shingles", "digest_a", "digest_b"]
-    reps = known.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
+    # small sides are cut off where they are counted by the join's own key: joins then read plain exchanges, whose hot partitions Spark can split
+    reps = cut(known.groupBy(*digest).agg(F.min("doc_id").alias("rep")), "reps")
     # only classes need bands; the digest tells a class from another row with the same id
     classes = cut(known.join(reps, digest).filter("doc_id = rep").dropDuplicates(["rep", *digest]).select("rep", *digest, "bands", "low"), "classes")
     keys = classes.select(F.explode("bands").alias("key"), "rep")
-    shared = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = cut(keys.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shared")
     members = cut(keys.join(shared, "key"), "members")
     first = members.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     links = cut(_verified(cut(first, "pairs"), docs, width, num, den), "links")
@@ -224,7 +221,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 75, den: int
     if not more.isEmpty():
         comp = components(links.union(more))
     named = classes.join(comp, classes.rep == comp.node, "left").select(*digest, F.coalesce("root", "rep").alias("component_id"))
-    named = named.groupBy(*digest).agg(F.min("component_id").alias("component_id"))
+    named = cut(named.groupBy(*digest).agg(F.min("component_id").alias("component_id")), "named")
     out = sketches.select("doc_id", *digest).join(named, digest, "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -232,6 +229,5 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 75, den: int
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, whose document is its component's smallest id. Rows that repeat such a row stay."""
-    kept = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    key = options.get("id_column", "doc_id")
-    return docs.join(kept, docs[key] == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, **options).filter("not kept").select("doc_id")
+    return drop_ids(docs, options.get("id_column", "doc_id"), gone)
