@@ -54,7 +54,12 @@ def learn(docs: DataFrame, *, train: Column, language: str = "lang", id_column:
     """Statistics of whole texts of at most ``per_language`` documents for each language, those with the smallest hashes of the id among the rows that ``train`` admits. That is the documented bound of this classifier's sample; rows with a null text or language aren't used. A context of three bytes is in the tree if it was seen ``least`` times."""
     rows = docs.filter(train & docs[language].isNotNull() & docs[text_column].isNotNull())
     order = Window.partitionBy("language").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select(docs[language].alias("language"), docs[id_column].alias("doc_id")).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
+    ids = rows.select(docs[language].alias("language"), docs[id_column].alias("doc_id"))
+    # hashes are even over their range, so the smallest lie below a cut that follows from the count; the rank among those is exact
+    share = F.least(F.lit(1.0), (per_language + 10 * per_language**0.5 + 50) / F.col("_c"))
+    counts = ids.groupBy("language").agg(F.count("*").alias("_c"))
+    low = (F.xxhash64("doc_id") / 2.0**63 + 1) / 2 <= share
+    ids = ids.join(counts, "language").filter(low).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
     chosen = ids.select("doc_id").distinct()
     sample = rows.select(docs[language].alias("language"), docs[id_column].alias("doc_id"), docs[text_column].cast("string").alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
     sample = cut(sample.select("language", "text"), "sample")
@@ -130,8 +135,12 @@ def _mixed(count: np.ndarray, lower: np.ndarray) -> np.ndarray:
 
 def _letters(data: np.ndarray, offsets: np.ndarray, column) -> np.ndarray:
     """Which texts have a letter."""
-    ascii_letter = np.concatenate([[0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))])
-    found = np.diff(ascii_letter[offsets]) > 0
+    found = np.zeros(len(offsets) - 1, bool)
+    for d, e in blocks(offsets):
+        part = data[offsets[d] : offsets[e]] | 32
+        some = np.flatnonzero(np.diff(offsets[d : e + 1]))
+        if len(some):
+            found[d + some] = np.logical_or.reduceat((part >= 97) & (part <= 122), (offsets[d:e] - offsets[d])[some])
     for d in np.flatnonzero(~found & (np.diff(offsets) > 0)):
         found[d] = any(c.isalpha() for c in column[int(d)].as_py() or "")
     return found
