@@ -1,7 +1,7 @@
 """Training-order materialisation: token sequences of one length in a keyed global order.
 
-All documents' ids, in the order of their document ids, are one stream; sequence k is its k-th run of
-``length`` ids. A keyed Feistel permutation of the sequence numbers, walked along its cycles until it
+All documents' ids, in the order of the input's partitions and rows, are one stream; sequence k is its
+k-th run of ``length`` ids. A keyed Feistel permutation of the sequence numbers, walked along its cycles until it
 is in range, gives each sequence its slot. Slots are dealt to partitions in ranges, so each partition
 writes whole shards, in which the record of a slot is at a fixed place: a reader can start at any slot
 and needs no index.
@@ -13,11 +13,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import _BASE, cut, mix64, prefix_sums
+from .common import _BASE, cut, mix64
 
 ROUNDS = 6
 
@@ -41,49 +42,42 @@ def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def tokens(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, n, ids): ids and the end id, little-endian unsigned 16-bit if all fit."""
+    """(part, at, n, ids): the input's partition, the ids that stand before in it, and each row's ids and the end id, little-endian unsigned 16-bit if all fit."""
 
     def run(batches):
-        coder = bpe.load(tokenizer)
-        kind = "<u2" if coder.exact.get_vocab_size() <= 1 << 16 else "<u4"
+        coder, part, at = bpe.load(tokenizer), TaskContext.get().partitionId(), 0
+        kind = np.dtype("<u2" if coder.exact.get_vocab_size() <= 1 << 16 else "<u4")
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
-            ids = [np.frombuffer(coder.encode(t.as_py()), "<u4").astype(kind).tobytes() + end for t in batch.column(1)]
-            width = np.dtype(kind).itemsize
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) // width for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
+            ids = [np.frombuffer(coder.encode(t.as_py()), "<u4").astype(kind).tobytes() + end for t in batch.column(0)]
+            n = np.array([len(i) // kind.itemsize for i in ids], np.int64)
+            before = at + np.cumsum(n) - n
+            at += int(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int64)), pa.array(before), pa.array(n), pa.array(ids, pa.binary())], names=["part", "at", "n", "ids"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.mapInArrow(run, "part long, at long, n long, ids binary")
 
 
-def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4096, tokenizer: str | None = None, end_id: int = 50256, most_partitions: int = 10_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4096, tokenizer: str | None = None, end_id: int = 50256, most_partitions: int = 10_000, text_column: str = "text") -> DataFrame:
     """One row for each sequence: slot, shard, byte_offset (in its shard), sequence_id, n_tokens, ids_crc32 and record, the ids with the end id as padding. Each partition holds a range of whole shards in the order of slots.
 
-    Null and empty texts: the end id alone. Rows with a null id have no place in the order and
-    are left out; of rows with the same id the order is that of their ids' bytes. Only the last
-    sequence is padded. The result depends on the rows, the key and the lengths alone, not on how
-    the rows are partitioned. An empty table gives no rows. Other columns are ignored.
+    Null and empty texts: the end id alone. Repeated rows and ids are rows like others. Only the
+    last sequence is padded. The stream is pinned by a table of ids, so lost executors change
+    nothing; another split of the input gives another stream. An empty table gives no rows. Other
+    columns are ignored.
     """
     path = tokenizer or bpe.default_path()
-    docs = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text")).filter("doc_id is not null")
-    coded = cut(tokens(docs, path, end_id), "tokens")
-    size = coded.agg(F.sum("n").alias("n"), F.max(F.length("ids") / F.col("n")).cast("int").alias("width")).first()
+    coded = cut(tokens(docs.select(docs[text_column].cast("string").alias("text")), path, end_id), "tokens")
+    sums = coded.groupBy("part").agg(F.sum("n").alias("n"), F.max(F.length("ids") / F.col("n")).cast("int").alias("width"))
+    sums = cut(sums, "parts")  # a row for each partition of the input
+    size = sums.agg(F.sum("n").alias("n"), F.max("width").alias("width")).first()
     total, width = size["n"] or 0, size["width"] or 2
     count = -(-total // length)
-    starts = prefix_sums(coded.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id", "n", "at").select("doc_id", "at")
+    starts = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     n_shards = max(1, -(-count // shard))
     parts = min(n_shards, most_partitions)
     kind = f"<u{width}"
-
-    # rows that share an id follow each other; there are none in a sound table, so they are looked for before anything is sorted
-    many = cut(coded.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "repeated")
-    before = F.lit(0).cast("long").alias("before")
-    if many.isEmpty():
-        coded = coded.select("doc_id", "n", "ids", before)
-    else:
-        inside = Window.partitionBy("doc_id").orderBy("ids").rowsBetween(Window.unboundedPreceding, -1)
-        again = coded.join(many, "doc_id", "left_semi").select("doc_id", "n", "ids", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("before"))
-        coded = coded.join(many, "doc_id", "left_anti").select("doc_id", "n", "ids", before).unionByName(again)
-    placed = coded.join(starts, "doc_id").select((F.col("at") + F.col("before")).alias("at"), "n", "ids")
+    placed = coded.join(F.broadcast(starts), "part").select((F.col("base") + F.col("at")).alias("at"), "n", "ids")
 
     def pieces(batches):
         for batch in batches:
