@@ -108,16 +108,21 @@ class Batch:
         self.ids, self.learn = row["ids"], np.array(row["learn"], bool)
         self.counts = np.array(row["counts"], np.int64)
         self.vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
-        self.tokens = _unpacked(row["tokens"], np.int32).astype(np.int64)
-        self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.tokens = _unpacked(row["tokens"], np.int32)
+        self.doc = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
         self.learned = self.learn[self.doc]
         if pairs:
             n = len(self.vocabulary)
-            before = np.empty(len(self.tokens), np.int64)
-            before[1:] = self.tokens[:-1]
-            before[np.cumsum(self.counts) - self.counts] = n  # the start
-            local, self.pair = np.unique(before * (n + 1) + self.tokens, return_inverse=True)
-            self.left, self.right = local // (n + 1), local % (n + 1)
+            both = np.empty(len(self.tokens), np.int64)
+            both[1:] = self.tokens[:-1]
+            both[np.cumsum(self.counts) - self.counts] = n  # the start
+            both *= n + 1
+            both += self.tokens
+            local, place = np.unique(both, return_inverse=True)
+            self.pair = place.astype(np.int32)
+            del both, place
+            self.left, self.right = (local // (n + 1)).astype(np.int32), (local % (n + 1)).astype(np.int32)
+            del local
             hashes = np.append(self.vocabulary, START)
             self.keys = pair_hash(hashes[self.left], hashes[self.right])
 
@@ -142,7 +147,8 @@ def count(batches: DataFrame, kind: str, buckets: int) -> DataFrame:
 
     def ask(rows):
         for batch in rows:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 b = Batch(row, kind == "p")
                 keys, n, other = b.question(kind)
                 order, edge = _parts(keys, buckets)
@@ -248,11 +254,11 @@ def _evaluated(b: Batch, batch: int, w: Answers, p: Answers, word_d: np.ndarray,
     add = lambda x: np.bincount(at, weights=x, minlength=len(local))
     yield _rows(1, batch, {"key": hashes[local], "n": context[local], "x": add(_discounted(p.totals[first], pair_d)), "y": add(p1[b.right[first]])})
     far = np.flatnonzero(~seen[b.pair] & (context[b.left[b.pair]] > 0))
-    need, times = np.unique(b.doc[far] * len(hashes) + b.left[b.pair[far]], return_counts=True)
+    need, times = np.unique(b.doc[far].astype(np.int64) * len(hashes) + b.left[b.pair[far]], return_counts=True)
     yield _rows(2, batch, {"place": need // len(hashes), "key": hashes[need % len(hashes)], "n": times})
 
 
-def score(docs: DataFrame, *, train: Column, batch_bytes: int = 16 << 20, bucket_bytes: int = 12 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def score(docs: DataFrame, *, train: Column, batch_bytes: int = 8 << 20, bucket_bytes: int = 12 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row: log10 probabilities of the whole text and its end, under the add-one unigram model and the Katz bigram model of the rows that ``train`` admits.
 
     Null and empty texts are their end alone. Rows with the same id are scored each; a null id
