@@ -18,7 +18,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without later repeated runs of lines; a document that consists of them goes, and n_chars follows the text."""
-    left = linededup.remove_repeats(docs)
+    left = linededup.remove_repeats(docs, passages=True)
     left = left.filter((F.col("removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     changed = F.when(F.col("removed_lines") > 0, F.length("text").cast("long"))
     return left.select(*(F.coalesce(changed, F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))

@@ -7,6 +7,10 @@ fingerprint: any two places that share such a run select the same one. Windows w
 selected at two places or more are joined by it and compared whole; those equal to an earlier window
 are repeats. Repeats that touch or overlap are one run, which so extends both ways as far as every
 window repeats, and its lines go. The first occurrence, in the order of ids and lines, always stays.
+
+With ``passages`` windows are of exactly ``min_words`` words and also begin inside lines: at each line's
+start, at whole steps before it down to the window that ends there, and along long lines. So a match
+reaches up to its last line in both directions, and it may begin and end inside long lines.
 """
 
 from __future__ import annotations
@@ -49,13 +53,16 @@ def windows(docs: DataFrame, min_words: int) -> DataFrame:
     return found.filter(F.col("words") >= min_words).select("key", "doc_id", "pos", "last", F.col("f.h").alias("least"), (-F.col("f.back")).alias("place"), "content")
 
 
-def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
-    """(key, runs): of each document that repeats something, the first and last lines of its repeated runs."""
-    found = cut(windows(docs, min_words), "windows")
-    at = F.xxhash64("key", "place")
-    # both tables are cut off so that the joins read plain exchanges, whose hot partitions Spark can split
-    shared = cut(found.groupBy("least").agg(F.min(at).alias("a"), F.max(at).alias("b")).filter("a <> b").select("least"), "shared")
-    again = cut(found.join(shared, "least", "left_semi").select("key", "doc_id", "pos", "last", "content"), "candidates")
+def repeated_runs(docs: DataFrame, min_words: int, passages: bool = False) -> DataFrame:
+    """(key, runs): of each document that repeats something, the first and last lines (words, with ``passages``) of its repeated runs."""
+    if passages:
+        again = cut(passage_windows(docs, min_words), "windows")
+    else:
+        found = cut(windows(docs, min_words), "windows")
+        at = F.xxhash64("key", "place")
+        # both tables are cut off so that the joins read plain exchanges, whose hot partitions Spark can split
+        shared = cut(found.groupBy("least").agg(F.min(at).alias("a"), F.max(at).alias("b")).filter("a <> b").select("least"), "shared")
+        again = cut(found.join(shared, "least", "left_semi").select("key", "doc_id", "pos", "last", "content"), "candidates")
     here = F.struct("doc_id", "key", "pos")
     first = cut(again.groupBy("content").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first")
     later = again.join(first, "content").filter(here > F.col("first")).select("key", "pos", "last")
@@ -66,7 +73,34 @@ def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
     return runs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))
 
 
-def remove_repeats(docs: DataFrame, *, min_words: int = 30, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+#: A word with the separators behind it (and before a text's first), and what shows that a line ends with it.
+WORD, LINE_END = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", r"[.!?] |[^\x20\x09-\x0D][\x20\x09-\x0D]*\n"
+#: Words from one window before a line's start to the next.
+STEP = 10
+
+
+def words_of(text: Column) -> Column:
+    """All of a text that has words, in order."""
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def starts_of(words: Column) -> Column:
+    """The places, among its words, of a text's line starts and of its end."""
+    behind = F.filter(F.transform(words, lambda x, i: F.when(x.rlike(LINE_END), i + 1)), lambda x: x.isNotNull())
+    return F.array_distinct(F.concat(F.array(F.lit(0)), behind, F.array(F.size(words))))
+
+
+def passage_windows(docs: DataFrame, min_words: int) -> DataFrame:
+    """(key, doc_id, pos, last, content): each window's first and last word and a hash of all its words. In a repeated passage of min_words + STEP - 1 words or more, windows that lie in it cover every whole line; in a shorter one they do if it begins or ends with a line."""
+    words = docs.select(_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", words_of(F.col("text")).alias("words"))
+    placed = words.select("key", "doc_id", F.transform("words", lambda x: F.xxhash64(F.trim(x, F.lit(" \t\n\x0b\x0c\r")))).alias("h"), starts_of(F.col("words")).alias("starts"))
+    along = lambda x, i: F.sequence(x - min_words, F.greatest(x, F.get("starts", i + 1) - min_words), F.lit(STEP))
+    places = F.filter(F.array_distinct(F.flatten(F.transform("starts", along))), lambda x: (x >= 0) & (x <= F.size("h") - min_words))
+    each = placed.select("key", "doc_id", F.explode(F.transform(places, lambda x: F.struct(x.alias("pos"), F.xxhash64(F.slice("h", x + 1, F.lit(min_words))).alias("content")))).alias("w"))
+    return each.select("key", "doc_id", "w.pos", (F.col("w.pos") + min_words - 1).alias("last"), "w.content")
+
+
+def remove_repeats(docs: DataFrame, *, min_words: int = 30, passages: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """All rows and columns, without the later repeated runs in the text, and ``removed_lines`` and ``removed_words`` (columns of these names are replaced).
 
     Null and empty texts stay as they are. Rows with the same id and text are one document and get
@@ -75,15 +109,22 @@ def remove_repeats(docs: DataFrame, *, min_words: int = 30, id_column: str = "do
 
     Windows of lines, not texts, are sorted and joined. Only the texts that lose something, and
     those that share a residue with them, are shuffled.
+
+    With ``passages`` words are compared, not the space between them, and a line goes if all its
+    words repeat: a match is extended up to its last whole line, and lines inside a passage that
+    begins and ends within other lines go too. A line of which only a part repeats stays. Blank
+    lines go with the line before them; ``removed_lines`` counts lines with words.
     """
     own = ["removed_lines", "removed_words"]
     docs = docs.drop(*own)
     named = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    runs = cut(repeated_runs(named, min_words), "runs")
+    runs = cut(repeated_runs(named, min_words, passages), "runs")
     some = residues_of(runs, "key")
     keyed = docs.withColumn("_key", _key(docs[id_column], docs[text_column])).withColumn("_r", residue(F.col("_key")))
     rest = keyed.join(some, "_r", "left_anti").select(*docs.columns, *(F.lit(0).cast("long").alias(c) for c in own))
     hit = keyed.join(some, "_r", "left_semi").join(runs.select(F.col("key").alias("_key"), F.col("runs").alias("_runs")), "_key", "left")
+    if passages:
+        return rest.unionByName(_without_passages(hit, docs.columns, text_column, own))
     hit = hit.withColumn("_lines", F.when(F.col("_runs").isNotNull(), lines_of(F.col(text_column))))
     gone = lambda i: F.exists("_runs", lambda r: i.between(r["a"], r["b"]))
     hit = hit.withColumn("_left", F.filter("_lines", lambda x, i: ~gone(i)))
@@ -94,3 +135,21 @@ def remove_repeats(docs: DataFrame, *, min_words: int = 30, id_column: str = "do
         F.coalesce(count(F.col("_lines")) - count(F.col("_left")), F.lit(0)).alias(own[1]),
     )
     return rest.unionByName(changed)
+
+
+def _without_passages(hit: DataFrame, columns: list[str], text_column: str, own: list[str]) -> DataFrame:
+    hit = hit.withColumn("_words", F.when(F.col("_runs").isNotNull(), words_of(F.col(text_column))))
+    hit = hit.withColumn("_starts", starts_of(F.col("_words")))
+    # each run of words to the whole lines in it: from the first line start on, before the last one
+    within = lambda r: F.struct(F.array_min(F.filter("_starts", lambda x: x >= r["a"])).alias("a"), F.array_max(F.filter("_starts", lambda x: x <= r["b"] + 1)).alias("b"))
+    hit = hit.withColumn("_gone", F.transform("_runs", within))
+    gone = lambda i: F.exists("_gone", lambda r: (i >= r["a"]) & (i < r["b"]))
+    hit = hit.withColumn("_left", F.filter("_words", lambda x, i: ~gone(i)))
+    removed = (F.size("_words") - F.size("_left")).cast("long")
+    lines = F.size(F.filter("_starts", lambda x: gone(x) & (x < F.size("_words")))).cast("long")
+    some = F.col("_runs").isNotNull() & (removed > 0)
+    return hit.select(
+        *(F.when(some, F.array_join("_left", "")).otherwise(F.col(text_column)).alias(c) if c == text_column else F.col(c) for c in columns),
+        F.when(some, lines).otherwise(0).alias(own[0]),
+        F.when(some, removed).otherwise(0).alias(own[1]),
+    )

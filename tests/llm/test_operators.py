@@ -372,6 +372,55 @@ def test_repeats_awkward_rows(spark):
     assert linededup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def brute_passages(rows, least):
+    """Every window of ``least`` words from every word on; lines all of whose words are in repeated ones go."""
+    import re
+
+    first, out = set(), {}
+    for d, t, *_ in sorted(rows):
+        lines = [s for s in re.split(r"(?<=\n)|(?<=[.!?] )", t) if s]
+        w = t.split()
+        again = [False] * len(w)
+        for i in range(len(w) - least + 1):
+            content = tuple(w[i : i + least])
+            if content in first:
+                again[i : i + least] = [True] * least
+            first.add(content)
+        left, at = [], 0
+        for s in lines:
+            n = len(s.split())
+            left.append("" if n and all(again[at : at + n]) else s)
+            at += n
+        out[d] = "".join(left)
+    return out
+
+
+def lines_of_words(rng, *sizes):
+    return "".join(" ".join(f"v{rng.randrange(10**9)}" for _ in range(n)) + ".\n" for n in sizes)
+
+
+def test_repeats_are_extended_to_their_last_line(spark):
+    rng = random.Random(11)
+    runs = [lines_of_words(rng, *s) for s in ([40, 20], [20, 40], [25, 10, 10], [11, 11, 11], [3, 90, 4], [29], [12, 17])]
+    rows = [(2 * k + j, lines_of_words(rng, 9) + r + lines_of_words(rng, 6), None, None, 0) for k, r in enumerate(runs) for j in (0, 1)]
+    rows += [(100 + j, runs[0], None, None, 0) for j in (0, 1)]
+    out = {r["doc_id"]: r for r in linededup.remove_repeats(clash(frame(spark, rows)), passages=True).collect()}
+    assert {d: r["text"] for d, r in out.items()} == brute_passages(rows, 30)
+    assert [out[d]["removed_words"] for d in (1, 3, 5, 7, 9, 11, 13, 101)] == [60, 60, 45, 33, 97, 0, 0, 60]
+    assert [out[d]["removed_lines"] for d in (1, 5, 9, 100, 101)] == [2, 3, 3, 2, 2]
+
+
+def test_passages_awkward_rows(spark):
+    rows = documents(n=4)
+    docs = frame(spark, [*rows, rows[0], (None, rows[1][1], None, None, 0), (900, "\n\n one \n" + rows[2][1], None, None, 0)])
+    out = linededup.remove_repeats(clash(docs), passages=True).toPandas().sort_values("removed_words")
+    assert len(out) == len(rows) + 3
+    assert (out[out.doc_id == 0].text == rows[0][1]).all() and (out[out.doc_id == 1].text == "").all()
+    assert out[out.doc_id == 900].text.iloc[0] == "\n\n one \n"
+    assert [t for t in out[out.removed_words == 0].text if not t or not t.strip()].count(None) == 1
+    assert linededup.remove_repeats(docs.limit(0), passages=True).count() == 0
+
+
 # --- 10 fingerprints ------------------------------------------------------------------------
 
 
