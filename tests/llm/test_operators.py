@@ -410,6 +410,19 @@ def test_repeats_are_extended_to_their_last_line(spark):
     assert [out[d]["removed_lines"] for d in (1, 5, 9, 100, 101)] == [2, 3, 3, 2, 2]
 
 
+def test_passages_inside_long_lines(spark):
+    rng = random.Random(12)
+    some = lambda n: " ".join(f"v{rng.randrange(10**9)}" for _ in range(n))
+    rows = []
+    for k, (a, *inner, b) in enumerate([(43, 7, 21, 14), (20, 3, 20), (19, 2, 18), (5, 29, 6), (13, 14, 12), (10, 5, 5), (0, 12, 18), (20, 10, 0)] + [tuple(rng.randrange(1, 28) for _ in range(5)) for _ in range(25)]):
+        passage = some(a) + ". " + "".join(some(n) + ". " for n in inner) + some(b)
+        for j in (0, 1):
+            rows.append((2 * k + j, f"{some(9)}. {some(12)} {passage.strip()} {some(11)}.\n\n{some(7)}", None, None, 0))
+    out = {r["doc_id"]: r for r in linededup.remove_repeats(frame(spark, rows), passages=True).collect()}
+    assert {d: r["text"] for d, r in out.items()} == brute_passages(rows, 30)
+    assert [out[d]["removed_words"] for d in (1, 3, 5, 11)] == [28, 3, 2, 0]
+
+
 def test_passages_awkward_rows(spark):
     rows = documents(n=4)
     docs = frame(spark, [*rows, rows[0], (None, rows[1][1], None, None, 0), (900, "\n\n one \n" + rows[2][1], None, None, 0)])
