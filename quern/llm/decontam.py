@@ -3,8 +3,8 @@
 A seed hashes the tokens of a window that its fixed mask has a 1 for; tokens at the mask's zeros may
 differ. Seeds of documents that pass a Bloom filter of the benchmark's seeds (of bounded size,
 whatever the benchmark's) are joined with those; each hit names a diagonal on which the document and
-the item are compared token by token, and the best-scoring stretch around it, substitutions
-included, decides.
+the item are compared token by token, and every stretch of it that is long enough decides,
+substitutions included.
 """
 
 from __future__ import annotations
@@ -82,11 +82,34 @@ def _bloom(found: DataFrame) -> tuple[bytes, int]:
     return bytes(out), bits
 
 
+def best_stretch(equal: np.ndarray, least: int, share: float) -> tuple[int, int, int] | None:
+    """(start, end, equal tokens) of the stretch of at least ``least`` tokens, ``share`` of them equal, that has the most equal ones; of these the shortest, then the first. None if no stretch has that share."""
+    n = len(equal)
+    if n < least or n == 0:
+        return None
+    sums = np.concatenate([[0], np.cumsum(equal)])
+    # a stretch has the share if the excess at its end isn't below that at its start
+    excess = sums - share * np.arange(n + 1)
+    highest = np.maximum.accumulate(excess[::-1])
+    start = np.arange(n - least + 1)
+    # the furthest end of each start: the last place from which on the highest excess is enough
+    end = n - np.searchsorted(highest, excess[start] - 1e-9 * (n + 1), "left")
+    start = start[ok := end - start >= least]
+    if not len(start):
+        return None
+    end = end[ok]
+    # without the unequal tokens at the end, as far as the length allows
+    end = np.minimum(end, np.maximum(start + least, np.searchsorted(sums, sums[end], "left")))
+    same = sums[end] - sums[start]
+    k = int(np.lexsort((start, end - start, -same))[0])
+    return int(start[k]), int(end[k]), int(same[k])
+
+
 def overlaps(docs: DataFrame, tests: DataFrame, *, min_tokens: int = 13, min_share: float = 0.8, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, doc_start, item_start, tokens, matches): the longest stretch that a document shares with a test item, for each pair that has one of ``min_tokens`` tokens (or the whole item, if it is shorter) with at least ``min_share`` of them equal at their places.
+    """(doc_id, item_id, doc_start, item_start, tokens, matches): the stretch with the most equal tokens that a document shares with a test item, for each pair that has one of ``min_tokens`` tokens (or the whole item, if it is shorter) with at least ``min_share`` of them equal at their places.
 
-    Tokens: A-Z as a-z, split at white space. A stretch scores 1 for an equal token and -2 for
-    another. Null and empty texts, items of fewer than 8 tokens (the shortest mask) and null ids
+    Tokens: A-Z as a-z, split at white space. Every stretch of
+    a diagonal with a seed's hit is tested, whatever surrounds it. Null and empty texts, items of fewer than 8 tokens (the shortest mask) and null ids
     have no overlap. Rows that repeat an id are compared each, and the best is kept. Empty tables
     give no rows. Other columns are ignored.
     """
@@ -116,19 +139,16 @@ def overlaps(docs: DataFrame, tests: DataFrame, *, min_tokens: int = 13, min_sha
                 item = word_hashes(item_bytes[item_at[i] : item_at[i + 1]], item_at[i : i + 2])[0]
                 a, b = max(0, -diagonal), min(len(item), len(words) - diagonal)
                 equal = words[a + diagonal : b + diagonal] == item[a:b]
-                total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
-                low = np.minimum.accumulate(total)
-                end = int(np.argmax(total - low))
-                start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-                size, same = end - start, int(equal[start:end].sum())
-                if size >= min(min_tokens, len(item)) and same >= min_share * size:
-                    out.append((doc_id, item_id, a + diagonal + start, a + start, size, same))
+                best = best_stretch(equal, min(min_tokens, len(item)), min_share)
+                if best is not None:
+                    start, end, same = best
+                    out.append((doc_id, item_id, a + diagonal + start, a + start, end - start, same))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(6)], names=names)
 
     names = ["doc_id", "item_id", "doc_start", "item_start", "tokens", "matches"]
     each = rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
-    best = each.groupBy("doc_id", "item_id").agg(F.max(F.struct("matches", "tokens", (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i"))).alias("m"))
-    return best.select("doc_id", "item_id", (-F.col("m.d")).alias("doc_start"), (-F.col("m.i")).alias("item_start"), "m.tokens", "m.matches")
+    best = each.groupBy("doc_id", "item_id").agg(F.max(F.struct("matches", (-F.col("tokens")).alias("n"), (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i"))).alias("m"))
+    return best.select("doc_id", "item_id", (-F.col("m.d")).alias("doc_start"), (-F.col("m.i")).alias("item_start"), (-F.col("m.n")).alias("tokens"), "m.matches")
 
 
 def drop_contaminated(docs: DataFrame, tests: DataFrame, **options) -> DataFrame:

@@ -136,6 +136,40 @@ def test_decontamination_finds_substituted_passages_only(spark):
     assert decontam.overlaps(frame(spark).limit(0), tests).count() == 0
 
 
+def brute_stretch(equal, least, share):
+    sums = np.concatenate([[0], np.cumsum(equal)]).tolist()
+    found = [(sums[a] - sums[b], b - a, a) for a in range(len(equal)) for b in range(a + least, len(equal) + 1) if sums[b] - sums[a] >= share * (b - a) - 1e-9]
+    return (min(found)[2], min(found)[2] + min(found)[1], -min(found)[0]) if found else None
+
+
+def test_every_stretch_is_tested():
+    rng = np.random.default_rng(8)
+    for k in range(300):
+        equal = rng.random(rng.integers(0, 120)) >= rng.uniform(0.15, 0.6)
+        assert decontam.best_stretch(equal, 13, 0.8) == brute_stretch(equal, 13, 0.8), equal
+    gaps = np.array(([1] * 20 + [0] * 9) * 6, bool)
+    assert decontam.best_stretch(gaps, 13, 0.8)[2] >= 20
+
+
+def test_stretches_in_worse_surroundings(spark):
+    rng = random.Random(15)
+    items = [(k, " ".join(f"i{rng.randrange(10**9)}" for _ in range(200))) for k in range(40)]
+    docs, want = [], {}
+    for k, text in items:
+        item = text.split(" ")
+        share = (0.15, 0.2, 0.25, 0.3)[k % 4]
+        run = rng.randrange(187)
+        equal = [run <= j < run + 13 or rng.random() >= share for j in range(200)]
+        if k == 0:
+            equal = [j % 29 < 20 for j in range(200)]
+        docs.append((k, "head " + " ".join(w if e else "other" for w, e in zip(item, equal)), None, None, 0))
+        a, b, same = brute_stretch(np.array(equal), 13, 0.8)
+        want[k] = (k, a + 1, a, b - a, same)
+    out = decontam.overlaps(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in out} == want
+    assert decontam.drop_contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
 # --- 4 language ID --------------------------------------------------------------------------
 
 
