@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Seconds of the slices of time that interval joins are keyed by, so one host's captures don't meet in one task.
 SLICE = 30 * 86_400
-#: Labels of a host and segments of a path that get a key of their own.
-DEPTH = 8
+#: No bound of labels or segments.
+MOST = (1 << 31) - 1
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+(/[^?#]*)"
 
@@ -24,20 +24,25 @@ def host_of(url: Column) -> Column:
     return F.regexp_extract(F.lower(F.trim(url)), HOST, 1)
 
 
-def keys_of(url: Column) -> Column:
-    """array of (key, rank): domains of two labels or more, the host, and the host with the path's first segments; higher ranks are more specific."""
+def keys_of(url: Column, most_labels: int = MOST, most_segments: int = MOST) -> Column:
+    """array of (key, rank): domains of two labels or more, the host, and the host with the path's first segments; higher ranks are more specific. Domains of more labels and paths of more segments than given, which no entry may have, are left out."""
     host, path = host_of(url), F.regexp_extract(F.trim(url), PATH, 1)
     labels, parts = F.split(host, r"\."), F.filter(F.split(path, "/"), lambda x: x != "")
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.greatest(F.lit(0), n - DEPTH), F.greatest(F.lit(0), n - 2)), lambda i: F.struct(F.array_join(F.slice(labels, i + 1, n), ".").alias("key"), (n - i).alias("rank")))
-    paths = F.transform(F.filter(F.sequence(F.lit(0), F.lit(DEPTH)), lambda i: (i > 0) & (i <= F.size(parts))), lambda i: F.struct(F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")).alias("key"), (n + i).alias("rank")))
+    domains = F.transform(F.sequence(F.greatest(F.lit(0), n - max(2, most_labels)), F.greatest(F.lit(0), n - 2)), lambda i: F.struct(F.array_join(F.slice(labels, i + 1, n), ".").alias("key"), (n - i).alias("rank")))
+    paths = F.transform(F.slice(parts, 1, most_segments), lambda _, i: F.struct(F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i + 1), "/")).alias("key"), (n + i + 1).alias("rank")))
     return F.when(host != "", F.concat(domains, paths))
 
 
+def host_part() -> Column:
+    """Of an entry's key."""
+    return F.substring_index("key", "/", 1)
+
+
 def intervals(entries: DataFrame) -> DataFrame:
-    """(list, key, since, until) from (list, key, action, at), action ``add`` or ``remove``. An entry holds from each time it is added until the next change; null ``until``: still. Of changes at one time the removal comes first. Rows with a null key, action or time have no effect."""
+    """(list, key, since, until) from (list, key, action, at), action ``add`` or ``remove``. An entry holds from each time it is added until the next change; null ``until``: still. Of changes at one time the removal comes first. Rows with a null key, action or time have no effect. Hosts are compared in lower case, paths as they are."""
     order = Window.partitionBy("list", "key").orderBy("at", F.when(F.col("action") == "remove", 0).otherwise(1))
-    named = entries.filter("key is not null and at is not null and action in ('add', 'remove')").withColumn("key", F.lower("key"))
+    named = entries.filter("key is not null and at is not null and action in ('add', 'remove')").withColumn("key", F.concat(F.lower(host_part()), F.expr("substring(key, length(substring_index(key, '/', 1)) + 1)")))
     return named.withColumn("until", F.lead("at").over(order)).filter("action = 'add' and (until is null or until > at)").select("list", "key", F.col("at").alias("since"), "until")
 
 
@@ -53,8 +58,10 @@ def as_of(captures: DataFrame, entries: DataFrame, *, url_column: str = "url", t
     row = F.xxhash64(F.col(url_column), F.col(time_column))
     asked = captures.filter(F.col(url_column).isNotNull() & F.col(time_column).isNotNull())
     asked = asked.select(F.col(url_column).alias("_u"), F.col(time_column).cast("timestamp").alias("_t"), row.alias("_row"))
+    # an entry's key has the labels of its host and the segments of its path: no capture needs longer keys than the longest entry
+    longest = entries.agg(F.max(F.size(F.split(host_part(), r"\."))).alias("labels"), F.max(F.size(F.split("key", "/")) - 1).alias("segments")).first()
     part = lambda c: F.floor(F.unix_timestamp(c) / SLICE)
-    each = asked.select("_row", "_t", part("_t").alias("_p"), F.explode(keys_of(F.col("_u"))).alias("k")).select("_row", "_t", "_p", "k.key", "k.rank")
+    each = asked.select("_row", "_t", part("_t").alias("_p"), F.explode(keys_of(F.col("_u"), longest["labels"] or 0, longest["segments"] or 0)).alias("k")).select("_row", "_t", "_p", "k.key", "k.rank")
     span = asked.agg(F.min("_t").alias("a"), F.max("_t").alias("b")).first()
     a, b = (F.lit(span[k]).cast("timestamp") for k in ("a", "b"))
     held = intervals(entries).filter((F.col("since") <= b) & (F.col("until").isNull() | (F.col("until") > a)))

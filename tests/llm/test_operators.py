@@ -64,6 +64,20 @@ def test_url_filter_against_every_interval(spark):
     assert urlfilter.as_of(c.limit(0), e).count() == 0
 
 
+def test_url_filter_of_deep_hosts_and_paths_and_capitals(spark):
+    deep, path = ".".join("abcdefghijkl") + ".com", "/".join(f"s{k}" for k in range(12))
+    entries = [("l", k, "add", "2024-01-01") for k in (deep, f"p.com/{path}", "A.com/Blog", "q.com/x")]
+    urls = {f"http://{deep}/x": deep, f"http://z.{deep}/": deep, f"http://y{deep}": None, f"http://p.com/{path}/more": f"p.com/{path}", "http://p.com/s0": None}
+    urls |= {"http://a.COM/Blog/1": "a.com/Blog", "http://a.com/blog/1": None, "http://q.com/x": "q.com/x", "http://q.com/X": None}
+    e = spark.createDataFrame(entries, "list string, key string, action string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    c = spark.createDataFrame([(u, "2024-02-01") for u in urls], "url string, fetched_at string").withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    assert {r["url"]: r["matched_key"] for r in urlfilter.as_of(c, e).collect()} == urls
+    one = [e.filter(F.col("key") == k) for k in (deep, "q.com/x")]
+    assert [urlfilter.as_of(c, x).filter("blocked").count() for x in one] == [2, 1]
+    every = spark.createDataFrame([(u,) for u in urls], "u string").select(F.size(urlfilter.keys_of(F.col("u"))).alias("n"))
+    assert [r["n"] for r in every.collect()] == [13, 13, 12, 14, 2, 3, 3, 2, 2]
+
+
 # --- 2 packing ----------------------------------------------------------------------------
 
 
