@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, fingerprint, katz, langid, linededup, minhash, packing, pii, shards, urlfilter
-from .common import read
+from .common import read, scratch
 
 
 def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,10 @@ def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.materialise(read(spark, sf_dir, "documents"), key=20240101)
+    path = f"{scratch(spark)}/shards-{uuid.uuid4().hex}"
+    rows = shards.materialise(read(spark, sf_dir, "documents"), key=20240101)
+    shards.write_shards(rows, path)
+    return shards.read_back(spark, path)
 
 
 def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
@@ -59,7 +59,7 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
 
 def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4096, tokenizer: str | None = None, end_id: int = 50256, most_partitions: int = 10_000, text_column: str = "text") -> DataFrame:
-    """One row for each sequence: slot, shard, byte_offset (in its shard), sequence_id, n_tokens, ids_crc32 and record, the ids with the end id as padding. Each partition holds a range of whole shards in the order of slots.
+    """One row for each sequence: slot, shard, byte_offset (in the file of its shard, as ``write_shards`` writes it), sequence_id, n_tokens, ids_crc32 and record, the ids with the end id as padding. Each partition holds a range of whole shards in the order of slots.
 
     Null and empty texts: the end id alone. Repeated rows and ids are rows like others. Only the
     last sequence is padded. The stream is pinned by a table of ids, so lost executors change
@@ -101,7 +101,7 @@ def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4
 
         def row():
             body = b"".join(held)
-            return now[0], now[0] // shard, now[0] % shard * length * width, now[1], len(body) // width, zlib.crc32(body), body + pad * (length - len(body) // width)
+            return now[0], now[0] // shard, now[0] % shard * (length * width + len(MARK)), now[1], len(body) // width, zlib.crc32(body), body + pad * (length - len(body) // width)
 
         def full(rows):
             return pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], pa.int64()) for c in range(6)), pa.array([r[6] for r in rows], pa.binary())], names=names)
@@ -134,6 +134,28 @@ def write_shards(rows: DataFrame, path: str) -> None:
     rows.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", MARK).text(path)
 
 
+def read_back(spark: SparkSession, path: str, *, length: int = 2048, shard: int = 4096, width: int = 2) -> DataFrame:
+    """(slot, shard, byte_offset, n_bytes, record_crc32) of all records that stand in the files that ``write_shards`` wrote, as read from them. Raises if a file isn't whole records with separators, or holds more than a shard."""
+    step = length * width + len(MARK)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    files = files.select(F.regexp_extract("path", r"/shard=(\d+)/", 1).cast("long").alias("shard"), "content")
+
+    def run(batches):
+        for batch in batches:
+            for k, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = memoryview(content.as_buffer())
+                n = len(data) // step
+                if len(data) % step or n > shard or any(data[i * step + step - 1] != ord(MARK) for i in range(n)):
+                    raise ValueError(f"shard {k} isn't whole records of {step} bytes")
+                at = np.arange(n, dtype=np.int64)
+                crc = [zlib.crc32(data[i * step : (i + 1) * step - len(MARK)]) for i in range(n)]
+                columns = (k * shard + at, np.full(n, k, np.int64), at * step, np.full(n, length * width, np.int64), np.array(crc, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    names = ["slot", "shard", "byte_offset", "n_bytes", "record_crc32"]
+    return files.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
 def read_slots(data: bytes, first: int, n: int, length: int, width: int = 2) -> np.ndarray:
     """n records of a shard's bytes from its first-th on, as an array of ids."""
     step = length * width + len(MARK)

@@ -322,6 +322,35 @@ def test_shards_round_trip(spark, tmp_path):
     assert shards.materialise(frame(spark).limit(0), key=1).count() == 0
 
 
+def test_offsets_are_those_in_the_files(spark, tmp_path):
+    out = shards.materialise(frame(spark), key=6, length=16, shard=8)
+    want = {r["slot"]: r for r in out.collect()}
+    path = str(tmp_path / "s")
+    shards.write_shards(out, path)
+    for slot, r in want.items():
+        (file,) = (tmp_path / "s" / f"shard={r['shard']}").glob("part-*")
+        assert file.read_bytes()[r["byte_offset"] :][:32] == bytes(r["record"]), slot
+    back = shards.read_back(spark, path, length=16, shard=8).collect()
+    assert len(back) == len(want) > 16
+    assert {r["slot"]: (r["shard"], r["byte_offset"], r["record_crc32"]) for r in back} == {s: (r["shard"], r["byte_offset"], zlib.crc32(r["record"])) for s, r in want.items()}
+    (file.parent / f".{file.name}.crc").unlink()
+    file.write_bytes(file.read_bytes()[:-3])
+    with pytest.raises(Exception, match="whole records"):
+        shards.read_back(spark, path, length=16, shard=8).collect()
+
+
+def test_training_order_writes_its_shards(spark):
+    from quern.llm import common, queries
+
+    rows = queries.QUERIES["op7_training_order"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["slot"] for r in rows) == list(range(len(rows))) and len(rows) > 50
+    whole = shards.materialise(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), key=20240101)
+    assert {r["slot"]: (r["byte_offset"], r["record_crc32"]) for r in rows} == {r["slot"]: (r["byte_offset"], zlib.crc32(r["record"])) for r in whole.collect()}
+    import os
+
+    assert any(f.startswith("shards-") for f in os.listdir(common.scratch(spark).replace("file:", "")))
+
+
 # --- 8 language model -----------------------------------------------------------------------
 
 
