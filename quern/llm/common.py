@@ -46,9 +46,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 RESIDUES = 1 << 20
 
 
-def residues_of(ids: DataFrame, column: str) -> DataFrame:
-    """(_r) of the ids, at most RESIDUES rows of 8 bytes, whatever the table's size: a proven bound for a broadcast."""
-    return F.broadcast(ids.select(residue(F.col(column)).alias("_r")).distinct())
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for inner columns that no column of ``df`` has, whatever its case."""
+    taken, k = {c.lower() for c in df.columns}, 0
+    while any(f"{n}_{k}".lower() in taken or f"{n}_{k}_".lower() in taken for n in names):
+        k += 1
+    return [f"{n}_{k}" for n in names]
+
+
+def residues_of(ids: DataFrame, column: str, name: str) -> DataFrame:
+    """(name) the residues of the ids, at most RESIDUES rows of 8 bytes, whatever the table's size: a proven bound for a broadcast."""
+    return F.broadcast(ids.select(residue(F.col(column)).alias(name)).distinct())
 
 
 def residue(c: Column) -> Column:
@@ -57,10 +65,14 @@ def residue(c: Column) -> Column:
 
 def drop_ids(docs: DataFrame, id_column: str, ids: DataFrame) -> DataFrame:
     """The rows whose id isn't in the one column of ``ids``; null ids stay. Only rows that share a residue with one are shuffled."""
-    gone = cut(ids.toDF("_gone").filter("_gone is not null").distinct(), "gone")
-    some, keyed = residues_of(gone, "_gone"), docs.withColumn("_r", residue(F.col(id_column)))
-    rest = keyed.join(some, "_r", "left_anti").select(*docs.columns)
-    near = keyed.join(some, "_r", "left_semi").join(gone, F.col(id_column) == F.col("_gone"), "left_anti").select(*docs.columns)
+    name, r = fresh(docs, "gone", "residue")
+    ids = ids.toDF(name)
+    gone = cut(ids.filter(F.col(name).isNotNull()).distinct(), "gone")
+    # the id's type in ids may differ; both sides' residues must be those of one type
+    kind = dict(gone.dtypes)[name]
+    some, keyed = residues_of(gone, name, r), docs.withColumn(r, residue(F.col(id_column).cast(kind)))
+    rest = keyed.join(some, r, "left_anti").select(*docs.columns)
+    near = keyed.join(some, r, "left_semi").join(gone, F.col(id_column).cast(kind) == F.col(name), "left_anti").select(*docs.columns)
     return rest.unionByName(near)
 
 

@@ -123,7 +123,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, *, min_tokens: int = 13, min_sha
     found = hits.join(known, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     found = cut(found, "diagonals")
 
-    some = residues_of(found, "doc_id")
+    some = residues_of(found, "doc_id", "_r")
     texts = docs.withColumn("_r", residue(F.col("doc_id"))).join(some, "_r", "left_semi").select("doc_id", "text")
     rows = found.join(tests, "item_id").join(texts, "doc_id").select("doc_id", "item_id", "diagonal", "item", "text")
 

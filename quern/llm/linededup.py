@@ -1,155 +1,153 @@
-"""Line de-duplication by winnowing, with DataFrame functions only.
+"""Line de-duplication by winnowing over line hashes, with DataFrame functions only.
 
 A text is a sequence of lines; lines are also cut after a sentence's end (``.``, ``!`` or ``?`` and a
-space), so that a passage set into a paragraph is found. A window is the shortest run of lines, from
-each line on, that has ``min_words`` words. Its smallest line hash (the last one of equals) is its
-fingerprint: any two places that share such a run select the same one. Windows whose fingerprint was
-selected at two places or more are joined by it and compared whole; those equal to an earlier window
-are repeats. Repeats that touch or overlap are one run, which so extends both ways as far as every
-window repeats, and its lines go. The first occurrence, in the order of ids and lines, always stays.
-
-With ``passages`` windows are of exactly ``min_words`` words and also begin inside lines: at each line's
-start, at whole steps before it down to the window that ends there, and along long lines. So a match
-reaches up to its last line in both directions, and it may begin and end inside long lines.
+space), so that a passage set into a paragraph is found. White space behind a line belongs to it and
+isn't compared. What is removed are later repeats of runs of lines with ``min_words`` words or more:
+
+1. Each line has an order, its words and then its hash. A line is a fingerprint if it is the highest
+   of some stretch of lines around it that has ``min_words`` words; whether it is hangs on that
+   stretch alone, so any two places that share such a run select the same line of it. Only
+   fingerprints leave the texts, as hash and place.
+2. Fingerprints that stand at two places or more are joined with their places.
+3. Matches are extended from there, line by line: forward with the shortest runs of ``min_words``
+   words that begin at each line, backward with those that end at each line. A run that reaches a
+   fingerprint and equals an earlier one, the first occurrence, repeats it; the union of these is all
+   of every repeated run, up to its first and last lines. Each line of a match is compared with the
+   line at its place in the first occurrence before it goes, so a clash of hashes deletes nothing.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, residue, residues_of
+from .common import cut, fresh, residue, residues_of
 
-#: Where a text is cut; nothing is lost by it. The first condition is implied by the second and quickly refuses most places.
-LINE_ENDS = r"(?<=[\n ])(?<=\n|[.!?] )"
+#: White space, and a line: up to a line feed, a sentence's end and a space, or the text's end, with the white space behind it (and before the text's first). Possessive, so matching is linear and needs no stack.
+WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
+LINE = r"[\x20\x09-\x0D]*+[^\n.!?]*+(?:[.!?](?! )[^\n.!?]*+)*+(?:\n|[.!?] |\z)[\x20\x09-\x0D]*+"
+#: A line's order is its number of words, up to 127, and 56 bits of its hash.
+_WORD = 1 << 56
+_FAR = 1 << 20
 
 
 def lines_of(text: Column) -> Column:
-    return F.split(text, LINE_ENDS, -1)
-
-
-def _key(doc_id: Column, text: Column) -> Column:
-    """Names a document; rows with the same id and text are one."""
-    return F.xxhash64(doc_id, text)
-
-
-def windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(key, doc_id, pos, last, least, place, content): each window's first and last line, its fingerprint and where that was selected, and a hash of all its lines. Lines without words are in no window."""
-    lines = docs.select(_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-    lines = lines.select("key", "doc_id", "pos", F.xxhash64(F.rtrim("line", F.lit(" \n"))).alias("h"), F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n")).filter("n > 0")
-    by_doc = Window.partitionBy("key").orderBy("pos")
-    once = lines.withColumn("before", F.lag("pos").over(by_doc)).filter("before is null or before <> pos")
-    placed = once.withColumn("s", F.sum("n").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    frame = Window.partitionBy("key").orderBy("s").rangeBetween(0, min_words - 1)
-    found = placed.select(
-        "key",
-        "doc_id",
-        "pos",
-        F.max("pos").over(frame).alias("last"),
-        F.min(F.struct(F.col("h"), (-F.col("pos")).alias("back"))).over(frame).alias("f"),
-        F.xxhash64(F.collect_list("h").over(frame)).alias("content"),
-        (F.max(F.col("s") + F.col("n")).over(frame) - F.col("s")).alias("words"),
-    )
-    return found.filter(F.col("words") >= min_words).select("key", "doc_id", "pos", "last", F.col("f.h").alias("least"), (-F.col("f.back")).alias("place"), "content")
-
+    """The lines; joined they are the text. Only the last one may have no words."""
+    return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
 
-def repeated_runs(docs: DataFrame, min_words: int, passages: bool = False) -> DataFrame:
-    """(key, runs): of each document that repeats something, the first and last lines (words, with ``passages``) of its repeated runs."""
-    if passages:
-        again = cut(passage_windows(docs, min_words), "windows")
-    else:
-        found = cut(windows(docs, min_words), "windows")
-        at = F.xxhash64("key", "place")
-        # both tables are cut off so that the joins read plain exchanges, whose hot partitions Spark can split
-        shared = cut(found.groupBy("least").agg(F.min(at).alias("a"), F.max(at).alias("b")).filter("a <> b").select("least"), "shared")
-        again = cut(found.join(shared, "least", "left_semi").select("key", "doc_id", "pos", "last", "content"), "candidates")
-    here = F.struct("doc_id", "key", "pos")
-    first = cut(again.groupBy("content").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first")
-    later = again.join(first, "content").filter(here > F.col("first")).select("key", "pos", "last")
-    by_doc = Window.partitionBy("key").orderBy("pos")
-    reach = later.withColumn("reach", F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)))
-    run = reach.withColumn("run", F.sum(F.when(F.col("pos") <= F.col("reach") + 1, 0).otherwise(1)).over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = run.groupBy("key", "run").agg(F.min("pos").alias("a"), F.max("last").alias("b"))
-    return runs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))
 
+def _bare(line: Column) -> Column:
+    return F.trim(line, F.lit(WHITE))
 
-#: A word with the separators behind it (and before a text's first), and what shows that a line ends with it.
-WORD, LINE_END = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", r"[.!?] |[^\x20\x09-\x0D][\x20\x09-\x0D]*\n"
-#: Words from one window before a line's start to the next.
-STEP = 10
 
+def _words(bare: Column, text: Column) -> Column:
+    """How many words a line of the text has. Where single spaces stand between words, these are counted, which is much quicker."""
+    odd = reduce(or_, (text.contains(c) for c in "\t\x0b\x0c\r"))
+    spaces = F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit("")))
+    return F.when(odd | bare.contains("  "), F.regexp_count(bare, F.lit(r"[^\x20\x09-\x0D]+"))).otherwise(spaces + (bare != "").cast("int"))
 
-def words_of(text: Column) -> Column:
-    """All of a text that has words, in order."""
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
-
-def starts_of(words: Column) -> Column:
-    """The places, among its words, of a text's line starts and of its end."""
-    behind = F.filter(F.transform(words, lambda x, i: F.when(x.rlike(LINE_END), i + 1)), lambda x: x.isNotNull())
-    return F.array_distinct(F.concat(F.array(F.lit(0)), behind, F.array(F.size(words))))
-
-
-def passage_windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(key, doc_id, pos, last, content): each window's first and last word and a hash of all its words. In a repeated passage of min_words + STEP - 1 words or more, windows that lie in it cover every whole line; in a shorter one they do if it begins or ends with a line."""
-    words = docs.select(_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", words_of(F.col("text")).alias("words"))
-    placed = words.select("key", "doc_id", F.transform("words", lambda x: F.xxhash64(F.trim(x, F.lit(" \t\n\x0b\x0c\r")))).alias("h"), starts_of(F.col("words")).alias("starts"))
-    along = lambda x, i: F.sequence(x - min_words, F.greatest(x, F.get("starts", i + 1) - min_words), F.lit(STEP))
-    places = F.filter(F.array_distinct(F.flatten(F.transform("starts", along))), lambda x: (x >= 0) & (x <= F.size("h") - min_words))
-    each = placed.select("key", "doc_id", F.explode(F.transform(places, lambda x: F.struct(x.alias("pos"), F.xxhash64(F.slice("h", x + 1, F.lit(min_words))).alias("content")))).alias("w"))
-    return each.select("key", "doc_id", "w.pos", (F.col("w.pos") + min_words - 1).alias("last"), "w.content")
+def _key(doc_id: Column, text: Column) -> Column:
+    """With the id it names a document; rows with the same id and text are one."""
+    return F.xxhash64(doc_id, text)
 
 
-def remove_repeats(docs: DataFrame, *, min_words: int = 30, passages: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """All rows and columns, without the later repeated runs in the text, and ``removed_lines`` and ``removed_words`` (columns of these names are replaced).
+def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
+    """(key, f, line): the selected lines of each document."""
+
+    def order(bare: Column) -> Column:
+        return F.shiftleft(F.least(_words(bare, F.col("text")), F.lit(127)).cast("long"), 56) + F.shiftrightunsigned(F.xxhash64(bare), 8)
+
+    words = lambda x: F.shiftright(x, 56)
+    beside = lambda x, near, far: F.when(near <= x, F.when(far <= x, F.lit(_FAR)).otherwise(words(near))).otherwise(0)
+    orders = F.filter(F.transform(F.transform(lines_of(F.col("text")), _bare), order), lambda x: x >= _WORD)
+    placed = docs.select(_key(F.col("doc_id"), F.col("text")).alias("key"), orders.alias("g"))
+
+    def selected(x: Column, i: Column) -> Column:
+        # words of the lines around that aren't higher; two such lines on a side are taken for enough
+        left, right = (beside(x, F.get("g", i + d), F.get("g", i + 2 * d)) for d in (-1, 1))
+        return F.when(words(x) + left + right >= min_words, F.struct(x.alias("f"), i.alias("line")))
+
+    some = F.filter(F.transform("g", selected), lambda s: s.isNotNull())
+    return placed.select("key", F.explode(some).alias("s")).select("key", "s.f", "s.line")
+
+
+def candidates(docs: DataFrame, min_words: int) -> DataFrame:
+    """(key, line): the fingerprints that stand at two places or more."""
+    found = cut(fingerprints(docs, min_words), "fingerprints")
+    at = F.xxhash64("key", "line")
+    # both tables are cut off so that the joins read plain exchanges, whose hot partitions Spark can split
+    shared = cut(found.groupBy("f").agg(F.min(at).alias("a"), F.max(at).alias("b")).filter("a <> b").select("f"), "shared")
+    near = found.withColumn("r", residue(F.col("f"))).join(residues_of(shared, "f", "r"), "r", "left_semi")
+    return cut(near.join(shared, "f", "left_semi").select("key", "line").distinct(), "candidates")
+
+
+def repeated_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """(key, doc_id, lines): the places of the lines that go, ascending, of each document that has some."""
+    hits = candidates(docs, min_words)
+    keys = hits.select("key").distinct()
+    keyed = docs.withColumn("key", _key(F.col("doc_id"), F.col("text")))
+    texts = keyed.withColumn("r", residue(F.col("key"))).join(residues_of(keys, "key", "r"), "r", "left_semi").join(keys, "key", "left_semi")
+    texts = texts.groupBy("key", "doc_id").agg(F.max("text").alias("text"))
+    lines = texts.select("key", "doc_id", "text", F.posexplode(F.transform(lines_of(F.col("text")), _bare)).alias("line", "bare"))
+    lines = cut(lines.select("key", "doc_id", "line", "bare", _words(F.col("bare"), F.col("text")).alias("n")).filter("n > 0"), "lines")
+
+    by_doc = Window.partitionBy("key", "doc_id")
+    placed = lines.select("key", "doc_id", "line", F.xxhash64("bare").alias("h"), "n").join(hits.withColumn("hit", F.lit(1)), ["key", "line"], "left")
+    placed = placed.withColumn("end", F.sum(F.col("n").cast("long")).over(by_doc.orderBy("line").rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("n"))
+
+    def runs(frame, a: Column, b: Column, size: Column) -> DataFrame:
+        made = placed.select("key", "doc_id", a.over(frame).alias("a"), b.over(frame).alias("b"), size.over(frame).alias("size"), F.max("hit").over(frame).alias("hit"), F.xxhash64(F.collect_list("h").over(frame)).alias("content"))
+        return made.filter((F.col("size") >= min_words) & F.col("hit").isNotNull()).select("key", "doc_id", "a", "b", "content")
+
+    forward, backward = by_doc.orderBy("start").rangeBetween(0, min_words - 1), by_doc.orderBy("end").rangeBetween(1 - min_words, 0)
+    first, last, size = F.min("line"), F.max("line"), F.sum("n")
+    again = cut(runs(forward, first, last, size).union(runs(backward, first, last, size)), "runs")
+    here = F.struct("doc_id", "key", "a")
+    origin = cut(again.groupBy("content").agg(F.min(here).alias("origin"), F.max(here).alias("other")).filter("origin < other").drop("other"), "origins")
+    later = again.join(origin, "content").filter(here > F.col("origin"))
+    there = F.struct(F.col("origin.doc_id").alias("doc_id"), F.col("origin.key").alias("key"), (F.col("origin.a") + F.col("line") - F.col("a")).alias("line"))
+    each = later.withColumn("line", F.explode(F.sequence("a", "b"))).groupBy("key", "doc_id", "line").agg(F.min(there).alias("there"))
+    # confirmed on the lines themselves
+    same = lambda a, b: (a["key"] == b["key"]) & a["doc_id"].eqNullSafe(b["doc_id"]) & (a["line"] == b["line"])
+    mine = lines.select("key", "doc_id", "line", "bare").alias("mine")
+    each = each.alias("each").join(mine, same(each, mine)).select("mine.*", "each.there")
+    theirs = lines.select("key", "doc_id", "line", "bare").toDF("key_", "doc_id_", "line_", "bare_")
+    met = each.join(theirs, (F.col("there.key") == F.col("key_")) & F.col("there.doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("there.line") == F.col("line_")))
+    return met.filter("bare = bare_").groupBy("key", "doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+
+
+def remove_repeats(docs: DataFrame, *, min_words: int = 15, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """All rows and columns, without the later repeats in the text, and ``removed_lines`` and ``removed_words`` (columns of these names are replaced).
 
     Null and empty texts stay as they are. Rows with the same id and text are one document and get
     the same result; of equal texts with different ids the smallest id's stays whole (a null id is
-    the smallest). A text all of whose lines go is empty. An empty table gives no rows.
+    the smallest). A text all of whose lines go is empty. A line of which only a part repeats stays,
+    and so does a run of fewer than ``min_words`` words. Texts may be of any length. An empty table
+    gives no rows. Other columns may have any names.
 
-    Windows of lines, not texts, are sorted and joined. Only the texts that lose something, and
-    those that share a residue with them, are shuffled.
-
-    With ``passages`` words are compared, not the space between them, and a line goes if all its
-    words repeat: a match is extended up to its last whole line, and lines inside a passage that
-    begins and ends within other lines go too. A line of which only a part repeats stays. Blank
-    lines go with the line before them; ``removed_lines`` counts lines with words.
+    Hashes and places, not texts, are sorted and joined. Only the texts that share a fingerprint,
+    and those whose keys share a residue with one, are shuffled.
     """
     own = ["removed_lines", "removed_words"]
     docs = docs.drop(*own)
-    named = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    runs = cut(repeated_runs(named, min_words, passages), "runs")
-    some = residues_of(runs, "key")
-    keyed = docs.withColumn("_key", _key(docs[id_column], docs[text_column])).withColumn("_r", residue(F.col("_key")))
-    rest = keyed.join(some, "_r", "left_anti").select(*docs.columns, *(F.lit(0).cast("long").alias(c) for c in own))
-    hit = keyed.join(some, "_r", "left_semi").join(runs.select(F.col("key").alias("_key"), F.col("runs").alias("_runs")), "_key", "left")
-    if passages:
-        return rest.unionByName(_without_passages(hit, docs.columns, text_column, own))
-    hit = hit.withColumn("_lines", F.when(F.col("_runs").isNotNull(), lines_of(F.col(text_column))))
-    gone = lambda i: F.exists("_runs", lambda r: i.between(r["a"], r["b"]))
-    hit = hit.withColumn("_left", F.filter("_lines", lambda x, i: ~gone(i)))
-    count = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")))
+    key, rest_of, name, gone, lines, kept = fresh(docs, "key", "residue", "name", "gone", "lines", "kept")
+    found = cut(repeated_lines(docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text")), min_words), "gone")
+    keyed = docs.withColumn(key, _key(docs[id_column], docs[text_column])).withColumn(rest_of, residue(F.col(key)))
+    some = residues_of(found, "key", rest_of)
+    rest = keyed.join(some, rest_of, "left_anti").select(*docs.columns, *(F.lit(0).cast("long").alias(c) for c in own))
+    near = keyed.join(some, rest_of, "left_semi")
+    found = found.toDF(f"{key}_", name, gone)
+    hit = near.join(found, (F.col(key) == F.col(f"{key}_")) & F.col(id_column).eqNullSafe(F.col(name)), "left")
+    hit = hit.withColumn(lines, F.when(F.col(gone).isNotNull(), lines_of(F.col(text_column))))
+    hit = hit.withColumn(kept, F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i)))
+    words = F.aggregate(gone, F.lit(0).cast("long"), lambda s, i: s + F.regexp_count(F.get(lines, i), F.lit(r"[^\x20\x09-\x0D]+")))
     changed = hit.select(
-        *(F.coalesce(F.array_join("_left", ""), F.col(text_column)).alias(c) if c == text_column else F.col(c) for c in docs.columns),
-        F.coalesce((F.size("_lines") - F.size("_left")).cast("long"), F.lit(0)).alias(own[0]),
-        F.coalesce(count(F.col("_lines")) - count(F.col("_left")), F.lit(0)).alias(own[1]),
+        *(F.when(F.col(gone).isNotNull(), F.array_join(kept, "")).otherwise(F.col(c)).alias(c) if c == text_column else F.col(c) for c in docs.columns),
+        F.when(F.col(gone).isNotNull(), F.size(gone).cast("long")).otherwise(0).alias(own[0]),
+        F.when(F.col(gone).isNotNull(), words).otherwise(0).alias(own[1]),
     )
     return rest.unionByName(changed)
-
-
-def _without_passages(hit: DataFrame, columns: list[str], text_column: str, own: list[str]) -> DataFrame:
-    hit = hit.withColumn("_words", F.when(F.col("_runs").isNotNull(), words_of(F.col(text_column))))
-    hit = hit.withColumn("_starts", starts_of(F.col("_words")))
-    # each run of words to the whole lines in it: from the first line start on, before the last one
-    within = lambda r: F.struct(F.array_min(F.filter("_starts", lambda x: x >= r["a"])).alias("a"), F.array_max(F.filter("_starts", lambda x: x <= r["b"] + 1)).alias("b"))
-    hit = hit.withColumn("_gone", F.transform("_runs", within))
-    gone = lambda i: F.exists("_gone", lambda r: (i >= r["a"]) & (i < r["b"]))
-    hit = hit.withColumn("_left", F.filter("_words", lambda x, i: ~gone(i)))
-    removed = (F.size("_words") - F.size("_left")).cast("long")
-    lines = F.size(F.filter("_starts", lambda x: gone(x) & (x < F.size("_words")))).cast("long")
-    some = F.col("_runs").isNotNull() & (removed > 0)
-    return hit.select(
-        *(F.when(some, F.array_join("_left", "")).otherwise(F.col(text_column)).alias(c) if c == text_column else F.col(c) for c in columns),
-        F.when(some, lines).otherwise(0).alias(own[0]),
-        F.when(some, removed).otherwise(0).alias(own[1]),
-    )

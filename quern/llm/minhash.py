@@ -117,7 +117,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, text) of some ids. Only these texts are shuffled: those of other ids are dropped before, by a broadcast of their residues."""
-    texts = docs.withColumn("_r", residue(F.col("doc_id"))).join(residues_of(ids, "doc_id"), "_r", "left_semi").join(ids, "doc_id", "left_semi")
+    texts = docs.withColumn("_r", residue(F.col("doc_id"))).join(residues_of(ids, "doc_id", "_r"), "_r", "left_semi").join(ids, "doc_id", "left_semi")
     return cut(texts.select("doc_id", "text"), "texts").dropDuplicates(["doc_id"])
 
 

@@ -5,32 +5,33 @@ from __future__ import annotations
 ORACLE: dict[str, str] = {}
 
 ORACLE["op9_winnowed_line_dedup"] = r"""
-WITH lines AS (
-  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos
-  FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?] |\n)', '\1' || chr(57344), 'g'), chr(57344)) AS l FROM documents)
+WITH bodies AS (
+  SELECT doc_id, text, regexp_extract(text, '^[\x20\x09-\x0D]*') AS lead FROM documents
+), lines AS (
+  SELECT doc_id, CASE generate_subscripts(l, 1) WHEN 1 THEN lead ELSE '' END || unnest(l) AS line, generate_subscripts(l, 1) AS pos
+  FROM (SELECT doc_id, lead, string_split(regexp_replace(substr(text, len(lead) + 1), '((?:[.!?] |\n)[\x20\x09-\x0D]*)', '\1' || chr(57344), 'g'), chr(57344)) AS l FROM bodies)
 ), counted AS (
-  SELECT *, rtrim(line, ' ' || chr(10)) AS t, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines
+  SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines
 ), placed AS (
-  SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY pos) - n AS BIGINT) AS s FROM counted WHERE n > 0
+  SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS e, e - n AS s FROM counted WHERE n > 0
 ), framed AS (
-  SELECT doc_id, pos, max(pos) OVER f AS last, list(t) OVER f AS content, max(s + n) OVER f - s AS words
-  FROM placed WINDOW f AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 29 FOLLOWING)
+  SELECT doc_id, min(pos) OVER f AS a, max(pos) OVER f AS b, list(t) OVER f AS content, sum(n) OVER f AS words
+  FROM placed WINDOW f AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 14 FOLLOWING)
+  UNION ALL
+  SELECT doc_id, min(pos) OVER f, max(pos) OVER f, list(t) OVER f, sum(n) OVER f
+  FROM placed WINDOW f AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN 14 PRECEDING AND CURRENT ROW)
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS k FROM framed WHERE words >= 30
-), later AS (
-  SELECT doc_id, pos, last, max(last) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
-  FROM ranked WHERE k > 1
-), numbered AS (
-  SELECT *, sum(CASE WHEN pos <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM later
-), runs AS (
-  SELECT doc_id, min(pos) AS a, max(last) AS b FROM numbered GROUP BY doc_id, run
+  SELECT *, rank() OVER (PARTITION BY content ORDER BY doc_id, a) AS k FROM framed WHERE words >= 15
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(a, b)) AS pos FROM ranked WHERE k > 1
 ), marked AS (
-  SELECT c.*, EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = c.doc_id AND c.pos BETWEEN r.a AND r.b) AS gone FROM counted c
+  SELECT c.*, g.pos IS NOT NULL AS gone FROM counted c LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.pos = c.pos
 )
 SELECT doc_id, coalesce(string_agg(line, '' ORDER BY pos) FILTER (WHERE NOT gone), '') AS text,
        CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS removed_lines,
        CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS BIGINT) AS removed_words
 FROM marked GROUP BY doc_id
+UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL
 """
 
 ORACLE["op1_temporal_url_filter"] = r"""

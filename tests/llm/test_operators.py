@@ -403,25 +403,32 @@ def test_katz_without_learning_texts(spark):
 
 
 def brute_lines(rows, least):
+    """Every run of whole lines of ``least`` words or more that equals an earlier one goes. Runs of fewest words are enough, as they make up all others."""
     import re
 
-    texts = {d: re.split(r"(?<=\n)|(?<=[.!?] )", t) if t else None for d, t, *_ in rows}
-    count = lambda s: len(re.findall(r"[^\x20\x09-\x0D]+", s))
-    first, later = {}, defaultdict(set)
-    for d in sorted(texts):
-        lines = [(k, s.rstrip(" \n"), count(s)) for k, s in enumerate(texts[d] or []) if count(s)]
+    white = " \t\n\x0b\x0c\r"
+    first, out = {}, {}
+    for d, t, *_ in sorted(rows):
+        lead = t[: len(t) - len(t.lstrip(white))]
+        cuts = [0, *(m.end() for m in re.finditer(r"(?:[.!?] |\n)[\x20\x09-\x0D]*", t[len(lead) :])), len(t) - len(lead)]
+        lines = [t[len(lead) :][a:b] for a, b in zip(cuts, cuts[1:])]
+        lines[0] = lead + lines[0]
+        n = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
+        gone = set()
         for i in range(len(lines)):
-            total, j = 0, i
-            while j < len(lines) and total < least:
-                total += lines[j][2]
-                j += 1
-            if total >= least:
-                content = tuple(x[1] for x in lines[i:j])
-                if content in first:
-                    later[d] |= set(range(lines[i][0], lines[j - 1][0] + 1))
-                else:
-                    first[content] = d, i
-    return {d: None if t is None and s is None else "".join(x for k, x in enumerate(s or []) if k not in later[d]) for (d, s), t in zip(texts.items(), [r[1] for r in rows])}
+            for j in range(i + 1, len(lines) + 1):
+                if n[j - 1] and n[i] and sum(n[i:j]) >= least:
+                    run = tuple(x.strip(white) for x in lines[i:j])
+                    if first.setdefault(run, (d, i)) != (d, i):
+                        gone |= set(range(i, j))
+                    if sum(n[i + 1 : j - 1]) >= least:
+                        break
+        out[d] = "".join(x for k, x in enumerate(lines) if k not in gone), len(gone), sum(n[k] for k in gone)
+    return out
+
+
+def removed(out):
+    return {r["doc_id"]: (r["text"], r["removed_lines"], r["removed_words"]) for r in out.collect()}
 
 
 def test_repeated_runs_equal_brute_force(spark):
@@ -430,85 +437,55 @@ def test_repeated_runs_equal_brute_force(spark):
     rows = documents(n=12)
     rows += [(200 + k, f"{prose(rng, 40)}\n{prose(rng, 7)} {passage} {prose(rng, 20)}\n\n{prose(rng, 9)}", None, None, 0) for k in range(4)]
     rows += [(300, "\n".join(["same words in a line here"] * 12), None, None, 0), (301, "short.\nshort.\nshort.", None, None, 0)]
-    out = {r["doc_id"]: r for r in linededup.remove_repeats(clash(frame(spark, rows))).collect()}
-    want = brute_lines([r for r in rows if r[1]], 30)
-    assert {d: out[d]["text"] for d in want} == want
-    assert out[60 if 60 in out else 200]["removed_words"] == 0
-    assert all(out[d]["removed_words"] >= 30 for d in (201, 202, 203, 300))
-    assert [out[r[0]]["text"] for r in rows if not r[1]] == [r[1] for r in rows if not r[1]]
+    rows += [(310, " \n " + rows[2][1] + "  \n\n", None, None, 0), (311, rows[3][1].replace(" ", "\t") + "!? .. " + rows[4][1], None, None, 0), (312, "...." * 50_000, None, None, 0), (313, " ".join([prose(rng, 9) + "."] * 4000), None, None, 0)]
+    out = linededup.remove_repeats(clash(frame(spark, rows)), min_words=30)
+    got, want = removed(out), brute_lines([r for r in rows if r[1]], 30)
+    assert {d: got[d] for d in want} == want
+    assert got[200][2] == 0 and all(got[d][2] >= 30 for d in (201, 202, 203, 300, 310, 313))
+    assert [got[r[0]][0] for r in rows if not r[1]] == [r[1] for r in rows if not r[1]]
+
+
+def test_lines_make_up_the_text(spark):
+    texts = [t for _, t, *_ in documents() if t] + ["a. \n\n b!? c.d", ". . .", "\r\n x\r\n\x85y\u2028z. ", "x" * 300_000, ". " * 100_000, "?" * 300_000, " " * 300_000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", linededup.lines_of(F.col("t")).alias("l"))
+    assert [("".join(r["l"]), r["t"]) for r in df.collect() if "".join(r["l"]) != r["t"]] == []
 
 
 def test_repeats_awkward_rows(spark):
     rows = documents(n=4)
-    docs = frame(spark, [*rows, rows[0], (None, rows[1][1], None, None, 0)])
+    docs = frame(spark, [*rows, rows[0], (None, rows[1][1], None, None, 0), (7, rows[2][1], None, None, 0), (900, "\n\n one \n" + rows[2][1], None, None, 0)])
     out = linededup.remove_repeats(docs).toPandas()
-    assert len(out) == len(rows) + 2
+    assert len(out) == len(rows) + 4
     twice = out[out.doc_id == 0]
     assert (twice.text == rows[0][1]).all() and (twice.removed_lines == 0).all()
     assert (out[out.doc_id == 1].text == "").all()
+    assert out[out.doc_id == 900].text.iloc[0] == "\n\n one \n"
     assert linededup.remove_repeats(docs.limit(0)).count() == 0
 
 
-def brute_passages(rows, least):
-    """Every window of ``least`` words from every word on; lines all of whose words are in repeated ones go."""
-    import re
-
-    first, out = set(), {}
-    for d, t, *_ in sorted(rows):
-        lines = [s for s in re.split(r"(?<=\n)|(?<=[.!?] )", t) if s]
-        w = t.split()
-        again = [False] * len(w)
-        for i in range(len(w) - least + 1):
-            content = tuple(w[i : i + least])
-            if content in first:
-                again[i : i + least] = [True] * least
-            first.add(content)
-        left, at = [], 0
-        for s in lines:
-            n = len(s.split())
-            left.append("" if n and all(again[at : at + n]) else s)
-            at += n
-        out[d] = "".join(left)
-    return out
-
-
 def lines_of_words(rng, *sizes):
     return "".join(" ".join(f"v{rng.randrange(10**9)}" for _ in range(n)) + ".\n" for n in sizes)
 
 
-def test_repeats_are_extended_to_their_last_line(spark):
+def test_repeats_are_extended_both_ways(spark):
+    """Also where the first occurrence of a run's middle goes on differently: C shares the middle with A, and its ends only with B."""
     rng = random.Random(11)
-    runs = [lines_of_words(rng, *s) for s in ([40, 20], [20, 40], [25, 10, 10], [11, 11, 11], [3, 90, 4], [29], [12, 17])]
+    runs = [lines_of_words(rng, *s) for s in ([40, 20], [20, 40], [25, 10, 10], [11, 11, 11], [3, 90, 4], [29], [12, 17], [4] * 9)]
     rows = [(2 * k + j, lines_of_words(rng, 9) + r + lines_of_words(rng, 6), None, None, 0) for k, r in enumerate(runs) for j in (0, 1)]
     rows += [(100 + j, runs[0], None, None, 0) for j in (0, 1)]
-    out = {r["doc_id"]: r for r in linededup.remove_repeats(clash(frame(spark, rows)), passages=True).collect()}
-    assert {d: r["text"] for d, r in out.items()} == brute_passages(rows, 30)
-    assert [out[d]["removed_words"] for d in (1, 3, 5, 7, 9, 11, 13, 101)] == [60, 60, 45, 33, 97, 0, 0, 60]
-    assert [out[d]["removed_lines"] for d in (1, 5, 9, 100, 101)] == [2, 3, 3, 2, 2]
-
-
-def test_passages_inside_long_lines(spark):
-    rng = random.Random(12)
-    some = lambda n: " ".join(f"v{rng.randrange(10**9)}" for _ in range(n))
-    rows = []
-    for k, (a, *inner, b) in enumerate([(43, 7, 21, 14), (20, 3, 20), (19, 2, 18), (5, 29, 6), (13, 14, 12), (10, 5, 5), (0, 12, 18), (20, 10, 0)] + [tuple(rng.randrange(1, 28) for _ in range(5)) for _ in range(25)]):
-        passage = some(a) + ". " + "".join(some(n) + ". " for n in inner) + some(b)
-        for j in (0, 1):
-            rows.append((2 * k + j, f"{some(9)}. {some(12)} {passage.strip()} {some(11)}.\n\n{some(7)}", None, None, 0))
-    out = {r["doc_id"]: r for r in linededup.remove_repeats(frame(spark, rows), passages=True).collect()}
-    assert {d: r["text"] for d, r in out.items()} == brute_passages(rows, 30)
-    assert [out[d]["removed_words"] for d in (1, 3, 5, 11)] == [28, 3, 2, 0]
-
-
-def test_passages_awkward_rows(spark):
-    rows = documents(n=4)
-    docs = frame(spark, [*rows, rows[0], (None, rows[1][1], None, None, 0), (900, "\n\n one \n" + rows[2][1], None, None, 0)])
-    out = linededup.remove_repeats(clash(docs), passages=True).toPandas().sort_values("removed_words")
-    assert len(out) == len(rows) + 3
-    assert (out[out.doc_id == 0].text == rows[0][1]).all() and (out[out.doc_id == 1].text == "").all()
-    assert out[out.doc_id == 900].text.iloc[0] == "\n\n one \n"
-    assert [t for t in out[out.removed_words == 0].text if not t or not t.strip()].count(None) == 1
-    assert linededup.remove_repeats(docs.limit(0), passages=True).count() == 0
+    head, middle, tail = (lines_of_words(rng, *s) for s in ([7], [20, 15], [10]))
+    rows += [(200, middle, None, None, 0), (201, head + middle + tail, None, None, 0), (202, lines_of_words(rng, 5) + head + middle + tail + lines_of_words(rng, 8), None, None, 0)]
+    got = removed(linededup.remove_repeats(clash(frame(spark, rows)), min_words=30))
+    assert got == brute_lines(rows, 30)
+    assert [got[d][2] for d in (1, 3, 5, 7, 9, 11, 13, 15, 101, 200, 201, 202)] == [60, 60, 45, 33, 97, 0, 0, 36, 60, 0, 35, 52]
+    assert removed(linededup.remove_repeats(frame(spark, rows))) == brute_lines(rows, 15)
+
+
+def test_fingerprints_are_a_part_of_the_lines(spark):
+    rng = random.Random(10)
+    docs = frame(spark, [(k, lines_of_words(rng, *[rng.randrange(1, 7) for _ in range(300)]), None, None, 0) for k in range(20)])
+    n = linededup.fingerprints(docs, 15).count()
+    assert 20 * 300 * 0.2 < n < 20 * 300 * 0.6
 
 
 # --- 10 fingerprints ------------------------------------------------------------------------
