@@ -18,6 +18,7 @@ isn't compared. What is removed are later repeats of runs of lines with ``min_wo
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -30,7 +31,7 @@ from .common import cut, fresh, residue, residues_of
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 LINE = r"[\x20\x09-\x0D]*+[^\n.!?]*+(?:[.!?](?! )[^\n.!?]*+)*+(?:\n|[.!?] |\z)[\x20\x09-\x0D]*+"
 #: A line's order is its number of words, up to 127, and 56 bits of its hash.
-_WORD = 1 << 56
+_WORD, _MOST = 1 << 56, 127
 _FAR = 1 << 20
 
 
@@ -43,11 +44,21 @@ def _bare(line: Column) -> Column:
     return F.trim(line, F.lit(WHITE))
 
 
-def _words(bare: Column, text: Column) -> Column:
-    """How many words a line of the text has. Where single spaces stand between words, these are counted, which is much quicker."""
-    odd = reduce(or_, (text.contains(c) for c in "\t\x0b\x0c\r"))
-    spaces = F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit("")))
-    return F.when(odd | bare.contains("  "), F.regexp_count(bare, F.lit(r"[^\x20\x09-\x0D]+"))).otherwise(spaces + (bare != "").cast("int"))
+def _counted(bare: Column) -> Column:
+    """How many words a line has."""
+    return F.regexp_count(bare, F.lit(r"[^\x20\x09-\x0D]+"))
+
+
+def _spaced(bare: Column) -> Column:
+    """The same of a line whose words have single spaces between them; much quicker."""
+    return F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit(""))) + (bare != "").cast("int")
+
+
+def _each_line(text: Column, then: Callable[[Column, Column], Column]) -> Column:
+    """``then`` of every bare line and its number of words."""
+    odd = reduce(or_, (text.contains(c) for c in ("  ", "\t", "\x0b", "\x0c", "\r")))
+    one = lambda count: F.transform(F.transform(lines_of(text), _bare), lambda x: then(x, count(x)))
+    return F.when(odd, one(_counted)).otherwise(one(_spaced))
 
 
 def _key(doc_id: Column, text: Column) -> Column:
@@ -55,69 +66,93 @@ def _key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
-def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
-    """(key, f, line): the selected lines of each document."""
+def orders(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, g): the orders of each document's lines. Any two lines have equal ones if they are equal."""
+
+    def order(bare: Column, n: Column) -> Column:
+        return F.shiftleft(F.least(n, F.lit(_MOST)).cast("long"), 56) + F.shiftrightunsigned(F.xxhash64(bare), 8)
 
-    def order(bare: Column) -> Column:
-        return F.shiftleft(F.least(_words(bare, F.col("text")), F.lit(127)).cast("long"), 56) + F.shiftrightunsigned(F.xxhash64(bare), 8)
+    g = F.filter(_each_line(F.col("text"), order), lambda x: x >= _WORD)
+    return docs.select(_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", g.alias("g"))
 
-    words = lambda x: F.shiftright(x, 56)
-    beside = lambda x, near, far: F.when(near <= x, F.when(far <= x, F.lit(_FAR)).otherwise(words(near))).otherwise(0)
-    orders = F.filter(F.transform(F.transform(lines_of(F.col("text")), _bare), order), lambda x: x >= _WORD)
-    placed = docs.select(_key(F.col("doc_id"), F.col("text")).alias("key"), orders.alias("g"))
+
+def _n(order: Column) -> Column:
+    return F.shiftright(order, 56).cast("int")
+
+
+def fingerprints(placed: DataFrame, min_words: int) -> DataFrame:
+    """(key, f, line): the selected lines of each document."""
+    # elements are taken by get: inside a lambda slice copies the whole array
+    beside = lambda x, near, far: F.when(near <= x, F.when(far <= x, F.lit(_FAR)).otherwise(_n(near))).otherwise(0)
 
     def selected(x: Column, i: Column) -> Column:
         # words of the lines around that aren't higher; two such lines on a side are taken for enough
         left, right = (beside(x, F.get("g", i + d), F.get("g", i + 2 * d)) for d in (-1, 1))
-        return F.when(words(x) + left + right >= min_words, F.struct(x.alias("f"), i.alias("line")))
+        return F.when(_n(x) + left + right >= min_words, F.struct(x.alias("f"), i.alias("line")))
 
     some = F.filter(F.transform("g", selected), lambda s: s.isNotNull())
     return placed.select("key", F.explode(some).alias("s")).select("key", "s.f", "s.line")
 
 
-def candidates(docs: DataFrame, min_words: int) -> DataFrame:
-    """(key, line): the fingerprints that stand at two places or more."""
-    found = cut(fingerprints(docs, min_words), "fingerprints")
+def candidates(placed: DataFrame, min_words: int) -> DataFrame:
+    """(key, hits): of each document its fingerprints that stand at two places or more."""
+    found = cut(fingerprints(placed, min_words), "fingerprints")
     at = F.xxhash64("key", "line")
-    # both tables are cut off so that the joins read plain exchanges, whose hot partitions Spark can split
+    # tables are cut off so that the joins read plain exchanges, whose hot partitions Spark can split
     shared = cut(found.groupBy("f").agg(F.min(at).alias("a"), F.max(at).alias("b")).filter("a <> b").select("f"), "shared")
     near = found.withColumn("r", residue(F.col("f"))).join(residues_of(shared, "f", "r"), "r", "left_semi")
-    return cut(near.join(shared, "f", "left_semi").select("key", "line").distinct(), "candidates")
+    return cut(near.join(shared, "f", "left_semi").groupBy("key").agg(F.collect_set("line").alias("hits")), "hits")
 
 
-def repeated_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(key, doc_id, lines): the places of the lines that go, ascending, of each document that has some."""
-    hits = candidates(docs, min_words)
-    keys = hits.select("key").distinct()
-    keyed = docs.withColumn("key", _key(F.col("doc_id"), F.col("text")))
-    texts = keyed.withColumn("r", residue(F.col("key"))).join(residues_of(keys, "key", "r"), "r", "left_semi").join(keys, "key", "left_semi")
-    texts = texts.groupBy("key", "doc_id").agg(F.max("text").alias("text"))
-    lines = texts.select("key", "doc_id", "text", F.posexplode(F.transform(lines_of(F.col("text")), _bare)).alias("line", "bare"))
-    lines = cut(lines.select("key", "doc_id", "line", "bare", _words(F.col("bare"), F.col("text")).alias("n")).filter("n > 0"), "lines")
+def runs(placed: DataFrame, hits: DataFrame, min_words: int) -> DataFrame:
+    """(key, doc_id, a, b, content): first and last line, and a hash of all lines, of the shortest runs of ``min_words`` words that begin or that end at each line and hold one of the hits."""
+    rows = placed.withColumn("r", residue(F.col("key"))).join(residues_of(hits, "key", "r"), "r", "left_semi").groupBy("key", "doc_id").agg(F.any_value("g").alias("g")).join(hits, "key")
+    # hits as a flag for each line: an even number stands before the odd one of its line
+    marks = F.sort_array(F.concat(F.transform("g", lambda _, i: 2 * i + 1), F.transform("hits", lambda i: 2 * i)))
+    flag = lambda x, k: F.when(x.bitwiseAND(1) == 1, F.get("marks", k - 1).eqNullSafe(x - 1).cast("int"))
+    rows = rows.select("key", "doc_id", "g", marks.alias("marks"))
+    rows = rows.select("key", "doc_id", F.posexplode(F.arrays_zip("g", F.filter(F.transform("marks", flag), lambda x: x.isNotNull()).alias("hit"))).alias("line", "x"))
+    rows = rows.select("key", "doc_id", "line", F.col("x.g").alias("g"), F.col("x.hit").alias("hit"), _n(F.col("x.g")).alias("n"))
 
     by_doc = Window.partitionBy("key", "doc_id")
-    placed = lines.select("key", "doc_id", "line", F.xxhash64("bare").alias("h"), "n").join(hits.withColumn("hit", F.lit(1)), ["key", "line"], "left")
-    placed = placed.withColumn("end", F.sum(F.col("n").cast("long")).over(by_doc.orderBy("line").rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("n"))
+    rows = rows.withColumn("end", F.sum(F.col("n").cast("long")).over(by_doc.orderBy("line").rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("n"))
 
-    def runs(frame, a: Column, b: Column, size: Column) -> DataFrame:
-        made = placed.select("key", "doc_id", a.over(frame).alias("a"), b.over(frame).alias("b"), size.over(frame).alias("size"), F.max("hit").over(frame).alias("hit"), F.xxhash64(F.collect_list("h").over(frame)).alias("content"))
-        return made.filter((F.col("size") >= min_words) & F.col("hit").isNotNull()).select("key", "doc_id", "a", "b", "content")
+    def run(frame, place: str) -> list[Column]:
+        return [F.collect_list("g").over(frame).alias(f"g{place}"), F.sum("n").over(frame).alias(f"n{place}"), F.max("hit").over(frame).alias(f"hit{place}")]
 
     forward, backward = by_doc.orderBy("start").rangeBetween(0, min_words - 1), by_doc.orderBy("end").rangeBetween(1 - min_words, 0)
-    first, last, size = F.min("line"), F.max("line"), F.sum("n")
-    again = cut(runs(forward, first, last, size).union(runs(backward, first, last, size)), "runs")
+    rows = rows.select("key", "doc_id", "line", "n", *run(forward, "x"), *run(backward, "y"))
+    span = lambda a, b, g: F.struct(a.alias("a"), b.alias("b"), F.xxhash64(g).alias("content"))
+    ahead = F.when((F.col("nx") >= min_words) & (F.col("hitx") == 1), span(F.col("line"), F.col("line") + F.size("gx") - 1, F.col("gx")))
+    # those that are also forward ones aren't needed twice
+    behind = F.when((F.col("ny") - F.col("n") >= min_words) & (F.col("hity") == 1), span(F.col("line") - F.size("gy") + 1, F.col("line"), F.col("gy")))
+    return rows.select("key", "doc_id", F.explode(F.array(ahead, behind)).alias("r")).filter("r is not null").select("key", "doc_id", "r.a", "r.b", "r.content")
+
+
+def matches(again: DataFrame) -> DataFrame:
+    """(key, doc_id, of, doc, ahead, a, b): the lines of a document that repeat lines of another (or of itself), ``ahead`` lines before: its runs that equal an earlier one and overlap or touch at the same distance from the first of those."""
     here = F.struct("doc_id", "key", "a")
-    origin = cut(again.groupBy("content").agg(F.min(here).alias("origin"), F.max(here).alias("other")).filter("origin < other").drop("other"), "origins")
-    later = again.join(origin, "content").filter(here > F.col("origin"))
-    there = F.struct(F.col("origin.doc_id").alias("doc_id"), F.col("origin.key").alias("key"), (F.col("origin.a") + F.col("line") - F.col("a")).alias("line"))
-    each = later.withColumn("line", F.explode(F.sequence("a", "b"))).groupBy("key", "doc_id", "line").agg(F.min(there).alias("there"))
-    # confirmed on the lines themselves
-    same = lambda a, b: (a["key"] == b["key"]) & a["doc_id"].eqNullSafe(b["doc_id"]) & (a["line"] == b["line"])
-    mine = lines.select("key", "doc_id", "line", "bare").alias("mine")
-    each = each.alias("each").join(mine, same(each, mine)).select("mine.*", "each.there")
-    theirs = lines.select("key", "doc_id", "line", "bare").toDF("key_", "doc_id_", "line_", "bare_")
-    met = each.join(theirs, (F.col("there.key") == F.col("key_")) & F.col("there.doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("there.line") == F.col("line_")))
-    return met.filter("bare = bare_").groupBy("key", "doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    origin = again.groupBy("content").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter("first < last")
+    origin = cut(origin.select("content", F.col("first.doc_id").alias("doc"), F.col("first.key").alias("of"), F.col("first.a").alias("at")), "origins")
+    later = again.join(origin, "content").filter(here > F.struct("doc", "of", "at")).withColumn("ahead", F.col("a") - F.col("at"))
+    order = Window.partitionBy("key", "doc_id", "of", "doc", "ahead").orderBy("a")
+    later = later.withColumn("reach", F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    later = later.withColumn("part", F.sum(F.when(F.col("a") <= F.col("reach") + 1, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return later.groupBy("key", "doc_id", "of", "doc", "ahead", "part").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("part")
+
+
+def repeats(docs: DataFrame, min_words: int) -> DataFrame:
+    """(key, doc_id, said): of each document with matches their first lines and, as the origins have them, their lines."""
+    placed = cut(orders(docs), "orders")
+    found = cut(matches(cut(runs(placed, candidates(placed, min_words), min_words), "runs")), "matches")
+    origins = cut(found.select("of", "doc").distinct(), "origins")
+    keyed = docs.withColumn("of", _key(F.col("doc_id"), F.col("text"))).withColumnRenamed("doc_id", "doc").withColumn("r", residue(F.col("of")))
+    texts = keyed.join(residues_of(origins, "of", "r"), "r", "left_semi").groupBy("of", "doc").agg(F.any_value("text").alias("text")).select("of", "doc", F.transform(lines_of(F.col("text")), _bare).alias("lines"))
+    texts = cut(texts.join(origins.toDF("of_", "doc_"), (F.col("of") == F.col("of_")) & F.col("doc").eqNullSafe(F.col("doc_")), "left_semi"), "lines")
+    met = found.join(texts.toDF("of_", "doc_", "lines"), (F.col("of") == F.col("of_")) & F.col("doc").eqNullSafe(F.col("doc_")))
+    # in compiled code, which takes these lines only; a lambda would make the join copy all lines for each match
+    said = F.slice("lines", F.col("a") - F.col("ahead") + 1, F.col("b") - F.col("a") + 1)
+    return met.groupBy("key", "doc_id").agg(F.collect_list(F.struct(F.col("a"), said.alias("lines"))).alias("said"))
 
 
 def remove_repeats(docs: DataFrame, *, min_words: int = 15, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -134,20 +169,26 @@ def remove_repeats(docs: DataFrame, *, min_words: int = 15, id_column: str = "do
     """
     own = ["removed_lines", "removed_words"]
     docs = docs.drop(*own)
-    key, rest_of, name, gone, lines, kept = fresh(docs, "key", "residue", "name", "gone", "lines", "kept")
-    found = cut(repeated_lines(docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text")), min_words), "gone")
+    if not 0 < min_words <= _MOST:
+        raise ValueError(f"min_words must be from 1 to {_MOST}")
+    key, rest_of, name, said, gone, lines, kept = fresh(docs, "key", "residue", "name", "said", "gone", "lines", "kept")
+    found = cut(repeats(docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text")), min_words), "repeats")
     keyed = docs.withColumn(key, _key(docs[id_column], docs[text_column])).withColumn(rest_of, residue(F.col(key)))
     some = residues_of(found, "key", rest_of)
     rest = keyed.join(some, rest_of, "left_anti").select(*docs.columns, *(F.lit(0).cast("long").alias(c) for c in own))
     near = keyed.join(some, rest_of, "left_semi")
-    found = found.toDF(f"{key}_", name, gone)
+    found = found.toDF(f"{key}_", name, said)
     hit = near.join(found, (F.col(key) == F.col(f"{key}_")) & F.col(id_column).eqNullSafe(F.col(name)), "left")
-    hit = hit.withColumn(lines, F.when(F.col(gone).isNotNull(), lines_of(F.col(text_column))))
+    hit = hit.withColumn(lines, F.when(F.col(said).isNotNull(), lines_of(F.col(text_column))))
+    # a line goes if the origin's line is the same, not only its hash
+    same = lambda m: F.filter(F.transform(m["lines"], lambda x, k: F.when(_bare(F.get(lines, m["a"] + k)) == x, m["a"] + k)), lambda i: i.isNotNull())
+    hit = hit.withColumn(gone, F.array_distinct(F.flatten(F.transform(said, same))))
     hit = hit.withColumn(kept, F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i)))
-    words = F.aggregate(gone, F.lit(0).cast("long"), lambda s, i: s + F.regexp_count(F.get(lines, i), F.lit(r"[^\x20\x09-\x0D]+")))
+    words = F.aggregate(gone, F.lit(0).cast("long"), lambda s, i: s + _counted(F.get(lines, i)))
+    some = F.size(gone) > 0
     changed = hit.select(
-        *(F.when(F.col(gone).isNotNull(), F.array_join(kept, "")).otherwise(F.col(c)).alias(c) if c == text_column else F.col(c) for c in docs.columns),
-        F.when(F.col(gone).isNotNull(), F.size(gone).cast("long")).otherwise(0).alias(own[0]),
-        F.when(F.col(gone).isNotNull(), words).otherwise(0).alias(own[1]),
+        *(F.when(some, F.array_join(kept, "")).otherwise(F.col(c)).alias(c) if c == text_column else F.col(c) for c in docs.columns),
+        F.when(some, F.size(gone).cast("long")).otherwise(0).alias(own[0]),
+        F.when(some, words).otherwise(0).alias(own[1]),
     )
     return rest.unionByName(changed)
