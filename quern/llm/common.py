@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,30 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write the rows as a table in the shared folder and read it again: later stages then don't depend on this lineage or on any executor."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Queries inside end with Spark removing their shuffle files, by its own setting; once their result is written nothing reads these again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes what ``cut`` wrote. Only for tables that nothing reads any more."""
+    jvm, path = table.sparkSession.sparkContext._jvm, table.written_to
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 #: Residues of ids that a broadcast may hold.
@@ -76,12 +98,6 @@ def drop_ids(docs: DataFrame, id_column: str, ids: DataFrame) -> DataFrame:
     return rest.unionByName(near)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs whose frames are gone; it does so when the driver's garbage is collected, which a driver with much memory seldom does."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def learn_mod(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
