@@ -8,6 +8,10 @@ import os
 import numpy as np
 
 
+#: The id that stands behind each document, in packing and in training order.
+END_ID = 1
+
+
 def default_path() -> str:
     import public_tokenizers
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,7 +66,7 @@ class Packer:
     """Packs documents, one after the other, and yields (window length, [(doc_id, start, ids, doc tokens)])."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.windows = capacity, SumOfSquares(capacity)
+        self.capacity, self.windows, self.recut = capacity, SumOfSquares(capacity), 0
 
     def add(self, doc_id, ids: bytes) -> Iterator[tuple[int, list]]:
         n, size = len(ids) // 4, self.capacity
@@ -78,25 +79,40 @@ class Packer:
                 yield size, full
 
     def finish(self) -> Iterator[tuple[int, list]]:
-        """The windows still open, one behind the other, are cut anew at every ``capacity`` tokens; what is left at the very end goes to windows of powers of two. No padding remains."""
-        left = [p for _, window in self.windows.rest() for p in window]
-        total = sum(len(p[2]) for p in left) // 4
-        sizes = [self.capacity] * (total // self.capacity) + list(_parts(total % self.capacity))
-        queue, at = iter(left), None
-        for size in sizes:
-            window, room = [], size
-            while room:
-                if at is None:
-                    at = next(queue)
-                doc_id, start, ids, n = at
-                take = min(room, len(ids) // 4)
-                window.append((doc_id, start, ids[: 4 * take], n))
-                at = (doc_id, start + take, ids[4 * take :], n) if 4 * take < len(ids) else None
-                room -= take
-            yield size, window
-
+        """The windows still open stay as they were placed, fullest first, and are filled up with the pieces of the emptiest, which are cut for that; of the last one powers of two remain, so nothing is padded. ``recut`` counts the tokens that so leave their window."""
+        left = deque(window for _, window in self.windows.rest())
+        tokens = lambda pieces: sum(len(p[2]) for p in pieces) // 4
+        spare: deque = deque()
+        open_tokens = sum(map(tokens, left))
 
-def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 1, capacity: int = 2048, block_docs: int = 100_000, with_ids: bool = True, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+        def take(room: int) -> Iterator:
+            while room:
+                if not spare:
+                    spare.extend(left.pop())
+                doc_id, start, ids, n = spare.popleft()
+                some = min(room, len(ids) // 4)
+                if 4 * some < len(ids):
+                    spare.appendleft((doc_id, start + some, ids[4 * some :], n))
+                room -= some
+                yield doc_id, start, ids[: 4 * some], n
+
+        while left:
+            if open_tokens < self.capacity:
+                for window in left:
+                    spare.extend(window)
+                break
+            window = left.popleft()
+            room = self.capacity - tokens(window)
+            self.recut += room
+            open_tokens -= self.capacity
+            yield self.capacity, window + list(take(room))
+        last = tokens(spare)
+        self.recut += last
+        for size in _parts(last):
+            yield size, list(take(size))
+
+
+def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = bpe.END_ID, capacity: int = 2048, block_docs: int = 100_000, with_ids: bool = True, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each piece of each document, with its window (``sequence_id``, ``offset``) and, ``with_ids``, its ids (little-endian unsigned 32-bit).
 
     A document is its ids and then ``end_id``. Windows are packed per input partition as a stream;
