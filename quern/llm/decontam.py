@@ -110,8 +110,9 @@ def overlaps(docs: DataFrame, tests: DataFrame, *, min_tokens: int = 13, min_sha
 
     Tokens: A-Z as a-z, split at white space. Every stretch of
     a diagonal with a seed's hit is tested, whatever surrounds it. Null and empty texts, items of fewer than 8 tokens (the shortest mask) and null ids
-    have no overlap. Rows that repeat an id are compared each, and the best is kept. Empty tables
-    give no rows. Other columns are ignored.
+    have no overlap. Rows that repeat an id are compared each, and the best is kept; of equally good
+    stretches the shortest, then the first in the document, then the first in the item. Texts of any
+    length are compared whole. Empty tables give no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text")).filter("doc_id is not null")
@@ -120,29 +121,31 @@ def overlaps(docs: DataFrame, tests: DataFrame, *, min_tokens: int = 13, min_sha
     bloom, bits = _bloom(known)
     hits = _seed_rows(docs, "doc_id", spark.sparkContext.broadcast(bloom), bits)
     known = known.toDF("seed", "item_id", "item_at")
-    found = hits.join(known, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-    found = cut(found, "diagonals")
+    found = hits.join(known, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"))
+    # one row, and so one copy of the texts, for each pair, whatever the number of its hits
+    found = cut(found.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_set("diagonal")).alias("diagonals")), "diagonals")
 
     some = residues_of(found, "doc_id", "_r")
     texts = docs.withColumn("_r", residue(F.col("doc_id"))).join(some, "_r", "left_semi").select("doc_id", "text")
-    rows = found.join(tests, "item_id").join(texts, "doc_id").select("doc_id", "item_id", "diagonal", "item", "text")
+    rows = found.join(tests, "item_id").join(texts, "doc_id").select("doc_id", "item_id", "diagonals", "item", "text")
 
     def run(batches):
         for batch in batches:
-            ids = [batch.column(c).to_pylist() for c in ("doc_id", "item_id", "diagonal")]
+            ids = [batch.column(c).to_pylist() for c in ("doc_id", "item_id", "diagonals")]
             (doc_bytes, doc_at), (item_bytes, item_at) = (text_buffers(batch.column(c)) for c in ("text", "item"))
             out, last, words = [], None, None
-            for i, (doc_id, item_id, diagonal) in enumerate(zip(*ids, strict=True)):
+            for i, (doc_id, item_id, diagonals) in enumerate(zip(*ids, strict=True)):
                 body = doc_bytes[doc_at[i] : doc_at[i + 1]]
                 if last is None or len(last) != len(body) or not np.array_equal(last, body):
                     last, words = body, word_hashes(body, doc_at[i : i + 2])[0]
                 item = word_hashes(item_bytes[item_at[i] : item_at[i + 1]], item_at[i : i + 2])[0]
-                a, b = max(0, -diagonal), min(len(item), len(words) - diagonal)
-                equal = words[a + diagonal : b + diagonal] == item[a:b]
-                best = best_stretch(equal, min(min_tokens, len(item)), min_share)
-                if best is not None:
-                    start, end, same = best
-                    out.append((doc_id, item_id, a + diagonal + start, a + start, end - start, same))
+                for diagonal in diagonals:
+                    a, b = max(0, -diagonal), min(len(item), len(words) - diagonal)
+                    equal = words[a + diagonal : b + diagonal] == item[a:b]
+                    best = best_stretch(equal, min(min_tokens, len(item)), min_share)
+                    if best is not None:
+                        start, end, same = best
+                        out.append((doc_id, item_id, a + diagonal + start, a + start, end - start, same))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(6)], names=names)
 
     names = ["doc_id", "item_id", "doc_start", "item_start", "tokens", "matches"]
