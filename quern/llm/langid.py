@@ -18,13 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, cut, learn_mod, text_buffers
+from .common import blocks, cut, fresh, learn_mod, text_buffers
 
 #: Byte classes (6 bits); 0 also stands before a text's start.
 CLASSES = 64
 ORDER = 3
-#: Cells of the table of code lengths, over all contexts, symbols and languages.
-CELLS = 1 << 23
 UNKNOWN = "und"
 
 
@@ -33,8 +31,8 @@ class Model:
     languages: list[str]
     byte_class: np.ndarray  # 256 -> class
     byte_bits: np.ndarray  # bits that tell a byte within its class
-    node: np.ndarray  # order-3 context -> its longest context in the tree
-    bits: np.ndarray  # language, context, symbol -> code length
+    node: list[np.ndarray]  # of each language: order-3 context -> its longest context in the tree
+    bits: list[np.ndarray]  # of each language: context, symbol -> code length
 
 
 def _codes(data: np.ndarray, offsets: np.ndarray, byte_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,18 +49,25 @@ def _codes(data: np.ndarray, offsets: np.ndarray, byte_class: np.ndarray) -> tup
 
 
 def learn(docs: DataFrame, *, train: Column, language: str = "lang", id_column: str = "doc_id", text_column: str = "text", per_language: int = 1500, least: int = 24) -> Model:
-    """Statistics of whole texts of at most ``per_language`` documents for each language, those with the smallest hashes of the id among the rows that ``train`` admits. That is the documented bound of this classifier's sample; rows with a null text or language aren't used. A context of three bytes is in the tree if it was seen ``least`` times."""
-    rows = docs.filter(train & docs[language].isNotNull() & docs[text_column].isNotNull())
+    """Statistics of whole texts of at most ``per_language`` documents for each language, those with the smallest hashes of the id among the rows that ``train`` admits. That is the documented bound of this classifier's sample. A context of three bytes is in the tree if it was seen ``least`` times.
+
+    Rows with a null text, id or language aren't used; of rows that share id and language the smallest
+    text is. Texts are learned from whole. Equal hashes are ranked by id. Without any rows the model has
+    no languages. It is as large as its languages are many: 2 MB for each, and 256 bytes for each of its
+    three-byte contexts in the tree, of which there are 262,144 at most. Other columns are ignored.
+    """
+    rows = docs.filter(train & docs[language].isNotNull() & docs[text_column].isNotNull() & docs[id_column].isNotNull())
     order = Window.partitionBy("language").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.select(docs[language].alias("language"), docs[id_column].alias("doc_id"))
     # hashes are even over their range, so the smallest lie below a cut that follows from the count; the rank among those is exact
     share = F.least(F.lit(1.0), (per_language + 10 * per_language**0.5 + 50) / F.col("_c"))
-    counts = ids.groupBy("language").agg(F.count("*").alias("_c"))
+    # a row for each language, of which the model itself holds a table each; so ids are cut where they are read, before any are dealt by language
+    counts = F.broadcast(ids.groupBy("language").agg(F.count("*").alias("_c")))
     low = (F.xxhash64("doc_id") / 2.0**63 + 1) / 2 <= share
-    ids = ids.join(counts, "language").filter(low).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
-    chosen = ids.select("doc_id").distinct()
-    sample = rows.select(docs[language].alias("language"), docs[id_column].alias("doc_id"), docs[text_column].cast("string").alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
-    sample = cut(sample.select("language", "text"), "sample")
+    ids = ids.join(counts, "language").filter(low).select("language", "doc_id").distinct().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
+    chosen = ids.select("language", "doc_id")
+    sample = rows.select(docs[language].alias("language"), docs[id_column].alias("doc_id"), docs[text_column].cast("string").alias("text")).join(F.broadcast(chosen), ["language", "doc_id"], "left_semi")
+    sample = cut(sample.groupBy("language", "doc_id").agg(F.min("text").alias("text")).select("language", "text"), "sample")
 
     def histogram(batches):
         for batch in batches:
@@ -96,29 +101,30 @@ def learn(docs: DataFrame, *, train: Column, language: str = "lang", id_column:
 
 
 def freeze(languages, which, gram, n, byte_class, byte_bits, least) -> Model:
-    """Code lengths of all contexts of up to two bytes, and of the frequent ones of three, in every language."""
+    """Code lengths of all contexts of up to two bytes in every language, and of the frequent ones of three in the languages that have them: where a language has none of a context's, the context one byte shorter has the same code lengths."""
     seen = np.bincount(gram >> 6, weights=n, minlength=CLASSES**ORDER)
-    room = max(0, CELLS // (CLASSES * max(1, len(languages))) - CLASSES**2 - CLASSES - 1)
-    deep = np.flatnonzero(seen >= least)
-    deep = np.sort(deep[np.argsort(-seen[deep], kind="stable")[:room]])
-    first = CLASSES**2
-    node = (np.arange(CLASSES**ORDER) & (CLASSES**2 - 1)).astype(np.int32)
-    node[deep] = first + np.arange(len(deep), dtype=np.int32)
-    bits = np.zeros((len(languages), first + len(deep), CLASSES), np.float32)
+    first, nodes, tables = CLASSES**2, [], []
     for k in range(len(languages)):
         mine, count = gram[which == k], n[which == k].astype(float)
+        deep = np.unique(mine >> 6)
+        deep = deep[seen[deep] >= least]
+        node = (np.arange(CLASSES**ORDER) & (CLASSES**2 - 1)).astype(np.int32)
+        node[deep] = first + np.arange(len(deep), dtype=np.int32)
+        bits = np.zeros((first + len(deep), CLASSES), np.float32)
         lower = np.full((1, CLASSES), 1 / CLASSES)
         for order in range(ORDER):
             c = np.bincount(mine & (CLASSES ** (order + 1) - 1), weights=count, minlength=CLASSES ** (order + 1)).reshape(-1, CLASSES)
             lower = _mixed(c, np.tile(lower, (len(c) // len(lower), 1)))
-        bits[k, :first] = -np.log2(lower)
+        bits[:first] = -np.log2(lower)
         if len(deep):
             place = np.full(CLASSES**ORDER, -1)
             place[deep] = np.arange(len(deep))
             at = place[mine >> 6]
             c = np.bincount(at[at >= 0] * CLASSES + (mine[at >= 0] & (CLASSES - 1)), weights=count[at >= 0], minlength=len(deep) * CLASSES).reshape(-1, CLASSES)
-            bits[k, first:] = -np.log2(_mixed(c, lower[deep & (CLASSES**2 - 1)]))
-    return Model(list(languages), byte_class, byte_bits, node, bits)
+            bits[first:] = -np.log2(_mixed(c, lower[deep & (CLASSES**2 - 1)]))
+        nodes.append(node)
+        tables.append(bits)
+    return Model(list(languages), byte_class, byte_bits, nodes, tables)
 
 
 def _mixed(count: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -153,13 +159,12 @@ def score(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.nda
     for d, e in blocks(offsets):
         part, at = data[offsets[d] : offsets[e]], offsets[d : e + 1]
         context, symbol = _codes(part, at, model.byte_class)
-        cell = model.node[context] * CLASSES + symbol
         some = np.flatnonzero(np.diff(at))
         if len(some):
             starts = (at[:-1] - at[0])[some]
             own = np.add.reduceat(model.byte_bits[part], starts)
-            for k, table in enumerate(model.bits):
-                bits[k, d + some] = np.add.reduceat(table.ravel()[cell], starts, dtype=np.float64) + own
+            for k, (node, table) in enumerate(zip(model.node, model.bits, strict=True)):
+                bits[k, d + some] = np.add.reduceat(table.ravel()[node[context] * CLASSES + symbol], starts, dtype=np.float64) + own
     known = _letters(data, offsets, column) & bool(model.languages)
     if not model.languages:
         return [UNKNOWN] * n, np.zeros(n), np.zeros(n)
@@ -170,15 +175,16 @@ def score(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.nda
     return names, np.where(known, sure, 0.0), least / np.maximum(np.diff(offsets), 1)
 
 
-def tag(docs: DataFrame, model: Model, *, text_column: str = "text") -> DataFrame:
-    """All rows and columns, with lang_pred, lang_score and lang_bits (columns of these names are replaced). Only the text is read for it.
+def tag(docs: DataFrame, model: Model, *, text_column: str = "text", names: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_bits")) -> DataFrame:
+    """All rows and columns, with the language, its probability and the bits a byte in columns of the given names (columns of these names are replaced). Only the text is read for it.
 
     ``und`` with score 0: a null text, one without letters, or a model without languages. Texts of
-    any length are scored whole. An empty table gives no rows.
+    any length are scored whole. Languages with equal code lengths: the first by name. Repeated rows
+    get the same result. An empty table gives no rows.
     """
-    own = ["lang_pred", "lang_score", "lang_bits"]
+    own = list(names)
     docs = docs.drop(*own)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most CELLS cells
+    held = docs.sparkSession.sparkContext.broadcast(model)  # its size: see learn
     place = docs.columns.index(text_column)
 
     def run(batches):
@@ -186,7 +192,7 @@ def tag(docs: DataFrame, model: Model, *, text_column: str = "text") -> DataFram
             name, sure, bits = score(held.value, batch.column(place))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name, pa.string()), pa.array(sure), pa.array(bits)], names=[*batch.schema.names, *own])
 
-    more = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_bits", T.DoubleType())]
+    more = [T.StructField(c, t) for c, t in zip(own, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True)]
     schema = T.StructType([*docs.schema.fields, *more])
     return docs.mapInArrow(run, schema)
 
@@ -197,10 +203,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def language_filter(docs: DataFrame, *, keep: list[str] | None = None, least: float = 0.5) -> DataFrame:
-    """The rows, with their columns, whose predicted language is known (or in ``keep``) with a probability of at least ``least``. Learns from the rows' own labels; without any, every row is kept."""
+    """The rows, with their columns, whose predicted language is known (or in ``keep``) with a probability of at least ``least``. Learns from the rows' own labels; without any, every row is kept. Null, empty and letterless texts go; repeated rows are kept or go together; an empty table gives no rows."""
     model = learn(docs, train=~held_out(docs["doc_id"]))
     if not model.languages:
         return docs
-    tagged = tag(docs, model)
-    known = F.col("lang_pred").isin(keep) if keep else F.col("lang_pred") != UNKNOWN
-    return tagged.filter(known & (F.col("lang_score") >= least)).select(*docs.columns)
+    names = fresh(docs, "language", "sure", "bits")
+    tagged = tag(docs, model, names=tuple(names))
+    known = F.col(names[0]).isin(keep) if keep else F.col(names[0]) != UNKNOWN
+    return tagged.filter(known & (F.col(names[1]) >= least)).select(*docs.columns)
