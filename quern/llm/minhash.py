@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, drop_ids, mix64, residue, residues_of, shingle_hashes, text_buffers, word_hashes
+from .common import blocks, cut, discard, drop_ids, mix64, residue, residues_of, shingle_hashes, text_buffers, word_hashes
 
 #: Rows that go through one vectorised step of the signatures.
 _STEP = 1 << 16
 #: Classes of a band that one task compares with as many others.
 _GROUP = 2048
+#: And how many shingles these may have: 8 bytes each, and about as much text.
+_GROUP_SHINGLES = 1 << 22
 
 
 def _permute(x: np.ndarray, seed: int) -> np.ndarray:
@@ -107,18 +109,21 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := state(edges)) != before:
         before = now
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = cut(small.filter("a <> b").distinct(), "edges")
+        # minima are tables, so that a join by a star's centre reads plain exchanges, which Spark can split
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large")
+        lower = cut(large.groupBy("a").agg(F.min("b").alias("m")), "lower")
+        small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lower.select("a", F.col("m").alias("b")))
+        last, edges = edges, cut(small.filter("a <> b").distinct(), "edges")
+        for table in (last, least, large, lower):
+            discard(table)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of some ids. Only these texts are shuffled: those of other ids are dropped before, by a broadcast of their residues."""
+    """(doc_id, text) of some ids; of rows that share an id the smallest text. Only these texts are shuffled: those of other ids are dropped before, by a broadcast of their residues. A table, so that joins with it read plain exchanges, whose hot partitions Spark can split."""
     texts = docs.withColumn("_r", residue(F.col("doc_id"))).join(residues_of(ids, "doc_id", "_r"), "_r", "left_semi").join(ids, "doc_id", "left_semi")
-    return cut(texts.select("doc_id", "text"), "texts").dropDuplicates(["doc_id"])
+    return cut(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -145,12 +150,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int)
 
 def _rest(members: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame, least: float, width: int, num: int, den: int) -> DataFrame:
     """Links (a, b) not found yet: in bands that hold several components, classes of different ones whose signature bytes agree in a share of at least ``least`` are compared by their full sets. A pair is looked at in the first band that it shares, and no more once a task has found its components linked; so only links come out, not pairs."""
-    now = members.join(comp, members.rep == comp.node, "left").select("key", "rep", "lead", F.coalesce("root", "rep").alias("root"))
-    mixed = now.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n")).filter("r <> s and n > 2")
-    many = F.ceil(F.col("n") / _GROUP).cast("int")
+    now = members.join(comp, members.rep == comp.node, "left").select("key", "rep", "lead", "n_shingles", F.coalesce("root", "rep").alias("root"))
+    mixed = now.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n"), F.sum("n_shingles").alias("size")).filter("r <> s and n > 2")
+    many = F.greatest(F.ceil(F.col("n") / _GROUP), F.ceil(F.col("size") / _GROUP_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("rep"), many).cast("int")
     # the band's smallest class has been compared with all others
-    dealt = cut(now.filter("rep <> lead").join(mixed.select("key", "n"), "key").withColumn("own", own), "mixed")
+    dealt = cut(now.filter("rep <> lead").join(mixed.select("key", "n", "size"), "key").withColumn("own", own), "mixed")
     texts = _texts(dealt.select(F.col("rep").alias("doc_id")).distinct(), docs)
     dealt = dealt.join(classes.select("rep", "low", "bands"), "rep").join(texts.toDF("rep", "text"), "rep")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
@@ -200,8 +205,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 75, den: int
     linked texts agree in fewer than ``least`` of 128 coordinates with about the same.
 
     A text with fewer words is one shingle; null, empty or blank texts have none, are linked with
-    nothing and kept. Rows with the same id and text are one node; a null id is never linked.
-    An empty table gives no rows. Other columns are ignored.
+    nothing and kept. Rows with the same id are one node; where their texts differ, the smallest text
+    is the one compared. A null id is never linked. Texts of any length are compared whole. An empty table gives no rows. Other columns are ignored.
     """
     docs = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
     sketches = cut(sketch(docs, width=width, bands=bands, rows=rows), "sketches")
@@ -211,7 +216,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 75, den: int
     reps = cut(known.groupBy(*digest).agg(F.min("doc_id").alias("rep")), "reps")
     # only classes need bands; the digest tells a class from another row with the same id
     classes = cut(known.join(reps, digest).filter("doc_id = rep").dropDuplicates(["rep", *digest]).select("rep", *digest, "bands", "low"), "classes")
-    keys = classes.select(F.explode("bands").alias("key"), "rep")
+    keys = classes.select(F.explode("bands").alias("key"), "rep", "n_shingles")
     shared = cut(keys.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shared")
     members = cut(keys.join(shared, "key"), "members")
     first = members.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
