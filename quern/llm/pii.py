@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .fingerprint import let
 
 #: Rounds, alternately on the left and the right part.
@@ -183,15 +184,17 @@ def pseudonymise(docs: DataFrame, *, key: str, text_column: str = "text") -> Dat
     Null and empty texts stay, with 0 values. Texts without a digit aren't searched twice. Rows
     are independent of each other: nothing is shuffled, so skew, repeated rows and ties have no
     effect. An empty table gives no rows. Invalid values (a card number that fails the Luhn check,
-    a 31st of April) stay. ``key`` should be long and secret; it is part of the query plan.
+    a 31st of April) stay. The part of an e-mail address behind the @ stays in clear, and so does an address
+    whose part before it has over 64 characters, the standard's limit. ``key`` should be long and secret; it is part of the query plan.
     """
     docs = docs.drop("pii_values")
     text = F.col(text_column)
-    found = docs.withColumn("_found", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    found = found.withColumn("_new", F.transform("_found", lambda v: pseudonym(v, key)))
-    some = F.size("_found") > 0
+    old, new = fresh(docs, "old", "new")
+    found = docs.withColumn(old, F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    found = found.withColumn(new, F.transform(old, lambda v: pseudonym(v, key)))
+    some = F.size(old) > 0
     parts = F.split(text, ANY, -1)
-    joined = F.array_join(F.zip_with(parts, "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x)).cast("long")
+    joined = F.array_join(F.zip_with(parts, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    changed = F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x)).cast("long")
     out = [F.when(some, joined).otherwise(text).alias(c) if c == text_column else F.col(c) for c in docs.columns]
     return found.select(*out, F.when(some, changed).otherwise(0).alias("pii_values"))
