@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import _BASE, cut, mix64
+from .common import _BASE, cut, mix64, shuffles_removed
 
 ROUNDS = 6
 
@@ -58,13 +58,14 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return docs.mapInArrow(run, "part long, at long, n long, ids binary")
 
 
-def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4096, tokenizer: str | None = None, end_id: int = 50256, most_partitions: int = 10_000, text_column: str = "text") -> DataFrame:
+def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4096, tokenizer: str | None = None, end_id: int = bpe.END_ID, most_partitions: int = 20_000, text_column: str = "text") -> DataFrame:
     """One row for each sequence: slot, shard, byte_offset (in the file of its shard, as ``write_shards`` writes it), sequence_id, n_tokens, ids_crc32 and record, the ids with the end id as padding. Each partition holds a range of whole shards in the order of slots.
 
     Null and empty texts: the end id alone. Repeated rows and ids are rows like others. Only the
     last sequence is padded. The stream is pinned by a table of ids, so lost executors change
     nothing; another split of the input gives another stream. An empty table gives no rows. Other
-    columns are ignored.
+    columns are ignored. Each task makes one shard, or more where there are over ``most_partitions``
+    shards (of 16 MB by default); it sorts them with spills, so its memory stays bounded.
     """
     path = tokenizer or bpe.default_path()
     coded = cut(tokens(docs.select(docs[text_column].cast("string").alias("text")), path, end_id), "tokens")
@@ -131,7 +132,10 @@ MARK = "\n"
 
 def write_shards(rows: DataFrame, path: str) -> None:
     """Writes ``materialise``'s rows as binary files, one folder ``shard=K`` each, through Spark's own committing writer, so to any store it knows and safe against lost executors. Slot s is in shard s // shard, at (s % shard) * (bytes of a record + 1)."""
-    rows.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", MARK).text(path)
+    # sorted by slot here: no order is known of rows that come from Python, so the writer would sort by shard alone, which loses the slots' order when it spills
+    sorted_rows = rows.sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string").alias("value"))
+    with shuffles_removed(rows.sparkSession):
+        sorted_rows.write.partitionBy("shard").option("lineSep", MARK).text(path)
 
 
 def read_back(spark: SparkSession, path: str, *, length: int = 2048, shard: int = 4096, width: int = 2) -> DataFrame:
