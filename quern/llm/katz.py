@@ -18,10 +18,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _mixed, blocks, cut, learn_mod, mix64, release, text_buffers, word_hashes
+from .common import _BASE, _mixed, blocks, cut, learn_mod, mix64, text_buffers, word_hashes
 
 #: Counts up to this are discounted.
 K = 5
@@ -32,6 +34,16 @@ HELD_BACK = 0.5
 _CODEC = "zstd"
 
 
+def _narrow(values: np.ndarray) -> bytes:
+    """Counts, in as many bytes as the largest takes: 1, 2, 4 or 8."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(values) or int(values.max()) < 1 << 8 * w)
+    return bytes([width]) + _packed(values.astype(f"<u{width}"))
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return _unpacked(data[1:], f"<u{data[0]}").astype(np.int64)
+
+
 def _packed(values: np.ndarray) -> bytes:
     raw = np.ascontiguousarray(values).tobytes()
     return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec=_CODEC, asbytes=True) if raw else b"")
@@ -69,10 +81,10 @@ def coded(docs: DataFrame, batch_bytes: int) -> DataFrame:
     """One row for each batch of about ``batch_bytes`` of text, in the order of the rows: ids, which are learned from, tokens of each document, distinct word hashes, and every token's place among them. A longer text is a batch of its own."""
 
     def run(batches):
-        held, size = [], 0
+        held, size, done = [], 0, 0
 
         def row():
-            ids, learn, words = (np.concatenate([h[k] for h in held]) for k in range(3))
+            ids, learn, words, named = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2, 4))
             counts = np.concatenate([np.diff(h[3]) for h in held]) + 1
             ends = np.cumsum(counts)
             last = np.zeros(ends[-1], bool)
@@ -80,20 +92,20 @@ def coded(docs: DataFrame, batch_bytes: int) -> DataFrame:
             tokens = np.empty(len(last), np.uint64)
             tokens[last], tokens[~last] = END, words
             vocabulary, place = np.unique(tokens, return_inverse=True)
-            name = np.bitwise_xor.reduce(mix64(mix64(ids.astype(np.uint64)) + np.arange(len(ids), dtype=np.uint64)) ^ mix64(counts.astype(np.uint64))) ^ vocabulary[0]
-            values = [[int(name.view(np.int64))], [ids], [learn], [counts], [vocabulary.tobytes()], [_packed(place.astype(np.int32))]]
+            values = [[TaskContext.get().partitionId() << 40 | done], [pa.array(ids, mask=~named).to_pylist()], [learn], [counts], [vocabulary.tobytes()], [_packed(place.astype(np.int32))]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)], names=names)
 
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            ids, learn = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            ids, learn = pc.fill_null(batch.column(0), 0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
             for d, e in blocks(offsets):
                 words, starts = word_hashes(data[offsets[d] : offsets[e]], offsets[d : e + 1])
-                held.append((ids[d:e], learn[d:e], words, starts))
+                held.append((ids[d:e], learn[d:e], words, starts, named[d:e]))
                 size += int(offsets[e] - offsets[d])
                 if size >= batch_bytes:
                     yield row()
-                    held, size = [], 0
+                    held, size, done = [], 0, done + 1
         if held:
             yield row()
 
@@ -105,7 +117,7 @@ class Batch:
     """A coded row: tokens as places in the vocabulary, and its distinct pairs."""
 
     def __init__(self, row: dict, pairs: bool = True):
-        self.ids, self.learn = row["ids"], np.array(row["learn"], bool)
+        self.ids, self.learn = pa.array(row["ids"], pa.int64()), np.array(row["learn"], bool)
         self.counts = np.array(row["counts"], np.int64)
         self.vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
         self.tokens = _unpacked(row["tokens"], np.int32)
@@ -152,9 +164,9 @@ def count(batches: DataFrame, kind: str, buckets: int) -> DataFrame:
                 b = Batch(row, kind == "p")
                 keys, n, other = b.question(kind)
                 order, edge = _parts(keys, buckets)
-                keys, n, other = keys[order], n[order].astype(np.uint32), other[order]
+                keys, n, other = keys[order], n[order], other[order]
                 full = np.flatnonzero(np.diff(edge))
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array([row["batch"]] * len(full), pa.int64()), pa.array([_pack_keys(keys[edge[k] : edge[k + 1]]) for k in full], pa.binary()), pa.array([_packed(n[edge[k] : edge[k + 1]]) for k in full], pa.binary()), pa.array([_packed(np.packbits(other[edge[k] : edge[k + 1]])) for k in full], pa.binary())], names=["bucket", "batch", "keys", "n", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array([row["batch"]] * len(full), pa.int64()), pa.array([_pack_keys(keys[edge[k] : edge[k + 1]]) for k in full], pa.binary()), pa.array([_narrow(n[edge[k] : edge[k + 1]]) for k in full], pa.binary()), pa.array([_packed(np.packbits(other[edge[k] : edge[k + 1]])) for k in full], pa.binary())], names=["bucket", "batch", "keys", "n", "other"])
 
     asked = batches.mapInArrow(ask, "bucket long, batch long, keys binary, n binary, other binary")
 
@@ -162,10 +174,11 @@ def count(batches: DataFrame, kind: str, buckets: int) -> DataFrame:
         bucket, batch = table.column("bucket")[0].as_py(), table.column("batch").to_pylist()
         order = np.argsort(batch, kind="stable")
         keys = [_unpack_keys(table.column("keys")[int(i)].as_py()) for i in order]
-        n = np.concatenate([_unpacked(table.column("n")[int(i)].as_py(), np.uint32) for i in order]).astype(np.int64)
+        n = np.concatenate([_wide(table.column("n")[int(i)].as_py()) for i in order])
         edge = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(place, weights=n, minlength=len(distinct)).astype(np.int64)
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, place, n)
         if kind == "w":
             other = np.concatenate([np.unpackbits(_unpacked(table.column("other")[int(i)].as_py(), np.uint8))[: len(k)] for i, k in zip(order, keys, strict=True)])
             flag = (np.bincount(place, weights=other, minlength=len(distinct)) > 0)[place]
@@ -174,7 +187,7 @@ def count(batches: DataFrame, kind: str, buckets: int) -> DataFrame:
             flag[seen[np.unique(place[seen], return_index=True)[1]]] = True
         known = total[total > 0]
         figures = [len(known), int(known.sum()), *np.bincount(known[known <= K + 1], minlength=K + 2)[1:].tolist()]
-        answers = [(_packed(total[place[a:b]].astype(np.uint32)), _packed(np.packbits(flag[a:b]))) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        answers = [(_narrow(total[place[a:b]]), _packed(np.packbits(flag[a:b]))) for a, b in zip(edge[:-1], edge[1:], strict=True)]
         return pa.table({"bucket": pa.array([bucket] * (len(keys) + 1), pa.int64()), "batch": pa.array([*(batch[int(i)] for i in order), None], pa.int64()), "totals": pa.array([*(a for a, _ in answers), None], pa.binary()), "flag": pa.array([*(o for _, o in answers), None], pa.binary()), "figures": pa.array([*([None] * len(keys)), figures], pa.list_(pa.int64()))})
 
     return asked.groupBy("bucket").applyInArrow(answer, "bucket long, batch long, totals binary, flag binary, figures array<long>")
@@ -219,7 +232,7 @@ class Answers:
         totals, flag = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
         for r in rows:
             a, b = edge[r["bucket"]], edge[r["bucket"] + 1]
-            totals[a:b] = _unpacked(r["totals"], np.uint32)
+            totals[a:b] = _wide(r["totals"])
             flag[a:b] = np.unpackbits(_unpacked(r["flag"], np.uint8))[: b - a].astype(bool)
         self.totals, self.flag = np.empty_like(totals), np.empty_like(flag)
         self.totals[order], self.flag[order] = totals, flag
@@ -233,7 +246,7 @@ def _rows(kind: int, batch: int, columns: dict) -> pa.RecordBatch:
     fixed = {"kind": pa.array(np.full(size, kind, np.int32)), "batch": pa.array(np.full(size, batch, np.int64))}
     types = {"x": pa.float64(), "y": pa.float64()}
     names = [c.split()[0] for c in FOUND.split(", ")]
-    return pa.RecordBatch.from_arrays([fixed[c] if c in fixed else pa.array(columns[c], types.get(c, pa.int64())) if c in columns else pa.nulls(size, types.get(c, pa.int64())) for c in names], names=names)
+    return pa.RecordBatch.from_arrays([fixed[c] if c in fixed else columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], types.get(c, pa.int64())) if c in columns else pa.nulls(size, types.get(c, pa.int64())) for c in names], names=names)
 
 
 def _evaluated(b: Batch, batch: int, w: Answers, p: Answers, word_d: np.ndarray, pair_d: np.ndarray, n: int, v: int, scale: float, unknown: float):
@@ -262,11 +275,10 @@ def score(docs: DataFrame, *, train: Column, batch_bytes: int = 8 << 20, bucket_
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row: log10 probabilities of the whole text and its end, under the add-one unigram model and the Katz bigram model of the rows that ``train`` admits.
 
     Null and empty texts are their end alone. Rows with the same id are scored each; a null id
-    comes back as -1. Without learning texts all words are unknown, and both models give the
+    stays null. Without learning texts all words are unknown, and both models give the
     unknown word all probability. An empty table gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(docs[id_column].cast("long"), F.lit(-1)).alias("doc_id"), docs[text_column].cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("learn"))
+    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("learn"))
     total_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = 1 << max(0, (total_bytes // bucket_bytes).bit_length())
     batches = cut(coded(rows, batch_bytes), "batches")
@@ -278,7 +290,6 @@ def score(docs: DataFrame, *, train: Column, batch_bytes: int = 8 << 20, bucket_
     lost = sum(word_figures[1 + c] * c * (1 - word_d[c]) for c in range(1, K + 1))
     unknown = lost / n if n and lost > 0 else 1 / (n + 1)
     scale = (1 - unknown) / (1 - lost / n) if n else 1.0
-    release(spark)
 
     # one answer from each bucket for a batch
     answers = lambda counted, name: counted.filter("batch is not null").groupBy("batch").agg(F.collect_list(F.struct("bucket", "totals", "flag")).alias(name))
@@ -292,8 +303,8 @@ def score(docs: DataFrame, *, train: Column, batch_bytes: int = 8 << 20, bucket_
                 yield from _evaluated(b, row["batch"], Answers(b.vocabulary, buckets, row["w"]), Answers(b.keys, buckets, row["p"]), word_d, pair_d, n, v, scale, unknown)
 
     found = cut(met.mapInArrow(evaluate, FOUND), "evaluated")
-    release(spark)
-    context = found.filter("kind = 1").groupBy("key").agg(F.max("n").alias("c"), F.sum("x").alias("kept"), F.sum("y").alias("lower"))
+    # a table, so that the join by a context that all documents have reads plain exchanges, which Spark can split
+    context = cut(found.filter("kind = 1").groupBy("key").agg(F.max("n").alias("c"), F.sum("x").alias("kept"), F.sum("y").alias("lower")), "contexts")
     weight = F.log10((1 - F.col("kept") / (F.col("c") + HELD_BACK)) / (1 - F.col("lower")))
     need = found.filter("kind = 2").select("batch", "place", "key", "n").join(context.select("key", weight.alias("a")), "key")
     more = need.groupBy("batch", "place").agg(F.sum(F.col("n") * F.col("a")).alias("more"))
