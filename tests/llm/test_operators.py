@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,9 +17,33 @@ from quern.llm import bpe, decontam, fingerprint, katz, langid, linededup, minha
 from .fixtures import SCHEMA, components, documents, frame, prose, shingles, words
 
 
+CLASH = "_r _gone _key _lines _found _runs key rep batch seed bands residue residue_0 gone_0 key_0 key_0_ old_0 new_0 said_0 language_0 sure_0 name_0 Lines_0 row0_0 kept_0".split()
+
+
 def clash(df):
-    """Columns whose names operators use inside."""
-    return df.withColumns({c: F.lit(1) for c in ("_r", "key", "rep", "lang_pred", "removed_lines", "pii_values", "batch", "seed", "bands")})
+    """Columns whose names operators use inside, now or before, and those that some return."""
+    return df.withColumns({c: F.lit(k) for k, c in enumerate(CLASH)} | {c: F.lit("own") for c in ("lang_pred", "removed_lines", "pii_values")})
+
+
+def unchanged(out, but=()):
+    """Clashing columns came back as they were."""
+    for r in out.collect():
+        assert [r[c] for c in CLASH] == list(range(len(CLASH)))
+        assert all(r[c] == "own" for c in ("lang_pred", "removed_lines", "pii_values") if c not in but)
+
+
+def test_clashing_columns_come_back(spark):
+    rows = documents(n=12)
+    docs = clash(frame(spark, rows))
+    tests = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
+    unchanged(linededup.remove_repeats(docs), ["removed_lines"])
+    unchanged(pii.pseudonymise(docs, key="k"), ["pii_values"])
+    unchanged(langid.language_filter(docs))
+    unchanged(langid.tag(docs, langid.learn(docs, train=F.lit(True))), ["lang_pred"])
+    unchanged(minhash.drop_near_duplicates(docs))
+    left = decontam.drop_contaminated(docs, tests)
+    unchanged(left)
+    assert left.columns == docs.columns and left.count() < len(rows)
 
 
 def exact_ids():
@@ -64,6 +89,16 @@ def test_url_filter_against_every_interval(spark):
     assert urlfilter.as_of(c.limit(0), e).count() == 0
 
 
+def test_url_filter_ties_and_clashing_names(spark):
+    lists = [f"list{k}" for k in range(40)]
+    e = spark.createDataFrame([(x, f"h{k}.com", "add", "2024-01-01") for k in range(8) for x in random.Random(k).sample(lists, 5)], "list string, key string, action string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    first = {r["key"]: r["m"] for r in e.groupBy("key").agg(F.min("list").alias("m")).collect()}
+    c = spark.createDataFrame([(f"http://h{k}.com/{k}", "2024-02-01", 5, 6, 7) for k in range(8)] * 3 + [(None, None, 5, 6, 7)], "url string, fetched_at string, _row long, row0_0 long, key long").withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    got = urlfilter.as_of(c, e).collect()
+    assert len(got) == 25 and all((r["_row"], r["row0_0"], r["key"]) == (5, 6, 7) for r in got)
+    assert all(r["matched_list"] == (first[r["matched_key"]] if r["url"] else None) for r in got) and sum(r["blocked"] for r in got) == 24
+
+
 def test_url_filter_of_deep_hosts_and_paths_and_capitals(spark):
     deep, path = ".".join("abcdefghijkl") + ".com", "/".join(f"s{k}" for k in range(12))
     entries = [("l", k, "add", "2024-01-01") for k in (deep, f"p.com/{path}", "A.com/Blog", "q.com/x")]
@@ -98,6 +133,17 @@ def test_packing_covers_every_id_once(spark, block):
     assert packing.pack(frame(spark).limit(0)).count() == 0
 
 
+def test_few_tokens_leave_their_window():
+    rng = random.Random(20)
+    packer, total = packing.Packer(2048), 0
+    for k in range(20_000):
+        n = int(rng.lognormvariate(6, 1)) + 1
+        total += n
+        assert all(sum(len(p[2]) for p in w) == 4 * size for size, w in packer.add(k, b"1234" * n))
+    assert all(sum(len(p[2]) for p in w) == 4 * size and (size == 2048 or size & (size - 1) == 0) for size, w in packer.finish())
+    assert 0 < packer.recut < 0.05 * total
+
+
 def test_sum_of_squares_choice():
     p = packing.SumOfSquares(10)
     assert p.place(4, "a") is None
@@ -199,7 +245,7 @@ def test_code_lengths_add_up_and_tell_languages(spark):
     docs = frame(spark, rows)
     model = langid.learn(docs, train=~langid.held_out(F.col("doc_id")), least=2)
     assert model.languages == ["de", "en", "fr"]
-    assert np.allclose(np.exp2(-model.bits.astype(float)).sum(2), 1, atol=1e-4)
+    assert all(np.allclose(np.exp2(-b.astype(float)).sum(1), 1, atol=1e-4) for b in model.bits)
     out = langid.tag(clash(docs), model).toPandas()
     assert out.columns.tolist().count("lang_pred") == 1
     assert len(out) == len(rows)
@@ -216,6 +262,49 @@ def test_code_lengths_add_up_and_tell_languages(spark):
     assert langid.language_filter(docs.limit(0)).count() == 0
 
 
+def brute_bits(model, learned, text, least):
+    """Code lengths from plain dictionaries: a probability for each byte by recursion over its context's suffixes."""
+    classes = lambda t: [0, 0, 0, *(int(model.byte_class[b]) for b in t.encode())]
+    seen, every = defaultdict(lambda: defaultdict(Counter)), Counter()
+    for language, t in learned:
+        c = classes(t)
+        for i in range(3, len(c)):
+            every[tuple(c[i - 3 : i])] += 1
+            for n in range(4):
+                seen[language][tuple(c[i - n : i])][c[i]] += 1
+
+    def p(language, context, symbol):
+        if len(context) == 3 and every[context] < least:
+            return p(language, context[1:], symbol)
+        below = (lambda s: p(language, context[1:], s)) if context else lambda s: 1 / 64
+        c = seen[language][context]
+        if not c:
+            return below(symbol)
+        total = sum(c.values()) + (len(c) if len(c) < 64 else 0)
+        if symbol in c:
+            return c[symbol] / total
+        return len(c) / total * below(symbol) / sum(below(s) for s in range(64) if s not in c)
+
+    code = classes(text)
+    own = sum(float(model.byte_bits[b]) for b in text.encode())
+    return [own - sum(math.log2(p(k, tuple(code[i - 3 : i]), code[i])) for i in range(3, len(code))) for k in model.languages]
+
+
+def test_code_lengths_equal_brute_force(spark):
+    rng = random.Random(6)
+    learned = [(k, "".join(rng.choice({"a": "abcd e", "b": "bcdeéß ", "c": "xyz日 "}[k]) for _ in range(200))) for k in "aabbc"]
+    docs = frame(spark, [(k, t, lang, "s", 0) for k, (lang, t) in enumerate(learned)])
+    model = langid.learn(docs, train=F.lit(True), least=3)
+    texts = ["abc dé", "Xyz zyx", "", "new €", "bcdeéß bcde"]
+    want = [brute_bits(model, learned, t, 3) for t in texts]
+    names, sure, bits = langid.score(model, pa.array(texts))
+    for t, w, name, s, b in zip(texts, want, names, sure, bits):
+        if t:
+            k = int(np.argmin(w))
+            assert name == model.languages[k] and math.isclose(b * len(t.encode()), w[k], rel_tol=1e-4)
+            assert math.isclose(s, 1 / sum(2 ** (w[k] - x) for x in w), rel_tol=1e-2)
+
+
 # --- 5 near-duplicates ----------------------------------------------------------------------
 
 
@@ -307,10 +396,10 @@ def test_shards_round_trip(spark, tmp_path):
     code = exact_ids()
     stream = []
     for _, t, *_ in rows:
-        stream += [*code(t), 50256]
+        stream += [*code(t), 1]
     n = -(-len(stream) // 32)
     assert list(table.slot) == list(range(n))
-    whole = np.array(stream + [50256] * (n * 32 - len(stream)), "<u2").reshape(n, 32)
+    whole = np.array(stream + [1] * (n * 32 - len(stream)), "<u2").reshape(n, 32)
     order = shards.permute(np.arange(n), n, 5)
     shards.write_shards(out, str(tmp_path / "s"))
     for k in range(-(-n // 8)):
@@ -351,6 +440,30 @@ def test_training_order_writes_its_shards(spark):
     assert any(f.startswith("shards-") for f in os.listdir(common.scratch(spark).replace("file:", "")))
 
 
+SPILLS = """
+import sys
+from pyspark.sql import SparkSession, functions as F
+from quern.llm import shards
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.shuffle.spill.numElementsForceSpillThreshold", "150").getOrCreate()
+rows = spark.range(0, 6000, 1, 2).select(F.col("id").alias("slot"), F.floor(F.col("id") / 500).alias("shard"), F.encode(F.lpad(F.col("id").cast("string"), 8, "0"), "utf-8").alias("record"))
+same = rows.mapInArrow(lambda batches: batches, rows.schema)
+shards.write_shards(same, sys.argv[1])
+"""
+
+
+def test_slots_keep_their_places_when_the_writer_spills(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    path = tmp_path / "s"
+    subprocess.run([sys.executable, "-c", SPILLS, str(path)], check=True, timeout=300, cwd=Path(__file__).parents[2], capture_output=True)
+    for k in range(12):
+        (file,) = (path / f"shard={k}").glob("part-*")
+        data = file.read_bytes()
+        assert [int(data[i : i + 8]) for i in range(0, len(data), 9)] == list(range(500 * k, 500 * k + 500))
+
+
 # --- 8 language model -----------------------------------------------------------------------
 
 
@@ -393,6 +506,25 @@ def test_katz_equals_brute_force(spark, size):
         assert np.allclose(tuple(got[d])[4:], want[3:], rtol=1e-9)
 
 
+def test_counts_above_32_bits():
+    big = np.array([0, 5_000_000_000, (1 << 40) + 3, 7])
+    assert (katz._wide(katz._narrow(big)) == big).all()
+    for top in (0, 255, 256, 65_535, 65_536, (1 << 32) - 1, 1 << 32):
+        assert (katz._wide(katz._narrow(np.array([1, top]))) == [1, top]).all()
+    assert len(katz._wide(katz._narrow(np.zeros(0, np.int64)))) == 0
+
+
+def test_katz_of_repeated_batches_and_null_ids(spark):
+    rows = documents(n=12)
+    docs = frame(spark, rows).coalesce(1)
+    twice = docs.union(docs).union(docs.select(F.lit(None).cast("long").alias("doc_id"), *docs.columns[1:]))
+    got = katz.score(clash(twice), train=F.lit(True), batch_bytes=1 << 24).toPandas()
+    assert len(got) == 3 * len(rows) and got.doc_id.isna().sum() == len(rows)
+    assert (got.groupby("doc_id").score.nunique() == 1).all()
+    once = katz.score(docs.union(docs).union(docs), train=F.lit(True)).toPandas()
+    assert np.allclose(sorted(once.score), sorted(got.score))
+
+
 def test_katz_without_learning_texts(spark):
     out = katz.score(frame(spark), train=F.lit(False)).collect()
     assert all(r["score"] == 0 and r["n_known"] == 0 for r in out)
