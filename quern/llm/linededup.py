@@ -12,8 +12,9 @@ isn't compared. What is removed are later repeats of runs of lines with ``min_wo
 3. Matches are extended from there, line by line: forward with the shortest runs of ``min_words``
    words that begin at each line, backward with those that end at each line. A run that reaches a
    fingerprint and equals an earlier one, the first occurrence, repeats it; the union of these is all
-   of every repeated run, up to its first and last lines. Each line of a match is compared with the
-   line at its place in the first occurrence before it goes, so a clash of hashes deletes nothing.
+   of every repeated run, up to its first and last lines. The lines of a match are compared with
+   those of the first occurrence, by SHA-256 of their texts, before they go, so a clash of the short
+   hashes deletes nothing.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ LINE = r"[\x20\x09-\x0D]*+[^\n.!?]*+(?:[.!?](?! )[^\n.!?]*+)*+(?:\n|[.!?] |\z)[\
 #: A line's order is its number of words, up to 127, and 56 bits of its hash.
 _WORD, _MOST = 1 << 56, 127
 _FAR = 1 << 20
+#: Lines of the smallest part of a text in which hits are looked for.
+_PART = 1024
 
 
 def lines_of(text: Column) -> Column:
@@ -61,6 +64,10 @@ def _each_line(text: Column, then: Callable[[Column, Column], Column]) -> Column
     return F.when(odd, one(_counted)).otherwise(one(_spaced))
 
 
+def _digest(lines: Column) -> Column:
+    return F.sha2(F.array_join(lines, "\n").cast("binary"), 256)
+
+
 def _key(doc_id: Column, text: Column) -> Column:
     """With the id it names a document; rows with the same id and text are one."""
     return F.xxhash64(doc_id, text)
@@ -107,12 +114,12 @@ def candidates(placed: DataFrame, min_words: int) -> DataFrame:
 def runs(placed: DataFrame, hits: DataFrame, min_words: int) -> DataFrame:
     """(key, doc_id, a, b, content): first and last line, and a hash of all lines, of the shortest runs of ``min_words`` words that begin or that end at each line and hold one of the hits."""
     rows = placed.withColumn("r", residue(F.col("key"))).join(residues_of(hits, "key", "r"), "r", "left_semi").groupBy("key", "doc_id").agg(F.any_value("g").alias("g")).join(hits, "key")
-    # hits as a flag for each line: an even number stands before the odd one of its line
-    marks = F.sort_array(F.concat(F.transform("g", lambda _, i: 2 * i + 1), F.transform("hits", lambda i: 2 * i)))
-    flag = lambda x, k: F.when(x.bitwiseAND(1) == 1, F.get("marks", k - 1).eqNullSafe(x - 1).cast("int"))
-    rows = rows.select("key", "doc_id", "g", marks.alias("marks"))
-    rows = rows.select("key", "doc_id", F.posexplode(F.arrays_zip("g", F.filter(F.transform("marks", flag), lambda x: x.isNotNull()).alias("hit"))).alias("line", "x"))
-    rows = rows.select("key", "doc_id", "line", F.col("x.g").alias("g"), F.col("x.hit").alias("hit"), _n(F.col("x.g")).alias("n"))
+    # a line is looked for among the hits of its part of the text, so that a text of very many lines takes no square of them
+    part = F.greatest(F.lit(_PART), (16 * F.sqrt(F.size("g"))).cast("int"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.size("g") / part).cast("int")), lambda p: F.filter("hits", lambda i: F.floor(i / part) == p))
+    rows = rows.select("key", "doc_id", "g", part.alias("part"), F.when(F.size("g") < _PART, F.array("hits")).otherwise(parts).alias("hits"))
+    rows = rows.select("key", "doc_id", "part", "hits", F.posexplode("g").alias("line", "g"))
+    rows = rows.select("key", "doc_id", "line", "g", F.array_contains(F.get("hits", F.floor(F.col("line") / F.col("part")).cast("int")), F.col("line")).cast("int").alias("hit"), _n(F.col("g")).alias("n"))
 
     by_doc = Window.partitionBy("key", "doc_id")
     rows = rows.withColumn("end", F.sum(F.col("n").cast("long")).over(by_doc.orderBy("line").rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("n"))
@@ -142,7 +149,7 @@ def matches(again: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, min_words: int) -> DataFrame:
-    """(key, doc_id, said): of each document with matches their first lines and, as the origins have them, their lines."""
+    """(key, doc_id, said): of each document with matches their first and last lines, and a digest of the lines as the origins have them."""
     placed = cut(orders(docs), "orders")
     found = cut(matches(cut(runs(placed, candidates(placed, min_words), min_words), "runs")), "matches")
     origins = cut(found.select("of", "doc").distinct(), "origins")
@@ -150,9 +157,9 @@ def repeats(docs: DataFrame, min_words: int) -> DataFrame:
     texts = keyed.join(residues_of(origins, "of", "r"), "r", "left_semi").groupBy("of", "doc").agg(F.any_value("text").alias("text")).select("of", "doc", F.transform(lines_of(F.col("text")), _bare).alias("lines"))
     texts = cut(texts.join(origins.toDF("of_", "doc_"), (F.col("of") == F.col("of_")) & F.col("doc").eqNullSafe(F.col("doc_")), "left_semi"), "lines")
     met = found.join(texts.toDF("of_", "doc_", "lines"), (F.col("of") == F.col("of_")) & F.col("doc").eqNullSafe(F.col("doc_")))
-    # in compiled code, which takes these lines only; a lambda would make the join copy all lines for each match
-    said = F.slice("lines", F.col("a") - F.col("ahead") + 1, F.col("b") - F.col("a") + 1)
-    return met.groupBy("key", "doc_id").agg(F.collect_list(F.struct(F.col("a"), said.alias("lines"))).alias("said"))
+    # in the join's own compiled code, which takes these lines only; in a lambda or in the aggregation all lines would be copied for each match
+    said = cut(met.select("key", "doc_id", "a", "b", _digest(F.slice("lines", F.col("a") - F.col("ahead") + 1, F.col("b") - F.col("a") + 1)).alias("lines")), "said")
+    return said.groupBy("key", "doc_id").agg(F.collect_list(F.struct("a", "b", "lines")).alias("said"))
 
 
 def remove_repeats(docs: DataFrame, *, min_words: int = 15, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -180,9 +187,9 @@ def remove_repeats(docs: DataFrame, *, min_words: int = 15, id_column: str = "do
     found = found.toDF(f"{key}_", name, said)
     hit = near.join(found, (F.col(key) == F.col(f"{key}_")) & F.col(id_column).eqNullSafe(F.col(name)), "left")
     hit = hit.withColumn(lines, F.when(F.col(said).isNotNull(), lines_of(F.col(text_column))))
-    # a line goes if the origin's line is the same, not only its hash
-    same = lambda m: F.filter(F.transform(m["lines"], lambda x, k: F.when(_bare(F.get(lines, m["a"] + k)) == x, m["a"] + k)), lambda i: i.isNotNull())
-    hit = hit.withColumn(gone, F.array_distinct(F.flatten(F.transform(said, same))))
+    # lines go if the origin's are the same, not only their hashes
+    same = lambda m: _digest(F.transform(F.sequence(m["a"], m["b"]), lambda k: _bare(F.get(lines, k)))) == m["lines"]
+    hit = hit.withColumn(gone, F.array_distinct(F.flatten(F.transform(F.filter(said, same), lambda m: F.sequence(m["a"], m["b"])))))
     hit = hit.withColumn(kept, F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i)))
     words = F.aggregate(gone, F.lit(0).cast("long"), lambda s, i: s + _counted(F.get(lines, i)))
     some = F.size(gone) > 0
