@@ -88,17 +88,28 @@ class _Text(html.parser.HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parts, self.hidden = [], 0
+        self.parts, self.hidden, self.going = [], 0, False
 
     def handle_starttag(self, tag, attrs):
         self.hidden += tag in ("script", "style", "template")
+        self.going = False
 
     def handle_endtag(self, tag):
         self.hidden -= tag in ("script", "style", "template") and self.hidden > 0
+        self.going = False
+
+    def handle_comment(self, data):
+        self.going = False
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
 
     def handle_data(self, data):
-        if not self.hidden:
+        # the parser may give one text node in pieces
+        if self.going and not self.hidden:
+            self.parts[-1] += data
+        elif not self.hidden:
             self.parts.append(data)
+            self.going = True
 
 
 def html_text(markup: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.names import fresh
 from quern.operators.steps import StepOutput
 
 #: Parts of the hash range that ranks are counted in.
@@ -21,21 +22,26 @@ def seeded(seed: int, *keys: str) -> Column:
 def ranked(df: DataFrame, seed: int, id_column: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Adds each row's rank, from 1, in the seeded order (within groups ``by``). Rows are ranked in parts of the hash range and offset by the counts of the parts before, so a group of any size is spread."""
     by = by or []
-    rows = df.withColumn("_h", seeded(seed, id_column)).withColumn("_p", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
-    counts = rows.groupBy(*by, "_p").agg(F.count("*").alias("_c"))
-    before = counts.withColumn("_b", F.sum("_c").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_c")).drop("_c")
-    inside = F.row_number().over(Window.partitionBy(*by, "_p").orderBy("_h", id_column))
-    named = before.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), F.col("_p").alias("_q"), "_b")
-    same = F.col("_p") == F.col("_q")
-    for i, c in enumerate(by):
-        same &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    placed = rows.withColumn("_i", inside).join(named, same)
-    return placed.withColumn(out, F.col("_b") + F.col("_i")).select(*df.columns, out)
+    h, p, n, q, b, i, *k = fresh(df, "hash", "part", "n", "of", "before", "inside", *(f"by{j}" for j in range(len(by))))
+    rows = df.withColumn(h, seeded(seed, id_column)).withColumn(p, F.conv(F.substring(h, 1, 3), 16, 10).cast("int"))
+    counts = rows.groupBy(*by, p).agg(F.count("*").alias(n))
+    before = counts.withColumn(b, F.sum(n).over(Window.partitionBy(*by).orderBy(p)) - F.col(n))
+    inside = F.row_number().over(Window.partitionBy(*by, p).orderBy(h, id_column))
+    named = before.select(*(F.col(c).alias(name) for c, name in zip(by, k, strict=True)), F.col(p).alias(q), b)
+    same = F.col(p) == F.col(q)
+    for c, name in zip(by, k, strict=True):
+        same &= F.col(c).eqNullSafe(F.col(name))
+    placed = rows.withColumn(i, inside).join(named, same)
+    return placed.withColumn(out, F.col(b) + F.col(i)).select(*df.columns, out)
 
 
 def category_column(df: DataFrame) -> str | None:
-    """The string column with the fewest values, 2 to 50; the first of equals."""
+    """The string column with the fewest values, 2 to 50; the first of equals. Sketches tell which columns may have that few; only these are counted exactly."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and not f.name.startswith("_")]
+    if not names:
+        return None
+    about = df.agg(*(F.approx_count_distinct(c).alias(c) for c in names)).first()
+    names = [c for c in names if about[c] <= 100]
     if not names:
         return None
     n = df.agg(*(F.count_distinct(c).alias(c) for c in names)).first()

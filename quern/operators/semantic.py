@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.names import fresh
+
 #: Hyperplanes of a band and bands; at a cosine of 0.95 a pair shares none with probability 3e-5.
 PLANES, BANDS = 10, 24
 #: Vectors of a bucket that one task compares with as many others.
@@ -58,10 +60,13 @@ def edges(df: DataFrame, *, id_column: str, vector_column: str, threshold: float
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Written to the session's checkpoint folder; a temporary one only where none is set."""
+    """Written to the session's checkpoint folder; a temporary one only in local mode, where none is set."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quern-"))
     return df.checkpoint()
 
 
@@ -83,4 +88,5 @@ def removed(links: DataFrame, keep: str = "first") -> DataFrame:
 def deduplicate(df: DataFrame, *, id_column: str, vector_column: str, threshold: float = 0.95, keep: str = "first") -> DataFrame:
     """Rows that stay, all columns."""
     gone = removed(edges(df, id_column=id_column, vector_column=vector_column, threshold=threshold), keep)
-    return df.join(gone.select(F.col("id").alias("_gone")), F.col(id_column) == F.col("_gone"), "left_anti")
+    (name,) = fresh(df, "gone")
+    return df.join(gone.select(F.col("id").alias(name)), F.col(id_column) == F.col(name), "left_anti")

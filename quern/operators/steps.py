@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import language, pii, quality, text
+from quern.functions.names import fresh
 from quern.operators import semantic
 
 
@@ -94,7 +96,8 @@ def deduplicate(df: DataFrame, conf: dict) -> StepOutput:
             keys = [F.col(c) for c in named]
         order = row_order(df, conf.get("order_by"))
         order = order if keep == "first" else [c.desc() for c in order]
-        out = out.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+        (place,) = fresh(out, "place")
+        out = out.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(place) == 1).drop(place)
     if method in ("semantic", "both"):
         out = semantic.deduplicate(out, id_column=conf["order_by"], vector_column=vector, threshold=conf.get("semantic_threshold", 0.95), keep=keep)
     return StepOutput(out, None, warnings, {"method_used": method, "columns_checked": list(named)})
@@ -134,8 +137,8 @@ def remove_noise(df: DataFrame, conf: dict) -> StepOutput:
     for name in names:
         new[name], bad = cleaned(F.col(name), conf)
         warnings += [w for w in bad if w not in warnings]
-    before = {f"_was_{n}": F.col(n) for n in names}
-    both = df.withColumns(before).withColumns(new)
+    was = dict(zip(names, fresh(df, *(f"was_{n}" for n in names)), strict=True))
+    both = df.withColumns({was[n]: F.col(n) for n in names}).withColumns(new)
     least, most = conf.get("min_text_length", 0), conf.get("max_text_length", 0)
     size = F.length(F.coalesce(F.col(names[0]), F.lit("None")))
     fits = F.lit(True)
@@ -143,9 +146,13 @@ def remove_noise(df: DataFrame, conf: dict) -> StepOutput:
         fits &= size >= least
     if most > 0:
         fits &= size <= most
-    change = sum((F.coalesce(F.abs(F.length(f"_was_{n}") - F.length(n)), F.lit(0)) for n in names), F.lit(0))
-    fixed = sum(((text.encoding_fixed(F.col(f"_was_{n}")) != F.col(f"_was_{n}")).cast("int") for n in names), F.lit(0)) if conf.get("fix_encoding", True) else F.lit(0)
-    tagged = sum(((F.col(f"_was_{n}").contains("<") & F.col(f"_was_{n}").contains(">")).cast("int") for n in names), F.lit(0)) if conf.get("strip_html", True) else F.lit(0)
+    change = sum((F.coalesce(F.abs(F.length(was[n]) - F.length(n)), F.lit(0)) for n in names), F.lit(0))
+    repair = text.encoding_fixed if conf.get("fix_encoding", True) else lambda c: c
+    strip = text.without_tags if conf.get("html_parser", True) else text.without_tags_jvm
+    differs = lambda f, c: F.coalesce((f(c) != c).cast("int"), F.lit(0))
+    fixed = sum((differs(repair, F.col(was[n])) for n in names), F.lit(0))
+    # cells that the parser changed; those without both signs aren't parsed
+    tagged = sum((differs(strip, repair(F.col(was[n]))) for n in names), F.lit(0)) if conf.get("strip_html", True) else F.lit(0)
     metrics = both.agg(
         F.sum(F.coalesce(fixed, F.lit(0))).cast("long").alias("encoding_fixes"),
         F.sum(F.coalesce(tagged, F.lit(0))).cast("long").alias("html_stripped"),
@@ -196,7 +203,8 @@ def filter_language(df: DataFrame, conf: dict) -> StepOutput:
         return StepOutput(df, None, ["No text column to guess the language of."])
     guess = language.guess(F.col(column))
     least = conf.get("min_confidence", 0.0)
-    out = df.withColumn("_g", guess).withColumn(tag, F.when(F.col("_g.confidence") >= least, F.col("_g.language")).otherwise("unknown")).withColumn(f"{tag}_confidence", F.col("_g.confidence")).drop("_g")
+    (g,) = fresh(df, "guess")
+    out = df.withColumn(g, guess).withColumn(tag, F.when(F.col(g)["confidence"] >= least, F.col(g)["language"]).otherwise("unknown")).withColumn(f"{tag}_confidence", F.col(g)["confidence"]).drop(g)
     metrics = out.groupBy(tag).agg(F.count("*").alias("rows"))
     if action != "tag_only":
         ok = F.col(tag).isin(*wanted)
@@ -215,13 +223,14 @@ def score_quality(df: DataFrame, conf: dict) -> StepOutput:
         out = df.withColumns({score: F.lit(5.0), why: F.lit("No text columns")})
     else:
         joined = F.concat_ws(" ", *names)
-        value, reason = quality.score(F.col("_m"))
-        out = df.withColumn("_m", quality.measures(joined)).withColumns({score: value, why: reason}).drop("_m")
+        (m,) = fresh(df, "measures")
+        value, reason = quality.score(F.col(m))
+        out = df.withColumn(m, quality.measures(joined)).withColumns({score: value, why: reason}).drop(m)
         scorer = conf.get("scorer")
         if method != "heuristic" and scorer is None:
             warnings.append("No scorer given; heuristic scores.")
         elif method != "heuristic":
-            out = _with_scorer(out, joined, score, why, scorer, method)
+            out = _with_scorer(out, joined, score, why, scorer, method, conf)
     metrics = quality_summary(out, score)
     if threshold > 0 and action == "filter":
         out = fenced(out).filter(F.col(score) >= threshold)
@@ -230,25 +239,33 @@ def score_quality(df: DataFrame, conf: dict) -> StepOutput:
     return StepOutput(out, metrics, warnings)
 
 
-def _with_scorer(df: DataFrame, joined: Column, score: str, why: str, scorer, method: str) -> DataFrame:
+def _with_scorer(df: DataFrame, joined: Column, score: str, why: str, scorer, method: str, conf: dict) -> DataFrame:
+    """Asked in batches; a batch that fails is asked again after a pause that doubles, and keeps its heuristic scores if it fails each time."""
+    size, pause, tries = conf.get("ai_batch_size", 20), conf.get("ai_batch_delay", 0.5), conf.get("ai_max_retries", 3)
+
     @F.pandas_udf("struct<s:double,r:string>")
     def asked(texts: pd.Series) -> pd.DataFrame:
         out = []
-        for k in range(0, len(texts), 20):
-            part = [t[:2000] for t in texts.iloc[k : k + 20]]
-            try:
-                got = [*scorer(part)][: len(part)]
-            except Exception:  # noqa: BLE001
-                got = [(None, "(fallback)")] * len(part)
+        for k in range(0, len(texts), size):
+            part = [t[:2000] for t in texts.iloc[k : k + size]]
+            got = [(None, "(fallback)")] * len(part)
+            for attempt in range(tries):
+                try:
+                    got = [*scorer(part)][: len(part)]
+                    break
+                except Exception:  # noqa: BLE001
+                    if attempt + 1 < tries:
+                        time.sleep(pause * 2**attempt)
             out += got + [(5.0, "")] * (len(part) - len(got))
         return pd.DataFrame(out, columns=["s", "r"])
 
-    df = df.withColumn("_a", asked(joined))
+    (name,) = fresh(df, "answer")
+    df, a = df.withColumn(name, asked(joined)), F.col(name)
     if method == "ai":
-        new = F.coalesce(F.col("_a.s"), F.col(score)), F.when(F.col("_a.s").isNull(), F.concat(F.col(why), F.lit(" (fallback)"))).otherwise(F.col("_a.r"))
+        new = F.coalesce(a["s"], F.col(score)), F.when(a["s"].isNull(), F.concat(F.col(why), F.lit(" (fallback)"))).otherwise(a["r"])
     else:
-        new = quality.half_up((F.col(score) + F.coalesce(F.col("_a.s"), F.col(score))) / 2), F.concat(F.lit("H: "), why, F.lit(" | AI: "), "_a.r")
-    return df.withColumns({score: new[0], why: new[1]}).drop("_a")
+        new = quality.half_up((F.col(score) + F.coalesce(a["s"], F.col(score))) / 2), F.concat(F.lit("H: "), why, F.lit(" | AI: "), a["r"])
+    return df.withColumns({score: new[0], why: new[1]}).drop(name)
 
 
 def quality_summary(scored: DataFrame, score: str = "quality_score") -> DataFrame:

@@ -60,7 +60,7 @@ ORACLE["noise_full"] = _noise(_URLS.format(_SPACES.format(_CONTROLS.format(_ZERO
 ORACLE["length_filter"] = _noise("text", "length(t) BETWEEN 500 AND 3000")
 ORACLE["noise_metrics"] = f"""
 WITH {_NOISY}, done AS (SELECT text, {_SPACES.format(_CONTROLS.format("text"))} AS t FROM noisy)
-SELECT CAST(count(*) FILTER (WHERE text LIKE '%<%' AND text LIKE '%>%') AS BIGINT) AS html_stripped, count(*) FILTER (WHERE length(t) < 500) AS rows_removed_by_length,
+SELECT CAST(count(*) FILTER (WHERE text LIKE '%<%' AND text LIKE '%>%' AND regexp_matches(text, '<[a-zA-Z/!?]|&[a-zA-Z#]')) AS BIGINT) AS html_stripped, count(*) FILTER (WHERE length(t) < 500) AS rows_removed_by_length,
        floor(avg(abs(length(text) - length(t))) * 100 + 0.5) / 100 AS chars_cleaned_per_row_avg FROM done
 """
 ORACLE["noise_strip_html_jvm"] = r"""
@@ -232,3 +232,18 @@ good AS (SELECT t.* FROM tokens t JOIN responses USING (conv_id) WHERE t.t <= 40
 x AS (SELECT *, row_number() OVER (ORDER BY sha256('42|' || conv_id), conv_id) AS r, count(*) OVER () AS n FROM good)
 SELECT conv_id, formatted_text, t AS token_count, CASE WHEN r <= ceil(n * 0.1 - 1e-9) THEN 'val' ELSE 'train' END AS split FROM x WHERE r <= ceil(n * 0.1 - 1e-9) + floor(n * 0.9 + 1e-9)
 """
+
+_BACK = "SELECT doc_id, lang, source, sha256(text) AS text_sha256 FROM documents"
+ORACLE["parquet_round_trip"] = _BACK
+ORACLE["jsonl_round_trip"] = _BACK
+ORACLE["csv_round_trip"] = r"SELECT doc_id, lang, source, length(regexp_replace(text, '[ \t\n\x0B\f\r]', '', 'g')) AS n_chars FROM documents"
+ORACLE["csv_split_round_trip"] = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(n_regionkey AS BIGINT) AS n_regionkey, n_name FROM nation"
+ORACLE["text_lines"] = "SELECT row_number() OVER (ORDER BY n_nationkey) AS line_number, n_name AS text FROM nation"
+ORACLE["ingest_documents"] = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")) + ")"
+ORACLE["dedup_missing_columns"] = "SELECT lang, source, sha256(text) AS text_sha256 FROM (SELECT DISTINCT text, lang, source FROM documents)"
+ORACLE["dedup_vector_fallback"] = "SELECT min(doc_id) AS doc_id, sha256(text) AS text_sha256 FROM documents GROUP BY text"
+ORACLE["sample_values"] = "SELECT row_number() OVER (ORDER BY doc_id) AS place, lang AS value FROM documents WHERE lang IS NOT NULL QUALIFY place <= 5"
+ORACLE["auto_category"] = """
+WITH n AS (SELECT 1 AS place, 'text' AS category, count(DISTINCT text) AS n FROM documents UNION ALL SELECT 2, 'lang', count(DISTINCT lang) FROM documents UNION ALL SELECT 3, 'source', count(DISTINCT source) FROM documents)
+SELECT category FROM n WHERE n BETWEEN 2 AND 50 ORDER BY n, place LIMIT 1
+"""

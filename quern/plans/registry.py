@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +11,9 @@ from pyspark.sql import functions as F
 
 from quern.functions import chat, text
 from quern.operators import finetune, profile, sampling, semantic, steps
-from quern.plans import runner
+from quern.plans import ingest, runner
 from quern.plans.oracle import ORACLE
-from quern.sources import catalog, markup
+from quern.sources import catalog, markup, readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -473,3 +475,77 @@ def pipeline_finetune_e2e(spark, sf_dir):
 
 
 __all__ = ["ORACLE", "QUERIES"]
+
+
+# --- files there and back ---------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; a temporary one only in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='quern-')}/{name}-{uuid.uuid4().hex}"
+
+
+def _back(spark: SparkSession, df: DataFrame, fmt: str) -> DataFrame:
+    path = _folder(spark, fmt)
+    sinks.write_table(df, path, fmt)
+    return readers.read(spark, path, fmt)
+
+
+@query
+def parquet_round_trip(spark, sf_dir):
+    return _back(spark, _docs(spark, sf_dir), "parquet").select("doc_id", "lang", "source", _sha())
+
+
+@query
+def jsonl_round_trip(spark, sf_dir):
+    return _back(spark, _docs(spark, sf_dir), "jsonl").select("doc_id", "lang", "source", _sha())
+
+
+@query
+def csv_round_trip(spark, sf_dir):
+    """The texts have quotes, commas and line ends."""
+    return _back(spark, _docs(spark, sf_dir), "csv").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", F.length(F.regexp_replace("text", r"\s", "")).cast("long").alias("n_chars"))
+
+
+@query
+def csv_split_round_trip(spark, sf_dir):
+    """No field has line ends, so files are split."""
+    return _back(spark, _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), "csv").select(*(F.col(c).cast("long").alias(c) for c in ("n_nationkey", "n_regionkey")), "n_name")
+
+
+@query
+def text_lines(spark, sf_dir):
+    path = _folder(spark, "text")
+    _table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").coalesce(1).write.text(path)
+    return readers.read(spark, path, "txt").select(F.col("line_number").cast("long").alias("line_number"), "text")
+
+
+@query
+def ingest_documents(spark, sf_dir):
+    found = ingest.ingest(spark, f"{sf_dir}/documents.parquet", _folder(spark, "raw"), name="ingested_documents")
+    return found.statistics().select("column", "null_count", "unique_count")
+
+
+@query
+def dedup_missing_columns(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select("text", "lang", "source")
+    return steps.deduplicate(docs, {"columns": ["nothing"], "order_by": "text"}).df.select("lang", "source", _sha())
+
+
+@query
+def dedup_vector_fallback(spark, sf_dir):
+    return steps.deduplicate(_docs(spark, sf_dir), {"method": "semantic", "columns": ["text"], "order_by": "doc_id"}).df.select("doc_id", _sha())
+
+
+@query
+def sample_values(spark, sf_dir):
+    found = profile.sample_values(_docs(spark, sf_dir), "lang", 5, "doc_id")
+    return spark.createDataFrame(list(enumerate(found, 1)), "place long, value string")
+
+
+@query
+def auto_category(spark, sf_dir):
+    return spark.createDataFrame([(sampling.category_column(_docs(spark, sf_dir)),)], "category string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,22 @@ def preview(df: DataFrame, n: int = 50, order_by: str | None = None) -> DataFram
     return (df.orderBy(order_by) if order_by else df).limit(n).na.fill("")
 
 
+def _head(spark: SparkSession, path: str, n: int) -> bytes:
+    """The first bytes of a file, or of a folder's first file, without reading the rest."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in store.globStatus(where) or []:
+        files = [found] if found.isFile() else sorted((f for f in store.listStatus(found.getPath()) if f.isFile() and not f.getPath().getName().startswith(("_", "."))), key=lambda f: f.getPath().toString())
+        if files:
+            stream = store.open(files[0].getPath())
+            try:
+                return bytes(stream.readNBytes(n))
+            finally:
+                stream.close()
+    return b""
+
+
 def validate(spark: SparkSession, path: str) -> dict:
     """Format, and whether the file is there, not empty and of a known format."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -55,17 +71,18 @@ def validate(spark: SparkSession, path: str) -> dict:
     if not store.exists(where):
         return {"format": None, "is_valid": False, "error_message": "file not found"}
     size = store.getFileStatus(where).getLen()
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1024).alias("head")).first() if size else None
-    fmt = detect.detect(path, bytes(row["head"]) if row else b"")
+    fmt = detect.detect(path, _head(spark, path, 1024) if size else b"")
     problem = "file is empty" if not size else None if fmt in READERS else f"format {fmt} isn't supported"
     return {"format": fmt, "is_valid": problem is None, "error_message": problem}
 
 
 def _csv(spark: SparkSession, path: str, sep: str, encoding: str | None) -> DataFrame:
+    """A file is read whole by one task only if a field has line ends in it: some line then has an odd number of quotes. Otherwise it is split."""
     if encoding is None:
-        row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 100_000).alias("head")).first()
-        encoding = detect.encoding(bytes(row["head"])) if row else "UTF-8"
-    return spark.read.csv(path, header=True, inferSchema=True, mode="DROPMALFORMED", multiLine=True, escape='"', sep=sep, encoding=encoding)
+        encoding = detect.encoding(_head(spark, path, 100_000)) or "UTF-8"
+    odd = F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1
+    whole = encoding.upper().startswith(("UTF-16", "UTF-32", "UTF16", "UTF32")) or not spark.read.text(path, lineSep="\n").filter(odd).isEmpty()
+    return spark.read.csv(path, header=True, inferSchema=True, mode="DROPMALFORMED", multiLine=whole, escape='"', sep=sep, encoding=encoding)
 
 
 @reader("csv")
@@ -95,15 +112,13 @@ def flat(df: DataFrame) -> DataFrame:
 @reader("json")
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """An array of objects: rows. One object: one row, flattened. A scalar: column value. Text that isn't one JSON value is read by lines."""
-    whole = spark.read.text(path, wholetext=True)
-    start = whole.select(F.substring(F.regexp_replace("value", r"\A[\s﻿]+", ""), 1, 1).alias("c")).first()
-    mark = start["c"] if start else ""
+    mark = _head(spark, path, 4096).decode("utf-8", "replace").lstrip("\ufeff \t\r\n")[:1]
     if mark in ("[", "{"):
         df = spark.read.json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
         if "_corrupt" not in df.columns:
             return flat(df) if mark == "{" else df
         return read_jsonl(spark, path)
-    return whole.select(F.regexp_replace("value", r'\A\s*"?|"?\s*\z', "").alias("value"))
+    return spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r'\A\s*"?|"?\s*\z', "").alias("value"))
 
 
 @reader("jsonl")
@@ -123,10 +138,14 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 @reader("txt")
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """line_number from 1, and text without its line end; one row a line, and none after a last line end."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\r?\n\z", "").alias("value"))
-    lines = whole.select(F.posexplode(F.split("value", r"\r?\n", -1)).alias("n", "text"))
-    return lines.select((F.col("n") + 1).alias("line_number"), F.regexp_replace("text", r"\r+\z", "").alias("text"))
+    """line_number from 1 in each file, and text without its line end; one row a line, and none after a last line end. Files are read in blocks; a block's lines are numbered from the counts of those before it."""
+    file, start = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    lines = spark.read.text(path, lineSep="\n").select("value", file, start, F.monotonically_increasing_id().alias("at"))
+    counts = lines.groupBy("file", "start").agg(F.count("*").alias("n"))
+    before = counts.select("file", "start", (F.sum("n").over(Window.partitionBy("file").orderBy("start")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("file", "start").orderBy("at"))
+    placed = lines.withColumn("inside", inside).join(before, ["file", "start"])
+    return placed.select((F.col("before") + F.col("inside")).cast("int").alias("line_number"), F.regexp_replace("value", r"\r+\z", "").alias("text"))
 
 
 READERS["md"] = read_text

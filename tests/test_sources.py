@@ -121,3 +121,38 @@ def test_tables_and_stream(spark, tmp_path):
         rowwise.apply(stream, [{"step": "deduplication"}], print, str(tmp_path / "cp2"))
     sinks.write_config({"a": 1}, str(tmp_path / "c.json"))
     assert json.load(open(tmp_path / "c.json")) == {"a": 1}
+
+
+def test_ingest(spark, tmp_path):
+    from quern.plans.ingest import ingest
+
+    file = tmp_path / "a.csv"
+    file.write_text('id,text\n1,"one, two"\n2,three\n')
+    found = ingest(spark, str(file), str(tmp_path / "raw"), name="a_table")
+    assert (found.format, found.row_count(), found.columns) == ("csv", 2, {"id": "int", "text": "string"})
+    assert spark.table("a_table").count() == 2
+    assert {r["column"]: r["unique_count"] for r in found.statistics().collect()} == {"id": 2, "text": 2}
+    assert found.tokens().first()[0] == 9 and found.preview(1).count() == 1
+    for name, text, code in (("none.csv", None, "NOT_FOUND"), ("empty.csv", "", "EMPTY_FILE"), ("a.parquet", "x", "PARSE_ERROR")):
+        if text is not None:
+            (tmp_path / name).write_text(text)
+        with pytest.raises(readers.IngestionError) as e:
+            ingest(spark, str(tmp_path / name), str(tmp_path / "raw2"), name="b")
+        assert e.value.code == code
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"{k}.txt").write_text("".join(f"{k} {n}\r\n" for n in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        rows = readers.read(spark, str(tmp_path), "txt").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["text"].split()[0], r["line_number"], r["text"]) for r in rows) == sorted((str(k), n + 1, f"{k} {n}") for k in range(2) for n in range(3000))
+
+
+def test_csv_with_line_ends_in_fields(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,text\n1,"one\ntwo ""three"""\n2,four\n')
+    assert [tuple(r) for r in readers.read(spark, str(tmp_path / "a.csv"), "csv").orderBy("id").collect()] == [(1, 'one\ntwo "three"'), (2, "four")]

@@ -148,3 +148,40 @@ def test_idempotent_clean_up(spark):
     assert cell(steps.remove_noise(once, {}).df) == cell(once)
     assert pii.selected(["URL", "EMAIL"]) == ["EMAIL", "URL"]
     assert text.html_text("<p>a<br>b") == "a b"
+
+
+def test_clashing_inner_names_come_back(spark):
+    from quern.operators import sampling, semantic
+
+    names = ["_n", "_g", "_m", "_h", "_p", "_i", "_gone", "_place_0", "_guess_0", "_measures_0", "_was_text_0", "_part_0"]
+    df = spark.createDataFrame([(k, f"a text of number {k % 3} < b >", [1.0, float(k)]) for k in range(9)], "id long, text string, v array<double>").withColumns({c: F.lit(k) for k, c in enumerate(names)})
+    outs = [
+        steps.deduplicate(df, {"columns": ["text"], "order_by": "id"}).df,
+        steps.remove_noise(df, {"columns": ["text"]}).df,
+        steps.filter_language(df, {"text_column": "text"}).df,
+        steps.score_quality(df, {"text_columns": ["text"]}).df,
+        sampling.ranked(df, 1, "id", "rank", ["text"]),
+        semantic.deduplicate(df, id_column="id", vector_column="v", threshold=0.99),
+    ]
+    for out in outs:
+        assert out.count() > 0 and all([r[c] for c in names] == list(range(len(names))) for r in out.collect())
+
+
+def test_markup_is_counted_where_it_changes_a_cell(spark):
+    df = spark.createDataFrame([("a < b > c",), ("a <b>c</b>",), ("none",), (None,), ("x < &amp; >",)], "text string")
+    assert steps.remove_noise(df, {"columns": ["text"]}).metrics.first()["html_stripped"] == 2
+
+
+def test_scorer_is_asked_again(spark, tmp_path):
+    def scorer(texts, folder=str(tmp_path)):
+        import os
+
+        n = len(os.listdir(folder))
+        open(f"{folder}/{n}", "w").close()
+        if n < 2:
+            raise RuntimeError("busy")
+        return [(9.0, "good")] * len(texts)
+
+    df = spark.createDataFrame([("some text here",)], "text string").coalesce(1)
+    out = steps.score_quality(df, {"text_columns": ["text"], "method": "ai", "scorer": scorer, "ai_batch_delay": 0.01}).df
+    assert out.select("quality_score").toPandas().quality_score[0] == 9.0
