@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm import queries, sql
@@ -24,6 +25,35 @@ def test_stages(spark):
     assert docs.select("doc_id").distinct().count() == after
 
 
+def awkward(spark):
+    from .fixtures import frame, prose
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, f"The {prose(rng, 60)} and of the text. " * (1 + k % 2), "en", "s", k) for k in range(30)]
+    rows += [rows[3], (40, rows[4][1], None, None, None), (None, None, None, None, None), (None, rows[5][1], "en", "s", 1), (41, None, "en", "s", 0), (42, "", "en", "s", 0), (43, " \n ", None, "s", 3), (44, "123 !", None, "s", 5), (45, "word " * 200_000, "en", "s", 1)]
+    return frame(spark, rows).withColumns({c: F.lit(7) for c in ("_r", "key", "residue_0", "gone_0", "language_0", "lang_pred", "removed_lines", "said_0")})
+
+
+@pytest.mark.parametrize(("k", "gone"), [(0, {41, 42, 43, 44}), (1, {40}), (2, {40}), (3, set())])
+def test_stages_on_awkward_rows(spark, k, gone):
+    docs = awkward(spark)
+    out = corpus_pipeline.STAGES[k][1](spark, docs, SF)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    ids = {r["doc_id"] for r in rows}
+    assert not gone & ids and set(range(30)) <= ids and 45 in ids
+    assert all(r[c] == 7 for r in rows for c in ("_r", "key", "residue_0", "gone_0", "language_0", "lang_pred", "removed_lines", "said_0"))
+    assert corpus_pipeline.STAGES[k][1](spark, docs.limit(0), SF).count() == 0
+
+
+def test_packing_stage_on_awkward_rows(spark):
+    docs = awkward(spark)
+    out = corpus_pipeline.pack_windows(spark, docs, SF).toPandas()
+    assert set(out.doc_id.dropna()) == {*range(30), *range(40, 46)} and out.doc_id.isna().sum() == 2
+    assert corpus_pipeline.pack_windows(spark, docs.limit(0), SF).count() == 0
+
+
 def test_run_is_its_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
 
