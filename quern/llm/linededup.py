@@ -26,6 +26,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.steps import fenced
+
 from .common import cut, fresh, residue, residues_of
 
 #: White space, and a line: up to a line feed, a sentence's end and a space, or the text's end, with the white space behind it (and before the text's first). Possessive, so matching is linear and needs no stack.
@@ -198,4 +200,5 @@ def remove_repeats(docs: DataFrame, *, min_words: int = 15, id_column: str = "do
         F.when(some, F.size(gone).cast("long")).otherwise(0).alias(own[0]),
         F.when(some, words).otherwise(0).alias(own[1]),
     )
-    return rest.unionByName(changed)
+    # fenced: a filter on the result would be pushed into these expressions, which then cut all lines anew for each of them
+    return rest.unionByName(fenced(changed))
