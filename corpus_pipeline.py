@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import decontam, langid, linededup, minhash, packing
-from quern.llm.common import cut, read
+from quern.llm.common import cut, fresh, read
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +23,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without later repeats of runs of lines; of equal runs the first stays, in the order of ids (null first) and lines. A document that consists of repeats goes, and ``n_chars`` follows the text. Null texts stay; a text without words that loses nothing stays."""
-    left = linededup.remove_repeats(docs)
-    left = left.filter((F.col("removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    changed = F.when(F.col("removed_lines") > 0, F.length("text").cast("long"))
+    lines, words = fresh(docs, "removed_lines", "removed_words")
+    left = linededup.remove_repeats(docs, names=(lines, words))
+    left = left.filter((F.col(lines) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    changed = F.when(F.col(lines) > 0, F.length("text").cast("long"))
     return left.select(*(F.coalesce(changed, F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 

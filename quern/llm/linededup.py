@@ -164,8 +164,8 @@ def repeats(docs: DataFrame, min_words: int) -> DataFrame:
     return said.groupBy("key", "doc_id").agg(F.collect_list(F.struct("a", "b", "lines")).alias("said"))
 
 
-def remove_repeats(docs: DataFrame, *, min_words: int = 15, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """All rows and columns, without the later repeats in the text, and ``removed_lines`` and ``removed_words`` (columns of these names are replaced).
+def remove_repeats(docs: DataFrame, *, min_words: int = 15, id_column: str = "doc_id", text_column: str = "text", names: tuple[str, str] = ("removed_lines", "removed_words")) -> DataFrame:
+    """All rows and columns, without the later repeats in the text, and how many lines and words were removed, in columns of the given names (columns of these names are replaced).
 
     Null and empty texts stay as they are. Rows with the same id and text are one document and get
     the same result; of equal texts with different ids the smallest id's stays whole (a null id is
@@ -176,11 +176,11 @@ def remove_repeats(docs: DataFrame, *, min_words: int = 15, id_column: str = "do
     Hashes and places, not texts, are sorted and joined. Only the texts that share a fingerprint,
     and those whose keys share a residue with one, are shuffled.
     """
-    own = ["removed_lines", "removed_words"]
+    own = list(names)
     docs = docs.drop(*own)
     if not 0 < min_words <= _MOST:
         raise ValueError(f"min_words must be from 1 to {_MOST}")
-    key, rest_of, name, said, gone, lines, kept = fresh(docs, "key", "residue", "name", "said", "gone", "lines", "kept")
+    key, rest_of, name, said, gone, lines, kept = fresh(docs.withColumns({c: F.lit(0) for c in own}), "key", "residue", "name", "said", "gone", "lines", "kept")
     found = cut(repeats(docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text")), min_words), "repeats")
     keyed = docs.withColumn(key, _key(docs[id_column], docs[text_column])).withColumn(rest_of, residue(F.col(key)))
     some = residues_of(found, "key", rest_of)
