@@ -1,17 +1,19 @@
 """Language-model scoring: Katz backoff with Good-Turing discounts and exactly normalised backoff weights.
 
-The bigram model is counted from all learning texts. Texts are coded once, in batches of many
-documents: the batch's distinct words, and each token as a place among them. A batch asks for the
-counts of its distinct words and of its distinct pairs; keys are dealt to buckets by their hash, and
-each bucket adds up its keys' counts, keeps them as its part of the count tables, and answers every
-batch in the order of its question. A key that stands in a third of all texts so costs one entry for
-each batch, and no text is shuffled.
-
-P(w) = d(c) c / N for a word seen c times, and what is left goes to the unknown word. P(w | h) =
-d(c) c(hw) / (c(h) + 1/2) for a pair seen (the half leaves something to contexts all of whose pairs
-are frequent), and a(h) P(w) for another, with a(h) = (1 - sum of the seen P(w | h)) / (1 - sum of
-P(w) of the same words), 1 for a context never seen. The sums in a(h) are added up over batches,
-each distinct pair by the first batch that holds it.
+Runs of one to ``order`` tokens are counted in all learning texts. Texts are coded once, in batches
+of many documents: the batch's distinct words, and each token as a place among them. A batch asks for
+the counts of its distinct runs of each length; keys are dealt to buckets by their hash, and each
+bucket adds up its keys' counts, keeps them as its part of the count tables, and answers every batch
+in the order of its question. A key that stands in a third of all texts so costs one entry for each
+batch, and no text is shuffled.
+
+P(w) = d(c) c / N for a word seen c times, and what is left goes to the unknown word. After a context
+h of up to ``order`` - 1 tokens, P(w | h) = d(c) c(hw) / (c(h) + 1/2) for a run hw seen (the half leaves
+something to contexts all of whose runs are frequent), and a(h) P(w | h') for another, h' being h without
+its first token, and so on down to the word alone. a(h) = (1 - sum of the seen P(w | h)) / (1 - sum of
+P(w | h') of the same words), 1 for a context never seen. A run that is seen has all its shorter ends
+seen, so the sums need no other weight; they are added up over batches, each distinct run by the first
+batch that holds it. Before a text's first token stand as many starts as the context is long.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _mixed, blocks, cut, learn_mod, mix64, text_buffers, word_hashes
+from .common import _BASE, _mixed, blocks, cut, discard, learn_mod, mix64, text_buffers, word_hashes
 
 #: Counts up to this are discounted.
 K = 5
@@ -54,6 +56,14 @@ def _unpacked(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], n, codec=_CODEC, asbytes=True), kind) if n else np.zeros(0, kind)
 
 
+def _bits(flags: np.ndarray) -> bytes:
+    return _packed(np.packbits(flags))
+
+
+def _flags(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(_unpacked(data, np.uint8))[:n].astype(bool)
+
+
 def _pack_keys(keys: np.ndarray) -> bytes:
     """Ascending 64-bit keys as their differences, in as many bytes as the largest takes."""
     if not len(keys):
@@ -77,6 +87,14 @@ def pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix64(h * np.uint64(_BASE) + (w ^ np.uint64(0x2545F4914F6CDD1D)))
 
 
+def starts_of(order: int) -> list:
+    """By k, the hash of k starts, the context of a text's first token."""
+    out = [None, START]
+    while len(out) < order:
+        out.append(pair_hash(np.array(out[-1:]), np.array([START]))[0])
+    return out
+
+
 def coded(docs: DataFrame, batch_bytes: int) -> DataFrame:
     """One row for each batch of about ``batch_bytes`` of text, in the order of the rows: ids, which are learned from, tokens of each document, distinct word hashes, and every token's place among them. A longer text is a batch of its own."""
 
@@ -114,36 +132,42 @@ def coded(docs: DataFrame, batch_bytes: int) -> DataFrame:
 
 
 class Batch:
-    """A coded row: tokens as places in the vocabulary, and its distinct pairs."""
+    """A coded row: tokens as places in the vocabulary, and its distinct runs of 1 to ``order`` tokens. Of run length k, ``keys[k]`` are their hashes and ``at[k]`` the run that ends at each token; ``left[k]`` is the context, a run of k - 1 tokens or, one past them, the start alone; ``suffix[k]`` is the run without its first token."""
 
-    def __init__(self, row: dict, pairs: bool = True):
+    def __init__(self, row: dict, order: int):
         self.ids, self.learn = pa.array(row["ids"], pa.int64()), np.array(row["learn"], bool)
         self.counts = np.array(row["counts"], np.int64)
         self.vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
         self.tokens = _unpacked(row["tokens"], np.int32)
         self.doc = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
         self.learned = self.learn[self.doc]
-        if pairs:
-            n = len(self.vocabulary)
-            both = np.empty(len(self.tokens), np.int64)
-            both[1:] = self.tokens[:-1]
-            both[np.cumsum(self.counts) - self.counts] = n  # the start
-            both *= n + 1
+        self.starts = starts_of(order)
+        self.keys, self.at = [None, self.vocabulary], [None, self.tokens]
+        self.left, self.suffix = [None, None], [None, None]
+        first, v = np.cumsum(self.counts) - self.counts, len(self.vocabulary)
+        for k in range(2, order + 1):
+            shorter = self.at[k - 1]
+            both = np.empty(len(shorter), np.int64)
+            both[1:] = shorter[:-1]
+            both[first] = len(self.keys[k - 1])
+            both *= v
             both += self.tokens
-            local, place = np.unique(both, return_inverse=True)
-            self.pair = place.astype(np.int32)
-            del both, place
-            self.left, self.right = (local // (n + 1)).astype(np.int32), (local % (n + 1)).astype(np.int32)
-            del local
-            hashes = np.append(self.vocabulary, START)
-            self.keys = pair_hash(hashes[self.left], hashes[self.right])
-
-    def question(self, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            local, where, place = np.unique(both, return_index=True, return_inverse=True)
+            del both
+            self.at.append(place.astype(np.int32))
+            self.suffix.append(shorter[where])
+            self.left.append((local // v).astype(np.int32))
+            self.keys.append(pair_hash(self.contexts(k)[self.left[k]], self.vocabulary[local % v]))
+
+    def contexts(self, k: int) -> np.ndarray:
+        """Hashes of what may stand before the last of k tokens."""
+        return np.append(self.keys[k - 1], self.starts[k - 1])
+
+    def question(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys, not sorted, how often each stands in learning texts, and whether in others."""
-        keys, at = (self.vocabulary, self.tokens) if kind == "w" else (self.keys, self.pair)
-        other = np.zeros(len(keys), bool)
-        other[at[~self.learned]] = True
-        return keys, np.bincount(at[self.learned], minlength=len(keys)), other
+        other = np.zeros(len(self.keys[k]), bool)
+        other[self.at[k][~self.learned]] = True
+        return self.keys[k], np.bincount(self.at[k][self.learned], minlength=len(self.keys[k])), other
 
 
 def _parts(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,19 +178,19 @@ def _parts(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.append(np.searchsorted(keys[order], first), len(keys))
 
 
-def count(batches: DataFrame, kind: str, buckets: int) -> DataFrame:
-    """The count tables, by bucket: rows of the answers to each batch (totals in the order of its question, and a flag of each key: of words, whether a text that isn't learned from has it; of pairs, whether the batch is the first learning one that holds it), and one row of each bucket's figures: distinct keys, all, and how many keys were seen 1 to K + 1 times."""
+def count(batches: DataFrame, k: int, buckets: int) -> DataFrame:
+    """The count tables of runs of k tokens, by bucket: rows of the answers to each batch (totals in the order of its question, and of each key whether a text that isn't learned from has it, and whether the batch is the first learning one that holds it), and one row of each bucket's figures: distinct keys, all, and how many keys were seen 1 to K + 1 times."""
 
     def ask(rows):
         for batch in rows:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                b = Batch(row, kind == "p")
-                keys, n, other = b.question(kind)
+                keys, n, other = Batch(row, k).question(k)
                 order, edge = _parts(keys, buckets)
                 keys, n, other = keys[order], n[order], other[order]
                 full = np.flatnonzero(np.diff(edge))
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array([row["batch"]] * len(full), pa.int64()), pa.array([_pack_keys(keys[edge[k] : edge[k + 1]]) for k in full], pa.binary()), pa.array([_narrow(n[edge[k] : edge[k + 1]]) for k in full], pa.binary()), pa.array([_packed(np.packbits(other[edge[k] : edge[k + 1]])) for k in full], pa.binary())], names=["bucket", "batch", "keys", "n", "other"])
+                part = lambda x: [x[edge[f] : edge[f + 1]] for f in full]  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array([row["batch"]] * len(full), pa.int64()), pa.array([_pack_keys(x) for x in part(keys)], pa.binary()), pa.array([_narrow(x) for x in part(n)], pa.binary()), pa.array([_bits(x) for x in part(other)], pa.binary())], names=["bucket", "batch", "keys", "n", "other"])
 
     asked = batches.mapInArrow(ask, "bucket long, batch long, keys binary, n binary, other binary")
 
@@ -179,18 +203,17 @@ def count(batches: DataFrame, kind: str, buckets: int) -> DataFrame:
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.zeros(len(distinct), np.int64)
         np.add.at(total, place, n)
-        if kind == "w":
-            other = np.concatenate([np.unpackbits(_unpacked(table.column("other")[int(i)].as_py(), np.uint8))[: len(k)] for i, k in zip(order, keys, strict=True)])
-            flag = (np.bincount(place, weights=other, minlength=len(distinct)) > 0)[place]
-        else:
-            flag, seen = np.zeros(len(n), bool), np.flatnonzero(n)
-            flag[seen[np.unique(place[seen], return_index=True)[1]]] = True
+        other = np.concatenate([_flags(table.column("other")[int(i)].as_py(), len(k)) for i, k in zip(order, keys, strict=True)])
+        other = (np.bincount(place, weights=other, minlength=len(distinct)) > 0)[place]
+        first, seen = np.zeros(len(n), bool), np.flatnonzero(n)
+        first[seen[np.unique(place[seen], return_index=True)[1]]] = True
         known = total[total > 0]
         figures = [len(known), int(known.sum()), *np.bincount(known[known <= K + 1], minlength=K + 2)[1:].tolist()]
-        answers = [(_narrow(total[place[a:b]]), _packed(np.packbits(flag[a:b]))) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-        return pa.table({"bucket": pa.array([bucket] * (len(keys) + 1), pa.int64()), "batch": pa.array([*(batch[int(i)] for i in order), None], pa.int64()), "totals": pa.array([*(a for a, _ in answers), None], pa.binary()), "flag": pa.array([*(o for _, o in answers), None], pa.binary()), "figures": pa.array([*([None] * len(keys)), figures], pa.list_(pa.int64()))})
+        parts = list(zip(edge[:-1], edge[1:], strict=True))
+        column = lambda pack, x: pa.array([*(pack(x[a:b]) for a, b in parts), None], pa.binary())
+        return pa.table({"bucket": pa.array([bucket] * (len(keys) + 1), pa.int64()), "batch": pa.array([*(batch[int(i)] for i in order), None], pa.int64()), "totals": column(_narrow, total[place]), "other": column(_bits, other), "first": column(_bits, first), "figures": pa.array([*([None] * len(keys)), figures], pa.list_(pa.int64()))})
 
-    return asked.groupBy("bucket").applyInArrow(answer, "bucket long, batch long, totals binary, flag binary, figures array<long>")
+    return asked.groupBy("bucket").applyInArrow(answer, "bucket long, batch long, totals binary, other binary, first binary, figures array<long>")
 
 
 def figures(counted: DataFrame) -> list[int]:
@@ -229,13 +252,13 @@ class Answers:
 
     def __init__(self, keys: np.ndarray, buckets: int, rows: list[dict]):
         order, edge = _parts(keys, buckets)
-        totals, flag = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        totals, other, first = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool), np.zeros(len(keys), bool)
         for r in rows:
             a, b = edge[r["bucket"]], edge[r["bucket"] + 1]
             totals[a:b] = _wide(r["totals"])
-            flag[a:b] = np.unpackbits(_unpacked(r["flag"], np.uint8))[: b - a].astype(bool)
-        self.totals, self.flag = np.empty_like(totals), np.empty_like(flag)
-        self.totals[order], self.flag[order] = totals, flag
+            other[a:b], first[a:b] = _flags(r["other"], b - a), _flags(r["first"], b - a)
+        self.totals, self.other, self.first = (np.empty_like(x) for x in (totals, other, first))
+        self.totals[order], self.other[order], self.first[order] = totals, other, first
 
 
 FOUND = "kind int, batch long, place long, key long, n long, known long, x double, y double"
@@ -249,30 +272,37 @@ def _rows(kind: int, batch: int, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([fixed[c] if c in fixed else columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], types.get(c, pa.int64())) if c in columns else pa.nulls(size, types.get(c, pa.int64())) for c in names], names=names)
 
 
-def _evaluated(b: Batch, batch: int, w: Answers, p: Answers, word_d: np.ndarray, pair_d: np.ndarray, n: int, v: int, scale: float, unknown: float):
-    """Of a batch: 0, each document's tokens, known tokens and sums of logarithms, backoff weights left out; 1, what its first-held pairs add to the sums of their contexts; 2, how often each document needs a context's backoff weight."""
-    p1 = np.where(w.totals > 0, scale * _discounted(w.totals, word_d) / max(n, 1), unknown)
-    # a word is a context as often as it is a token, and the start as often as the end
-    context = np.append(w.totals, w.totals[b.vocabulary == END])
-    seen = p.totals > 0
-    conditional = np.where(seen, _discounted(p.totals, pair_d), 1.0) / (context[b.left] + HELD_BACK)
-    gain = np.log10(np.where(seen, conditional, p1[b.right]))
-    size = len(b.counts)
+def _evaluated(b: Batch, batch: int, known: list, d: list, n: int, v: int, scale: float, unknown: float):
+    """Of a batch: 0, each document's tokens, known tokens and sums of logarithms, backoff weights left out; 1, what the runs that it is the first to hold add to the sums of their contexts; 2, how often each document needs a context's backoff weight. ``known`` and ``d`` are answers and discounts by the length of runs."""
+    size, w = len(b.counts), known[1]
     sums = lambda x: np.bincount(b.doc, weights=x, minlength=size)
-    yield _rows(0, batch, {"place": np.arange(size), "key": b.ids, "n": b.counts, "known": sums(w.totals[b.tokens] > 0).astype(np.int64), "x": sums(np.log10((w.totals[b.tokens] + 1) / (n + v + 1))), "y": sums(gain[b.pair])})
-    hashes = np.append(b.vocabulary, START).view(np.int64)
-    wanted = np.append(w.flag, True)
-    first = np.flatnonzero(p.flag & wanted[b.left])
-    local, at = np.unique(b.left[first], return_inverse=True)
-    add = lambda x: np.bincount(at, weights=x, minlength=len(local))
-    yield _rows(1, batch, {"key": hashes[local], "n": context[local], "x": add(_discounted(p.totals[first], pair_d)), "y": add(p1[b.right[first]])})
-    far = np.flatnonzero(~seen[b.pair] & (context[b.left[b.pair]] > 0))
-    need, times = np.unique(b.doc[far].astype(np.int64) * len(hashes) + b.left[b.pair[far]], return_counts=True)
-    yield _rows(2, batch, {"place": need // len(hashes), "key": hashes[need % len(hashes)], "n": times})
-
-
-def score(docs: DataFrame, *, train: Column, batch_bytes: int = 8 << 20, bucket_bytes: int = 12 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row: log10 probabilities of the whole text and its end, under the add-one unigram model and the Katz bigram model of the rows that ``train`` admits.
+    # of each run, its last token's probability after the others, backoff weights left out
+    p = [None, np.where(w.totals > 0, scale * _discounted(w.totals, d[1]) / max(n, 1), unknown)]
+    # a run is a context as often as it stands, and the start as often as the end
+    ends = w.totals[b.vocabulary == END]
+    context = [None, None]
+    for k in range(2, len(known)):
+        context.append(np.append(known[k - 1].totals, ends))
+        seen = known[k].totals > 0
+        p.append(np.where(seen, np.where(seen, _discounted(known[k].totals, d[k]), 1.0) / (context[k][b.left[k]] + HELD_BACK), p[k - 1][b.suffix[k]]))
+        first = np.flatnonzero(known[k].first & np.append(known[k - 1].other, True)[b.left[k]])
+        local, at = np.unique(b.left[k][first], return_inverse=True)
+        add = lambda x: np.bincount(at, weights=x, minlength=len(local))  # noqa: E731, B023
+        yield _rows(1, batch, {"key": b.contexts(k)[local].view(np.int64), "n": context[k][local], "x": add(_discounted(known[k].totals[first], d[k])), "y": add(p[k - 1][b.suffix[k][first]])})
+    yield _rows(0, batch, {"place": np.arange(size), "key": b.ids, "n": b.counts, "known": sums(w.totals[b.tokens] > 0).astype(np.int64), "x": sums(np.log10((w.totals[b.tokens] + 1) / (n + v + 1))), "y": sums(np.log10(p[-1])[b.at[len(p) - 1]])})
+    # from the longest context down, as far as the run stays unseen
+    open_ = np.arange(len(b.tokens))
+    for k in range(len(known) - 1, 1, -1):
+        open_ = open_[known[k].totals[b.at[k][open_]] == 0]
+        left = b.left[k][b.at[k][open_]]
+        far = context[k][left] > 0
+        hashes = b.contexts(k).view(np.int64)
+        need, times = np.unique(b.doc[open_[far]].astype(np.int64) * len(hashes) + left[far], return_counts=True)
+        yield _rows(2, batch, {"place": need // len(hashes), "key": hashes[need % len(hashes)], "n": times})
+
+
+def score(docs: DataFrame, *, train: Column, order: int = 3, batch_bytes: int = 4 << 20, bucket_bytes: int = 12 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row: log10 probabilities of the whole text and its end, under the add-one unigram model and the Katz model of runs of up to ``order`` tokens (2 at least) of the rows that ``train`` admits.
 
     Null and empty texts are their end alone. Rows with the same id are scored each; a null id
     stays null. Without learning texts all words are unknown, and both models give the
@@ -282,27 +312,30 @@ def score(docs: DataFrame, *, train: Column, batch_bytes: int = 8 << 20, bucket_
     total_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = 1 << max(0, (total_bytes // bucket_bytes).bit_length())
     batches = cut(coded(rows, batch_bytes), "batches")
-    words, pairs = cut(count(batches, "w", buckets), "words"), cut(count(batches, "p", buckets), "pairs")
-    word_figures, pair_figures = figures(words), figures(pairs)
-    v, n = word_figures[0], word_figures[1]
-    word_d, pair_d = discounts(word_figures), discounts(pair_figures)
+    counted = [cut(count(batches, k, buckets), f"runs{k}") for k in range(1, order + 1)]
+    seen = [figures(c) for c in counted]
+    d = [None, *(discounts(s) for s in seen)]
+    v, n = seen[0][:2]
     # what the words seen 1 to K times lose goes to the unknown word
-    lost = sum(word_figures[1 + c] * c * (1 - word_d[c]) for c in range(1, K + 1))
+    lost = sum(seen[0][1 + c] * c * (1 - d[1][c]) for c in range(1, K + 1))
     unknown = lost / n if n and lost > 0 else 1 / (n + 1)
     scale = (1 - unknown) / (1 - lost / n) if n else 1.0
 
     # one answer from each bucket for a batch
-    answers = lambda counted, name: counted.filter("batch is not null").groupBy("batch").agg(F.collect_list(F.struct("bucket", "totals", "flag")).alias(name))
-    met = batches.join(answers(words, "w"), "batch").join(answers(pairs, "p"), "batch")
+    met = batches
+    for k, table in enumerate(counted, 1):
+        met = met.join(table.filter("batch is not null").groupBy("batch").agg(F.collect_list(F.struct("bucket", "totals", "other", "first")).alias(f"runs{k}")), "batch")
 
     def evaluate(found):
         for rows in found:
             for k in range(rows.num_rows):
                 row = rows.slice(k, 1).to_pylist()[0]
-                b = Batch(row)
-                yield from _evaluated(b, row["batch"], Answers(b.vocabulary, buckets, row["w"]), Answers(b.keys, buckets, row["p"]), word_d, pair_d, n, v, scale, unknown)
+                b = Batch(row, order)
+                yield from _evaluated(b, row["batch"], [None, *(Answers(b.keys[k], buckets, row[f"runs{k}"]) for k in range(1, order + 1))], d, n, v, scale, unknown)
 
     found = cut(met.mapInArrow(evaluate, FOUND), "evaluated")
+    for table in (batches, *counted):
+        discard(table)
     # a table, so that the join by a context that all documents have reads plain exchanges, which Spark can split
     context = cut(found.filter("kind = 1").groupBy("key").agg(F.max("n").alias("c"), F.sum("x").alias("kept"), F.sum("y").alias("lower")), "contexts")
     weight = F.log10((1 - F.col("kept") / (F.col("c") + HELD_BACK)) / (1 - F.col("lower")))

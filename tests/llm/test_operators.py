@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -467,41 +468,48 @@ def test_slots_keep_their_places_when_the_writer_spills(tmp_path):
 # --- 8 language model -----------------------------------------------------------------------
 
 
-def brute_katz(rows):
+def brute_katz(rows, order):
     tokens = [[*words(t), b"\0end"] for _, t, *_ in rows]
     learn = [zlib.crc32(str(d).encode()) % 7 != 2 for d, *_ in rows]
-    one, two = Counter(), Counter()
-    for w, ok in zip(tokens, learn):
-        if ok:
-            one.update(w)
-            two.update(zip([b"\0start", *w], w))
+    runs = lambda w, k: list(zip(*([b"\0start"] * (k - 1 - j) + w for j in range(k))))
+    counts = [None] + [Counter(g for w, ok in zip(tokens, learn) if ok for g in runs(w, k)) for k in range(1, order + 1)]
+    one = counts[1]
     n, v = sum(one.values()), len(one)
     seen = lambda c: [len(c), sum(c.values()), *(sum(x == k for x in c.values()) for k in range(1, katz.K + 2))]
-    d1, d2 = katz.discounts(seen(one)), katz.discounts(seen(two))
-    kept = lambda d, c: d[min(c, katz.K + 1)] * c
-    unknown = sum(c - kept(d1, c) for c in one.values()) / n
-    p1 = lambda w: kept(d1, one[w]) / n if one[w] else unknown
-    context = defaultdict(lambda: [0, 0.0, 0.0])
-    for (h, w), c in two.items():
-        context[h][0] += c
-        context[h][1] += kept(d2, c)
-        context[h][2] += p1(w)
+    d = [None] + [katz.discounts(seen(c)) for c in counts[1:]]
+    kept = lambda k, c: d[k][min(c, katz.K + 1)] * c
+    unknown = sum(c - kept(1, c) for c in one.values()) / n
+    follow = defaultdict(list)
+    for k in range(2, order + 1):
+        for g in counts[k]:
+            follow[g[:-1]].append(g[-1])
 
     def p(h, w):
-        if two[h, w]:
-            return kept(d2, two[h, w]) / (context[h][0] + katz.HELD_BACK)
-        return p1(w) * ((1 - context[h][1] / (context[h][0] + katz.HELD_BACK)) / (1 - context[h][2]) if h in context else 1)
+        if not h:
+            return kept(1, one[w,]) / n if one[w,] else unknown
+        if h not in follow:
+            return p(h[1:], w)
+        c, k = counts[len(h) + 1], len(h) + 1
+        return kept(k, c[*h, w]) / total(h) if c[*h, w] else weight(h) * p(h[1:], w)
 
-    for h in list(context)[:5]:
-        assert abs(sum(p(h, w) for w in one) + p(h, b"unknown") - 1) < 1e-9
-    return {d: (len(w), sum(one[x] > 0 for x in w), n, sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(p(h, x)) for h, x in zip([b"\0start", *w], w))) for (d, *_), w in zip(rows, tokens)}
+    @cache
+    def total(h):
+        return sum(counts[len(h) + 1][*h, w] for w in follow[h]) + katz.HELD_BACK
 
+    @cache
+    def weight(h):
+        return (1 - sum(p(h, w) for w in follow[h])) / (1 - sum(p(h[1:], w) for w in follow[h]))
 
-@pytest.mark.parametrize("size", [2000, 1 << 24])
-def test_katz_equals_brute_force(spark, size):
+    for h in [h for k in range(1, order) for h in [h for h in follow if len(h) == k][:5]]:
+        assert abs(sum(p(h, w) for (w,) in one) + p(h, b"unknown") - 1) < 1e-9
+    return {i: (len(w), sum(one[x,] > 0 for x in w), n, sum(math.log10((one[x,] + 1) / (n + v + 1)) for x in w), sum(math.log10(p(g[:-1], g[-1])) for g in runs(w, order))) for (i, *_), w in zip(rows, tokens)}
+
+
+@pytest.mark.parametrize(("size", "order"), [(2000, 2), (2000, 3), (1 << 24, 3), (2000, 4)])
+def test_katz_equals_brute_force(spark, size, order):
     rows = documents()
-    got = {r["doc_id"]: r for r in katz.score(clash(frame(spark, rows)), train=~katz.held_out(F.col("doc_id")), batch_bytes=size, bucket_bytes=5000).collect()}
-    for d, want in brute_katz(rows).items():
+    got = {r["doc_id"]: r for r in katz.score(clash(frame(spark, rows)), train=~katz.held_out(F.col("doc_id")), order=order, batch_bytes=size, bucket_bytes=5000).collect()}
+    for d, want in brute_katz(rows, order).items():
         assert tuple(got[d])[1:4] == want[:3]
         assert np.allclose(tuple(got[d])[4:], want[3:], rtol=1e-9)
 
