@@ -12,8 +12,8 @@ h of up to ``order`` - 1 tokens, P(w | h) = d(c) c(hw) / (c(h) + 1/2) for a run
 something to contexts all of whose runs are frequent), and a(h) P(w | h') for another, h' being h without
 its first token, and so on down to the word alone. a(h) = (1 - sum of the seen P(w | h)) / (1 - sum of
 P(w | h') of the same words), 1 for a context never seen. A run that is seen has all its shorter ends
-seen, so the sums need no other weight; they are added up over batches, each distinct run by the first
-batch that holds it. Before a text's first token stand as many starts as the context is long.
+seen, so the sums need no other weight; each batch gives what the runs that it is the
+first to hold add to them, and buckets of contexts add these up and answer as they do for counts. Before a text's first token stand as many starts as the context is long.
 """
 
 from __future__ import annotations
@@ -109,8 +109,12 @@ def coded(docs: DataFrame, batch_bytes: int) -> DataFrame:
             last[ends - 1] = True
             tokens = np.empty(len(last), np.uint64)
             tokens[last], tokens[~last] = END, words
-            vocabulary, place = np.unique(tokens, return_inverse=True)
-            values = [[TaskContext.get().partitionId() << 40 | done], [pa.array(ids, mask=~named).to_pylist()], [learn], [counts], [vocabulary.tobytes()], [_packed(place.astype(np.int32))]]
+            vocabulary, place, times = np.unique(tokens, return_inverse=True, return_counts=True)
+            # the commonest words have the smallest places
+            common = np.argsort(-times, kind="stable")
+            rank = np.empty(len(common), np.uint32)
+            rank[common] = np.arange(len(common), dtype=np.uint32)
+            values = [[TaskContext.get().partitionId() << 40 | done], [pa.array(ids, mask=~named).to_pylist()], [learn], [counts], [vocabulary[common].tobytes()], [_packed(rank[place].view(np.uint8).reshape(-1, 4).T)]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)], names=names)
 
         for batch in batches:
@@ -138,7 +142,7 @@ class Batch:
         self.ids, self.learn = pa.array(row["ids"], pa.int64()), np.array(row["learn"], bool)
         self.counts = np.array(row["counts"], np.int64)
         self.vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
-        self.tokens = _unpacked(row["tokens"], np.int32)
+        self.tokens = np.ascontiguousarray(_unpacked(row["tokens"], np.uint8).reshape(4, -1).T).view(np.int32).ravel()
         self.doc = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
         self.learned = self.learn[self.doc]
         self.starts = starts_of(order)
@@ -261,44 +265,78 @@ class Answers:
         self.totals[order], self.other[order], self.first[order] = totals, other, first
 
 
-FOUND = "kind int, batch long, place long, key long, n long, known long, x double, y double"
+#: A row for each batch (its documents, and how often each needs which of the weights it asks for) and one for each bucket that it asks or adds to.
+FOUND = {"batch": pa.int64(), "ids": pa.list_(pa.int64()), "n": pa.list_(pa.int64()), "known": pa.list_(pa.int64()), "base": pa.list_(pa.float64()), "score": pa.list_(pa.float64()), "place": pa.binary(), "weight": pa.binary(), "times": pa.binary(), "bucket": pa.int64(), "keys": pa.binary(), "c": pa.binary(), "kept": pa.binary(), "lower": pa.binary(), "wanted": pa.binary()}
+FOUND_DDL = "batch long, ids array<long>, n array<long>, known array<long>, base array<double>, score array<double>, place binary, weight binary, times binary, bucket long, keys binary, c binary, kept binary, lower binary, wanted binary"
 
 
-def _rows(kind: int, batch: int, columns: dict) -> pa.RecordBatch:
-    size = len(next(iter(columns.values())))
-    fixed = {"kind": pa.array(np.full(size, kind, np.int32)), "batch": pa.array(np.full(size, batch, np.int64))}
-    types = {"x": pa.float64(), "y": pa.float64()}
-    names = [c.split()[0] for c in FOUND.split(", ")]
-    return pa.RecordBatch.from_arrays([fixed[c] if c in fixed else columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], types.get(c, pa.int64())) if c in columns else pa.nulls(size, types.get(c, pa.int64())) for c in names], names=names)
+def _rows(size: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in FOUND.items()], names=list(FOUND))
 
 
-def _evaluated(b: Batch, batch: int, known: list, d: list, n: int, v: int, scale: float, unknown: float):
-    """Of a batch: 0, each document's tokens, known tokens and sums of logarithms, backoff weights left out; 1, what the runs that it is the first to hold add to the sums of their contexts; 2, how often each document needs a context's backoff weight. ``known`` and ``d`` are answers and discounts by the length of runs."""
+def _evaluated(b: Batch, batch: int, buckets: int, known: list, d: list, n: int, v: int, scale: float, unknown: float):
+    """Of a batch: each document's tokens, known tokens and sums of logarithms, backoff weights left out, and how often it needs which weight; and by bucket the contexts whose weights are wanted or to whose sums the runs that the batch is the first to hold add. ``known`` and ``d`` are answers and discounts by the length of runs."""
     size, w = len(b.counts), known[1]
     sums = lambda x: np.bincount(b.doc, weights=x, minlength=size)
     # of each run, its last token's probability after the others, backoff weights left out
     p = [None, np.where(w.totals > 0, scale * _discounted(w.totals, d[1]) / max(n, 1), unknown)]
     # a run is a context as often as it stands, and the start as often as the end
     ends = w.totals[b.vocabulary == END]
-    context = [None, None]
+    context, asked = [None, None], []
     for k in range(2, len(known)):
         context.append(np.append(known[k - 1].totals, ends))
         seen = known[k].totals > 0
         p.append(np.where(seen, np.where(seen, _discounted(known[k].totals, d[k]), 1.0) / (context[k][b.left[k]] + HELD_BACK), p[k - 1][b.suffix[k]]))
         first = np.flatnonzero(known[k].first & np.append(known[k - 1].other, True)[b.left[k]])
-        local, at = np.unique(b.left[k][first], return_inverse=True)
-        add = lambda x: np.bincount(at, weights=x, minlength=len(local))  # noqa: E731, B023
-        yield _rows(1, batch, {"key": b.contexts(k)[local].view(np.int64), "n": context[k][local], "x": add(_discounted(known[k].totals[first], d[k])), "y": add(p[k - 1][b.suffix[k][first]])})
-    yield _rows(0, batch, {"place": np.arange(size), "key": b.ids, "n": b.counts, "known": sums(w.totals[b.tokens] > 0).astype(np.int64), "x": sums(np.log10((w.totals[b.tokens] + 1) / (n + v + 1))), "y": sums(np.log10(p[-1])[b.at[len(p) - 1]])})
-    # from the longest context down, as far as the run stays unseen
-    open_ = np.arange(len(b.tokens))
+        add = lambda x: np.bincount(b.left[k][first], weights=x, minlength=len(context[k]))  # noqa: E731, B023
+        asked.append([b.contexts(k), context[k], add(_discounted(known[k].totals[first], d[k])), add(p[k - 1][b.suffix[k][first]])])
+    # from the longest context down, as far as the run stays unseen; contexts are numbered through all lengths
+    before = np.cumsum([0, *(len(a[0]) for a in asked)])
+    keys, c, kept, lower = (np.concatenate(x) for x in zip(*asked, strict=True))
+    open_, need = np.arange(len(b.tokens)), []
     for k in range(len(known) - 1, 1, -1):
         open_ = open_[known[k].totals[b.at[k][open_]] == 0]
         left = b.left[k][b.at[k][open_]]
         far = context[k][left] > 0
-        hashes = b.contexts(k).view(np.int64)
-        need, times = np.unique(b.doc[open_[far]].astype(np.int64) * len(hashes) + left[far], return_counts=True)
-        yield _rows(2, batch, {"place": need // len(hashes), "key": hashes[need % len(hashes)], "n": times})
+        need.append(b.doc[open_[far]] * before[-1] + before[k - 2] + left[far])
+    need, times = np.unique(np.concatenate(need), return_counts=True)
+    place, weight = need // before[-1], need % before[-1]
+    wanted = np.zeros(len(keys), bool)
+    wanted[weight] = True
+    used = np.flatnonzero(wanted | (kept > 0))
+    order, edge = _parts(keys[used], buckets)
+    order = used[order]
+    rank = np.cumsum(wanted[order]) - 1
+    number = np.zeros(len(keys), np.int32)
+    number[order] = rank
+    base, gain = np.log10((w.totals[b.tokens] + 1) / (n + v + 1)), np.log10(p[-1])[b.at[len(p) - 1]]
+    yield _rows(1, batch=[batch], ids=[b.ids.to_pylist()], n=[b.counts], known=[sums(w.totals[b.tokens] > 0).astype(np.int64)], base=[sums(base)], score=[sums(gain)], place=[_packed(place.astype(np.int32))], weight=[_packed(number[weight])], times=[_narrow(times)])
+    full = np.flatnonzero(np.diff(edge))
+    part = lambda pack, x: [pack(x[order[edge[f] : edge[f + 1]]]) for f in full]
+    yield _rows(len(full), batch=[batch] * len(full), bucket=full, keys=part(_pack_keys, keys), c=part(_narrow, c), kept=part(_packed, kept), lower=part(_packed, lower), wanted=part(_bits, wanted))
+
+
+def weights(found: DataFrame) -> DataFrame:
+    """(batch, bucket, a) the logarithms of the backoff weights that each batch wants of a bucket, in the order of their keys."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        batch = table.column("batch").to_pylist()
+        order = np.argsort(batch, kind="stable")
+        column = lambda name, read: [read(table.column(name)[int(i)].as_py()) for i in order]
+        doubles = lambda x: _unpacked(x, np.float64)
+        keys = column("keys", _unpack_keys)
+        edge = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = lambda name: np.bincount(place, weights=np.concatenate(column(name, doubles)), minlength=len(distinct))
+        c = np.zeros(len(distinct), np.int64)
+        c[place] = np.concatenate(column("c", _wide))
+        with np.errstate(divide="ignore", invalid="ignore"):  # of contexts that nobody wants
+            a = np.log10((1 - total("kept") / (c + HELD_BACK)) / (1 - total("lower")))[place]
+        wanted = [_flags(table.column("wanted")[int(i)].as_py(), len(k)) for i, k in zip(order, keys, strict=True)]
+        return pa.table({"batch": pa.array([batch[int(i)] for i in order], pa.int64()), "bucket": table.column("bucket"), "a": pa.array([_packed(a[s:e][f]) for s, e, f in zip(edge[:-1], edge[1:], wanted, strict=True)], pa.binary())})
+
+    asked = found.filter("bucket is not null").select("batch", "bucket", "keys", "c", "kept", "lower", "wanted")
+    return asked.groupBy("bucket").applyInArrow(answer, "batch long, bucket long, a binary")
 
 
 def score(docs: DataFrame, *, train: Column, order: int = 3, batch_bytes: int = 4 << 20, bucket_bytes: int = 12 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -331,18 +369,26 @@ def score(docs: DataFrame, *, train: Column, order: int = 3, batch_bytes: int =
             for k in range(rows.num_rows):
                 row = rows.slice(k, 1).to_pylist()[0]
                 b = Batch(row, order)
-                yield from _evaluated(b, row["batch"], [None, *(Answers(b.keys[k], buckets, row[f"runs{k}"]) for k in range(1, order + 1))], d, n, v, scale, unknown)
+                yield from _evaluated(b, row["batch"], buckets, [None, *(Answers(b.keys[k], buckets, row[f"runs{k}"]) for k in range(1, order + 1))], d, n, v, scale, unknown)
 
-    found = cut(met.mapInArrow(evaluate, FOUND), "evaluated")
+    found = cut(met.mapInArrow(evaluate, FOUND_DDL), "evaluated")
     for table in (batches, *counted):
         discard(table)
-    # a table, so that the join by a context that all documents have reads plain exchanges, which Spark can split
-    context = cut(found.filter("kind = 1").groupBy("key").agg(F.max("n").alias("c"), F.sum("x").alias("kept"), F.sum("y").alias("lower")), "contexts")
-    weight = F.log10((1 - F.col("kept") / (F.col("c") + HELD_BACK)) / (1 - F.col("lower")))
-    need = found.filter("kind = 2").select("batch", "place", "key", "n").join(context.select("key", weight.alias("a")), "key")
-    more = need.groupBy("batch", "place").agg(F.sum(F.col("n") * F.col("a")).alias("more"))
-    out = found.filter("kind = 0").join(more, ["batch", "place"], "left")
-    return out.select(F.col("key").alias("doc_id"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.col("x").alias("base_score"), (F.col("y") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    given = cut(weights(found), "weights").groupBy("batch").agg(F.collect_list(F.struct("bucket", "a")).alias("given"))
+    scored = found.filter("bucket is null").select("batch", "ids", "n", "known", "base", "score", "place", "weight", "times")
+
+    def finish(rows):
+        for batch in rows:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                a = [_unpacked(g["a"], np.float64) for g in sorted(row["given"] or [], key=lambda g: g["bucket"])]
+                a, total = np.concatenate([np.zeros(0), *a]), np.array(row["score"], np.float64)
+                place, weight = _unpacked(row["place"], np.int32), _unpacked(row["weight"], np.int32)
+                total += np.bincount(place, weights=a[weight] * _wide(row["times"]), minlength=len(total))
+                values = [pa.array(row[c], pa.int64()) for c in ("ids", "n", "known")] + [pa.array(np.full(len(total), n, np.int64)), pa.array(row["base"], pa.float64()), pa.array(total)]
+                yield pa.RecordBatch.from_arrays(values, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return scored.join(given, "batch", "left").mapInArrow(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def held_out(doc_id: Column) -> Column:
