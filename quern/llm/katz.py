@@ -339,7 +339,7 @@ def weights(found: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(answer, "batch long, bucket long, a binary")
 
 
-def score(docs: DataFrame, *, train: Column, order: int = 3, batch_bytes: int = 4 << 20, bucket_bytes: int = 12 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def score(docs: DataFrame, *, train: Column, order: int = 3, batch_bytes: int = 8 << 20, bucket_bytes: int = 12 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row: log10 probabilities of the whole text and its end, under the add-one unigram model and the Katz model of runs of up to ``order`` tokens (2 at least) of the rows that ``train`` admits.
 
     Null and empty texts are their end alone. Rows with the same id are scored each; a null id
