@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, katz, langid, linededup, minhash, packing, pii, shards, urlfilter
+from . import decontam, fingerprint, funnel, katz, langid, lexical, linededup, minhash, packing, pii, shards, urlfilter
 from .common import read, scratch
 
 
@@ -84,6 +84,24 @@ def op10_scaled_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.digest(fingerprint.fingerprints(read(spark, sf_dir, "documents")))
 
 
+FUNNELS = [
+    funnel.Funnel("A", ("view", "click", "view", "purchase"), ("error",)),
+    funnel.Funnel("B", ("signup", "view", "click", "purchase"), ("error",)),
+    funnel.Funnel("C", ("click", "click", "purchase", "view"), ("signup",)),
+]
+
+
+def op11_ordered_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnel.funnels(read(spark, sf_dir, "clicks"), FUNNELS)
+
+
+def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build(read(spark, sf_dir, "documents"))
+    found = lexical.search(index, read(spark, sf_dir, "benchmark"))
+    index.discard()
+    return found
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_temporal_url_filter": op1_temporal_url_filter,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
@@ -95,4 +113,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz_backoff": op8_katz_backoff,
     "op9_winnowed_line_dedup": op9_winnowed_line_dedup,
     "op10_scaled_fingerprint": op10_scaled_fingerprint,
+    "op11_ordered_funnels": op11_ordered_funnels,
+    "op13_ranked_lexical_search": op13_ranked_lexical_search,
 }

@@ -58,3 +58,58 @@ WITH captures AS (
 SELECT c.page_id, c.url, strftime(c.d, '%Y-%m-%d') AS fetched_on, m.key IS NOT NULL AS blocked, m.key AS matched_key, strftime(m.since, '%Y-%m-%d') AS listed_on
 FROM captures c LEFT JOIN met m ON c.page_id = m.page_id AND m.k = 1
 """
+
+ORACLE["op11_ordered_funnels"] = """
+WITH rows AS (
+  SELECT DISTINCT client_id, kind, epoch_us(ts) AS t FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND ts IS NOT NULL
+), nexts AS (
+  SELECT *, min(t) FILTER (kind = 'view') OVER w AS view, min(t) FILTER (kind = 'click') OVER w AS click,
+         min(t) FILTER (kind = 'purchase') OVER w AS purchase, min(t) FILTER (kind = 'error') OVER w AS error, min(t) FILTER (kind = 'signup') OVER w AS signup
+  FROM rows WINDOW w AS (PARTITION BY client_id ORDER BY t RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+), hops AS (
+  SELECT client_id, kind, t, 'view' AS target, view AS u, error, signup FROM nexts
+  UNION ALL SELECT client_id, kind, t, 'click', click, error, signup FROM nexts
+  UNION ALL SELECT client_id, kind, t, 'purchase', purchase, error, signup FROM nexts
+), funnels(funnel, k1, k2, k3, k4) AS (
+  VALUES ('A', 'view', 'click', 'view', 'purchase'), ('B', 'signup', 'view', 'click', 'purchase'), ('C', 'click', 'click', 'purchase', 'view')
+), reach AS (
+  SELECT funnel, h.* FROM hops h CROSS JOIN (SELECT funnel FROM funnels) f
+  WHERE u - t <= 900000000 AND NOT coalesce(CASE funnel WHEN 'C' THEN signup ELSE error END <= u, false)
+), attempts AS (
+  SELECT f.funnel, r.client_id, r.t AS a, x.u AS b, y.u AS c, z.u AS d
+  FROM funnels f JOIN rows r ON r.kind = f.k1
+  LEFT JOIN reach x ON x.funnel = f.funnel AND x.client_id = r.client_id AND x.kind = f.k1 AND x.target = f.k2 AND x.t = r.t
+  LEFT JOIN reach y ON y.funnel = f.funnel AND y.client_id = r.client_id AND y.kind = f.k2 AND y.target = f.k3 AND y.t = x.u
+  LEFT JOIN reach z ON z.funnel = f.funnel AND z.client_id = r.client_id AND z.kind = f.k3 AND z.target = f.k4 AND z.t = y.u
+), sums AS (
+  SELECT funnel, client_id, count(*) AS n1, count(b) AS n2, count(c) AS n3, count(d) AS n4,
+         CAST(CASE WHEN count(d) > 0 THEN 4 WHEN count(c) > 0 THEN 3 WHEN count(b) > 0 THEN 2 ELSE 1 END AS INTEGER) AS deepest,
+         list_sort(list(b - a) FILTER (b IS NOT NULL))[(count(b) + 1) // 2] AS t2,
+         list_sort(list(c - b) FILTER (c IS NOT NULL))[(count(c) + 1) // 2] AS t3,
+         list_sort(list(d - c) FILTER (d IS NOT NULL))[(count(d) + 1) // 2] AS t4
+  FROM attempts GROUP BY funnel, client_id
+)
+SELECT *, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM sums
+"""
+
+ORACLE["op13_ranked_lexical_search"] = r"""
+WITH tokens AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), postings AS (
+  SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY doc_id, term
+), lengths AS (
+  SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM postings GROUP BY doc_id
+), totals AS (
+  SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM lengths
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * big_n + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM postings CROSS JOIN totals GROUP BY term, big_n
+), asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), scored AS (
+  SELECT a.item_id, p.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM asked a JOIN postings p ON p.term = a.term JOIN weights g ON g.term = p.term JOIN lengths l ON l.doc_id = p.doc_id CROSS JOIN totals GROUP BY a.item_id, p.doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
