@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, funnel, katz, langid, lexical, linededup, minhash, packing, pii, shards, urlfilter
+from . import decontam, fingerprint, funnel, katz, langid, lexical, linededup, minhash, packing, pii, recompress, shards, urlfilter
 from .common import read, scratch
 
 
@@ -95,6 +95,11 @@ def op11_ordered_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel.funnels(read(spark, sf_dir, "clicks"), FUNNELS)
 
 
+def op12_recompressed_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = recompress.remove_repeats(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = lexical.build(read(spark, sf_dir, "documents"))
     found = lexical.search(index, read(spark, sf_dir, "benchmark"))
@@ -114,5 +119,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_winnowed_line_dedup": op9_winnowed_line_dedup,
     "op10_scaled_fingerprint": op10_scaled_fingerprint,
     "op11_ordered_funnels": op11_ordered_funnels,
+    "op12_recompressed_substrings": op12_recompressed_substrings,
     "op13_ranked_lexical_search": op13_ranked_lexical_search,
 }

@@ -113,3 +113,23 @@ WITH tokens AS (
 )
 SELECT * FROM ranked WHERE rank <= 10
 """
+
+ORACLE["op12_recompressed_substrings"] = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split
+), windows AS (
+  SELECT doc_id, i, list(word) OVER f AS content, count(*) OVER f AS n
+  FROM words WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+), first AS (
+  SELECT *, min(doc_id) OVER (PARTITION BY content) AS least FROM windows WHERE n = 13
+), judged AS (
+  SELECT w.doc_id, w.i, w.word, coalesce(max(CASE WHEN f.least < f.doc_id THEN w.i END) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) > 0, false) AS gone
+  FROM words w LEFT JOIN first f ON f.doc_id = w.doc_id AND f.i = w.i
+), left_over AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM judged GROUP BY doc_id
+)
+SELECT s.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split s LEFT JOIN left_over USING (doc_id)
+"""
