@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import col
 from .text import strip
 
 NORMAL = ("_norm_instruction", "_norm_input", "_norm_output")
@@ -34,12 +35,12 @@ def normalise(df: DataFrame, input_format: str = "auto", instruction: str | None
     if input_format == "auto":
         input_format, note = detect(df.columns)
     by_name = {c.lower(): c for c in df.columns}
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")
+    text = lambda c: F.coalesce(col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")
     named = lambda *names, default=None: text(next((by_name[n] for n in names if n in by_name), default))
     first, second = df.columns[0], df.columns[min(1, len(df.columns) - 1)]
     if input_format == "sharegpt":
         column = next((c for c in ("messages", "conversations") if c in df.columns), first)
-        raw = F.col(column)
+        raw = col(column)
         messages = F.from_json(raw, MESSAGES) if dict(df.dtypes)[column] == "string" else F.from_json(F.to_json(raw), MESSAGES)
         messages = F.when(F.size(messages) >= 2, messages)
         normal = _first_said(messages, "user", "human"), F.lit(""), _first_said(messages, "assistant", "gpt")

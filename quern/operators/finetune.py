@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import chat, quality
+from quern.functions.names import col, cols
 from quern.operators.steps import StepOutput, fenced
 
 
@@ -17,7 +18,7 @@ def format_examples(df: DataFrame, conf: dict) -> StepOutput:
     counter = conf.get("token_counter", chat.token_estimate)
     others = [c for c in df.columns if c not in ("formatted_text", "token_count")]
     out = normal.withColumn("formatted_text", example).withColumn("token_count", counter(F.col("formatted_text")))
-    out = out.select("formatted_text", "token_count", *others, *chat.NORMAL)
+    out = out.select("formatted_text", "token_count", *cols(others), *chat.NORMAL)
     most = conf.get("max_tokens_per_example", 4096)
     kept = fenced(out).filter(F.col("token_count") <= most) if most > 0 else out
     return StepOutput(kept, token_summary(kept), [note] if note else [], {"input_format": name, "output_format": target})
@@ -33,8 +34,8 @@ def response_quality(df: DataFrame, conf: dict) -> StepOutput:
     """Scores of the normal columns (or the first and last); ``filter`` keeps 6 and more and drops the scores."""
     first, last = (chat.NORMAL[0], chat.NORMAL[2]) if chat.NORMAL[0] in df.columns else (df.columns[0], df.columns[-1])
     score, why = quality.response(
-        F.coalesce(F.col(first).cast("string"), F.lit("")),
-        F.coalesce(F.col(last).cast("string"), F.lit("")),
+        F.coalesce(col(first).cast("string"), F.lit("")),
+        F.coalesce(col(last).cast("string"), F.lit("")),
         min_instruction=conf.get("min_instruction_length", 3),
         min_words=conf.get("min_response_length", 10),
         max_words=conf.get("max_response_length", 2000),
@@ -55,7 +56,7 @@ def augment(df: DataFrame, conf: dict) -> StepOutput:
         return StepOutput(df, None, ["No generator given; no examples are added."], {"synthetic_examples_added": 0})
     new = generator(df).withColumn("is_synthetic", F.lit(True))
     for c in df.columns:
-        new = new.filter(F.col(c).isNotNull())
+        new = new.filter(col(c).isNotNull())
     return StepOutput(df.withColumn("is_synthetic", F.lit(False)).unionByName(new))
 
 

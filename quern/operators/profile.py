@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import language, pii, quality
+from quern.functions.names import col, cols, fresh
 from quern.operators.steps import longest_text_column, row_order, text_columns
 
 
@@ -19,7 +20,7 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, approximate: b
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     aggregates = [F.count("*").alias("rows")]
     for k, f in enumerate(fields):
-        c = F.col(f"`{f.name}`")
+        c = col(f.name)
         real = isinstance(f.dataType, (T.FloatType, T.DoubleType))
         number = isinstance(f.dataType, (T.NumericType, T.BooleanType))
         value = F.when(~F.isnan(c), c) if real else c
@@ -47,16 +48,16 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, approximate: b
 
 def sample_values(df: DataFrame, column: str, n: int = 5, order_by: str | None = None) -> list:
     """The first values that aren't null, in the order of the rows."""
-    return [r[0] for r in df.filter(F.col(column).isNotNull()).orderBy(*row_order(df, order_by)).select(column).limit(n).collect()]
+    return [r[0] for r in df.filter(col(column).isNotNull()).orderBy(*row_order(df, order_by)).select(col(column)).limit(n).collect()]
 
 
 def token_total(df: DataFrame, counter=None) -> DataFrame:
     """Estimated tokens of all text: by ``counter`` where one is given, else three quarters of a token for each character."""
     names = text_columns(df)
     if counter is None:
-        chars = sum((F.coalesce(F.length(c), F.lit(0)) for c in names), F.lit(0))
+        chars = sum((F.coalesce(F.length(col(c)), F.lit(0)) for c in names), F.lit(0))
         return df.agg(F.floor(F.coalesce(F.sum(chars), F.lit(0)) * 0.75).cast("long").alias("token_estimate"))
-    return df.agg(F.coalesce(F.sum(sum((counter(F.coalesce(F.col(c), F.lit(""))) for c in names), F.lit(0))), F.lit(0)).cast("long").alias("token_estimate"))
+    return df.agg(F.coalesce(F.sum(sum((counter(F.coalesce(col(c), F.lit(""))) for c in names), F.lit(0))), F.lit(0)).cast("long").alias("token_estimate"))
 
 
 def table_language(df: DataFrame, order_by: str | None = None) -> str | None:
@@ -64,7 +65,7 @@ def table_language(df: DataFrame, order_by: str | None = None) -> str | None:
     names = text_columns(df)
     if not names:
         return None
-    some = df.filter(F.col(names[0]).isNotNull()).orderBy(*row_order(df, order_by)).limit(20).select(F.col(names[0]).alias("t"))
+    some = df.filter(col(names[0]).isNotNull()).orderBy(*row_order(df, order_by)).limit(20).select(col(names[0]).alias("t"))
     row = some.agg(F.array_join(F.collect_list("t"), " ").alias("t")).select("t", language.guess(F.col("t")).alias("g")).first()
     return row["g"]["language"] if row["t"] and len(row["t"].strip()) >= 20 else None
 
@@ -88,28 +89,29 @@ def primary_text_columns(df: DataFrame, kind: str) -> list[str]:
     names = text_columns(df)
     if len(names) <= 1:
         return names
-    means = df.agg(*(F.avg(F.length(F.coalesce(c, F.lit("")))).alias(c) for c in names)).first()
+    means = dict(zip(names, df.agg(*(F.avg(F.length(F.coalesce(col(c), F.lit("")))) for c in names)).first(), strict=True))
     return sorted(names, key=lambda c: -(means[c] or 0))[:3]
 
 
 def ratios(df: DataFrame, texts: list[str]) -> DataFrame:
     """One row over all rows: their number and the shares of duplicate rows, of rows with personal data, with nulls by column, and of short texts."""
-    groups = df.groupBy(*df.columns).agg(F.count("*").alias("_n")) if df.columns else df
-    found = F.size(pii.found([F.col(c) for c in texts], list(pii.PATTERNS))) > 0 if texts else F.lit(False)
-    short = sum((F.when(F.length(F.coalesce(F.col(c).cast("string"), F.lit(""))) < 10, 1).otherwise(0) for c in texts), F.lit(0)) / max(1, len(texts))
-    w = F.col("_n")
+    (n,) = fresh(df, "n")
+    groups = df.groupBy(*cols(df.columns)).agg(F.count("*").alias(n)) if df.columns else df
+    found = F.size(pii.found(cols(texts), list(pii.PATTERNS))) > 0 if texts else F.lit(False)
+    short = sum((F.when(F.length(F.coalesce(col(c).cast("string"), F.lit(""))) < 10, 1).otherwise(0) for c in texts), F.lit(0)) / max(1, len(texts))
+    w = F.col(n)
     return groups.agg(
         F.coalesce(F.sum(w), F.lit(0)).alias("row_count"),
         F.coalesce(F.try_divide(F.sum(w - 1).cast("double"), F.sum(w)), F.lit(0.0)).alias("duplicate_ratio"),
         F.coalesce(F.try_divide(F.sum(F.when(found, w).otherwise(0)).cast("double"), F.sum(w)), F.lit(0.0)).alias("pii_ratio"),
         F.coalesce(F.try_divide(F.sum(short * w), F.sum(w)), F.lit(0.0)).alias("short_ratio"),
-        *(F.coalesce(F.try_divide(F.sum(F.when(F.col(c).isNull(), w).otherwise(0)).cast("double"), F.sum(w)), F.lit(0.0)).alias(f"null_ratio_{c}") for c in texts),
+        *(F.coalesce(F.try_divide(F.sum(F.when(col(c).isNull(), w).otherwise(0)).cast("double"), F.sum(w)), F.lit(0.0)).alias(f"null_ratio_{c}") for c in texts),
     )
 
 
 def issues(found: DataFrame, texts: list[str]) -> DataFrame:
     """severity, type and affected_rows from ``ratios``, in fixed order."""
-    r = {c: F.col(c) for c in found.columns}
+    r = {c: col(c) for c in found.columns}
     one = lambda ratio, kind, severity: F.struct(severity.alias("severity"), F.lit(kind).alias("type"), F.floor(r["row_count"] * ratio + 1e-9).cast("long").alias("affected_rows"))
     rules = [
         F.when(r["duplicate_ratio"] > 0.01, one(r["duplicate_ratio"], "duplicates", F.when(r["duplicate_ratio"] > 0.1, "high").otherwise("medium"))),
@@ -153,7 +155,7 @@ def analyze(df: DataFrame, summarise=None) -> Analysis:
     row = found.first().asDict()
     listed = [r.asDict() for r in issues(found, [c for c in texts if c in text_columns(df)]).orderBy("place").collect()]
     column = longest_text_column(df)
-    top = df.groupBy(language.guess(F.col(column))["language"].alias("l")).count().orderBy(F.desc("count"), "l").first() if column else None
+    top = df.groupBy(language.guess(col(column))["language"].alias("l")).count().orderBy(F.desc("count"), "l").first() if column else None
     tongue = top["l"] if top else "unknown"
     good = max(0.0, 10.0 - row["duplicate_ratio"] * 10 - row["short_ratio"] * 10 - len(listed) * 0.5)
     text = f"{row['row_count']:,} rows of {kind} (language: {tongue}), quality {good:.1f} of 10; " + (f"{len(listed)} issues: " + ", ".join(i["type"].replace("_", " ") for i in listed[:2]) if listed else "no issues") + "."

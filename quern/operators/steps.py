@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import language, pii, quality, text
-from quern.functions.names import fresh
+from quern.functions.names import col, cols, fresh
 from quern.operators import semantic
 
 
@@ -49,7 +49,7 @@ def find(name: str) -> Step | None:
 
 def fenced(df: DataFrame) -> DataFrame:
     """The same rows behind a generator. Spark pushes filters through projections by repeating their expressions; through this it doesn't, so costly columns are computed once."""
-    return df.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
+    return df.select(F.inline(F.array(F.struct(*cols(df.columns)))))
 
 
 def text_columns(df: DataFrame) -> list[str]:
@@ -71,7 +71,7 @@ def _choice(conf: dict, key: str, default: str, allowed: tuple[str, ...]) -> str
 def row_order(df: DataFrame, order_by: str | list[str] | None) -> list[Column]:
     """Sort keys for first and last: the named columns, or the rows' order in the input, which is fixed for files."""
     names = [order_by] if isinstance(order_by, str) else order_by
-    return [F.col(c) for c in names] if names else [F.monotonically_increasing_id()]
+    return cols(names) if names else [F.monotonically_increasing_id()]
 
 
 @step("deduplication")
@@ -91,9 +91,9 @@ def deduplicate(df: DataFrame, conf: dict) -> StepOutput:
     out = df
     if method in ("exact", "both"):
         if conf.get("compat"):
-            keys = [F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in named)), 256)]
+            keys = [F.sha2(F.concat_ws("|", *(F.coalesce(col(c).cast("string"), F.lit("None")) for c in named)), 256)]
         else:
-            keys = [F.col(c) for c in named]
+            keys = cols(named)
         order = row_order(df, conf.get("order_by"))
         order = order if keep == "first" else [c.desc() for c in order]
         (place,) = fresh(out, "place")
@@ -135,18 +135,18 @@ def remove_noise(df: DataFrame, conf: dict) -> StepOutput:
         return StepOutput(df, None, ["No text columns to clean."])
     new = {}
     for name in names:
-        new[name], bad = cleaned(F.col(name), conf)
+        new[name], bad = cleaned(col(name), conf)
         warnings += [w for w in bad if w not in warnings]
-    was = dict(zip(names, fresh(df, *(f"was_{n}" for n in names)), strict=True))
-    both = df.withColumns({was[n]: F.col(n) for n in names}).withColumns(new)
+    was = dict(zip(names, fresh(df, *(f"was{k}" for k in range(len(names)))), strict=True))
+    both = df.withColumns({was[n]: col(n) for n in names}).withColumns(new)
     least, most = conf.get("min_text_length", 0), conf.get("max_text_length", 0)
-    size = F.length(F.coalesce(F.col(names[0]), F.lit("None")))
+    size = F.length(F.coalesce(col(names[0]), F.lit("None")))
     fits = F.lit(True)
     if least > 0:
         fits &= size >= least
     if most > 0:
         fits &= size <= most
-    change = sum((F.coalesce(F.abs(F.length(was[n]) - F.length(n)), F.lit(0)) for n in names), F.lit(0))
+    change = sum((F.coalesce(F.abs(F.length(was[n]) - F.length(col(n))), F.lit(0)) for n in names), F.lit(0))
     repair = text.encoding_fixed if conf.get("fix_encoding", True) else lambda c: c
     strip = text.without_tags if conf.get("html_parser", True) else text.without_tags_jvm
     differs = lambda f, c: F.coalesce((f(c) != c).cast("int"), F.lit(0))
@@ -159,7 +159,8 @@ def remove_noise(df: DataFrame, conf: dict) -> StepOutput:
         F.count_if(~fits).alias("rows_removed_by_length"),
         F.coalesce(quality.half_up(F.avg(change)), F.lit(0.0)).alias("chars_cleaned_per_row_avg"),
     )
-    limited = fenced(both.select(*df.columns)).filter(fits) if least > 0 or most > 0 else both.select(*df.columns)
+    limited = both.select(*cols(df.columns))
+    limited = fenced(limited).filter(fits) if least > 0 or most > 0 else limited
     return StepOutput(limited, metrics, warnings)
 
 
@@ -171,12 +172,12 @@ def scrub_pii(df: DataFrame, conf: dict) -> StepOutput:
     if not names:
         return StepOutput(df, None, ["No text columns to scrub."])
     if action == "redact":
-        done = {n: pii.redacted(F.col(n), entities, conf.get("redact_with", "[REDACTED]")) for n in names}
+        done = {n: pii.redacted(col(n), entities, conf.get("redact_with", "[REDACTED]")) for n in names}
         per = {e: sum((done[n][1][e] for n in names), F.lit(0)) for e in entities}
         out = df.withColumns({n: c for n, (c, _) in done.items()})
     else:
-        per = pii.counts([F.col(n) for n in names], entities)
-        flagged = df.withColumn("pii_entities", F.array_join(pii.found([F.col(n) for n in names], entities), ",")).withColumn("pii_detected", F.col("pii_entities") != "")
+        per = pii.counts(cols(names), entities)
+        flagged = df.withColumn("pii_entities", F.array_join(pii.found(cols(names), entities), ",")).withColumn("pii_detected", F.col("pii_entities") != "")
         out = flagged if action == "flag" else fenced(flagged).filter(~F.col("pii_detected")).drop("pii_detected", "pii_entities")
     total = sum(per.values(), F.lit(0))
     metrics = df.agg(F.count_if(total > 0).alias("rows_with_pii"), F.coalesce(F.sum(total), F.lit(0)).alias("total_pii_instances"), *(F.coalesce(F.sum(c), F.lit(0)).alias(f"{e.lower()}_count") for e, c in per.items()))
@@ -188,8 +189,8 @@ def longest_text_column(df: DataFrame) -> str | None:
     names = text_columns(df)
     if len(names) < 2:
         return names[0] if names else None
-    means = df.agg(*(F.avg(F.length(F.coalesce(n, F.lit("None")))).alias(n) for n in names)).first()
-    return max(names, key=lambda n: means[n] or 0)
+    means = df.agg(*(F.avg(F.length(F.coalesce(col(n), F.lit("None")))) for n in names)).first()
+    return names[max(range(len(names)), key=lambda k: means[k] or 0)]
 
 
 @step("language_filter")
@@ -201,13 +202,13 @@ def filter_language(df: DataFrame, conf: dict) -> StepOutput:
     column = longest_text_column(df) if column == "auto" else column
     if column not in df.columns:
         return StepOutput(df, None, ["No text column to guess the language of."])
-    guess = language.guess(F.col(column))
+    guess = language.guess(col(column))
     least = conf.get("min_confidence", 0.0)
     (g,) = fresh(df, "guess")
     out = df.withColumn(g, guess).withColumn(tag, F.when(F.col(g)["confidence"] >= least, F.col(g)["language"]).otherwise("unknown")).withColumn(f"{tag}_confidence", F.col(g)["confidence"]).drop(g)
-    metrics = out.groupBy(tag).agg(F.count("*").alias("rows"))
+    metrics = out.groupBy(col(tag)).agg(F.count("*").alias("rows"))
     if action != "tag_only":
-        ok = F.col(tag).isin(*wanted)
+        ok = col(tag).isin(*wanted)
         out = fenced(out).filter(ok if action == "filter_keep" else ~ok)
     return StepOutput(out, metrics)
 
@@ -222,7 +223,7 @@ def score_quality(df: DataFrame, conf: dict) -> StepOutput:
     if not names:
         out = df.withColumns({score: F.lit(5.0), why: F.lit("No text columns")})
     else:
-        joined = F.concat_ws(" ", *names)
+        joined = F.concat_ws(" ", *cols(names))
         (m,) = fresh(df, "measures")
         value, reason = quality.score(F.col(m))
         out = df.withColumn(m, quality.measures(joined)).withColumns({score: value, why: reason}).drop(m)
@@ -233,9 +234,9 @@ def score_quality(df: DataFrame, conf: dict) -> StepOutput:
             out = _with_scorer(out, joined, score, why, scorer, method, conf)
     metrics = quality_summary(out, score)
     if threshold > 0 and action == "filter":
-        out = fenced(out).filter(F.col(score) >= threshold)
+        out = fenced(out).filter(col(score) >= threshold)
     elif threshold > 0 and action == "flag":
-        out = out.withColumn("quality_flag", F.col(score) < threshold)
+        out = out.withColumn("quality_flag", col(score) < threshold)
     return StepOutput(out, metrics, warnings)
 
 
@@ -262,9 +263,9 @@ def _with_scorer(df: DataFrame, joined: Column, score: str, why: str, scorer, me
     (name,) = fresh(df, "answer")
     df, a = df.withColumn(name, asked(joined)), F.col(name)
     if method == "ai":
-        new = F.coalesce(a["s"], F.col(score)), F.when(a["s"].isNull(), F.concat(F.col(why), F.lit(" (fallback)"))).otherwise(a["r"])
+        new = F.coalesce(a["s"], col(score)), F.when(a["s"].isNull(), F.concat(col(why), F.lit(" (fallback)"))).otherwise(a["r"])
     else:
-        new = quality.half_up((F.col(score) + F.coalesce(a["s"], F.col(score))) / 2), F.concat(F.lit("H: "), why, F.lit(" | AI: "), a["r"])
+        new = quality.half_up((col(score) + F.coalesce(a["s"], col(score))) / 2), F.concat(F.lit("H: "), col(why), F.lit(" | AI: "), a["r"])
     return df.withColumns({score: new[0], why: new[1]}).drop(name)
 
 
@@ -272,7 +273,7 @@ def quality_summary(scored: DataFrame, score: str = "quality_score") -> DataFram
     """One row: histogram in steps of 2, mean, and the upper median of the scores, which have two digits and so at most 1001 values: they are counted, not gathered."""
     s = F.col("s")
     bins = {"bin_0_2": s < 2, "bin_2_4": (s >= 2) & (s < 4), "bin_4_6": (s >= 4) & (s < 6), "bin_6_8": (s >= 6) & (s < 8), "bin_8_10": s >= 8}
-    counts = scored.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"))
+    counts = scored.groupBy(col(score).alias("s")).agg(F.count("*").alias("n"))
     upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("s"))).withColumn("all", F.sum("n").over(Window.partitionBy()))
     return upto.agg(
         *(F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(k) for k, c in bins.items()),

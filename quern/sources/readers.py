@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.names import col
 from quern.sources import detect, markup
 
 Reader = Callable[..., DataFrame]
@@ -45,7 +46,7 @@ def read(spark: SparkSession, path: str, fmt: str, **options) -> DataFrame:
 
 def preview(df: DataFrame, n: int = 50, order_by: str | None = None) -> DataFrame:
     """The first rows, nulls of text empty."""
-    return (df.orderBy(order_by) if order_by else df).limit(n).na.fill("")
+    return (df.orderBy(col(order_by)) if order_by else df).limit(n).na.fill("")
 
 
 def _head(spark: SparkSession, path: str, n: int) -> bytes:
