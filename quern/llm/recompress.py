@@ -331,7 +331,7 @@ def kept_texts(t: Texts, gone: np.ndarray) -> list[bytes]:
     return [raw[a : max(a, b - 1)] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 13, rounds: int = 3, batch_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 13, rounds: int = 3, batch_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The id column, text, n_words and n_removed of every row: the words that stay, joined by one space, without those that some window of ``window`` words covers whose word sequence also starts in a document with a smaller id.
 
     Windows are judged on the texts as they come. Words are compared as they are. A null or empty text has no words and
