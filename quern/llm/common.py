@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.names import col, cols
+
 _LOCAL: list[str] = []
 
 
@@ -92,9 +94,9 @@ def drop_ids(docs: DataFrame, id_column: str, ids: DataFrame) -> DataFrame:
     gone = cut(ids.filter(F.col(name).isNotNull()).distinct(), "gone")
     # the id's type in ids may differ; both sides' residues must be those of one type
     kind = dict(gone.dtypes)[name]
-    some, keyed = residues_of(gone, name, r), docs.withColumn(r, residue(F.col(id_column).cast(kind)))
-    rest = keyed.join(some, r, "left_anti").select(*docs.columns)
-    near = keyed.join(some, r, "left_semi").join(gone, F.col(id_column).cast(kind) == F.col(name), "left_anti").select(*docs.columns)
+    some, keyed = residues_of(gone, name, r), docs.withColumn(r, residue(col(id_column).cast(kind)))
+    rest = keyed.join(some, r, "left_anti").select(*cols(docs.columns))
+    near = keyed.join(some, r, "left_semi").join(gone, col(id_column).cast(kind) == F.col(name), "left_anti").select(*cols(docs.columns))
     return rest.unionByName(near)
 
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.names import quoted
+
 from .common import _SHINGLE, blocks, cut, drop_ids, mix64, residue, residues_of, text_buffers, word_hashes
 
 #: Fixed masks: one without gaps, and three whose gaps differ.
@@ -115,8 +117,8 @@ def overlaps(docs: DataFrame, tests: DataFrame, *, min_tokens: int = 13, min_sha
     length are compared whole. Empty tables give no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text")).filter("doc_id is not null")
-    tests = tests.select(tests[item_column].cast("long").alias("item_id"), tests[item_text].cast("string").alias("item")).filter("item_id is not null")
+    docs = docs.select(docs[quoted(id_column)].cast("long").alias("doc_id"), docs[quoted(text_column)].cast("string").alias("text")).filter("doc_id is not null")
+    tests = tests.select(tests[quoted(item_column)].cast("long").alias("item_id"), tests[quoted(item_text)].cast("string").alias("item")).filter("item_id is not null")
     known = cut(_seed_rows(tests, "item_id"), "seeds")
     bloom, bits = _bloom(known)
     hits = _seed_rows(docs, "doc_id", spark.sparkContext.broadcast(bloom), bits)

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.names import quoted
+
 #: Hashes are 48-bit; bounds are inclusive.
 RANGE = 1 << 48
 #: Cuts of the ids' order, for finding each id's successor.
@@ -109,8 +111,8 @@ def fingerprints(docs: DataFrame, *, width: int = 5, scale: int = 16, floor: int
     are ignored.
     """
     # no cast or alias where none is needed: they would keep Spark from seeing that two exchanges are the same
-    name = docs[id_column] if (id_column, dict(docs.dtypes)[id_column]) == ("doc_id", "bigint") else docs[id_column].cast("long").alias("doc_id")
-    docs = docs.select(name, F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
+    name = docs[quoted(id_column)] if (id_column, dict(docs.dtypes)[id_column]) == ("doc_id", "bigint") else docs[quoted(id_column)].cast("long").alias("doc_id")
+    docs = docs.select(name, F.coalesce(docs[quoted(text_column)].cast("string"), F.lit("")).alias("text"))
     options = {"width": width, "scale": scale, "floor": floor}
     near = neighbours(docs)
     # both joins read one exchange of the texts by id, so a text is shuffled once; what is sketched afterwards isn't part of it

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.names import quoted
+
 from .common import cut, discard
 
 MINUTE = 60_000_000
@@ -158,8 +160,8 @@ def funnels(events: DataFrame, funnels: list[Funnel], *, within: int = 15 * MINU
     kinds at the same time don't follow one another. An empty table gives no rows. Other columns are
     ignored, whatever their names.
     """
-    at = micros(events[time_column], dict(events.dtypes)[time_column])
-    rows = events.select(events[client_column].alias("client"), events[kind_column].alias("kind"), at.alias("at")).na.drop()
+    at = micros(events[quoted(time_column)], dict(events.dtypes)[time_column])
+    rows = events.select(events[quoted(client_column)].alias("client"), events[quoted(kind_column)].alias("kind"), at.alias("at")).na.drop()
     table = cut(edges(rows, funnels, within=within, part=part), "edges")
     found = count(table, funnels, percent=percent)
     discard(table)

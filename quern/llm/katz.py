@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.names import quoted
+
 from .common import _BASE, _mixed, blocks, cut, discard, learn_mod, mix64, text_buffers, word_hashes
 
 #: Counts up to this are discounted.
@@ -346,7 +348,7 @@ def score(docs: DataFrame, *, train: Column, order: int = 3, batch_bytes: int =
     stays null. Without learning texts all words are unknown, and both models give the
     unknown word all probability. An empty table gives no rows. Other columns are ignored.
     """
-    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("learn"))
+    rows = docs.select(docs[quoted(id_column)].cast("long").alias("doc_id"), docs[quoted(text_column)].cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("learn"))
     total_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = 1 << max(0, (total_bytes // bucket_bytes).bit_length())
     batches = cut(coded(rows, batch_bytes), "batches")

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.names import cols, quoted
+
 from .common import blocks, cut, fresh, learn_mod, text_buffers
 
 #: Byte classes (6 bits); 0 also stands before a text's start.
@@ -56,9 +58,9 @@ def learn(docs: DataFrame, *, train: Column, language: str = "lang", id_column:
     no languages. It is as large as its languages are many: 2 MB for each, and 256 bytes for each of its
     three-byte contexts in the tree, of which there are 262,144 at most. Other columns are ignored.
     """
-    rows = docs.filter(train & docs[language].isNotNull() & docs[text_column].isNotNull() & docs[id_column].isNotNull())
+    rows = docs.filter(train & docs[quoted(language)].isNotNull() & docs[quoted(text_column)].isNotNull() & docs[quoted(id_column)].isNotNull())
     order = Window.partitionBy("language").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select(docs[language].alias("language"), docs[id_column].alias("doc_id"))
+    ids = rows.select(docs[quoted(language)].alias("language"), docs[quoted(id_column)].alias("doc_id"))
     # hashes are even over their range, so the smallest lie below a cut that follows from the count; the rank among those is exact
     share = F.least(F.lit(1.0), (per_language + 10 * per_language**0.5 + 50) / F.col("_c"))
     # a row for each language, of which the model itself holds a table each; so ids are cut where they are read, before any are dealt by language
@@ -66,7 +68,7 @@ def learn(docs: DataFrame, *, train: Column, language: str = "lang", id_column:
     low = (F.xxhash64("doc_id") / 2.0**63 + 1) / 2 <= share
     ids = ids.join(counts, "language").filter(low).select("language", "doc_id").distinct().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
     chosen = ids.select("language", "doc_id")
-    sample = rows.select(docs[language].alias("language"), docs[id_column].alias("doc_id"), docs[text_column].cast("string").alias("text")).join(F.broadcast(chosen), ["language", "doc_id"], "left_semi")
+    sample = rows.select(docs[quoted(language)].alias("language"), docs[quoted(id_column)].alias("doc_id"), docs[quoted(text_column)].cast("string").alias("text")).join(F.broadcast(chosen), ["language", "doc_id"], "left_semi")
     sample = cut(sample.groupBy("language", "doc_id").agg(F.min("text").alias("text")).select("language", "text"), "sample")
 
     def histogram(batches):
@@ -190,11 +192,13 @@ def tag(docs: DataFrame, model: Model, *, text_column: str = "text", names: tupl
     def run(batches):
         for batch in batches:
             name, sure, bits = score(held.value, batch.column(place))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name, pa.string()), pa.array(sure), pa.array(bits)], names=[*batch.schema.names, *own])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name, pa.string()), pa.array(sure), pa.array(bits)], names=every)
 
     more = [T.StructField(c, t) for c, t in zip(own, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True)]
     schema = T.StructType([*docs.schema.fields, *more])
-    return docs.mapInArrow(run, schema)
+    every = schema.names
+    # Spark looks the input's columns up by their bare names, which need not be single parts
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -210,4 +214,4 @@ def language_filter(docs: DataFrame, *, keep: list[str] | None = None, least: fl
     names = fresh(docs, "language", "sure", "bits")
     tagged = tag(docs, model, names=tuple(names))
     known = F.col(names[0]).isin(keep) if keep else F.col(names[0]) != UNKNOWN
-    return tagged.filter(known & (F.col(names[1]) >= least)).select(*docs.columns)
+    return tagged.filter(known & (F.col(names[1]) >= least)).select(*cols(docs.columns))

@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.names import quoted
+
 from .common import blocks, cut, discard, text_buffers
 
 #: What a term consists of: letters and digits of ASCII, and everything beyond ASCII.
@@ -87,7 +89,7 @@ class Index:
 
 def build(docs: DataFrame, *, shard_bytes: int = 8 << 20, id_column: str = "doc_id", text_column: str = "text") -> Index:
     """Indexes every row, its whole text. A longer text than ``shard_bytes`` is a shard of its own. Null and termless texts are in no shard; rows that share an id are documents of their own, and so are those with a null id."""
-    rows = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].cast("string").alias("text"))
+    rows = docs.select(docs[quoted(id_column)].cast("long").alias("id"), docs[quoted(text_column)].cast("string").alias("text"))
 
     def count(batches):
         found, terms = 0, 0
@@ -163,7 +165,7 @@ def search(index: Index, queries: DataFrame, *, k: int = 10, id_column: str = "i
     each. An item with no term that any document holds has no rows, and neither has any item of an empty index.
     Other columns are ignored, whatever their names.
     """
-    items = queries.select(queries[id_column].alias("id"), queries[text_column].cast("string").alias("text")).distinct()
+    items = queries.select(queries[quoted(id_column)].alias("id"), queries[quoted(text_column)].cast("string").alias("text")).distinct()
     items = cut(items.select(F.monotonically_increasing_id().alias("item"), "id", "text"), "items")
     asked = items.select("item", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("item", "term").agg(F.count("*").alias("times"))
     asked = cut(asked, "asked")
@@ -186,4 +188,4 @@ def search(index: Index, queries: DataFrame, *, k: int = 10, id_column: str = "i
     out = ranked.join(items.select("item", F.col("id").alias(id_column)), "item")
     for table in (asked, asked_for):
         discard(table)
-    return out.select(id_column, "rank", *(c for c in ("doc_id", "score")))
+    return out.select(quoted(id_column), "rank", "doc_id", "score")

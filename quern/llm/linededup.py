@@ -26,6 +26,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.names import col, cols, quoted
 from quern.operators.steps import fenced
 
 from .common import cut, fresh, residue, residues_of
@@ -181,14 +182,14 @@ def remove_repeats(docs: DataFrame, *, min_words: int = 15, id_column: str = "do
     if not 0 < min_words <= _MOST:
         raise ValueError(f"min_words must be from 1 to {_MOST}")
     key, rest_of, name, said, gone, lines, kept = fresh(docs.withColumns({c: F.lit(0) for c in own}), "key", "residue", "name", "said", "gone", "lines", "kept")
-    found = cut(repeats(docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text")), min_words), "repeats")
-    keyed = docs.withColumn(key, _key(docs[id_column], docs[text_column])).withColumn(rest_of, residue(F.col(key)))
+    found = cut(repeats(docs.select(docs[quoted(id_column)].alias("doc_id"), docs[quoted(text_column)].alias("text")), min_words), "repeats")
+    keyed = docs.withColumn(key, _key(docs[quoted(id_column)], docs[quoted(text_column)])).withColumn(rest_of, residue(F.col(key)))
     some = residues_of(found, "key", rest_of)
-    rest = keyed.join(some, rest_of, "left_anti").select(*docs.columns, *(F.lit(0).cast("long").alias(c) for c in own))
+    rest = keyed.join(some, rest_of, "left_anti").select(*cols(docs.columns), *(F.lit(0).cast("long").alias(c) for c in own))
     near = keyed.join(some, rest_of, "left_semi")
     found = found.toDF(f"{key}_", name, said)
-    hit = near.join(found, (F.col(key) == F.col(f"{key}_")) & F.col(id_column).eqNullSafe(F.col(name)), "left")
-    hit = hit.withColumn(lines, F.when(F.col(said).isNotNull(), lines_of(F.col(text_column))))
+    hit = near.join(found, (F.col(key) == F.col(f"{key}_")) & col(id_column).eqNullSafe(F.col(name)), "left")
+    hit = hit.withColumn(lines, F.when(F.col(said).isNotNull(), lines_of(col(text_column))))
     # lines go if the origin's are the same, not only their hashes
     same = lambda m: _digest(F.transform(F.sequence(m["a"], m["b"]), lambda k: _bare(F.get(lines, k)))) == m["lines"]
     hit = hit.withColumn(gone, F.array_distinct(F.flatten(F.transform(F.filter(said, same), lambda m: F.sequence(m["a"], m["b"])))))
@@ -196,7 +197,7 @@ def remove_repeats(docs: DataFrame, *, min_words: int = 15, id_column: str = "do
     words = F.aggregate(gone, F.lit(0).cast("long"), lambda s, i: s + _counted(F.get(lines, i)))
     some = F.size(gone) > 0
     changed = hit.select(
-        *(F.when(some, F.array_join(kept, "")).otherwise(F.col(c)).alias(c) if c == text_column else F.col(c) for c in docs.columns),
+        *(F.when(some, F.array_join(kept, "")).otherwise(col(c)).alias(c) if c == text_column else col(c) for c in docs.columns),
         F.when(some, F.size(gone).cast("long")).otherwise(0).alias(own[0]),
         F.when(some, words).otherwise(0).alias(own[1]),
     )

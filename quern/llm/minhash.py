@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.names import quoted
+
 from .common import blocks, cut, discard, drop_ids, mix64, residue, residues_of, shingle_hashes, text_buffers, word_hashes
 
 #: Rows that go through one vectorised step of the signatures.
@@ -208,7 +210,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 75, den: int
     nothing and kept. Rows with the same id are one node; where their texts differ, the smallest text
     is the one compared. A null id is never linked. Texts of any length are compared whole. An empty table gives no rows. Other columns are ignored.
     """
-    docs = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
+    docs = docs.select(docs[quoted(id_column)].cast("long").alias("doc_id"), docs[quoted(text_column)].cast("string").alias("text"))
     sketches = cut(sketch(docs, width=width, bands=bands, rows=rows), "sketches")
     known = sketches.filter("n_shingles > 0 and doc_id is not null")
     digest = ["n_shingles", "digest_a", "digest_b"]

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from quern.functions.names import quoted
+
 from . import bpe
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
@@ -159,4 +161,4 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = bpe.END
 
     schema = PIECES + (", ids binary" if with_ids else "")
     names = [c.split()[0] for c in schema.split(", ")]
-    return docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[quoted(id_column)].cast("long").alias("doc_id"), docs[quoted(text_column)].cast("string").alias("text")).mapInArrow(run, schema)

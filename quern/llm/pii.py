@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.names import col
+
 from .common import fresh
 from .fingerprint import let
 
@@ -188,7 +190,7 @@ def pseudonymise(docs: DataFrame, *, key: str, text_column: str = "text") -> Dat
     whose part before it has over 64 characters, the standard's limit. ``key`` should be long and secret; it is part of the query plan.
     """
     docs = docs.drop("pii_values")
-    text = F.col(text_column)
+    text = col(text_column)
     old, new = fresh(docs, "old", "new")
     found = docs.withColumn(old, F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
     found = found.withColumn(new, F.transform(old, lambda v: pseudonym(v, key)))
@@ -196,5 +198,5 @@ def pseudonymise(docs: DataFrame, *, key: str, text_column: str = "text") -> Dat
     parts = F.split(text, ANY, -1)
     joined = F.array_join(F.zip_with(parts, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     changed = F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x)).cast("long")
-    out = [F.when(some, joined).otherwise(text).alias(c) if c == text_column else F.col(c) for c in docs.columns]
+    out = [F.when(some, joined).otherwise(text).alias(c) if c == text_column else col(c) for c in docs.columns]
     return found.select(*out, F.when(some, changed).otherwise(0).alias("pii_values"))

@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.names import quoted
+
 from .common import SPACE, _mixed, _powers, blocks, cut, discard, mix64, text_buffers
 from .katz import _bits, _flags, _pack_keys, _packed, _parts, _unpack_keys, _unpacked, pair_hash
 
@@ -341,7 +343,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, rounds: int = 3, batch_
     """
     if window < 1 or not 1 <= rounds <= len(_SIDES):
         raise ValueError(f"window must be 1 at least, and rounds from 1 to {len(_SIDES)}")
-    rows = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].cast("string").alias("text"))
+    rows = docs.select(docs[quoted(id_column)].cast("long").alias("id"), docs[quoted(text_column)].cast("string").alias("text"))
     batches = cut(batched(rows, batch_bytes), "batches")
     total = batches.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
     buckets = 1 << max(6, (total // bucket_bytes).bit_length())

@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.functions.names import quoted
+
 from . import bpe
 from .common import _BASE, cut, mix64, shuffles_removed
 
@@ -68,7 +70,7 @@ def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4
     shards (of 16 MB by default); it sorts them with spills, so its memory stays bounded.
     """
     path = tokenizer or bpe.default_path()
-    coded = cut(tokens(docs.select(docs[text_column].cast("string").alias("text")), path, end_id), "tokens")
+    coded = cut(tokens(docs.select(docs[quoted(text_column)].cast("string").alias("text")), path, end_id), "tokens")
     sums = coded.groupBy("part").agg(F.sum("n").alias("n"), F.max(F.length("ids") / F.col("n")).cast("int").alias("width"))
     sums = cut(sums, "parts")  # a row for each partition of the input
     size = sums.agg(F.sum("n").alias("n"), F.max("width").alias("width")).first()

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.names import col, cols
+
 from .common import cut, fresh
 
 #: Seconds of the slices of time that interval joins are keyed by, so one host's captures don't meet in one task.
@@ -57,17 +59,18 @@ def as_of(captures: DataFrame, entries: DataFrame, *, url_column: str = "url", t
     """
     own = ["blocked", "matched_key", "matched_list", "listed_since"]
     captures = captures.drop(*own)
-    url, time = F.col(url_column), F.col(time_column)
+    url, time = col(url_column), col(time_column)
     named = host_of(url) != ""
     # what is asked is named by 128 bits of URL and time, from two differently seeded hashes: of 10^11 captures two have one name with probability 10^-17
     ask = [F.xxhash64(url, time), F.xxhash64(F.lit("again"), time, url)]
-    asked = captures.filter(named & time.isNotNull())
-    asked = asked.select(url.alias("_u"), time.cast("timestamp").alias("_t"), *(c.alias(f"_row{k}") for k, c in enumerate(ask))).distinct()
+    able = captures.filter(named & time.isNotNull())
+    asked = able.select(url.alias("_u"), time.cast("timestamp").alias("_t"), *(c.alias(f"_row{k}") for k, c in enumerate(ask))).distinct()
     # an entry's key has the labels of its host and the segments of its path: no capture needs longer keys than the longest entry
     longest = entries.agg(F.max(F.size(F.split(host_part(), r"\."))).alias("labels"), F.max(F.size(F.split("key", "/")) - 1).alias("segments")).first()
     part = lambda c: F.floor(F.unix_timestamp(c) / SLICE)
     each = asked.select("_row0", "_row1", "_t", part("_t").alias("_p"), F.explode(keys_of(F.col("_u"), longest["labels"] or 0, longest["segments"] or 0)).alias("k")).select("_row0", "_row1", "_t", "_p", "k.key", "k.rank")
-    span = asked.agg(F.min("_t").alias("a"), F.max("_t").alias("b")).first()
+    # of all rows: no shuffle, unlike that of the distinct ones
+    span = able.agg(F.min(time.cast("timestamp")).alias("a"), F.max(time.cast("timestamp")).alias("b")).first()
     a, b = (F.lit(span[k]).cast("timestamp") for k in ("a", "b"))
     held = intervals(entries).filter((F.col("since") <= b) & (F.col("until").isNull() | (F.col("until") > a)))
     held = held.withColumn("_p", F.explode(F.sequence(part(F.greatest("since", a)), part(F.least(F.coalesce("until", b), b)))))
@@ -78,6 +81,6 @@ def as_of(captures: DataFrame, entries: DataFrame, *, url_column: str = "url", t
     best = cut(best.select(F.col("_row0").alias(rows[0]), F.col("_row1").alias(rows[1]), F.col("m.key").alias(own[1]), F.col("m.list").alias(own[2]), F.col("m.since").alias(own[3])), "answers")
     can = F.coalesce(named & time.isNotNull(), F.lit(False))
     keyed = captures.filter(can).withColumns(dict(zip(rows, ask, strict=True)))
-    out = keyed.join(best, rows, "left").select(*captures.columns, F.col(own[1]).isNotNull().alias(own[0]), *own[1:])
-    rest = captures.filter(~can).select(*captures.columns, F.lit(False).alias(own[0]), *(F.lit(None).cast(best.schema[c].dataType).alias(c) for c in own[1:]))
+    out = keyed.join(best, rows, "left").select(*cols(captures.columns), F.col(own[1]).isNotNull().alias(own[0]), *own[1:])
+    rest = captures.filter(~can).select(*cols(captures.columns), F.lit(False).alias(own[0]), *(F.lit(None).cast(best.schema[c].dataType).alias(c) for c in own[1:]))
     return out.unionByName(rest)

@@ -35,7 +35,7 @@ def awkward(spark):
     rng = random.Random(3)
     rows = [(k, f"The {prose(rng, 60)} and of the text. " * (1 + k % 2), "en", "s", k) for k in range(30)]
     rows += [rows[3], (40, rows[4][1], None, None, None), (None, None, None, None, None), (None, rows[5][1], "en", "s", 1), (41, None, "en", "s", 0), (42, "", "en", "s", 0), (43, " \n ", None, "s", 3), (44, "123 !", None, "s", 5), (45, "word " * 200_000, "en", "s", 1)]
-    return frame(spark, rows).withColumns({c: F.lit(7) for c in ("_r", "key", "residue_0", "gone_0", "language_0", "lang_pred", "removed_lines", "said_0")})
+    return frame(spark, rows).withColumns({c: F.lit(7) for c in ("_r", "key", "residue_0", "gone_0", "language_0", "lang_pred", "removed_lines", "said_0", "a.b", "a`c")})
 
 
 @pytest.mark.parametrize(("k", "gone"), [(0, {41, 42, 43, 44}), (1, {40, 5}), (2, {40}), (3, set())])
@@ -46,7 +46,7 @@ def test_stages_on_awkward_rows(spark, k, gone):
     rows = out.collect()
     ids = {r["doc_id"] for r in rows}
     assert not gone & ids and set(range(30)) - gone <= ids and 45 in ids
-    assert all(r[c] == 7 for r in rows for c in ("_r", "key", "residue_0", "gone_0", "language_0", "lang_pred", "removed_lines", "said_0"))
+    assert all(r[c] == 7 for r in rows for c in ("_r", "key", "residue_0", "gone_0", "language_0", "lang_pred", "removed_lines", "said_0", "a.b", "a`c"))
     assert corpus_pipeline.STAGES[k][1](spark, docs.limit(0), SF).count() == 0
 
 
