@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.names import col
 from quern.llm import decontam, langid, linededup, minhash, packing
 from quern.llm.common import cut, fresh, read
 
@@ -27,7 +28,7 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     left = linededup.remove_repeats(docs, names=(lines, words))
     left = left.filter((F.col(lines) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     changed = F.when(F.col(lines) > 0, F.length("text").cast("long"))
-    return left.select(*(F.coalesce(changed, F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    return left.select(*(F.coalesce(changed, col(c)).alias(c) if c == "n_chars" else col(c) for c in docs.columns))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
