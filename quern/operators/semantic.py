@@ -1,92 +1,288 @@
-"""De-duplication by vectors: links of at least a cosine, found by random-hyperplane bands and confirmed exactly, and the greedy choice in row order without a task for each component."""
+"""Search and de-duplication by vectors: an inverted file over centroids, exact by the triangle inequality.
+
+Equal vectors are one class first, which its smallest id stands for, so copies cost a row each and
+never a pair. Centroids come from a bounded sample; every vector is in the list of its nearest
+centroid, and a list knows how near and how far from the centroid its vectors are, as angles. A
+vector can have a cosine of t with one of a list only if its own angle to the centroid is within
+arccos(t) of that ring. So links of at least a threshold, and the k nearest once k have been found in the nearest
+lists, are whole, whatever the centroids are: these decide only how many lists are asked. With
+``probes`` that many lists are asked and no more; then the result is approximate.
+
+Lists and what they are asked are cut into blocks, so a list of any size is many tasks, and a task
+gives only links or the k best of each vector.
+"""
 
 from __future__ import annotations
 
-import tempfile
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.names import fresh
+from quern.functions.names import col, fresh
+from quern.operators.tables import discard, written
+
+#: Lists at most, and vectors that centroids are fitted on for each list: bounds of what the driver and a broadcast hold (32,768 and 1,024 vectors).
+MOST_LISTS, SAMPLE = 1024, 32
+#: Vectors of a list, and vectors that ask it, that one task compares.
+BLOCK = 2048
+#: Angles may be off by rounding.
+SLACK = 1e-6
+
+
+def vectors(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
+    """(id, v); without null ids, null or empty vectors, and vectors that have no direction (all zero, or with a null, NaN or infinity)."""
+    v = col(vector_column).cast("array<double>")
+    rows = df.select(col(id_column).cast("long").alias("id"), v.alias("v"))
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    return rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A row of length 1 for each vector."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, v) of each distinct vector's smallest id, and (rep, id) of all rows; both tables."""
+    keyed = rows.select("id", "v", F.xxhash64("v").alias("h"), F.xxhash64(F.lit("again"), "v").alias("g"))
+    # any of a class's vectors is the one; copies are combined before the shuffle
+    reps = written(keyed.groupBy("h", "g").agg(F.min("id").alias("id"), F.any_value("v").alias("v")), "reps")
+    members = keyed.select("id", "h", "g").join(reps.select("h", "g", F.col("id").alias("rep")), ["h", "g"])
+    return reps, written(members.select("rep", "id"), "members")
+
+
+def centroids(rows: DataFrame, lists: int) -> np.ndarray:
+    """Unit centroids by spherical k-means on the vectors with the smallest hashes of ids."""
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE * lists).select("v").toArrow().column(0)
+    if not len(some):
+        return np.zeros((0, 0))
+    v = _matrix(some)
+    at = np.random.default_rng(20240101).permutation(len(v))[:lists]
+    c = v[at]
+    for _ in range(8):
+        nearest = (v @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, nearest, v)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(size > 0, sums / np.maximum(size, 1e-300), c)
+    return c
+
 
-#: Hyperplanes of a band and bands; at a cosine of 0.95 a pair shares none with probability 3e-5.
-PLANES, BANDS = 10, 24
-#: Vectors of a bucket that one task compares with as many others.
-GROUP = 1024
+@dataclass
+class Lists:
+    """Of each list its centroid and the least and greatest angle to it: what every task gets, MOST_LISTS rows at most."""
 
+    centroids: np.ndarray
+    near: np.ndarray
+    far: np.ndarray
 
-def edges(df: DataFrame, *, id_column: str, vector_column: str, threshold: float = 0.95, planes: int = PLANES, bands: int = BANDS) -> DataFrame:
-    """(a, b, similarity) with a < b of all pairs with a cosine of at least ``threshold``. Null and zero vectors have none. Hot buckets are split into blocks that are compared block by block."""
-    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<float>").alias("v")).filter("v is not null")
 
-    def hashed(batches):
+@dataclass
+class Index:
+    """``table`` (list, angle, id, v) and its lists."""
+
+    table: DataFrame
+    lists: Lists
+
+    def discard(self) -> None:
+        discard(self.table)
+
+
+def _angles(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(v @ c.T, -1, 1))
+
+
+def build(rows: DataFrame, lists: int | None = None) -> Index:
+    """An index of all vectors; about the square root of their number of lists, MOST_LISTS at most. Vectors of different lengths can't be compared and raise ValueError."""
+    n, least, most = rows.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if least != most:
+        raise ValueError(f"vectors have {least} to {most} elements")
+    c = centroids(rows, max(1, min(MOST_LISTS, lists or int(np.ceil(n**0.5)))))
+
+    def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = np.array(batch.column(1).to_pylist(), np.float32)
-            size = np.linalg.norm(v, axis=1)
-            ok = size > 0
-            v, ids = v[ok] / size[ok, None], batch.column(0).to_numpy()[ok]
-            hyper = np.random.default_rng(20240101).standard_normal((v.shape[1], planes * bands)).astype(np.float32)
-            bits = (v @ hyper > 0).reshape(len(v), bands, planes)
-            key = (bits << np.arange(planes)).sum(2) + (np.arange(bands) << planes)
-            n = len(v)
-            flat = pa.array(np.repeat(v, bands, 0).ravel(), pa.float32())
-            offsets = pa.array(np.arange(n * bands + 1, dtype=np.int32) * v.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), pa.array(np.repeat(ids, bands)), pa.ListArray.from_arrays(offsets, flat)], names=["key", "id", "v"])
-
-    each = rows.mapInArrow(hashed, "key long, id long, v array<float>")
-    many = each.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("m"), F.count("*").alias("n")).filter("n > 1")
-    own = F.pmod(F.xxhash64("id"), F.col("m")).cast("int")
-    dealt = each.join(many, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "v")
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids, own = table.column("id").to_numpy(), table.column("own").to_numpy()
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        v = np.array(table.column("v").to_pylist(), np.float64)
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        left, right = (np.flatnonzero(own == k) for k in (i, j))
-        near = v[left] @ v[right].T
+            a = _angles(_matrix(batch.column(1)), c)
+            at = a.argmin(1)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(a[np.arange(len(at)), at]), batch.column(0), batch.column(1)], names=["list", "angle", "id", "v"])
+
+    table = written(rows.select("id", "v").mapInArrow(run, "list int, angle double, id long, v array<double>"), "lists")
+    near, far = np.full(len(c), np.inf), np.full(len(c), -np.inf)
+    for r in table.groupBy("list").agg(F.min("angle").alias("near"), F.max("angle").alias("far")).collect():  # a row for each list
+        near[r["list"]], far[r["list"]] = r["near"], r["far"]
+    return Index(table, Lists(c, near, far))
+
+
+def reach(a: np.ndarray, lists: Lists) -> np.ndarray:
+    """Of each vector (its angles to all centroids), the greatest cosine that one of each list can have with it."""
+    gap = np.maximum(np.maximum(a - lists.far, lists.near - a) - SLACK, 0)
+    return np.where(np.isfinite(gap), np.cos(np.minimum(gap, np.pi)), -2.0)
+
+
+def _compared(index: Index, asked: DataFrame, keep, schema: str) -> DataFrame:
+    """``keep`` of blocks: (ids, cosines, ids of the list) of ``asked`` (list, id, v) and each list's own vectors."""
+    own = index.table.select("list", "id", "v")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    sizes = own.groupBy("list").agg(blocks(F.count("*")).alias("m")).join(asked.groupBy("list").agg(blocks(F.count("*")).alias("q")), "list")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sides = own.join(sizes, "list").select("list", part("m").alias("i"), every("q").alias("j"), "id", "v", F.lit(False).alias("asks"))
+    sides = sides.union(asked.join(sizes, "list").select("list", every("m").alias("i"), part("q").alias("j"), "id", "v", F.lit(True).alias("asks")))
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        ids, v = table.column("id").to_numpy(), _matrix(table.column("v"))
+        return keep(ids[asks], v[asks] @ v[~asks].T, ids[~asks])
+
+    return sides.groupBy("list", "i", "j").applyInArrow(run, schema)
+
+
+def _ask(lists: Lists, wanted):
+    """A function for mapInArrow: rows (list, id, v) for the lists that ``wanted`` picks for each vector of (id, v, ..), given the batch and all angles."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, at = np.nonzero(wanted(batch, _angles(_matrix(batch.column(1)), lists.centroids)) & np.isfinite(lists.near))
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), batch.column(0).take(pa.array(x)), batch.column(1).take(pa.array(x))], names=["list", "id", "v"])
+
+    return run
+
+
+_ASKED = "list int, id long, v array<double>"
+
+
+def _first(a: np.ndarray, lists: Lists, probes: int) -> np.ndarray:
+    """The nearest lists of each vector, those without vectors left out."""
+    out = np.zeros(a.shape, bool)
+    np.put_along_axis(out, np.argsort(np.where(np.isfinite(lists.near), a, np.inf), axis=1, kind="stable")[:, :probes], True, 1)
+    return out
+
+
+def _links(rows: DataFrame, threshold: float, probes: int | None) -> tuple[DataFrame, DataFrame]:
+    """(a, b, similarity) between distinct vectors' smallest ids, and (rep, id) of all rows; both tables."""
+    reps, members = classes(rows)
+    index = build(reps)
+    known = index.lists
+
+    def wanted(batch: pa.RecordBatch, a: np.ndarray) -> np.ndarray:
+        if probes is not None:
+            return _first(a, known, probes)
+        # a pair is found from the list with the smaller number
+        return (reach(a, known) >= threshold) & (np.arange(a.shape[1]) >= batch.column(2).to_numpy()[:, None])
+
+    asked = written(index.table.select("id", "v", "list").mapInArrow(_ask(known, wanted), _ASKED), "asked")
+
+    def keep(ids, near, others):
         x, y = np.nonzero(near >= threshold)
-        a, b, s = ids[left[x]], ids[right[y]], near[x, y]
-        ok = a < b if i == j else a != b
-        return pa.table({"a": pa.array(np.minimum(a, b)[ok]), "b": pa.array(np.maximum(a, b)[ok]), "similarity": pa.array(s[ok])})
+        return pa.table({"x": pa.array(ids[x]), "y": pa.array(others[y]), "similarity": pa.array(near[x, y])})
+
+    found = _compared(index, asked, keep, "x long, y long, similarity double").filter("x <> y")
+    links = written(found.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("similarity").alias("similarity")), "links")
+    discard(reps, asked)
+    index.discard()
+    return links, members
 
-    found = dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, similarity double")
-    return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
+def edges(df: DataFrame, *, id_column: str, vector_column: str, threshold: float = 0.95, probes: int | None = None) -> DataFrame:
+    """(a, b, similarity) with a < b: all pairs of different vectors' smallest ids with a cosine of at least ``threshold``, and the smallest id of equal vectors with each of the others (similarity 1). With ``probes`` only that many nearest lists are asked, and pairs may be missing. Rows without a vector that has a direction have none."""
+    links, members = _links(vectors(df, id_column, vector_column), threshold, probes)
+    return links.union(members.filter("id <> rep").select("rep", "id", F.lit(1.0)))
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Written to the session's checkpoint folder; a temporary one only in local mode, where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quern-"))
-    return df.checkpoint()
+
+def nearest(df: DataFrame, queries: DataFrame | None = None, *, id_column: str, vector_column: str, k: int = 10, probes: int = 8, exact: bool = True) -> DataFrame:
+    """(id, rank, neighbour, similarity): of each row of ``queries`` (of all rows, where none are given) the ``k`` other rows with the greatest cosine (to 12 digits), equal ones by ascending id.
+
+    First the ``probes`` nearest lists are asked; with ``exact`` then all others that may hold a
+    vector as near as the last one needed. Rows without a vector that has a direction are neither found nor ask;
+    rows that share the asking row's id aren't its neighbours. Equal vectors ask and are found once.
+    """
+    reps, members = classes(vectors(df, id_column, vector_column))
+    asking, askers = (reps, members) if queries is None else classes(vectors(queries, id_column, vector_column))
+    index = build(reps)
+    known = index.lists
+    # a row may itself be among what its vector finds
+    most = k + 1
+
+    def keep(ids, near, others):
+        near = np.round(near, 12)
+        if near.shape[1] > most:
+            x, y = np.nonzero(near >= np.partition(near, near.shape[1] - most, axis=1)[:, -most:].min(1)[:, None])
+        else:
+            x, y = np.nonzero(near > -2)
+        order = np.lexsort((others[y], -near[x, y], x))
+        x, y = x[order], y[order]
+        place = np.arange(len(x)) - np.searchsorted(x, x)
+        x, y = x[place < most], y[place < most]
+        return pa.table({"id": pa.array(ids[x]), "rep": pa.array(others[y]), "similarity": pa.array(near[x, y])})
+
+    names = "id long, rep long, similarity double"
+    best = lambda found, other: found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.col("similarity").desc(), other))).filter(F.col("rank") <= most)
+    first = written(asking.select("id", "v").mapInArrow(_ask(known, lambda _, a: _first(a, known, probes)), _ASKED), "asked")
+    found = written(best(_compared(index, first, keep, names), "rep"), "nearest")
+    tables = [first, found]
+    if exact:
+        # a list may be asked again if it can hold a vector as near as the last one found
+        least = found.filter(F.col("rank") == most).select("id", F.col("similarity").alias("least"))
+        open_ = asking.select("id", "v").join(least, "id", "left").select("id", "v", F.coalesce("least", F.lit(-2.0)).alias("least"))
+        wanted = lambda batch, a: ~_first(a, known, probes) & (reach(a, known) >= batch.column(2).to_numpy(zero_copy_only=False)[:, None] - SLACK)
+        rest = written(open_.mapInArrow(_ask(known, wanted), _ASKED), "asked")
+        found = written(best(found.drop("rank").union(_compared(index, rest, keep, names)), "rep"), "nearest")
+        tables += [rest, found]
+    # of each class the smallest ids, as many as may be needed
+    ids = members.distinct().withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).filter(F.col("n") <= most)
+    lists = best(found.drop("rank").join(ids.select("rep", F.col("id").alias("neighbour")), "rep"), "neighbour")
+    lists = lists.groupBy(F.col("id").alias("rep")).agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "similarity"))).alias("near"))
+    each = askers.distinct().join(lists, "rep").select("id", F.posexplode(F.slice(F.filter("near", lambda n: n["neighbour"] != F.col("id")), 1, k)).alias("p", "n"))
+    out = written(each.select("id", (F.col("p") + 1).alias("rank"), "n.neighbour", "n.similarity"), "neighbours")
+    discard(reps, members, *tables, *([] if queries is None else [asking, askers]))
+    index.discard()
+    return out
 
 
 def removed(links: DataFrame, keep: str = "first") -> DataFrame:
     """(id) of rows that the greedy pass in ascending order removes. ``first``: a row goes if an earlier kept row is linked with it; decided in rounds, each of which settles all rows whose earlier neighbours are settled. ``last``: a row goes if a later row is linked with it."""
     if keep == "last":
         return links.select(F.col("a").alias("id")).distinct()
-    links = _cut(links.select("a", "b"))
-    gone = links.filter("false").select(F.col("b").alias("id"))
+    links = written(links.select("a", "b"), "links")
+    gone = []
     while not links.isEmpty():
         # kept: ids that no open link leads to
-        kept = links.select(F.col("a").alias("id")).distinct().join(links.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
-        out = _cut(links.join(kept, links.a == kept.id, "left_semi").select(F.col("b").alias("id")).distinct())
-        gone = gone.unionByName(out)
-        links = _cut(links.join(kept, links.a == kept.id, "left_anti").join(out, F.col("b") == out.id, "left_anti").join(out, F.col("a") == out.id, "left_anti"))
-    return gone.distinct()
+        kept = written(links.select(F.col("a").alias("id")).distinct().join(links.select(F.col("b").alias("id")).distinct(), "id", "left_anti"), "kept")
+        out = written(links.join(kept, links.a == kept.id, "left_semi").select(F.col("b").alias("id")).distinct(), "gone")
+        gone.append(out)
+        rest = written(links.join(kept, links.a == kept.id, "left_anti").join(out, F.col("b") == out.id, "left_anti").join(out, F.col("a") == out.id, "left_anti"), "links")
+        discard(links, kept)
+        links = rest
+    found = links.select(F.col("b").alias("id"))
+    for out in gone:
+        found = found.union(out)
+    done = written(found.distinct(), "removed")
+    discard(links, *gone)
+    return done
+
 
+def deduplicate(df: DataFrame, *, id_column: str, vector_column: str, threshold: float = 0.95, keep: str = "first", neighbours: int | None = None) -> DataFrame:
+    """Rows that stay, all columns: those that the greedy pass leaves, and those without a vector that has a direction. With ``neighbours`` a row is linked only with that many nearest ones, itself among them, so links are at most that many for each row in dense groups, of which more rows then stay.
 
-def deduplicate(df: DataFrame, *, id_column: str, vector_column: str, threshold: float = 0.95, keep: str = "first") -> DataFrame:
-    """Rows that stay, all columns."""
-    gone = removed(edges(df, id_column=id_column, vector_column=vector_column, threshold=threshold), keep)
+    Of equal vectors only the first (with ``keep`` last, the last) may stay: what is linked with it is linked with all of them.
+    """
+    sign = 1 if keep == "first" else -1  # the largest id stands for a class if it is to stay
+    rows = vectors(df, id_column, vector_column).select((F.col("id") * sign).alias("id"), "v")
+    if neighbours is None:
+        links, members = _links(rows, threshold, None)
+    else:
+        reps, members = classes(rows)
+        near = nearest(reps, id_column="id", vector_column="v", k=max(1, neighbours - 1)).filter(F.col("similarity") >= threshold)
+        links = near.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b")).distinct()
+    chosen = removed(links) if keep == "first" else links.select(F.col("b").alias("id"))
     (name,) = fresh(df, "gone")
-    return df.join(gone.select(F.col("id").alias(name)), F.col(id_column) == F.col(name), "left_anti")
+    gone = chosen.union(members.filter("id <> rep").select("id")).distinct().select((F.col("id") * sign).alias(name))
+    return df.join(gone, col(id_column) == F.col(name), "left_anti")

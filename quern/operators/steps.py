@@ -99,7 +99,7 @@ def deduplicate(df: DataFrame, conf: dict) -> StepOutput:
         (place,) = fresh(out, "place")
         out = out.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(place) == 1).drop(place)
     if method in ("semantic", "both"):
-        out = semantic.deduplicate(out, id_column=conf["order_by"], vector_column=vector, threshold=conf.get("semantic_threshold", 0.95), keep=keep)
+        out = semantic.deduplicate(out, id_column=conf["order_by"], vector_column=vector, threshold=conf.get("semantic_threshold", 0.95), keep=keep, neighbours=conf.get("neighbours"))
     return StepOutput(out, None, warnings, {"method_used": method, "columns_checked": list(named)})
 
 

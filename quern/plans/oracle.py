@@ -33,6 +33,16 @@ ORACLE["dedup_semantic_edges"] = f"WITH {_VECTORS} SELECT a, b, round(s, 4) AS s
 # no vector here is linked with more than one other, so the greedy choice is the smaller of each pair
 ORACLE["dedup_semantic"] = f"WITH {_VECTORS} SELECT vec_id, label FROM vectors WHERE vec_id NOT IN (SELECT b FROM near)"
 
+ORACLE["dedup_both"] = ORACLE["dedup_semantic"]
+ORACLE["semantic_top10"] = f"""
+WITH {_VECTORS}, pairs AS (
+  SELECT q.vec_id, d.vec_id AS neighbour, round(list_cosine_similarity(q.v, d.v), 12) AS s FROM vectors q JOIN vectors d ON q.vec_id % 200 = 0 AND d.vec_id <> q.vec_id
+), ranked AS (
+  SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbour) AS INTEGER) AS rank, neighbour, round(s, 4) AS similarity FROM pairs
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
 _NOISY = r"""
 noisy AS (
   SELECT doc_id, '  ' || text || CASE doc_id % 5

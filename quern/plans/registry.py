@@ -113,6 +113,21 @@ def dedup_semantic(spark, sf_dir):
     return steps.deduplicate(_vectors(spark, sf_dir), conf).df.select("vec_id", "label")
 
 
+@query
+def dedup_both(spark, sf_dir):
+    """Equal labels stand for equal rows here: of each label and vector group the first stays."""
+    conf = {"method": "both", "columns": ["vec_id", "label"], "vector_column": "embedding", "order_by": "vec_id"}
+    return steps.deduplicate(_vectors(spark, sf_dir), conf).df.select("vec_id", "label")
+
+
+@query
+def semantic_top10(spark, sf_dir):
+    """The ten nearest of every vector whose id in the table is divisible by 20."""
+    rows = _vectors(spark, sf_dir)
+    found = semantic.nearest(rows, rows.filter(F.col("vec_id") % 200 == 0), id_column="vec_id", vector_column="embedding")
+    return found.select(F.col("id").alias("vec_id"), "rank", "neighbour", F.round("similarity", 4).alias("similarity"))
+
+
 # --- noise ------------------------------------------------------------------------------
 
 
