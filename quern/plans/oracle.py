@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quern.functions.tongues import TEXTS
+
 ORACLE: dict[str, str] = {}
 
 
@@ -136,6 +138,46 @@ _TAGGED = (
 )
 ORACLE["lang_tag"] = f"WITH {_TAGGED} SELECT doc_id, language, round(language_confidence, 4) AS language_confidence FROM tagged"
 ORACLE["lang_distribution"] = f"WITH {_TAGGED} SELECT language, count(*) AS rows FROM tagged GROUP BY language"
+_TEXTS = ", ".join(f"('{name}', '{t.replace(chr(39), chr(39) * 2)}')" for name, t in TEXTS.items())
+
+
+def _letters(c: str) -> str:
+    c = rf"lower(regexp_replace(' ' || {c} || ' ', '[^\p{{L}}\p{{M}}]+', ' ', 'g'))"
+    for script, one in (("Han", "一"), ("Hangul", "가"), ("Hiragana", "あ"), ("Katakana", "ア")):
+        c = rf"regexp_replace({c}, '\p{{{script}}}', '{one}', 'g')"
+    return c
+
+
+# the statistics are counted from the same sentences here, by SQL
+_BY_LETTERS = rf"""
+samples(language, sentences) AS (VALUES {_TEXTS}),
+plain AS (SELECT language, {_letters('sentences')} AS t FROM samples),
+runs AS (SELECT language, substr(t, k, n) AS run FROM (SELECT language, t, unnest(range(1, length(t) + 1)) AS k FROM plain), range(1, 4) r(n) WHERE k + n - 1 <= length(t)),
+seen AS (SELECT language, run, count(*) AS c FROM runs WHERE run <> ' ' GROUP BY language, run),
+totals AS (SELECT language, sum(c) + 0.5 * (SELECT count(DISTINCT run) FROM seen) AS n FROM seen GROUP BY language),
+model AS (
+  SELECT v.run, t.language, CAST(floor(1000 * ln((coalesce(s.c, 0) + 0.5) / t.n)) AS BIGINT) AS score
+  FROM (SELECT DISTINCT run FROM seen) v CROSS JOIN totals t LEFT JOIN seen s ON s.run = v.run AND s.language = t.language
+), docs AS (
+  SELECT doc_id, text, CASE WHEN length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) >= 20 THEN {_letters('text')} ELSE '' END AS t FROM documents
+), characters AS (
+  SELECT doc_id, unnest(c) AS x, unnest(c[2:]) AS y, unnest(c[3:]) AS z FROM (SELECT doc_id, string_split(t, '') AS c FROM docs WHERE t <> '')
+), said AS (
+  SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, x AS run FROM characters UNION ALL SELECT doc_id, x || y FROM characters WHERE y IS NOT NULL UNION ALL SELECT doc_id, x || y || z FROM characters WHERE z IS NOT NULL
+  ) GROUP BY doc_id, run
+), scored AS (
+  SELECT doc_id, language, sum(c * score) AS s FROM said JOIN model USING (run) GROUP BY doc_id, language
+), best AS (
+  SELECT doc_id, max(s) AS s, 1 / sum(exp((s - m) / 1000.0)) AS share FROM (SELECT *, max(s) OVER (PARTITION BY doc_id) AS m FROM scored) GROUP BY doc_id
+), named AS (
+  SELECT d.doc_id, CASE WHEN length(d.t) > 1 THEN coalesce((SELECT min(language) FROM scored x WHERE x.doc_id = d.doc_id AND x.s = b.s), 'ar') ELSE 'unknown' END AS language,
+         CASE WHEN length(d.t) > 1 THEN coalesce(b.share, 1.0 / (SELECT count(*) FROM totals)) ELSE 0.0 END AS confidence
+  FROM docs d LEFT JOIN best b ON b.doc_id = d.doc_id
+)"""
+ORACLE["lang_letters_tag"] = f"WITH {_BY_LETTERS} SELECT doc_id, language, round(confidence, 4) AS language_confidence FROM named"
+ORACLE["lang_letters_distribution"] = f"WITH {_BY_LETTERS} SELECT language, count(*) AS rows FROM named GROUP BY language"
+ORACLE["lang_letters_keep"] = f"WITH {_BY_LETTERS} SELECT doc_id, language FROM named WHERE language IN ('fr', 'es')"
 ORACLE["lang_keep_en"] = f"WITH {_TAGGED} SELECT doc_id FROM tagged WHERE language = 'en'"
 ORACLE["lang_remove_en"] = f"WITH {_TAGGED} SELECT doc_id FROM tagged WHERE language <> 'en'"
 

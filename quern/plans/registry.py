@@ -260,7 +260,7 @@ def pii_entity_counts(spark, sf_dir):
 
 
 def _language(spark, sf_dir, **conf) -> steps.StepOutput:
-    return steps.filter_language(_docs(spark, sf_dir), {"text_column": "text", **conf})
+    return steps.filter_language(_docs(spark, sf_dir), {"text_column": "text", "method": "words", **conf})
 
 
 @query
@@ -283,6 +283,22 @@ def lang_remove_en(spark, sf_dir):
     return _language(spark, sf_dir, action="filter_remove", languages=["en"]).df.select("doc_id")
 
 
+@query
+def lang_letters_tag(spark, sf_dir):
+    """Over thirty languages by statistics of letters."""
+    return _language(spark, sf_dir, method="letters").df.select("doc_id", "language", F.round("language_confidence", 4).alias("language_confidence"))
+
+
+@query
+def lang_letters_distribution(spark, sf_dir):
+    return _language(spark, sf_dir, method="letters").metrics
+
+
+@query
+def lang_letters_keep(spark, sf_dir):
+    return _language(spark, sf_dir, method="letters", action="filter_keep", languages=["fr", "es"]).df.select("doc_id", "language")
+
+
 # --- quality ----------------------------------------------------------------------------
 
 
