@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from collections.abc import Callable
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.names import col
-from quern.sources import detect, markup
+from quern.operators.tables import written
+from quern.sources import detect, markup, scan
 
 Reader = Callable[..., DataFrame]
 READERS: dict[str, Reader] = {}
@@ -77,13 +79,42 @@ def validate(spark: SparkSession, path: str) -> dict:
     return {"format": fmt, "is_valid": problem is None, "error_message": problem}
 
 
+#: Encodings in which Spark can decode a column.
+_DECODED = ("UTF-8", "UTF8", "US-ASCII", "ASCII", "ISO-8859-1", "LATIN-1", "LATIN1")
+
+
+def _strings(spark: SparkSession, lines: DataFrame):
+    """One string column as the JVM's readers take it."""
+    return getattr(lines._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+
+
 def _csv(spark: SparkSession, path: str, sep: str, encoding: str | None) -> DataFrame:
-    """A file is read whole by one task only if a field has line ends in it: some line then has an odd number of quotes. Otherwise it is split."""
+    """Files are read in blocks also where fields have line ends in them: records are then put together by the scanner. Only in encodings of more bytes a character than one (but UTF-8), and in those that Spark can't decode, such files are read whole by a task each. A quote opens a field only at the field's start; the rest of a file after a quote that is never closed is left out."""
     if encoding is None:
         encoding = detect.encoding(_head(spark, path, 100_000)) or "UTF-8"
-    odd = F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1
-    whole = encoding.upper().startswith(("UTF-16", "UTF-32", "UTF16", "UTF32")) or not spark.read.text(path, lineSep="\n").filter(odd).isEmpty()
-    return spark.read.csv(path, header=True, inferSchema=True, mode="DROPMALFORMED", multiLine=whole, escape='"', sep=sep, encoding=encoding)
+    options = {"inferSchema": True, "mode": "DROPMALFORMED", "escape": '"', "sep": sep}
+    wide = encoding.upper().startswith(("UTF-16", "UTF-32", "UTF16", "UTF32"))
+    lines = scan.pieces(spark, path, "\n")
+    if encoding.upper() in _DECODED[2:]:
+        lines = lines.withColumn("value", F.decode(F.col("value").cast("binary"), "ISO-8859-1" if "1" in encoding else "US-ASCII"))
+    open0, open1 = scan.quoted_after(F.regexp_replace("value", r"\r\z", ""), sep)
+    # where no line ends in quotes, lines are records
+    if wide or lines.filter(open0).isEmpty():
+        return spark.read.csv(path, header=True, multiLine=wide, encoding=encoding, **options)
+    if encoding.upper() not in _DECODED:
+        return spark.read.csv(path, header=True, multiLine=True, encoding=encoding, **options)
+    none = F.lit(0)
+    found = scan.records(lines.withColumns({"t0": open0, "t1": open1, "d0": none, "d1": none}), 0, "\n")
+    found = written(found.select("file", "first", F.regexp_replace("value", r"\r\z", "").alias("value")), "csv")
+    head = found.filter("first").orderBy("file").select(F.regexp_replace("value", "^\ufeff", "").alias("value")).limit(1)
+    # the names as Spark makes them; the lines are read under others, of which no line can be a copy
+    names = spark._jsparkSession.read().option("header", True).option("sep", sep).option("escape", '"').csv(_strings(spark, head)).columns()
+    stand_in = spark.createDataFrame([(sep.join(f"{uuid.uuid4().hex}" for _ in names),)], "value string").coalesce(1)
+    reader = spark._jsparkSession.read().option("header", True)
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    rows = DataFrame(reader.csv(_strings(spark, stand_in.union(found.filter("not first").select("value")))), spark)
+    return rows.toDF(*names)
 
 
 @reader("csv")
@@ -110,14 +141,25 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*leaves(df.schema, ()))
 
 
+def _array(spark: SparkSession, path: str) -> DataFrame | None:
+    """The objects of an array, read in blocks; None if it holds something else or is broken."""
+    parts = scan.pieces(spark, path, "}")
+    found = scan.records(parts.withColumns(dict(zip(("t0", "d0", "t1", "d1"), scan.brackets_after(F.col("value")), strict=True))), 1, "}", "}")
+    objects = written(found.select(F.regexp_replace("value", r"\A[\s,\[\ufeff]+", "").alias("value")), "objects")
+    df = DataFrame(spark._jsparkSession.read().option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(_strings(spark, objects)), spark)
+    return None if "_corrupt" in df.columns or not df.columns else df
+
+
 @reader("json")
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of objects: rows. One object: one row, flattened. A scalar: column value. Text that isn't one JSON value is read by lines."""
-    mark = _head(spark, path, 4096).decode("utf-8", "replace").lstrip("\ufeff \t\r\n")[:1]
-    if mark in ("[", "{"):
+    """An array of objects: rows, read in blocks. One object: one row, flattened. A scalar: column value. Text that isn't one JSON value is read by lines."""
+    mark = _head(spark, path, 4096).decode("utf-8", "replace").lstrip("\ufeff \t\r\n")
+    if mark[:1] == "[" and mark[1:].lstrip()[:1] == "{" and (df := _array(spark, path)) is not None:
+        return df
+    if mark[:1] in ("[", "{"):
         df = spark.read.json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
         if "_corrupt" not in df.columns:
-            return flat(df) if mark == "{" else df
+            return flat(df) if mark[:1] == "{" else df
         return read_jsonl(spark, path)
     return spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r'\A\s*"?|"?\s*\z', "").alias("value"))
 
