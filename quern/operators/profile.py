@@ -14,9 +14,8 @@ from quern.functions.names import col, cols, fresh
 from quern.operators.steps import longest_text_column, row_order, text_columns
 
 
-def column_stats(df: DataFrame, columns: list[str] | None = None, approximate: bool = False, exact_rows: int | None = None) -> DataFrame:
-    """A row for each column: type, nulls, share of nulls, distinct values; of numbers also least, most, mean and sample deviation. One pass over the table. NaN counts as null, infinity has no figure. Distinct values are counted exactly, which multiplies the rows by the columns, or by sketches: with ``approximate``, or above ``exact_rows`` rows where that is given."""
-    approximate = approximate or exact_rows is not None and df.count() > exact_rows
+def column_stats(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
+    """A row for each column: type, nulls, share of nulls, distinct values; of numbers also least, most, mean and sample deviation. One pass over the table. NaN counts as null, infinity has no figure. Distinct values are counted exactly, which multiplies the rows by the columns, or with ``approximate`` by sketches."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     aggregates = [F.count("*").alias("rows")]
     for k, f in enumerate(fields):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions import language, pii, quality, text
+from quern.functions import language, pii, quality, spans, text
 from quern.functions.names import col, cols, fresh
 from quern.operators import semantic
 
@@ -166,11 +166,13 @@ def remove_noise(df: DataFrame, conf: dict) -> StepOutput:
 
 @step("pii_scrubbing")
 def scrub_pii(df: DataFrame, conf: dict) -> StepOutput:
-    """redact, remove_row or flag. Redaction goes entity by entity on what is left; flags are from the original text."""
+    """redact, remove_row or flag. Redaction goes entity by entity on what is left; flags are from the original text. With a ``recogniser`` its finds and the patterns' are merged as spans, see there."""
     action = _choice(conf, "action", "redact", ("redact", "remove_row", "flag"))
     names, entities = _columns(df, conf.get("columns", "all_text"), "all_text"), pii.selected(conf.get("entities", ["ALL"]))
     if not names:
         return StepOutput(df, None, ["No text columns to scrub."])
+    if conf.get("recogniser"):
+        return _scrub_spans(df, names, action, conf)
     if action == "redact":
         done = {n: pii.redacted(col(n), entities, conf.get("redact_with", "[REDACTED]")) for n in names}
         per = {e: sum((done[n][1][e] for n in names), F.lit(0)) for e in entities}
@@ -184,6 +186,21 @@ def scrub_pii(df: DataFrame, conf: dict) -> StepOutput:
     return StepOutput(out, metrics)
 
 
+def _scrub_spans(df: DataFrame, names: list[str], action: str, conf: dict) -> StepOutput:
+    held = dict(zip(names, fresh(df, *(f"spans{k}" for k in range(len(names)))), strict=True))
+    # fenced: the recogniser is asked once for a cell
+    found = fenced(df.withColumns({h: spans.spans(col(n), conf["recogniser"], conf.get("entities", ["ALL"]), conf.get("min_score", 0.0)) for n, h in held.items()}))
+    every = F.concat(*(F.transform(h, lambda s: s["entity"]) for h in held.values()))
+    if action == "redact":
+        out = found.withColumns({n: spans.cut_out(col(n), F.col(h), conf.get("redact_with", "[REDACTED]")) for n, h in held.items()})
+    else:
+        out = found.withColumns({"pii_detected": F.size(every) > 0, "pii_entities": F.array_join(F.array_distinct(every), ",")})
+        out = fenced(out).filter(~F.col("pii_detected")).drop("pii_detected", "pii_entities") if action == "remove_row" else out
+    metrics = found.select(every.alias("e")).agg(F.count_if(F.size("e") > 0).alias("rows_with_pii"), F.coalesce(F.sum(F.size("e").cast("long")), F.lit(0)).alias("total_pii_instances"))
+    kinds = found.select(F.explode(every).alias("entity")).groupBy("entity").agg(F.count("*").alias("instances"))
+    return StepOutput(out.drop(*held.values()), metrics, details={"entities_found": kinds})
+
+
 def longest_text_column(df: DataFrame) -> str | None:
     """The text column with the greatest mean length; reads the table once if there are several."""
     names = text_columns(df)

@@ -5,14 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.operators import profile
 from quern.sources import readers
 
-#: Rows above which distinct values are estimated by sketches.
-EXACT_ROWS = 1_000_000
-
-
 @dataclass
 class Ingested:
     """A table that was read, and plans of its figures, which run only when they are asked for."""
@@ -29,8 +26,9 @@ class Ingested:
     def row_count(self) -> int:
         return self.df.count()
 
-    def statistics(self) -> DataFrame:
-        return profile.column_stats(self.df, exact_rows=EXACT_ROWS)
+    def statistics(self, approximate: bool = False) -> DataFrame:
+        """``unique_count_is`` says which it is: exact, or an estimate by sketches, as the caller chose, at every size."""
+        return profile.column_stats(self.df, approximate=approximate).withColumn("unique_count_is", F.lit("an estimate" if approximate else "exact"))
 
     def tokens(self, counter=None) -> DataFrame:
         return profile.token_total(self.df, counter)

