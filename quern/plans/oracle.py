@@ -299,3 +299,12 @@ ORACLE["auto_category"] = """
 WITH n AS (SELECT 1 AS place, 'text' AS category, count(DISTINCT text) AS n FROM documents UNION ALL SELECT 2, 'lang', count(DISTINCT lang) FROM documents UNION ALL SELECT 3, 'source', count(DISTINCT source) FROM documents)
 SELECT category FROM n WHERE n BETWEEN 2 AND 50 ORDER BY n, place LIMIT 1
 """
+
+ORACLE["csv_whole_texts"] = ORACLE["tsv_whole_texts"] = ORACLE["json_array_round_trip"] = _BACK
+ORACLE["balance_distribution"] = "WITH c AS (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang) SELECT lang, n AS rows_before, (SELECT min(n) FROM c) AS rows_after FROM c"
+ORACLE["augmented_rows"] = "SELECT false AS is_synthetic, count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents UNION ALL SELECT true, count(*), CAST(sum(length(text) + 1) AS BIGINT) FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL"
+ORACLE["longest_columns"] = """
+WITH n AS (SELECT 'text' AS "column", avg(length(coalesce(text, ''))) AS n FROM documents UNION ALL SELECT 'lang', avg(length(coalesce(lang, ''))) FROM documents UNION ALL SELECT 'source', avg(length(coalesce(source, ''))) FROM documents)
+SELECT row_number() OVER (ORDER BY n DESC) AS place, "column" FROM n
+"""
+ORACLE["skipped_steps"] = "WITH documents AS (SELECT * FROM main.documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1), " + _TAGGED + " SELECT language, count(*) AS rows, CAST(4 AS BIGINT) AS steps_executed, CAST(2 AS BIGINT) AS steps_skipped FROM tagged GROUP BY language"

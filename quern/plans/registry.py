@@ -432,6 +432,22 @@ def balance_over(spark, sf_dir):
     return _balance(spark, sf_dir, method="oversample")
 
 
+@query
+def balance_distribution(spark, sf_dir):
+    """Rows of each category before and after."""
+    docs = _docs(spark, sf_dir)
+    after = sampling.balance(docs, {"target_column": "lang", "id_column": "doc_id"}).metrics.withColumnRenamed("rows", "rows_after")
+    return docs.filter("lang is not null").groupBy("lang").agg(F.count("*").alias("rows_before")).join(after, "lang")
+
+
+@query
+def augmented_rows(spark, sf_dir):
+    """A generator's rows are added if they are complete."""
+    made = lambda df: df.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))))
+    out = finetune.augment(_docs(spark, sf_dir).select("doc_id", "text"), {"generator": made}).df
+    return out.groupBy("is_synthetic").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"))
+
+
 @query
 def train_val_split(spark, sf_dir):
     return sampling.split(_docs(spark, sf_dir).select("doc_id"), id_column="doc_id")
@@ -541,6 +557,33 @@ def csv_round_trip(spark, sf_dir):
     return _back(spark, _docs(spark, sf_dir), "csv").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", F.length(F.regexp_replace("text", r"\s", "")).cast("long").alias("n_chars"))
 
 
+def _whole_texts(spark, sf_dir, fmt: str, sep: str) -> DataFrame:
+    """Texts come back as they were, but for the line ends inside, which are line feeds."""
+    path = _folder(spark, fmt)
+    _docs(spark, sf_dir).write.csv(path, header=True, sep=sep, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return readers.read(spark, path, fmt).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", _sha())
+
+
+@query
+def csv_whole_texts(spark, sf_dir):
+    return _whole_texts(spark, sf_dir, "csv", ",")
+
+
+@query
+def tsv_whole_texts(spark, sf_dir):
+    return _whole_texts(spark, sf_dir, "tsv", "\t")
+
+
+@query
+def json_array_round_trip(spark, sf_dir):
+    """One array in one file, which is read in blocks."""
+    path = _folder(spark, "array")
+    line = lambda text: spark.createDataFrame([(text,)], "value string")
+    rows = _docs(spark, sf_dir).select(F.concat(F.to_json(F.struct("doc_id", "text", "lang", "source")), F.lit(",")).alias("value"))
+    line("[").union(rows).union(line("{}]")).coalesce(1).write.text(path)
+    return readers.read(spark, f"{path}/part-*", "json").filter("doc_id is not null").select("doc_id", "lang", "source", _sha())
+
+
 @query
 def csv_split_round_trip(spark, sf_dir):
     """No field has line ends, so files are split."""
@@ -571,6 +614,21 @@ def dedup_vector_fallback(spark, sf_dir):
     return steps.deduplicate(_docs(spark, sf_dir), {"method": "semantic", "columns": ["text"], "order_by": "doc_id"}).df.select("doc_id", _sha())
 
 
+@query
+def longest_columns(spark, sf_dir):
+    """The three text columns with the greatest mean length."""
+    names = profile.primary_text_columns(_docs(spark, sf_dir), "documents")
+    return spark.createDataFrame(list(enumerate(names, 1)), "place long, column string")
+
+
+@query
+def skipped_steps(spark, sf_dir):
+    """Steps that don't fit are counted and skipped, and the others still run."""
+    wanted = [{"step": "no_such_step"}, {"step": "deduplication", "config": {"columns": ["text"], "order_by": "doc_id"}}, {"step": "pii_scrubbing", "config": {"action": "no_such_action"}}, {"step": "language_filter", "config": {"text_column": "text", "method": "words"}}]
+    found = runner.run(_docs(spark, sf_dir), wanted)
+    return found.df.groupBy("language").agg(F.count("*").alias("rows")).withColumns({k: F.lit(v).cast("long") for k, v in found.stats.items()})
+
+
 @query
 def sample_values(spark, sf_dir):
     found = profile.sample_values(_docs(spark, sf_dir), "lang", 5, "doc_id")
