@@ -21,6 +21,7 @@ from quern.functions.names import quoted
 
 from . import bpe
 from .common import _BASE, cut, mix64, shuffles_removed
+from .katz import _packed, _unpacked
 
 ROUNDS = 6
 
@@ -92,7 +93,8 @@ def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4
             a, b = np.maximum(sequence * length, at[row]), np.minimum((sequence + 1) * length, at[row] + n[row])
             ids = batch.column(2).to_pylist()
             slot = permute(sequence, count, key)
-            piece = [ids[r][(x - at[r]) * width : (y - at[r]) * width] for r, x, y in zip(row, a, b, strict=True)]
+            # packed by places of bytes: the shuffle keeps them on disk
+            piece = [_packed(np.frombuffer(ids[r], np.uint8)[(x - at[r]) * width : (y - at[r]) * width].reshape(-1, width).T) for r, x, y in zip(row, a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(slot // shard * parts // n_shards), pa.array(slot), pa.array(sequence), pa.array(a - sequence * length), pa.array(piece, pa.binary())], names=["part", "slot", "sequence_id", "offset", "ids"])
 
     dealt = placed.mapInArrow(pieces, "part long, slot long, sequence_id long, offset long, ids binary")
@@ -116,7 +118,7 @@ def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4
                     out.append(row())
                     held = []
                 now = slot, sequence
-                held.append(ids)
+                held.append(_unpacked(ids, np.uint8).reshape(width, -1).T.tobytes())
             if len(out) >= 1024:
                 yield full(out)
                 out = []
