@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quern.functions.names import quoted
 
 from .common import SPACE, _mixed, _powers, blocks, cut, discard, mix64, text_buffers
-from .katz import _bits, _flags, _pack_keys, _packed, _parts, _unpack_keys, _unpacked, pair_hash
+from .katz import _bits, _flags, _pack_keys, _packed, _unpack_keys, _unpacked, pair_hash
 
 _EXACT = _mixed(256, 1213)
 _SIDES, _SECOND = _mixed(16, 31), _mixed(1, 57)[0]
@@ -177,9 +177,22 @@ class Question:
         self.several = low < high
 
 
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket starts among ascending keys."""
-    return _parts(keys, buckets)[1]
+class Dealt:
+    """Ascending keys by buckets, which are ranges of them: only those that have keys, so it doesn't grow with the number of buckets."""
+
+    def __init__(self, keys: np.ndarray, buckets: int):
+        self.full, start = np.unique(keys >> np.uint64(64 - (buckets.bit_length() - 1)), return_index=True)
+        self.edge = np.append(start, len(keys))
+
+    @classmethod
+    def of(cls, full: list[int], edge: list[int]) -> Dealt:
+        out = cls.__new__(cls)
+        out.full, out.edge = np.array(full, np.uint64), np.array(edge, np.int64)
+        return out
+
+    def part(self, bucket: int) -> slice:
+        i = int(np.searchsorted(self.full, np.uint64(bucket)))
+        return slice(int(self.edge[i]), int(self.edge[i + 1])) if i < len(self.full) and self.full[i] == bucket else slice(0, 0)
 
 
 def batched(docs: DataFrame, batch_bytes: int) -> DataFrame:
@@ -215,9 +228,9 @@ def shared(batches: DataFrame, buckets: int, window: int, rounds: int) -> DataFr
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 q = Question(Texts(row, window), rounds)
-                names, roots = _cuts(q.names, buckets), _cuts(q.root, buckets)
-                full = np.flatnonzero((np.diff(names) > 0) | (np.diff(roots) > 0))
-                part = lambda pack, x, edge: pa.array([pack(x[edge[f] : edge[f + 1]]) for f in full], pa.binary())  # noqa: E731, B023
+                names, roots = Dealt(q.names, buckets), Dealt(q.root, buckets)
+                full = np.union1d(names.full, roots.full)
+                part = lambda pack, x, dealt: pa.array([pack(x[dealt.part(f)]) for f in full], pa.binary())  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array([row["batch"]] * len(full), pa.int64()), part(_pack_keys, q.names, names), part(_bits, q.several, names), part(_packed, q.root, roots), part(_packed, q.root_two, roots), part(_packed, q.least, roots)], names=["bucket", "batch", "names", "several", "root", "root_two", "least"])
 
     asked = batches.mapInArrow(ask, "bucket long, batch long, names binary, several binary, root binary, root_two binary, least binary")
@@ -249,17 +262,17 @@ def _smaller(one: list, two: list, least: list) -> np.ndarray:
     return least > np.minimum.reduceat(least[order], start)[group]
 
 
-def _told(answers: list[dict], column: str, edge: np.ndarray) -> np.ndarray:
+def _told(answers: list[dict], column: str, dealt: Dealt) -> np.ndarray:
     """A batch's flags, from the rows of its buckets."""
-    out = np.zeros(edge[-1], bool)
+    out = np.zeros(dealt.edge[-1], bool)
     for a in answers:
-        s, e = edge[a["bucket"]], edge[a["bucket"] + 1]
-        out[s:e] = _flags(a[column], e - s)
+        part = dealt.part(a["bucket"])
+        out[part] = _flags(a[column], part.stop - part.start)
     return out
 
 
-WINDOWS = {"batch": pa.int64(), "ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "texts": pa.binary(), "copies": pa.binary(), "live": pa.binary(), "group": pa.binary(), "later": pa.binary(), "edge": pa.list_(pa.int64()), "bucket": pa.int64(), "one": pa.binary(), "two": pa.binary(), "least": pa.binary()}
-WINDOWS_DDL = "batch long, ids array<long>, sizes array<long>, texts binary, copies binary, live binary, group binary, later binary, edge array<long>, bucket long, one binary, two binary, least binary"
+WINDOWS = {"batch": pa.int64(), "ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "texts": pa.binary(), "copies": pa.binary(), "live": pa.binary(), "group": pa.binary(), "later": pa.binary(), "full": pa.list_(pa.int64()), "edge": pa.list_(pa.int64()), "bucket": pa.int64(), "one": pa.binary(), "two": pa.binary(), "least": pa.binary()}
+WINDOWS_DDL = "batch long, ids array<long>, sizes array<long>, texts binary, copies binary, live binary, group binary, later binary, full array<long>, edge array<long>, bucket long, one binary, two binary, least binary"
 
 
 def _rows(size: int, **columns) -> pa.RecordBatch:
@@ -269,8 +282,8 @@ def _rows(size: int, **columns) -> pa.RecordBatch:
 def _live(t: Texts, q: Question, answers: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Documents that are whole copies, and the first positions of the windows all of whose symbols are shared."""
     copies = q.copies.copy()
-    copies[q.docs] |= _told(answers, "roots", _cuts(q.root, buckets))[q.group]
-    known = _told(answers, "symbols", _cuts(q.names, buckets))[q.place]
+    copies[q.docs] |= _told(answers, "roots", Dealt(q.root, buckets))[q.group]
+    known = _told(answers, "symbols", Dealt(q.names, buckets))[q.place]
     dead = np.zeros(len(t.words) + 1, np.int32)
     # a symbol that stands in one document only takes out all windows that hold its context
     np.add.at(dead, np.maximum(q.hi[~known] - t.window, 0), 1)
@@ -296,14 +309,13 @@ def windows(batches: DataFrame, answers: DataFrame, buckets: int, window: int, r
                 order, start, group = grouped(one, two)
                 least = np.minimum.reduceat(doc[order], start) if len(order) else np.zeros(0, np.int64)
                 one, two = one[order][start], two[order][start]
-                edge = _cuts(one, buckets)
-                full = np.flatnonzero(np.diff(edge))
+                dealt = Dealt(one, buckets)
                 flags = np.zeros(len(t.words), bool)
                 flags[live] = True
-                yield _rows(1, batch=[row["batch"]], ids=[row["ids"]], sizes=[row["sizes"]], texts=[row["texts"]], copies=[_bits(copies)], live=[_bits(flags)], group=[_packed(group.astype(np.uint32))], later=[_bits(doc > least[group])], edge=[edge])
-                part = lambda pack, x: [pack(x[edge[f] : edge[f + 1]]) for f in full]  # noqa: E731, B023
-                if len(full):
-                    yield _rows(len(full), batch=[row["batch"]] * len(full), bucket=full, one=part(_packed, one), two=part(_packed, two), least=part(_packed, least))
+                yield _rows(1, batch=[row["batch"]], ids=[row["ids"]], sizes=[row["sizes"]], texts=[row["texts"]], copies=[_bits(copies)], live=[_bits(flags)], group=[_packed(group.astype(np.uint32))], later=[_bits(doc > least[group])], full=[dealt.full.astype(np.int64)], edge=[dealt.edge])
+                part = lambda pack, x: [pack(y) for y in np.split(x, dealt.edge[1:-1])]  # noqa: E731, B023
+                if n := len(dealt.full):
+                    yield _rows(n, batch=[row["batch"]] * n, bucket=dealt.full.astype(np.int64), one=part(_packed, one), two=part(_packed, two), least=part(_packed, least))
 
     return batches.join(given, "batch", "left").select("batch", "ids", "sizes", "texts", "given").mapInArrow(run, WINDOWS_DDL)
 
@@ -338,7 +350,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, rounds: int = 3, batch_
 
     Windows are judged on the texts as they come. Words are compared as they are. A null or empty text has no words and
     gives an empty one. Rows with the same id are one document's: none removes words of another, and each gets a row. A null id is
-    neither smaller nor larger than another, so its text stays whole. Texts may be of any length; one of fewer words than a window stays. Texts of the same words but the smallest id's are emptied. An
+    neither smaller nor larger than another, so its text stays whole. Texts may be of any length (a task takes some thirty times its longest text in memory); one of fewer words than a window stays. Texts of the same words but the smallest id's are emptied. An
     empty table gives no rows. Other columns are ignored, whatever their names.
     """
     if window < 1 or not 1 <= rounds <= len(_SIDES):
@@ -352,7 +364,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, rounds: int = 3, batch_
     discard(batches)
     discard(answers)
     given = cut(verified(found), "verified").groupBy("batch").agg(F.collect_list(F.struct("bucket", "smaller")).alias("given"))
-    texts = found.filter("bucket is null").select("batch", "ids", "sizes", "texts", "copies", "live", "group", "later", "edge")
+    texts = found.filter("bucket is null").select("batch", "ids", "sizes", "texts", "copies", "live", "group", "later", "full", "edge")
 
     def finish(batches):
         for batch in batches:
@@ -360,7 +372,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, rounds: int = 3, batch_
                 row = batch.slice(i, 1).to_pylist()[0]
                 t = Texts(row, window)
                 live = np.flatnonzero(_flags(row["live"], len(t.doc) + len(t.counts) + 1))
-                hit = _flags(row["later"], len(live)) | _told(row["given"] or [], "smaller", np.array(row["edge"]))[_unpacked(row["group"], np.uint32)]
+                hit = _flags(row["later"], len(live)) | _told(row["given"] or [], "smaller", Dealt.of(row["full"], row["edge"]))[_unpacked(row["group"], np.uint32)]
                 cover = np.zeros(len(t.doc) + len(t.counts) + 2 + window, np.int32)
                 np.add.at(cover, live[hit], 1)
                 np.add.at(cover, live[hit] + window, -1)
