@@ -117,7 +117,8 @@ def scrape(df: DataFrame, markup: str, url: str, scraped_at: Column | None = Non
     """url, title, content, scraped_at of each page."""
     found = F.udf(lambda m: dict(zip(("title", "content"), main_content(m), strict=True)), "struct<title:string,content:string>", useArrow=True)
     at = F.date_format(scraped_at if scraped_at is not None else F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
-    return df.withColumn("_p", found(F.col(markup))).select(F.col(url).alias("url"), "_p.title", "_p.content", at.alias("scraped_at"))
+    page = F.array(F.struct(F.col(url).alias("url"), found(F.col(markup)).alias("p"), at.alias("scraped_at")))
+    return df.select(F.inline(page)).select("url", "p.title", "p.content", "scraped_at")
 
 
 def is_direct_file(url: Column, content_type: Column | None = None) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions.names import col
+from quern.functions.names import col, cols, fresh
 from quern.operators.tables import written
 from quern.sources import detect, markup, scan
 
@@ -269,13 +269,47 @@ def read_pdf(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, pages, "page_number:int,text:string", ["page_number", "text"])
 
 
-def join_chunks(spark: SparkSession, folder: str, total: int) -> bytes:
-    """The chunks chunk_00000 to the last, in order; a missing one is a storage error. For uploads, which fit one machine."""
-    rows = spark.read.format("binaryFile").load(f"{folder}/chunk_*").select(F.regexp_extract("path", r"chunk_(\d+)$", 1).cast("int").alias("k"), "content")
-    found = {r["k"]: bytes(r["content"]) for r in rows.filter(F.col("k") < total).collect()}
-    if missing := [k for k in range(total) if k not in found]:
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def join_chunks(spark: SparkSession, folder: str, total: int, target: str | None = None) -> bytes | int:
+    """The chunks chunk_00000 to the last, in order; a missing one is a storage error. With ``target`` they are streamed into that file, in any store, and its size is returned; without it their bytes are."""
+    parts = [_place(spark, f"{folder}/chunk_{k:05d}") for k in range(total)]
+    if missing := [k for k, (store, at) in enumerate(parts) if not store.exists(at)]:
         raise IngestionError("STORAGE_ERROR", f"chunk {missing[0]} is missing", 500)
-    return b"".join(found[k] for k in range(total))
+    if target is None:
+        return b"".join(_bytes(store, at) for store, at in parts)
+    store, where = _place(spark, target)
+    out = store.create(where, True)
+    try:
+        for source, at in parts:
+            stream = source.open(at)
+            try:
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+            finally:
+                stream.close()
+    finally:
+        out.close()
+    return store.getFileStatus(where).getLen()
+
+
+def _bytes(store, at) -> bytes:
+    stream = store.open(at)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """A file or folder, from any store to any, streamed; what is there is replaced."""
+    (a, x), (b, y) = _place(spark, source), _place(spark, target)
+    if not a.exists(x):
+        raise IngestionError("NOT_FOUND", f"{source} isn't there", 404)
+    b.delete(y, True)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(a, x, b, y, False, True, spark._jsparkSession.sessionState().newHadoopConf())
 
 
 #: Sources that a table can be read from.
@@ -298,8 +332,11 @@ def hub_path(dataset: str, split: str = "train", config: str | None = None) -> s
     return f"hf://datasets/{dataset}/{config + '/' if config else ''}{split}/*.parquet"
 
 
-def fetch(urls: DataFrame, fetcher: Callable[[str], tuple[str, bytes]], mode: str = "auto") -> DataFrame:
-    """url, kind, title, content and error of each URL; ``fetcher`` gives content type and bytes. Errors are rows, not exceptions."""
+FETCHED = ("kind", "title", "content", "error")
+
+
+def fetch(urls: DataFrame, fetcher: Callable[[str], tuple[str, bytes]], mode: str = "auto", url_column: str = "url") -> DataFrame:
+    """All rows and columns, with kind, title, content and error of each URL (columns of these names are replaced); ``fetcher`` gives content type and bytes. Errors are rows, not exceptions."""
 
     def get(url: str):
         try:
@@ -310,4 +347,7 @@ def fetch(urls: DataFrame, fetcher: Callable[[str], tuple[str, bytes]], mode: st
         except Exception as e:  # noqa: BLE001
             return {"kind": None, "title": None, "content": None, "error": str(e)}
 
-    return urls.withColumn("_f", F.udf(get, "struct<kind:string,title:string,content:string,error:string>")("url")).select("url", "_f.*")
+    urls = urls.drop(*FETCHED)
+    (name,) = fresh(urls, "fetched")
+    got = F.udf(get, ", ".join(f"{c} string" for c in FETCHED), useArrow=True)
+    return urls.withColumn(name, got(col(url_column))).select(*cols(urls.columns), f"{name}.*")
