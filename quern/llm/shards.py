@@ -45,7 +45,7 @@ def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def tokens(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(part, at, n, ids): the input's partition, the ids that stand before in it, and each row's ids and the end id, little-endian unsigned 16-bit if all fit."""
+    """(part, at, n, low, high): the input's partition, the ids that stand before in it, and each row's ids and the end id, unsigned 16-bit if all fit: their lowest bytes, and the others place by place, which are fewer different ones and so take less room by themselves."""
 
     def run(batches):
         coder, part, at = bpe.load(tokenizer), TaskContext.get().partitionId(), 0
@@ -56,9 +56,10 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             n = np.array([len(i) // kind.itemsize for i in ids], np.int64)
             before = at + np.cumsum(n) - n
             at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int64)), pa.array(before), pa.array(n), pa.array(ids, pa.binary())], names=["part", "at", "n", "ids"])
+            places = [np.frombuffer(i, np.uint8).reshape(-1, kind.itemsize).T for i in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int64)), pa.array(before), pa.array(n), pa.array([x[0].tobytes() for x in places], pa.binary()), pa.array([x[1:].tobytes() for x in places], pa.binary())], names=["part", "at", "n", "low", "high"])
 
-    return docs.mapInArrow(run, "part long, at long, n long, ids binary")
+    return docs.mapInArrow(run, "part long, at long, n long, low binary, high binary")
 
 
 def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4096, tokenizer: str | None = None, end_id: int = bpe.END_ID, most_partitions: int = 20_000, text_column: str = "text") -> DataFrame:
@@ -72,7 +73,7 @@ def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4
     """
     path = tokenizer or bpe.default_path()
     coded = cut(tokens(docs.select(docs[quoted(text_column)].cast("string").alias("text")), path, end_id), "tokens")
-    sums = coded.groupBy("part").agg(F.sum("n").alias("n"), F.max(F.length("ids") / F.col("n")).cast("int").alias("width"))
+    sums = coded.groupBy("part").agg(F.sum("n").alias("n"), (F.max(F.length("high") / F.col("n")) + 1).cast("int").alias("width"))
     sums = cut(sums, "parts")  # a row for each partition of the input
     size = sums.agg(F.sum("n").alias("n"), F.max("width").alias("width")).first()
     total, width = size["n"] or 0, size["width"] or 2
@@ -81,7 +82,7 @@ def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4
     n_shards = max(1, -(-count // shard))
     parts = min(n_shards, most_partitions)
     kind = f"<u{width}"
-    placed = coded.join(F.broadcast(starts), "part").select((F.col("base") + F.col("at")).alias("at"), "n", "ids")
+    placed = coded.join(F.broadcast(starts), "part").select((F.col("base") + F.col("at")).alias("at"), "n", "low", "high")
 
     def pieces(batches):
         for batch in batches:
@@ -91,10 +92,10 @@ def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4
             row = np.repeat(np.arange(len(at)), each)
             sequence = first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each))
             a, b = np.maximum(sequence * length, at[row]), np.minimum((sequence + 1) * length, at[row] + n[row])
-            ids = batch.column(2).to_pylist()
+            places = [np.frombuffer(low + high, np.uint8).reshape(width, -1) for low, high in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             slot = permute(sequence, count, key)
             # packed by places of bytes: the shuffle keeps them on disk
-            piece = [_packed(np.frombuffer(ids[r], np.uint8)[(x - at[r]) * width : (y - at[r]) * width].reshape(-1, width).T) for r, x, y in zip(row, a, b, strict=True)]
+            piece = [_packed(places[r][:, x - at[r] : y - at[r]]) for r, x, y in zip(row, a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(slot // shard * parts // n_shards), pa.array(slot), pa.array(sequence), pa.array(a - sequence * length), pa.array(piece, pa.binary())], names=["part", "slot", "sequence_id", "offset", "ids"])
 
     dealt = placed.mapInArrow(pieces, "part long, slot long, sequence_id long, offset long, ids binary")
