@@ -14,17 +14,36 @@ from quern.functions.names import col, cols, fresh
 from quern.operators.steps import longest_text_column, row_order, text_columns
 
 
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(k, n): the exact number of distinct values of the k-th of ``columns`` that aren't null or NaN; columns without any have no row. One pass: cells of fixed width, a value's hashes of 128 bits (of 64 where a value has no more), which are made distinct in each task before they are shuffled by value, so neither wide columns nor hot values cost more."""
+    cells = []
+    for k, name in enumerate(columns):
+        kind, c = df.schema[name].dataType, col(name)
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            c = F.when(~F.isnan(c), c + F.lit(0.0))
+        elif isinstance(kind, (T.ArrayType, T.StructType)):
+            # hashes skip nulls inside a value; its JSON doesn't
+            c = F.when(c.isNotNull(), F.to_json(c, {"ignoreNullFields": "false"}))
+        narrow = not isinstance(kind, (T.StringType, T.BinaryType, T.DecimalType, T.ArrayType, T.StructType))
+        cells.append(F.when(c.isNotNull(), F.struct(F.lit(k).alias("k"), F.xxhash64(c).alias("a"), (F.lit(0).cast("long") if narrow else F.xxhash64(F.lit(1), c)).alias("b"))))
+    if not cells:
+        return df.sparkSession.createDataFrame([], "k int, n long")
+    found = df.select(F.explode(F.array(*cells)).alias("c")).filter("c is not null").select("c.*").distinct()
+    return found.groupBy("k").agg(F.count("*").alias("n"))
+
+
 def column_stats(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
-    """A row for each column: type, nulls, share of nulls, distinct values; of numbers also least, most, mean and sample deviation. One pass over the table. NaN counts as null, infinity has no figure. Distinct values are counted exactly, which multiplies the rows by the columns, or with ``approximate`` by sketches."""
+    """A row for each column: type, nulls, share of nulls, distinct values; of numbers also least, most, mean and sample deviation. NaN counts as null, infinity has no figure. Distinct values are counted exactly in a second pass (``distinct_counts``), or with ``approximate`` by sketches in the same one; maps have no figure."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    countable = [k for k, f in enumerate(fields) if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     aggregates = [F.count("*").alias("rows")]
     for k, f in enumerate(fields):
         c = col(f.name)
         real = isinstance(f.dataType, (T.FloatType, T.DoubleType))
         number = isinstance(f.dataType, (T.NumericType, T.BooleanType))
         value = F.when(~F.isnan(c), c) if real else c
-        distinct = F.approx_count_distinct if approximate else F.count_distinct
-        aggregates += [F.count(value).alias(f"n{k}"), (distinct(value) if not isinstance(f.dataType, T.MapType) else F.lit(None)).cast("long").alias(f"d{k}")]
+        sketch = F.approx_count_distinct(value) if approximate and k in countable else F.lit(None).cast("long")
+        aggregates += [F.count(value).alias(f"n{k}"), sketch.alias(f"d{k}")]
         x = value.cast("int").cast("double") if isinstance(f.dataType, T.BooleanType) else value.cast("double")
         x = F.when(F.abs(x) != float("inf"), x) if real else x
         aggregates += [g(x).alias(f"{p}{k}") if number else F.lit(None).cast("double").alias(f"{p}{k}") for p, g in (("a", F.min), ("b", F.max), ("m", F.avg), ("s", F.stddev_samp))]
@@ -32,6 +51,7 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, approximate: b
     rows = F.array(
         *(
             F.struct(
+                F.lit(k).alias("k"),
                 F.lit(f.name).alias("column"),
                 F.lit(f.dataType.simpleString()).alias("type"),
                 (F.col("rows") - F.col(f"n{k}")).alias("null_count"),
@@ -42,7 +62,16 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, approximate: b
             for k, f in enumerate(fields)
         )
     )
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    stats = one.select(F.explode(rows).alias("r")).select("r.*")
+    if not approximate:
+        named = [fields[k].name for k in countable]
+        # a row for each column at most
+        places = F.element_at(F.array(*(F.lit(k) for k in countable)), F.col("k") + 1) if countable else F.col("k")
+        counts = F.broadcast(distinct_counts(df, named).select(places.alias("at"), F.col("n")))
+        stats = stats.join(counts, F.col("k") == F.col("at"), "left")
+        if countable:
+            stats = stats.withColumn("unique_count", F.when(F.col("k").isin(countable), F.coalesce("n", F.lit(0))))
+    return stats.select("column", "type", "null_count", "null_percentage", "unique_count", "min", "max", "mean", "std")
 
 
 def sample_values(df: DataFrame, column: str, n: int = 5, order_by: str | None = None) -> list:

@@ -287,15 +287,34 @@ def _with_scorer(df: DataFrame, joined: Column, score: str, why: str, scorer, me
     return df.withColumns({score: new[0], why: new[1]}).drop(name)
 
 
+def _kth(counts: DataFrame, skipped: Column) -> DataFrame:
+    """(value): of values s that stand n times each, the one with ``skipped`` (a column of ``counts``, equal in all rows) smaller ones before it; no row if there are none. Bins of 1e-3, 1e-7 and 1e-11 are counted in turn, each within the one that was found before, so however many values there are, no task orders more than some ten thousand rows for each unit of their range."""
+    b3 = F.floor(F.col("s") * 1e11)
+    binned = counts.select("s", "n", skipped.alias("skip"), b3.alias("b3"), F.floor(b3 / 10_000).alias("b2"), F.floor(b3 / 100_000_000).alias("b1"))
+    left, found = binned, None
+    for name in ("b1", "b2", "b3", "s"):
+        if found is not None:
+            # from the counts again, not from the rows left before, so the plan grows by one copy of them a level
+            left = binned.drop("skip").join(F.broadcast(found.withColumnRenamed("value", "bin")), F.col(before) == F.col("bin"))
+        sums = left.groupBy(F.col(name).alias("value")).agg(F.sum("n").alias("n"), F.max("skip").alias("skip"))
+        sums = sums.withColumn("upto", F.sum("n").over(Window.orderBy("value")))
+        found = sums.filter((F.col("upto") > F.col("skip")) & (F.col("upto") - F.col("n") <= F.col("skip"))).select("value", (F.col("skip") - F.col("upto") + F.col("n")).alias("skip"))
+        before = name
+    return found.select("value")
+
+
 def quality_summary(scored: DataFrame, score: str = "quality_score") -> DataFrame:
-    """One row: histogram in steps of 2, mean, and the upper median of the scores, which have two digits and so at most 1001 values: they are counted, not gathered."""
+    """One row: histogram in steps of 2, mean, and the upper median of the scores. Equal scores are counted, and the median is looked for in ever finer bins (``_kth``), so unrounded scores are never ordered in one task. Nulls count as the smallest, but are never the median."""
     s = F.col("s")
     bins = {"bin_0_2": s < 2, "bin_2_4": (s >= 2) & (s < 4), "bin_4_6": (s >= 4) & (s < 6), "bin_6_8": (s >= 6) & (s < 8), "bin_8_10": s >= 8}
-    counts = scored.groupBy(col(score).alias("s")).agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("s"))).withColumn("all", F.sum("n").over(Window.partitionBy()))
-    return upto.agg(
+    # fenced: filters on s would be pushed below the counting, and each copy of it would then score anew
+    counts = fenced(scored.groupBy(col(score).cast("double").alias("s")).agg(F.count("*").alias("n")))
+    total = counts.agg(
         *(F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(k) for k, c in bins.items()),
         F.coalesce(quality.half_up(F.try_divide(F.sum(F.col("s") * F.col("n")), F.sum("n"))), F.lit(0.0)).alias("mean_quality_score"),
-        F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("s"))).alias("median_quality_score"),
+        F.greatest(F.floor(F.sum("n") / 2) - F.coalesce(F.sum(F.when(s.isNull(), F.col("n"))), F.lit(0)), F.lit(0)).alias("skip"),
+        F.lit(1).alias("one"),
     )
-
+    known = counts.filter("s is not null").withColumn("one", F.lit(1)).join(F.broadcast(total.select("one", "skip")), "one")
+    median = _kth(known, F.col("skip")).select(F.lit(1).alias("one"), F.col("value").alias("median_quality_score"))
+    return total.join(F.broadcast(median), "one", "left").drop("one", "skip")
