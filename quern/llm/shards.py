@@ -24,13 +24,15 @@ from .common import _BASE, cut, mix64, shuffles_removed
 from .katz import _packed, _unpacked
 
 ROUNDS = 6
+#: Pieces, of one sequence at most each, that are packed together for the shuffle: 1 MB of ids of two bytes at the usual length.
+BLOCK = 256
 
 
 def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
     """The slots of sequences x, among 0 to n - 1: a bijection, for any n below 2^62."""
     half = np.uint64(max(1, ((max(n, 2) - 1).bit_length() + 1) // 2))
     mask = np.uint64((1 << int(half)) - 1)
-    keys = mix64((np.arange(1, ROUNDS + 1, dtype=np.uint64) + np.uint64(key & 0xFFFFFFFF)) * np.uint64(_BASE))
+    keys = mix64((np.arange(1, ROUNDS + 1, dtype=np.uint64) + np.uint64(key & 0xFFFFFFFFFFFFFFFF)) * np.uint64(_BASE))
 
     def once(v: np.ndarray) -> np.ndarray:
         left, right = v >> half, v & mask
@@ -61,6 +63,15 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return docs.mapInArrow(run, "part long, at long, n long, ids binary")
 
 
+def _by_places(data: bytes, width: int) -> bytes:
+    """Packed, the first bytes of all values first, then their second ones, and so on."""
+    return _packed(np.frombuffer(data, np.uint8).reshape(-1, width).T)
+
+
+def _in_order(data: bytes, width: int) -> bytes:
+    return _unpacked(data, np.uint8).reshape(width, -1).T.tobytes()
+
+
 def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4096, tokenizer: str | None = None, end_id: int = bpe.END_ID, most_partitions: int = 20_000, text_column: str = "text") -> DataFrame:
     """One row for each sequence: slot, shard, byte_offset (in the file of its shard, as ``write_shards`` writes it), sequence_id, n_tokens, ids_crc32 and record, the ids with the end id as padding. Each partition holds a range of whole shards in the order of slots.
 
@@ -85,6 +96,7 @@ def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4
 
     def pieces(batches):
         for batch in batches:
+            out = [], [], []
             at, n = (batch.column(k).to_numpy() for k in (0, 1))
             first, last = at // length, (at + n - 1) // length
             each = (last - first + 1).astype(np.int64)
@@ -93,12 +105,30 @@ def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4
             a, b = np.maximum(sequence * length, at[row]), np.minimum((sequence + 1) * length, at[row] + n[row])
             ids = batch.column(2).to_pylist()
             slot = permute(sequence, count, key)
-            # packed by places of bytes: the shuffle keeps them on disk
-            piece = [_packed(np.frombuffer(ids[r], np.uint8)[(x - at[r]) * width : (y - at[r]) * width].reshape(-1, width).T) for r, x, y in zip(row, a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(slot // shard * parts // n_shards), pa.array(slot), pa.array(sequence), pa.array(a - sequence * length), pa.array(piece, pa.binary())], names=["part", "slot", "sequence_id", "offset", "ids"])
-
-    dealt = placed.mapInArrow(pieces, "part long, slot long, sequence_id long, offset long, ids binary")
-    dealt = dealt.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("slot", "offset").select("slot", "sequence_id", "ids")
+            part = slot // shard * parts // n_shards
+            head = np.stack([slot, sequence, a - sequence * length, b - a])
+            # pieces that go to one partition are packed together, by places of bytes: the shuffle keeps them on disk
+            order = np.argsort(part, kind="stable")
+            first = np.flatnonzero(np.diff(part[order], prepend=-1))
+            for i, j in zip(first, [*first[1:], len(order)], strict=True):
+                for k in range(i, j, BLOCK):
+                    some = order[k : min(k + BLOCK, j)]
+                    body = b"".join(ids[row[p]][(a[p] - at[row[p]]) * width : (b[p] - at[row[p]]) * width] for p in some)
+                    out[0].append(part[some[0]])
+                    out[1].append(_by_places(head[:, some].tobytes(), 8))
+                    out[2].append(_by_places(body, width))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "head", "ids"])
+
+    def opened(batches):
+        for batch in batches:
+            for head, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                slot, sequence, offset, n = np.frombuffer(_in_order(head, 8), np.int64).reshape(4, -1)
+                body, ends = _in_order(body, width), np.cumsum(n) * width
+                piece = [body[e - m * width : e] for e, m in zip(ends, n, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(sequence), pa.array(offset), pa.array(piece, pa.binary())], names=["slot", "sequence_id", "offset", "ids"])
+
+    dealt = placed.mapInArrow(pieces, "part long, head binary, ids binary").repartitionById(parts, F.col("part").cast("int")).select("head", "ids")
+    dealt = dealt.mapInArrow(opened, "slot long, sequence_id long, offset long, ids binary").sortWithinPartitions("slot", "offset").select("slot", "sequence_id", "ids")
     pad = np.array([end_id], kind).tobytes()
 
     def records(batches):
@@ -118,7 +148,7 @@ def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4
                     out.append(row())
                     held = []
                 now = slot, sequence
-                held.append(_unpacked(ids, np.uint8).reshape(width, -1).T.tobytes())
+                held.append(ids)
             if len(out) >= 1024:
                 yield full(out)
                 out = []
