@@ -21,7 +21,6 @@ from quern.functions.names import quoted
 
 from . import bpe
 from .common import _BASE, cut, mix64, shuffles_removed
-from .katz import _packed, _unpacked
 
 ROUNDS = 6
 #: Pieces, of one sequence at most each, that are packed together for the shuffle: 1 MB of ids of two bytes at the usual length.
@@ -63,13 +62,13 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return docs.mapInArrow(run, "part long, at long, n long, ids binary")
 
 
-def _by_places(data: bytes, width: int) -> bytes:
-    """Packed, the first bytes of all values first, then their second ones, and so on."""
-    return _packed(np.frombuffer(data, np.uint8).reshape(-1, width).T)
+def _squeezed(data: bytes) -> bytes:
+    # level 3 finds repeated words that the default, 1, doesn't: 0.56 instead of 0.65 of the ids' bytes
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(data, asbytes=True)
 
 
-def _in_order(data: bytes, width: int) -> bytes:
-    return _unpacked(data, np.uint8).reshape(width, -1).T.tobytes()
+def _opened(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
 def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4096, tokenizer: str | None = None, end_id: int = bpe.END_ID, most_partitions: int = 20_000, text_column: str = "text") -> DataFrame:
@@ -79,7 +78,8 @@ def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4
     last sequence is padded. The stream is pinned by a table of ids, so lost executors change
     nothing; another split of the input gives another stream. An empty table gives no rows. Other
     columns are ignored. Each task makes one shard, or more where there are over ``most_partitions``
-    shards (of 16 MB by default); it sorts them with spills, so its memory stays bounded.
+    shards (of 16 MB by default); it sorts packed blocks by shard with spills and holds the ids of one shard at a
+    time, so its memory stays bounded.
     """
     path = tokenizer or bpe.default_path()
     coded = cut(tokens(docs.select(docs[quoted(text_column)].cast("string").alias("text")), path, end_id), "tokens")
@@ -96,7 +96,7 @@ def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4
 
     def pieces(batches):
         for batch in batches:
-            out = [], [], []
+            out = [], [], [], []
             at, n = (batch.column(k).to_numpy() for k in (0, 1))
             first, last = at // length, (at + n - 1) // length
             each = (last - first + 1).astype(np.int64)
@@ -105,56 +105,51 @@ def materialise(docs: DataFrame, *, key: int, length: int = 2048, shard: int = 4
             a, b = np.maximum(sequence * length, at[row]), np.minimum((sequence + 1) * length, at[row] + n[row])
             ids = batch.column(2).to_pylist()
             slot = permute(sequence, count, key)
-            part = slot // shard * parts // n_shards
+            number = slot // shard
             head = np.stack([slot, sequence, a - sequence * length, b - a])
-            # pieces that go to one partition are packed together, by places of bytes: the shuffle keeps them on disk
-            order = np.argsort(part, kind="stable")
-            first = np.flatnonzero(np.diff(part[order], prepend=-1))
-            for i, j in zip(first, [*first[1:], len(order)], strict=True):
+            # pieces for one shard are packed together: the shuffle keeps them on disk, and together they take less
+            order = np.argsort(number, kind="stable")
+            starts = np.flatnonzero(np.diff(number[order], prepend=-1))
+            for i, j in zip(starts, [*starts[1:], len(order)], strict=True):
                 for k in range(i, j, BLOCK):
                     some = order[k : min(k + BLOCK, j)]
                     body = b"".join(ids[row[p]][(a[p] - at[row[p]]) * width : (b[p] - at[row[p]]) * width] for p in some)
-                    out[0].append(part[some[0]])
-                    out[1].append(_by_places(head[:, some].tobytes(), 8))
-                    out[2].append(_by_places(body, width))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "head", "ids"])
+                    for c, v in zip(out, (number[some[0]] * parts // n_shards, number[some[0]], _squeezed(head[:, some].tobytes()), _squeezed(body)), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "shard", "head", "ids"])
 
-    def opened(batches):
-        for batch in batches:
-            for head, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                slot, sequence, offset, n = np.frombuffer(_in_order(head, 8), np.int64).reshape(4, -1)
-                body, ends = _in_order(body, width), np.cumsum(n) * width
-                piece = [body[e - m * width : e] for e, m in zip(ends, n, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(sequence), pa.array(offset), pa.array(piece, pa.binary())], names=["slot", "sequence_id", "offset", "ids"])
-
-    dealt = placed.mapInArrow(pieces, "part long, head binary, ids binary").repartitionById(parts, F.col("part").cast("int")).select("head", "ids")
-    dealt = dealt.mapInArrow(opened, "slot long, sequence_id long, offset long, ids binary").sortWithinPartitions("slot", "offset").select("slot", "sequence_id", "ids")
+    dealt = placed.mapInArrow(pieces, "part long, shard long, head binary, ids binary")
+    dealt = dealt.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("shard").select("shard", "head", "ids")
     pad = np.array([end_id], kind).tobytes()
 
     def records(batches):
-        now, held = None, []
-
-        def row():
-            body = b"".join(held)
-            return now[0], now[0] // shard, now[0] % shard * (length * width + len(MARK)), now[1], len(body) // width, zlib.crc32(body), body + pad * (length - len(body) // width)
-
         def full(rows):
             return pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], pa.int64()) for c in range(6)), pa.array([r[6] for r in rows], pa.binary())], names=names)
 
-        out = []
+        def written(number, blocks):
+            """The records of one shard, from its blocks, in the order of slots."""
+            slot, sequence, offset, n = np.concatenate([np.frombuffer(_opened(h), np.int64).reshape(4, -1) for h, _ in blocks], axis=1)
+            body, ends = b"".join(_opened(i) for _, i in blocks), np.cumsum(n) * width
+            order = np.lexsort((offset, slot))
+            starts, out = np.flatnonzero(np.diff(slot[order], prepend=-1)), []
+            for i, j in zip(starts, [*starts[1:], len(order)], strict=True):
+                one, first = b"".join(body[ends[p] - n[p] * width : ends[p]] for p in order[i:j]), order[i]
+                out.append((slot[first], number, slot[first] % shard * (length * width + len(MARK)), sequence[first], len(one) // width, zlib.crc32(one), one + pad * (length - len(one) // width)))
+                if len(out) == 1024:
+                    yield full(out)
+                    out = []
+            yield full(out)
+
+        now, held = None, []
         for batch in batches:
-            for slot, sequence, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now is not None and now[0] != slot:
-                    out.append(row())
+            for number, *block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if number != now and held:
+                    yield from written(now, held)
                     held = []
-                now = slot, sequence
-                held.append(ids)
-            if len(out) >= 1024:
-                yield full(out)
-                out = []
-        if now is not None:
-            out.append(row())
-        yield full(out)
+                now = number
+                held.append(block)
+        if held:
+            yield from written(now, held)
 
     names = ["slot", "shard", "byte_offset", "sequence_id", "n_tokens", "ids_crc32", "record"]
     return dealt.mapInArrow(records, ", ".join(f"{c} long" for c in names[:6]) + ", record binary")
