@@ -25,8 +25,8 @@ FUNCTION_WORDS = {
 SCRIPTS = (("Han", "一"), ("Hangul", "가"), ("Hiragana", "あ"), ("Katakana", "ア"))
 #: Letters in a run that is counted, at most, and what is added to every count.
 LONGEST, ADDED = 3, 0.5
-#: Letters and marks that are looked up in one step.
-_STEP = 1 << 17
+#: Letters and marks, and texts, that are looked up in one step.
+_STEP, _TEXTS = 1 << 18, 64
 
 
 def by_words(text: Column) -> Column:
@@ -76,36 +76,51 @@ class Model:
         self.names = sorted(found)
         runs = sorted({r for c in found.values() for r in c})
         total = {n: sum(c.values()) + ADDED * len(runs) for n, c in found.items()}
-        key = np.array([self.key(*map(ord, r)) for r in runs], np.int64)
-        order = np.argsort(key)
-        self.keys = key[order]
-        self.scores = np.array([[math.floor(1000 * math.log((found[n][r] + ADDED) / total[n])) for n in self.names] for r in runs], np.int32)[order]
-
-    @staticmethod
-    def key(a, b=0, c=0):
-        return (a * (1 << 21) + b) * (1 << 21) + c
+        alphabet = sorted({c for r in runs for c in r})
+        #: The number of each letter (0: none), of each pair of letters and of each pair and letter that a language has; so a run is found by three look-ups.
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        self.wide = len(alphabet) + 1
+        self.runs = [[r for r in runs if len(r) == n] for n in range(1, LONGEST + 1)]
+        number = [{r: k for k, r in enumerate(of, 1)} for of in self.runs]
+        letter = {c: k for k, c in enumerate(alphabet, 1)}
+        self.pair = np.zeros(self.wide**2, np.int32)
+        for r, k in number[1].items():
+            self.pair[letter[r[0]] * self.wide + letter[r[1]]] = k
+        self.triple = np.zeros((len(number[1]) + 1) * self.wide, np.int32)
+        for r, k in number[2].items():
+            self.triple[number[1][r[:2]] * self.wide + letter[r[2]]] = k
+        # a lone space and all that no language has count nothing
+        score = lambda r: [math.floor(1000 * math.log((found[n][r] + ADDED) / total[n])) for n in self.names] if r in known else [0] * len(self.names)
+        known = set(runs)
+        self.scores = [np.array([[0] * len(self.names), *map(score, of)], np.float64) for of in (alphabet, *self.runs[1:])]
 
     def of(self, texts: pa.Array) -> np.ndarray:
-        """A row of sums over all runs of each text, by language."""
+        """A row of sums over all runs of each text, by language: how often each run stands in it, times its scores. All are whole numbers below 2^53, so exact in any order."""
         out = np.zeros((len(texts), len(self.names)), np.int64)
-        codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
-        size = np.array([len(t) for t in texts.to_pylist()], np.int64)
-        row = np.repeat(np.arange(len(size)), size)
-        ends = np.cumsum(size)
-        for a in range(0, len(codes), _STEP):
-            b = min(len(codes), a + _STEP)
-            for n in range(1, LONGEST + 1):
-                at = np.arange(a, b)
-                at = at[at + n <= ends[row[at]]]
-                key = self.key(*(codes[at + j] for j in range(n)), *[0] * (3 - n))
-                place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                known = self.keys[place] == key
-                at, place = row[at[known]], place[known]
-                if len(at):
-                    first = np.flatnonzero(np.diff(at, prepend=-1))
-                    out[at[first]] += np.add.reduceat(self.scores[place], first, axis=0, dtype=np.int64)
+        a = 0
+        while a < len(texts):
+            # texts of one step together, or one that is longer
+            b, held = a, []
+            while b < len(texts) and b - a < _TEXTS and (not held or sum(map(len, held)) < _STEP):
+                held.append(texts[b].as_py())
+                b += 1
+            self._add(held, out[a:b])
+            a = b
         return out
 
+    def _add(self, texts: list[str], out: np.ndarray) -> None:
+        size = np.array([len(t) for t in texts], np.int64)
+        letters = self.letter[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+        row = np.repeat(np.arange(len(size)), size)
+        # a run must not go on into the next text
+        same = row[1:] == row[:-1]
+        pairs = np.where(same, self.pair[letters[:-1] * self.wide + letters[1:]], 0)
+        triples = np.where(same[1:], self.triple[pairs[:-1] * self.wide + letters[2:]], 0)
+        for at, scores in zip((letters, pairs, triples), self.scores, strict=True):
+            place = row[: len(at)] * len(scores) + at
+            out += (np.bincount(place, minlength=len(size) * len(scores)).reshape(len(size), -1) @ scores).astype(np.int64)
+
 
 @lru_cache(1)
 def model() -> Model:

@@ -132,3 +132,20 @@ def test_no_vectors_and_other_lengths(spark):
     assert semantic.edges(df.limit(0), id_column="id", vector_column="v").count() == 0
     assert semantic.nearest(df.limit(0), id_column="id", vector_column="v").count() == 0
     assert semantic.deduplicate(df.filter("id = 1"), id_column="id", vector_column="v").count() == 1
+
+
+def test_vectors_go_to_few_groups(spark, monkeypatch):
+    """Unclustered vectors ask nearly every list; they are sent to groups of lists, whose number doesn't grow with the lists'."""
+    monkeypatch.setattr(semantic, "LEAST", 40)
+    v = np.random.default_rng(7).standard_normal((900, 16))
+    rows = semantic.vectors(frame(spark, v), "id", "v")
+    index = semantic.build(rows)
+    lists = index.lists
+    assert len(lists.centroids) == 30 and len(lists.blocks) <= 2 * semantic.GROUPS and (lists.blocks >= 1).all()
+    sizes = index.table.groupBy("list").count().collect()
+    held = np.bincount([lists.group[r["list"]] for r in sizes], [r["count"] for r in sizes])
+    assert (held <= lists.blocks * lists.block).all() and held.sum() == index.table.count()
+    index.discard()
+    c = cosines(v)
+    got = semantic.edges(frame(spark, v), id_column="id", vector_column="v", threshold=0.7).filter("b < 10000").collect()
+    assert {(r["a"], r["b"]) for r in got} == {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(c >= 0.7, 1)), strict=True)}
