@@ -48,9 +48,16 @@ def by_words(text: Column) -> Column:
 def letters(text: Column) -> Column:
     """Letters and marks in lower case, anything between them one space, and one at either end."""
     c = F.lower(F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), r"[^\p{L}\p{M}]+", " "))
-    for script, one in SCRIPTS:
-        c = F.regexp_replace(c, rf"\p{{Is{script}}}", one)
-    return c
+
+    def one_each(c: Column) -> Column:
+        out = c
+        for script, one in SCRIPTS:
+            out = F.regexp_replace(out, rf"\p{{Is{script}}}", one)
+        # all of these scripts are behind U+1100, so other texts are looked through once
+        return F.when(c.rlike(r"[\x{1100}-\x{10FFFF}]"), out).otherwise(c)
+
+    # in an array, so that what stands before is computed once
+    return F.get(F.transform(F.array(c), one_each), F.lit(0))
 
 
 def _letters(text: str) -> str:
@@ -140,8 +147,8 @@ def by_letters(text: Column) -> Column:
         names = pa.array([m.names[k] if ok else "unknown" for k, ok in zip(best, known, strict=True)], pa.string())
         return pa.StructArray.from_arrays([names, pa.array(np.where(known, share, 0.0))], ["language", "confidence"])
 
-    plain = strip(F.coalesce(text, F.lit("")))
-    return guessed(F.when(F.length(plain) >= 20, letters(plain)).otherwise(F.lit("")))
+    plain = F.transform(F.array(strip(F.coalesce(text, F.lit("")))), lambda t: F.when(F.length(t) >= 20, letters(t)).otherwise(F.lit("")))
+    return guessed(F.get(plain, F.lit(0)))
 
 
 def guess(text: Column, method: str = "letters") -> Column:
