@@ -180,6 +180,8 @@ def analyze(df: DataFrame, summarise=None) -> Analysis:
     kind = table_kind(df)
     texts = primary_text_columns(df, kind)
     found = ratios(df, [c for c in texts if c in text_columns(df)])
+    # one row, which the issues are told from without reading the table again
+    found = df.sparkSession.createDataFrame([found.first()], found.schema)
     row = found.first().asDict()
     listed = [r.asDict() for r in issues(found, [c for c in texts if c in text_columns(df)]).orderBy("place").collect()]
     column = longest_text_column(df)
