@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,17 @@ def write_array(df: DataFrame, file: str) -> int:
     return n
 
 
+def as_array(objects: DataFrame) -> DataFrame:
+    """Lines that make each task's file one JSON array: of ``objects`` (value), each with a comma behind it, and an empty object at the end."""
+
+    def put(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(["["])], names=["value"])
+        yield from batches
+        yield pa.RecordBatch.from_arrays([pa.array(["{}]"])], names=["value"])
+
+    return objects.select("value").mapInArrow(put, "value string")
+
+
 def write_config(config: dict, file: str) -> None:
     with open(file, "w", encoding="utf-8") as out:
         json.dump(config, out, ensure_ascii=False, indent=2)
