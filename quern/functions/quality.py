@@ -43,8 +43,9 @@ def measures(text: Column) -> Column:
         (F.length(strip(text)) == 0).alias("blank"),
         F.aggregate(F.array(items), F.struct(F.lit(0).alias("n"), F.lit(0).alias("d")), lambda s, w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("d"))).alias("words"),
         F.aggregate(F.array(parts), F.struct(F.lit(0).alias("n"), F.lit(0).alias("m")), lambda s, p: F.struct(F.size(p).alias("n"), _most_equal(F.sort_array(p)).alias("m"))).alias("sentences"),
-        F.regexp_count(text, F.lit(r"\p{L}")).alias("letters"),
-        F.regexp_count(text, F.lit(r"\p{Lu}")).alias("capitals"),
+        # what is left is measured, as a count of matches would make a string of each letter
+        F.length(F.regexp_replace(text, r"\P{L}+", "")).alias("letters"),
+        F.length(F.regexp_replace(text, r"\P{Lu}+", "")).alias("capitals"),
     )
 
 

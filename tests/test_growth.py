@@ -6,7 +6,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from quern.functions import pii, text
+from quern.functions import pii, quality, text
 from quern.operators import profile, steps
 from quern.sources import markup, readers, sinks
 
@@ -82,3 +82,13 @@ def test_analysis_counts_once(spark, monkeypatch):
     got = profile.analyze(spark.createDataFrame([("mail a@b.com please, it is urgent",)] * 3, "text string"))
     assert got.row_count == 3 and {i["type"] for i in got.issues} == {"duplicates", "pii_detected"}
     assert "Aggregate" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spaces_and_letters(spark):
+    """Equal to the plain patterns."""
+    cells = ["", " ", "a b", "a  b", "a\tb", "\t a \t\t b ", "a \t", "Éa1 ß 日本 😀 Ǆ", "x\n\n\n\n y  "]
+    df = spark.createDataFrame(list(enumerate(cells)), "k long, t string")
+    plain = text.strip(F.regexp_replace(F.regexp_replace("t", r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    m = quality.measures(F.col("t"))
+    same = (text.normal_spaces(F.col("t")) == plain) & (m["letters"] == F.regexp_count("t", F.lit(r"\p{L}"))) & (m["capitals"] == F.regexp_count("t", F.lit(r"\p{Lu}")))
+    assert df.filter(~same).count() == 0
