@@ -37,8 +37,10 @@ LINE = r"[\x20\x09-\x0D]*+[^\n.!?]*+(?:[.!?](?! )[^\n.!?]*+)*+(?:\n|[.!?] |\z)[\
 #: A line's order is its number of words, up to 127, and 56 bits of its hash.
 _WORD, _MOST = 1 << 56, 127
 _FAR = 1 << 20
-#: Lines of the smallest part of a text in which hits are looked for.
+#: Lines of a part of a text; by windows, of the smallest in which hits are looked for.
 _PART = 1024
+#: Runs of so many words at most are found by lines set side by side, in columns; longer ones by windows, which cost more.
+_BESIDE = 32
 
 
 def lines_of(text: Column) -> Column:
@@ -114,9 +116,43 @@ def candidates(placed: DataFrame, min_words: int) -> DataFrame:
     return cut(near.join(shared, "f", "left_semi").groupBy("key").agg(F.collect_set("line").alias("hits")), "hits")
 
 
+def _ahead(hits: Column, size: Column) -> Column:
+    """For each line of a text how many lines ahead its next hit is, in one go over both."""
+    gap = lambda i, k: F.sequence(i - F.coalesce(F.get("sorted", k - 1), F.lit(-1)) - 1, F.lit(0), F.lit(-1))
+    return F.concat(F.flatten(F.transform("sorted", gap)), F.array_repeat(F.lit(_FAR), size - 1 - F.element_at("sorted", -1)))
+
+
 def runs(placed: DataFrame, hits: DataFrame, min_words: int) -> DataFrame:
     """(key, doc_id, a, b, content): first and last line, and a hash of all lines, of the shortest runs of ``min_words`` words that begin or that end at each line and hold one of the hits."""
     rows = placed.withColumn("r", residue(F.col("key"))).join(residues_of(hits, "key", "r"), "r", "left_semi").groupBy("key", "doc_id").agg(F.any_value("g").alias("g")).join(hits, "key")
+    if min_words > _BESIDE:
+        return _runs_by_windows(rows, min_words)
+    rows = rows.withColumn("sorted", F.array_sort("hits"))
+    # parts of a text, and beside each line those after it: every line has a word, so a run has min_words lines at most
+    rows = rows.select("key", "doc_id", "g", _ahead(F.col("sorted"), F.size("g")).alias("ahead"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("g") - 1, F.lit(_PART))).alias("p"))
+    after = [f"x{k}" for k in range(min_words)]
+    part = lambda c, k: F.slice(c, F.col("p") + k + 1, F.lit(_PART))
+    beside = F.arrays_zip(part("ahead", 0).alias("ahead"), *(part("g", k).alias(x) for k, x in enumerate(after)))
+    # fenced: Spark would repeat what is exploded, and what rows are filtered by, in a filter before it
+    rows = fenced(rows.select("key", "doc_id", "p", beside.alias("beside"))).select("key", "doc_id", "p", F.posexplode("beside").alias("line", "s"))
+    rows = rows.select("key", "doc_id", (F.col("p") + F.col("line")).alias("a"), "s.*").filter(F.col("ahead") < min_words)
+
+    # words up to each line after, one step for each: Spark takes a sum from the one before, where one expression of all would be their square
+    words, first, last = F.col("words"), F.col("first"), F.col("last")
+    rows = rows.withColumns({"own": _n(F.col("x0")), "words": _n(F.col("x0")), "first": (_n(F.col("x0")) < min_words).cast("int") + 1, "last": F.lit(1)})
+    for x in after[1:]:
+        more = words + F.coalesce(_n(F.col(x)), F.lit(0))
+        rows = rows.withColumns({"words": more, "first": first + (more < min_words).cast("int"), "last": last + (F.col(x).isNotNull() & (more - F.col("own") < min_words)).cast("int")})
+    # first: lines of the shortest run that begins here; last: of the longest that begins here and is the shortest that ends where it ends
+    rows = rows.select("key", "doc_id", "a", F.array(*after).alias("g"), F.greatest(first, F.col("ahead") + 1).alias("from"), F.when(first <= min_words, F.greatest(first, last)).alias("to"))
+    rows = fenced(rows).filter(F.col("from") <= F.col("to"))
+    rows = rows.select("key", "doc_id", "a", "g", F.explode(F.sequence("from", "to")).alias("n"))
+    return rows.select("key", "doc_id", "a", (F.col("a") + F.col("n") - 1).alias("b"), F.xxhash64(F.slice("g", 1, F.col("n"))).alias("content"))
+
+
+def _runs_by_windows(rows: DataFrame, min_words: int) -> DataFrame:
+    """The same as ``runs`` of (key, doc_id, g, hits), for any ``min_words``."""
     # a line is looked for among the hits of its part of the text, so that a text of very many lines takes no square of them
     part = F.greatest(F.lit(_PART), (16 * F.sqrt(F.size("g"))).cast("int"))
     parts = F.transform(F.sequence(F.lit(0), F.floor(F.size("g") / part).cast("int")), lambda p: F.filter("hits", lambda i: F.floor(i / part) == p))

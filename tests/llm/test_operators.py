@@ -621,6 +621,22 @@ def test_repeats_are_extended_both_ways(spark):
     assert removed(linededup.remove_repeats(frame(spark, rows))) == brute_lines(rows, 15)
 
 
+@pytest.mark.parametrize("min_words", [1, 15])
+def test_runs_need_no_sorted_lines(spark, monkeypatch, min_words):
+    """The same as by windows over all lines, without sorting them; also where a run goes over the end of a part."""
+    monkeypatch.setattr(linededup, "_PART", 8)
+    rng = random.Random(12)
+    some = [lines_of_words(rng, *[rng.randrange(1, 20) for _ in range(rng.randrange(1, 9))]) for _ in range(12)]
+    rows = [(k, "".join(rng.choice(some) for _ in range(rng.randrange(1, 12))), None, None, 0) for k in range(25)]
+    placed = linededup.orders(frame(spark, rows))
+    hits = linededup.candidates(placed, min_words)
+    found = linededup.runs(placed, hits, min_words)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(linededup, "_BESIDE", 0)
+    same = lambda df: sorted(map(tuple, df.collect()))
+    assert same(found) == same(linededup.runs(placed, hits, min_words)) != []
+
+
 def test_fingerprints_are_a_part_of_the_lines(spark):
     rng = random.Random(10)
     docs = frame(spark, [(k, lines_of_words(rng, *[rng.randrange(1, 7) for _ in range(300)]), None, None, 0) for k in range(20)])
